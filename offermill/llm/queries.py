@@ -15,5 +15,23 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate,)}
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pack import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenfile import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pack, op4_token_files, op6_token_counts)}
 ORACLES = {"op1_decontaminate": sql.DECONTAMINATE}
