@@ -33,5 +33,17 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pack, op4_token_files, op6_token_counts)}
-ORACLES = {"op1_decontaminate": sql.DECONTAMINATE}
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_pack, op4_token_files, op6_token_counts, op8_warc)}
+ORACLES = {"op1_decontaminate": sql.DECONTAMINATE, "op8_warc": sql.WARC}
