@@ -23,7 +23,9 @@ OTHER, LETTER, NUMBER, BLANK, RARE = range(5)
 #: Code points from here on go to the library with their whole text.
 _FAR = 0x20000
 #: Words that a process remembers, at most; then it starts anew.
-REMEMBERED = 3_000_000
+REMEMBERED = 2_000_000
+#: Text bytes that are encoded in one step.
+ENCODE_BYTES = 1 << 20
 
 def _printable() -> dict[int, int]:
     """Byte-level BPE writes printable Latin-1 bytes as themselves and the others, in order, from code point 256 on."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bpe import PRINTABLE, REMEMBERED, Batch, Encoder, Words, decoded, encoder, vocabulary
+from .bpe import ENCODE_BYTES, PRINTABLE, REMEMBERED, Batch, Encoder, Words, decoded, encoder, vocabulary
 from .common import Rolling, lengths, slices, views, without
 
 #: Words of more bytes than this have a table each.
@@ -199,7 +199,7 @@ def count_tokens(docs: DataFrame, text: str = "text", limit: int = 512, path: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = prefix_tables(path)
-        for b in slices(batches, text):
+        for b in slices(batches, text, ENCODE_BYTES):
             n = tables.count(decoded(views(b.column(text))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lengths(b.column(text))), pa.array(n), pa.array(n > limit)], names=[*b.schema.names, *(k for k, _ in NEW)])
 
@@ -212,7 +212,7 @@ def cut_to_budget(docs: DataFrame, budget: int, text: str = "text", path: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = prefix_tables(path)
-        for b in slices(batches, text):
+        for b in slices(batches, text, ENCODE_BYTES):
             place = b.schema.names.index(text)
             short = pa.array([None if t is None else tables.cut(t, budget) for t in b.column(text).to_pylist()], b.column(text).type)
             yield b.set_column(place, text, short)

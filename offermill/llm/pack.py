@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import decoded, encoder, vocabulary
+from .bpe import ENCODE_BYTES, decoded, encoder, vocabulary
 from .common import slices, stored, views, without
 
 CAPACITY = 2048
@@ -38,7 +38,7 @@ def cut_tokens(docs: DataFrame, capacity: int = CAPACITY, end: int = 0, text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", ENCODE_BYTES):
             flat, at = encode(decoded(views(b.column("t"))))
             n = np.diff(at) + 1
             pieces = np.maximum(1, -(-n // capacity))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import decoded, encoder, vocabulary
+from .bpe import ENCODE_BYTES, decoded, encoder, vocabulary
 from .common import scratch, slices, views
 
 MAGIC = b"EFTOKEN1"
@@ -160,7 +160,7 @@ def write(docs: DataFrame, folder: str, end: int = 2, text: str = "text", doc_id
         e = encoder(path)
         width = 2 if max(e.library.get_vocab_size(), end + 1) <= 1 << 16 else 4
         tail = np.array([end], f"<u{width}").tobytes()
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", ENCODE_BYTES):
             flat, at = e.encode(decoded(views(b.column("t"))))
             flat, at = flat.astype(f"<u{width}"), at.tolist()
             key = b.column("d")
