@@ -45,5 +45,17 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_pack, op4_token_files, op6_token_counts, op8_warc)}
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_pack, op4_token_files, op6_token_counts, op7_suffixes, op8_warc, op9_jaccard)}
 ORACLES = {"op1_decontaminate": sql.DECONTAMINATE, "op8_warc": sql.WARC}
