@@ -57,5 +57,11 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_pack, op4_token_files, op6_token_counts, op7_suffixes, op8_warc, op9_jaccard)}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_pack, op4_token_files, op6_token_counts, op7_suffixes, op8_warc, op9_jaccard, op10_neighbours)}
 ORACLES = {"op1_decontaminate": sql.DECONTAMINATE, "op8_warc": sql.WARC}
