@@ -63,5 +63,11 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_pack, op4_token_files, op6_token_counts, op7_suffixes, op8_warc, op9_jaccard, op10_neighbours)}
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wrapper import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_pack, op4_token_files, op5_main_text, op6_token_counts, op7_suffixes, op8_warc, op9_jaccard, op10_neighbours)}
 ORACLES = {"op1_decontaminate": sql.DECONTAMINATE, "op8_warc": sql.WARC}
