@@ -13,7 +13,7 @@ from .ranking import distinct_identifiers, first_code, first_sku
 
 def _first(texts: Column, parser, fine) -> Column:
     """The first text that parses to something fine."""
-    return F.get(F.filter(F.transform(texts, parser), lambda x: F.coalesce(fine(x), F.lit(False))), F.lit(0))
+    return F.get(F.filter(F.transform(texts, lambda t: parser(t)), lambda x: F.coalesce(fine(x), F.lit(False))), F.lit(0))
 
 
 def title(df: DataFrame) -> Column:
@@ -41,7 +41,8 @@ def _identifiers() -> Column:
         return F.when(c["field"].isin("sku", "mpn"), own).otherwise(one(barcodes.normal(c["value"]), "json-ld"))
 
     texts = [F.filter(F.transform(F.regexp_extract_all("body_text", F.lit("(?i)" + p), F.lit(1)), lambda v: one(barcodes.normal(v), "text-pattern")), lambda i: i["isValidCheckDigit"]) for p in fixed.CODE_TEXTS]
-    listed = [F.transform(F.col(c), lambda v, s=s: one(barcodes.normal(v), s)) for c, s in (("meta_codes", "meta-tag"), ("itemprop_codes", "microdata"), ("data_codes", "data-attribute"))]
+    from_source = lambda s: lambda v: one(barcodes.normal(v), s)
+    listed = [F.transform(F.col(c), from_source(s)) for c, s in (("meta_codes", "meta-tag"), ("itemprop_codes", "microdata"), ("data_codes", "data-attribute"))]
     return known(F.concat(F.transform("json_codes", named), *listed, *texts))
 
 
