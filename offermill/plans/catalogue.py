@@ -401,3 +401,135 @@ def format_strings(spark, sf_dir):
 def numeric_prefixes(spark, sf_dir):
     text = F.concat(F.col("cents").cast("string"), F.lit("px"))
     return offers(spark, sf_dir).select("ordinal", prefix_number(text).alias("number"), prefix_integer(text).alias("whole"), half_up(F.col("price"), 1).alias("rounded"))
+
+
+_H1 = r"regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
+_UNESCAPED = f"replace(replace({_H1}, '&quot;', '\"'), '&amp;', '&')"
+
+
+def _clean(x: str) -> str:
+    return rf"substr(trim(regexp_replace(regexp_replace({x}, '[\s\x{{00A0}}]+', ' ', 'g'), '[^A-Za-z0-9_\s\-.,()]', '', 'g')), 1, 200)"
+
+
+@query(f"SELECT page_id, {_clean(_UNESCAPED)} AS title FROM pages WHERE {_clean(_UNESCAPED)} <> '' AND NOT regexp_matches({_H1}, '&(am|a|qu|quo|amp|quot)$')")
+def page_titles(spark, sf_dir):
+    """Titles by the page's own heading; headings cut inside a character reference are left to unit tests."""
+    from ..operators.extract import title
+    from ..sources.html import page_facts
+
+    df = table(spark, sf_dir, "pages").filter(~F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1).rlike("&(am|a|qu|quo|amp|quot)$"))
+    found = page_facts(df)
+    return found.select("page_id", title(found).alias("title")).filter("title IS NOT NULL")
+
+
+def _product_pages(spark, sf_dir):
+    """Pages with what a shop adds: a price that is now and then reduced, a size, a code, shipping and a coupon."""
+    n = F.col("page_id")
+    c = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    size = F.element_at(F.array(*(F.lit(v) for v in ("500g", "2 lb", "60 capsules"))), (n % 3 + 1).cast("int"))
+    add = c("<title>Powder number ", n, " of ", size, "</title><b class='now-price'>$", n % 90 + 10, ".50</b><i class='was-price'>$", n % 90 + n % 20 + 10, ".50</i><s class='shipping-cost'>$4.99</s><u class='coupon'>SAVE", n % 10 + 10, " for 10% off</u><p>UPC: 012345678905")
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.lit("<html><body>"), add, F.lit("</body></html>")).alias("html"))
+
+
+@query("""SELECT page_id, 'Powder number ' || page_id || ' of ' || ['500g', '2 lb', '60 capsules'][page_id % 3 + 1] AS title, page_id % 90 + 10.5::DOUBLE AS price, ['500', '2', '60'][page_id % 3 + 1]::DOUBLE AS quantity,
+ ['g', 'lb', 'capsules'][page_id % 3 + 1] AS unit, CASE WHEN page_id % 20 > 0 THEN page_id % 90 + page_id % 20 + 10.5::DOUBLE END AS original, CASE WHEN page_id % 20 > 0 THEN CAST(floor(page_id % 20 / (page_id % 90 + page_id % 20 + 10.5::DOUBLE) * 100 + 0.5) AS BIGINT) END AS discount,
+ '012345678905' AS upc, 4.99::DOUBLE AS shipping, 'SAVE' || (page_id % 10 + 10) AS coupon FROM pages""")
+def product_extraction(spark, sf_dir):
+    from ..operators.extract import product_records
+
+    df = product_records(_product_pages(spark, sf_dir))
+    return df.select("page_id", "title", "price", "quantity", "unit", F.col("original_price").alias("original"), F.col("discount_percent").alias("discount"), F.col("primaryUpc").alias("upc"), F.col("shipping.cost").alias("shipping"), F.col("promotion.couponCode").alias("coupon"))
+
+
+@query("""SELECT page_id, page_id % 300 + 50.0::DOUBLE AS price, CAST(page_id % 400 + 20 AS BIGINT) AS wattage, 'bifacial' AS kind, 21.5::DOUBLE AS efficiency, 'Renogy' AS brand, floor((page_id % 300 + 50.0) / (page_id % 400 + 20) * 1000 + 0.5) / 1000 AS per_watt, 0.85::DOUBLE AS confidence FROM pages""")
+def panel_extraction(spark, sf_dir):
+    from ..operators.extract import panel_records
+
+    n = F.col("page_id")
+    c = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    html = c("<title>Renogy ", n % 400 + 20, "W Bifacial</title><script type='application/ld+json'>{\"@type\": \"Product\", \"offers\": {\"price\": \"", n % 300 + 50, "\"}}</script><body><table><tr><td>Efficiency: 21.5%</table>Add to cart")
+    df = panel_records(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")))
+    return df.select("page_id", "price", "wattage", F.col("specs.panelType").alias("kind"), F.col("specs.efficiency").alias("efficiency"), F.col("specs.brand").alias("brand"), F.col("pricePerWatt").alias("per_watt"), half_up(F.col("confidence"), 3).alias("confidence"))
+
+
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Google' WHEN 1 THEN 'Yahoo' ELSE 'Mojeek' END AS engine, CAST(i AS BIGINT) AS ordinal, url || '/' || i AS url FROM pages, (SELECT unnest([0, 1, 2]) AS i) WHERE url NOT LIKE '%#%' AND url NOT LIKE '%?%'""")
+def result_links(spark, sf_dir):
+    from ..operators.extract import links
+
+    k, items = F.col("page_id") % 3, []
+    for i in range(3):
+        u = F.concat("url", F.lit(f"/{i}"))
+        items.append(F.when(k == 0, F.concat(F.lit("<a href='/url?q="), urls.encoded(u), F.lit("&sa=1'>x</a>"))).when(k == 1, F.concat(F.lit("<a href='https://r.example/RU="), urls.encoded(u), F.lit("/RK=2'>x</a>"))).otherwise(F.concat(F.lit("<a class=title href='"), u, F.lit("'>x</a><a href='https://www.mojeek.com/about'>y</a>"))))
+    df = table(spark, sf_dir, "pages").filter("url NOT LIKE '%#%' AND url NOT LIKE '%?%'")
+    engine = F.when(k == 0, "Google").when(k == 1, "Yahoo").otherwise("Mojeek")
+    return links(df.select("page_id", engine.alias("engine"), F.concat(*items).alias("html"))).select("page_id", "engine", "ordinal", "url")
+
+
+@query("""SELECT page_id, CAST(i AS BIGINT) AS ordinal, 'Panel mono ' || (page_id % 300 + i) || 'W' AS title, page_id % 900 + 100.25::DOUBLE AS price, 'EUR' AS currency, CAST(page_id % 300 + i AS BIGINT) AS wattage, 'https://shop.example/product/' || page_id || '-' || i AS url FROM pages, (SELECT unnest([0, 1]) AS i)""")
+def listing_cards(spark, sf_dir):
+    from ..operators.extract import cards
+
+    n = F.col("page_id")
+    c = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    items = [c("<li class='product'><h3>Panel mono ", n % 300 + i, "W</h3><span class='price'>€", n % 900 + 100, ".25</span><a href='/product/", n, f"-{i}'>go</a></li>") for i in range(2)]
+    df = table(spark, sf_dir, "pages").select("page_id", F.lit("https://shop.example/list").alias("url"), F.concat(*items).alias("html"))
+    return cards(df).select("page_id", "ordinal", "title", "price", "currency", "wattage", "url")
+
+
+def _stream(spark, sf_dir, make, mode="append"):
+    import tempfile
+    import uuid
+
+    from ..streaming import state
+
+    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).rstrip("/")
+    name = f"stream_{uuid.uuid4().hex}"
+    return state.run_now(make(state.event_stream(spark, sf_dir)), name, f"{base}/{name}", mode)
+
+
+@query("SELECT event_type, count(*) AS n, floor(sum(value) * 100 + 0.5) / 100 AS total FROM events GROUP BY event_type")
+def stream_event_counts(spark, sf_dir):
+    count = lambda e: e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), half_up(F.sum("value"), 2).alias("total"))
+    return _stream(spark, sf_dir, count, "complete")
+
+
+@query("WITH w AS (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT start, event_type, n FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def stream_tumbling(spark, sf_dir):
+    from ..streaming import state
+
+    return _stream(spark, sf_dir, state.tumbling).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_distinct_users(spark, sf_dir):
+    """A time to live as long as the table: each user is fresh once."""
+    from ..streaming import state
+
+    return _stream(spark, sf_dir, lambda e: state.fresh(e, ["user_id"], "36500 days").select("user_id"))
+
+
+@query("SELECT event_type AS event, '{\"id\":' || event_id || '}' AS data, event_id FROM events")
+def event_text_round_trip(spark, sf_dir):
+    from ..sources.documents import event_text, parsed_events
+
+    df = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("event"), F.to_json(F.struct(F.col("event_id").alias("id"))).alias("data"))
+    texts = event_text(df.withColumn("data", F.col("data"))).withColumn("_", F.lit(0)).drop("_")
+    return parsed_events(texts).select("event", "data", F.from_json("data", "id long")["id"].alias("event_id"))
+
+
+@query(f"WITH {sql.OFFERS} SELECT ordinal, array_to_string(list_filter([CASE WHEN valid_upc THEN 'UPC' END, CASE WHEN discount_percent > 5 THEN discount_percent || '% off' END, CASE WHEN coupon THEN 'coupon' END, CASE WHEN free_shipping THEN 'free shipping' END], lambda x: x IS NOT NULL), ', ') AS badges FROM offers")
+def offer_badges(spark, sf_dir):
+    b = formats.badges(F.col("valid_upc"), F.lit(0), F.col("discount_percent"), F.lit(None).cast("double"), F.col("coupon"), F.col("free_shipping"))
+    return _coded(spark, sf_dir).select("ordinal", F.array_join(b, ", ").alias("badges"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN floor(40 + (event_id % 10) / 10.0::DOUBLE * 40 + 0) ELSE NULL END AS percent FROM events WHERE event_type = 'click'")
+def progress_percent(spark, sf_dir):
+    df = table(spark, sf_dir, "events").filter("event_type = 'click'")
+    return df.select("event_id", formats.progress(F.lit("crawling"), F.col("event_id") % 10, F.lit(10)).alias("percent"))
+
+
+@query(f"WITH {sql.OFFERS}, h AS (SELECT partkey, CAST(epoch_ms(ts) AS BIGINT) AS at_ms FROM (SELECT user_id AS partkey, ts FROM events)), o AS (SELECT partkey AS user_id, at_ms, row_number() OVER (PARTITION BY partkey ORDER BY at_ms) AS nth FROM h) SELECT user_id, at_ms, nth > 1 AS hit FROM o")
+def cache_first_misses(spark, sf_dir):
+    """With a time to live beyond all events only the first request of a key misses."""
+    return limits.cache_hits(table(spark, sf_dir, "events"), "user_id", "ts", 10**15).select("user_id", F.col("at").alias("at_ms"), "hit")
