@@ -529,7 +529,7 @@ def progress_percent(spark, sf_dir):
     return df.select("event_id", formats.progress(F.lit("crawling"), F.col("event_id") % 10, F.lit(10)).alias("percent"))
 
 
-@query(f"WITH {sql.OFFERS}, h AS (SELECT partkey, CAST(epoch_ms(ts) AS BIGINT) AS at_ms FROM (SELECT user_id AS partkey, ts FROM events)), o AS (SELECT partkey AS user_id, at_ms, row_number() OVER (PARTITION BY partkey ORDER BY at_ms) AS nth FROM h) SELECT user_id, at_ms, nth > 1 AS hit FROM o")
+@query(f"WITH {sql.OFFERS}, h AS (SELECT partkey, CAST(epoch_us(ts) // 1000 AS BIGINT) AS at_ms FROM (SELECT user_id AS partkey, ts FROM events)), o AS (SELECT partkey AS user_id, at_ms, row_number() OVER (PARTITION BY partkey ORDER BY at_ms) AS nth FROM h) SELECT user_id, at_ms, nth > 1 AS hit FROM o")
 def cache_first_misses(spark, sf_dir):
     """With a time to live beyond all events only the first request of a key misses."""
     return limits.cache_hits(table(spark, sf_dir, "events"), "user_id", "ts", 10**15).select("user_id", F.col("at").alias("at_ms"), "hit")
