@@ -5,10 +5,13 @@ from each other. So the pivots are sets of one shingle each, in one fixed order;
 shingle, and as two sets within the radius differ in few shingles, the window that replicates a set beyond its own
 region is its first n - ceil(0.8 n) + 1 shingles. Two linked sets meet in a region, whatever the order; rare shingles
 come first, by counts in a bounded sample, which keeps regions of unlike sets small. Regions split by size, which is the
-triangle inequality with the empty set as pivot, and equal regions are one. Then each region is joined recursively: one
-member is its document pivot and is compared with the others; members already in one component need no comparison, and
-pairs whose distances to the pivot differ by more than the radius are cut by the triangle inequality; then more members
-become pivots, four times as many each time, until no region holds two components. Distances are exact.
+triangle inequality with the empty set as pivot, and equal regions are one. They split again by parity sketches: a bit
+for each hash class tells whether a set has an odd number of members in it, so two sketches never differ in more bits
+than the sets differ in members, and members whose sketches are too far apart can't be linked. What is left holds nearly
+alike sets and is joined recursively: the member with most sets near it is the region's document pivot and is compared
+with the others; members already in one component need no comparison, and pairs whose distances to the pivot differ by
+more than the radius are cut by the triangle inequality; then more members become pivots, four times as many each time,
+until no region holds two components. Distances are exact.
 
 Defined results: null texts and texts without words have empty sets and are linked with nothing; equal sets are one node
 whatever their number; a document without doc_id has no component; rows that repeat a doc_id are nodes by their texts.
@@ -33,6 +36,8 @@ PERCENT = 80
 #: Documents from which common shingles are learned, about, and how many shingles are remembered, at most.
 SAMPLE_DOCUMENTS, SAMPLE_COMMON = 4096, 1 << 19
 STEP = 2 << 20
+#: Members of a region that one task compares by their sketches, and how many of a cluster's members are tried as its pivot.
+WHOLE, DEGREES = 20_000, 64
 SALTS = 32
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -72,17 +77,32 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """Parities of a set's members by hash class; twice as many classes as members, or up to twice that."""
+    bits = max(64, 1 << int(2 * len(x) - 1).bit_length())
+    odd = np.bincount((mix(x) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(rows: np.ndarray, words: int) -> np.ndarray:
+    """Sketches with as many classes as words of 64 bits have; classes that become one add their parities."""
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
 def membership(docs: DataFrame) -> DataFrame:
-    """doc_id, node (null without a set or doc_id) and n_shingles of every row."""
+    """doc_id, node (null without a set or doc_id), n_shingles and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", STEP):
             sets = shingle_sets(views(b.column("text")))
             n = np.array([len(x) for x in sets], np.int64)
             none = (n == 0) | np.asarray(b.column("doc_id").is_null())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes(sets), mask=none), pa.array(n)], names=["doc_id", "node", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes(sets), mask=none), pa.array(n), pa.array([sketch(x) for x in sets], pa.binary())], names=["doc_id", "node", "n_shingles", "sketch"])
 
-    return _source(docs).mapInArrow(run, "doc_id long, node long, n_shingles long")
+    return _source(docs).mapInArrow(run, "doc_id long, node long, n_shingles long, sketch binary")
 
 
 def common_shingles(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +138,7 @@ def window(x: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int =
 
 
 def regions(docs: DataFrame, parts: int) -> DataFrame:
-    """rid, node, n, ord and leader: the regions in which sets of like sizes meet. The leader has ord 0."""
+    """rid, node and n: the regions in which sets of like sizes meet. Regions with equal members are one."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,17 +185,102 @@ def regions(docs: DataFrame, parts: int) -> DataFrame:
         rid, node, n = np.repeat(name, m)[row], node[row], n[row]
         if not len(rid):
             return
-        order = np.lexsort((node, rid))
-        rid, node, n = rid[order], node[order], n[order]
-        edge = np.flatnonzero(np.append(True, rid[1:] != rid[:-1]))
-        size = np.diff(np.append(edge, len(rid)))
-        nth = np.arange(len(rid)) - np.repeat(edge, size)
-        columns = [rid, node, n, nth, np.repeat(node[edge], size), np.repeat(n[edge], size)]
         for a in range(0, len(rid), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in columns], names=["rid", "node", "n", "ord", "leader", "leader_n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in (rid, node, n)], names=["rid", "node", "n"])
 
     found = _source(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(cells, "bucket int, value binary")
-    return found.repartitionById(parts, F.col("bucket")).mapInArrow(meet, "rid long, node long, n long, ord long, leader long, leader_n long").dropDuplicates(["rid", "node"])
+    return found.repartitionById(parts, F.col("bucket")).mapInArrow(meet, "rid long, node long, n long").dropDuplicates(["rid", "node"])
+
+
+def clusters(n: np.ndarray, sketches: list[bytes], percent: int = PERCENT) -> list[np.ndarray]:
+    """Members that sketches near enough connect, those with most near ones first; single members are left out."""
+    size = np.array([len(k) // 8 for k in sketches])
+    least = int(size.min())
+    by_size = {w: np.flatnonzero(size == w) for w in np.unique(size).tolist()}
+    rows = {w: np.frombuffer(b"".join(sketches[i] for i in at), np.uint64).reshape(len(at), w) for w, at in by_size.items()}
+    place = np.empty(len(n), np.int64)
+    for at in by_size.values():
+        place[at] = np.arange(len(at))
+    small = {w: folded(r, least) for w, r in rows.items()}
+    every = np.empty((len(n), least), np.uint64)
+    for w, at in by_size.items():
+        every[at] = small[w]
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others may be linked: by folded sketches first, then by those of the smaller of each two sizes."""
+        most = (n[i] + n[others]) * (100 - percent)
+        close = others[np.bitwise_count(every[others] ^ every[i]).sum(axis=1, dtype=np.int64) * (100 + percent) <= most]
+        if len(by_size) == 1:
+            return close
+        out = []
+        for w in np.unique(size[close]).tolist():
+            own = close[size[close] == w]
+            width = min(w, int(size[i]))
+            mine = folded(rows[int(size[i])][place[i] : place[i] + 1], width)
+            h = np.bitwise_count(folded(rows[w][place[own]], width) ^ mine).sum(axis=1, dtype=np.int64)
+            out.append(own[h * (100 + percent) <= (n[i] + n[own]) * (100 - percent)])
+        return np.concatenate(out) if out else close
+
+    left = np.ones(len(n), bool)
+    found = []
+    for first in range(len(n)):
+        if not left[first]:
+            continue
+        left[first] = False
+        members, wave = [first], [first]
+        while wave:
+            new = near(wave.pop(), np.flatnonzero(left))
+            left[new] = False
+            members += new.tolist()
+            wave += new.tolist()
+        if len(members) > 1:
+            own = np.array(members)
+            probe = own if len(own) <= DEGREES else own[:: len(own) // DEGREES]
+            degree = np.zeros(len(n), np.int64)
+            for i in probe.tolist():
+                degree[near(i, own)] += 1
+            found.append(own[np.argsort(-degree[own], kind="stable")])
+    return found
+
+
+def split(region: DataFrame, sketches: DataFrame, parts: int, percent: int = PERCENT) -> DataFrame:
+    """rid, node, n, ord and leader of the regions' clusters. The leader has ord 0. Regions of more than WHOLE members,
+    which one task should not hold, stay whole, in the order of their nodes."""
+    size = region.groupBy("rid").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("leader"))
+    rows = region.join(size, "rid")
+    large = rows.filter(F.col("m") > WHOLE).withColumn("ord", F.when(F.col("node") == F.col("leader"), 0).otherwise(1 + F.pmod(F.xxhash64("node"), F.col("m") * 4))).select("rid", "node", "n", "ord", "leader")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        rid, node, n = (t.column(c).to_numpy() for c in ("rid", "node", "n"))
+        keys = t.column("sketch").to_pylist()
+        order = np.lexsort((node, rid))
+        edge = np.flatnonzero(np.append(True, np.diff(rid[order]) != 0)).tolist()
+        out: dict[int, list[int]] = {}
+        for a, z in zip(edge, [*edge[1:], len(order)], strict=True):
+            own = order[a:z]
+            if z - a < 2:
+                continue
+            for c in clusters(n[own], [keys[i] for i in own], percent):
+                members = own[c]
+                name = int(mix(np.array([int(mix(node[members].view(np.uint64)).sum(dtype=np.uint64))], np.uint64)).view(np.int64)[0])
+                out.setdefault(name, members.tolist())
+        if not out:
+            return
+        which = np.array([i for m in out.values() for i in m])
+        count = np.array([len(m) for m in out.values()])
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        first = np.repeat(np.cumsum(count) - count, count)
+        columns = [np.repeat(np.array(list(out), np.int64), count), node[which], n[which], nth, node[which][first]]
+        for a in range(0, len(which), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in columns], names=["rid", "node", "n", "ord", "leader"])
+
+    met = rows.filter(F.col("m") <= WHOLE).join(sketches, "node").select("rid", "node", "n", "sketch")
+    near = met.repartitionById(parts, F.pmod("rid", F.lit(parts)).cast("int")).mapInArrow(run, "rid long, node long, n long, ord long, leader long")
+    return near.dropDuplicates(["rid", "node"]).unionByName(large)
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -241,8 +346,9 @@ def join(docs: DataFrame, percent: int = PERCENT, parts: int | None = None) -> t
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     members = stored(membership(docs), "members")
-    region = stored(regions(docs, parts), "regions")
     least = members.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
+    sketches = members.select("node", "doc_id", "sketch").join(least.select("node", "doc_id"), ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "sketch")
+    region = stored(split(stored(regions(docs, parts), "cells"), sketches, parts, percent), "regions")
     wanted = region.select("node").distinct().join(least.select("node", "doc_id"), "node")
     texts = stored(texts_of(docs, wanted), "texts")
     region = region.withColumns({"label": F.col("node"), "d": F.lit(None).cast("double")})
@@ -270,7 +376,7 @@ def join(docs: DataFrame, percent: int = PERCENT, parts: int | None = None) -> t
         low, width = low + width, width * 4
         region = region.filter(F.col("ord") >= low)
         open_ = region.groupBy("rid").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("rid")
-        region = stored(region.join(open_, "rid", "left_semi").select("rid", "node", "n", "ord", "leader", "leader_n", "label", "d"), "regions")
+        region = stored(region.join(open_, "rid", "left_semi").select("rid", "node", "n", "ord", "leader", "label", "d"), "regions")
         if not region.limit(1).count():
             break
     named = least.withColumn("label", F.col("node"))
@@ -278,7 +384,7 @@ def join(docs: DataFrame, percent: int = PERCENT, parts: int | None = None) -> t
         named = named.withColumnRenamed("label", "was").join(labels.select(F.col("node").alias("was"), "label"), "was", "left").withColumn("label", F.coalesce("label", "was")).drop("was")
     named = stored(named, "named")
     joint = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.sum("rows").alias("size")).filter("size > 1")
-    return members, named.join(joint, "label").select("node", "component_id")
+    return members.drop("sketch"), named.join(joint, "label").select("node", "component_id")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
