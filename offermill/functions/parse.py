@@ -21,6 +21,12 @@ def _number(text: Column, pattern: str, group: int = 1) -> Column:
     return found(text, pattern, group).try_cast("double")
 
 
+def first_of(tries: list[tuple], names: tuple[str, str], fine) -> Column:
+    """The first struct that is fine; each is written once in the expression."""
+    options = F.array(*(F.struct(a.alias(names[0]), b.alias(names[1])) for a, b in tries))
+    return F.get(F.filter(options, lambda x: F.coalesce(fine(x[names[0]]), F.lit(False))), F.lit(0))
+
+
 def price(text: Column, thousands: bool = False) -> Column:
     """struct(value, currency) or null: a symbol and number, a number and code, or a number with two decimals.
 
@@ -36,7 +42,7 @@ def price(text: Column, thousands: bool = False) -> Column:
         (value(code, 1), F.upper(found(text, code, 2))),
         (value(r"(\d+(?:\.\d{2}))", 1), F.lit("USD")),
     ]
-    return F.coalesce(*(F.when(v > 0, F.struct(v.alias("value"), c.alias("currency"))) for v, c in tries))
+    return first_of(tries, ("value", "currency"), lambda v: v > 0)
 
 
 def unit_name(unit: Column) -> Column:
@@ -50,9 +56,11 @@ def quantity(text: Column) -> Column:
     number = r"(\d+(?:\.\d+)?)" + _SPACE + "*"
     weight, count = number + "(" + _s(fixed.WEIGHT_UNITS) + ")" + END, number + "(" + _s(fixed.COUNT_UNITS) + ")"
     pack = r"(\d+)" + _SPACE + "*x" + _SPACE + "*" + number + "(" + fixed.PACK_UNITS + ")"
-    tries = [(_number(t, p), unit_name(found(t, p, 2))) for p in (weight, count)]
+    tries = [(_number(t, p), found(t, p, 2)) for p in (weight, count)]
     tries.append((_number(t, pack) * _number(t, pack, 2), found(t, pack, 3)))
-    return F.coalesce(*(F.when(v.isNotNull(), F.struct(v.alias("value"), u.alias("unit"))) for v, u in tries))
+    q = F.array(first_of(tries, ("value", "unit"), lambda v: v.isNotNull()))
+    named = F.transform(q, lambda x: F.when(x.isNotNull(), F.struct(x["value"].alias("value"), unit_name(x["unit"]).alias("unit"))))
+    return F.get(named, F.lit(0))
 
 
 def wattage(text: Column) -> Column:

@@ -30,20 +30,18 @@ def _price(most: float, scan: Column, pattern: str, low: float, high: float, rea
 
 
 def _identifiers() -> Column:
-    def one(code: Column, source: str) -> Column:
-        kind = barcodes.kind(code)
-        return F.struct(kind["type"].alias("type"), code.alias("value"), kind["isValid"].alias("isValidCheckDigit"), F.lit(source).alias("source"))
-
-    known = lambda ids: F.filter(ids, lambda i: i["type"] != "unknown")
-
-    def named(c: Column) -> Column:
-        own = F.struct(c["field"].alias("type"), c["value"].alias("value"), F.lit(True).alias("isValidCheckDigit"), F.lit("json-ld").alias("source"))
-        return F.when(c["field"].isin("sku", "mpn"), own).otherwise(one(barcodes.normal(c["value"]), "json-ld"))
-
-    texts = [F.filter(F.transform(F.regexp_extract_all("body_text", F.lit("(?i)" + p), F.lit(1)), lambda v: one(barcodes.normal(v), "text-pattern")), lambda i: i["isValidCheckDigit"]) for p in fixed.CODE_TEXTS]
-    from_source = lambda s: lambda v: one(barcodes.normal(v), s)
+    """All codes in the order of their sources; those in the text count only if their check digit is right."""
+    entry = lambda code, source, named: F.struct(code.alias("code"), F.lit(source).alias("source"), named.cast("string").alias("named"))
+    from_source = lambda s: lambda v: entry(v, s, F.lit(None))
+    given = F.transform("json_codes", lambda c: entry(c["value"], "json-ld", F.when(c["field"].isin("sku", "mpn"), c["field"])))
     listed = [F.transform(F.col(c), from_source(s)) for c, s in (("meta_codes", "meta-tag"), ("itemprop_codes", "microdata"), ("data_codes", "data-attribute"))]
-    return known(F.concat(F.transform("json_codes", named), *listed, *texts))
+    texts = [F.transform(F.regexp_extract_all("body_text", F.lit("(?i)" + p), F.lit(1)), from_source("text-pattern")) for p in fixed.CODE_TEXTS]
+    codes = F.transform(F.concat(given, *listed, *texts), lambda e: F.struct(F.when(e["named"].isNull(), barcodes.normal(e["code"])).otherwise(e["code"]).alias("code"), e["source"].alias("source"), e["named"].alias("named")))
+    kinds = F.transform(codes, lambda e: F.struct(barcodes.kind(e["code"]).alias("kind"), e.alias("e")))
+    ids = F.transform(kinds, lambda k: F.struct(
+        F.coalesce(k["e"]["named"], k["kind"]["type"]).alias("type"), k["e"]["code"].alias("value"), (k["e"]["named"].isNotNull() | k["kind"]["isValid"]).alias("isValidCheckDigit"), k["e"]["source"].alias("source"),
+    ))
+    return F.filter(ids, lambda i: (i["type"] != "unknown") & ((i["source"] != "text-pattern") | i["isValidCheckDigit"]))
 
 
 def shipping(price: Column, most: float = 100) -> Column:
@@ -71,7 +69,7 @@ def product_records(pages: DataFrame) -> DataFrame:
     df = page_facts(pages)
     df = df.withColumn("title", title(df)).filter("title IS NOT NULL")
     some = lambda q: (q["value"] != 0)
-    asked = lambda t: F.when(parse.quantity(t)["value"] != 0, parse.quantity(t))
+    asked = lambda t: F.get(F.filter(F.array(parse.quantity(t)), lambda q: q["value"] != 0), F.lit(0))
     df = df.withColumns({
         "_price": _price(10000, F.col("body_text"), "[$€£]\\s*\\d+\\.?\\d*", 1, 500, F.lit(True)),
         "_quantity": F.coalesce(asked(F.col("title")), asked(F.col("description")), _first(F.col("detail_texts"), parse.quantity, some)),
