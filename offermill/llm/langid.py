@@ -69,17 +69,41 @@ class Network:
             kept.append((h,))
         return out, kept
 
+    def _states(self, d: int, x: np.ndarray) -> np.ndarray:
+        """The labels' share of this direction at each time, label first; gates are rows, so that each is contiguous."""
+        h_size, lanes = self.hidden, x.shape[1]
+        half = np.ones((3 * h_size, 1), np.float32)
+        half[: 2 * h_size] = 0.5  # a logistic gate is a tanh of half its input, moved
+        e, u, w = np.ascontiguousarray(self.p[f"E{d}"].T * half), np.ascontiguousarray(self.p[f"U{d}"].T * half), np.ascontiguousarray(self.p[f"W{d}"].T)
+        h, a, g = np.zeros((h_size, lanes), np.float32), np.empty((3 * h_size, lanes), np.float32), np.empty((3 * h_size, lanes), np.float32)
+        zr, n, gn = a[: 2 * h_size], a[2 * h_size :], g[2 * h_size :]
+        out = np.empty((len(x), len(w), lanes), np.float32)
+        for t in range(len(x)):
+            np.take(e, x[t], axis=1, out=a, mode="clip")
+            np.matmul(u, h, out=g)
+            zr += g[: 2 * h_size]
+            np.tanh(zr, out=zr)
+            zr *= np.float32(0.5)
+            zr += np.float32(0.5)
+            gn *= zr[h_size:]
+            n += gn
+            np.tanh(n, out=n)
+            h -= n
+            h *= zr[:h_size]
+            h += n
+            np.matmul(w, h, out=out[t])
+        return out
+
     def label(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Probabilities of each label at each position; x: bytes, a row for each stretch, filled up with zeros."""
-        width = x.shape[1]
-        back = np.maximum(size[:, None] - 1 - np.arange(width), 0)
-        out = self._run(0, np.ascontiguousarray(x.T), False)[0]
-        other = self._run(1, np.ascontiguousarray(np.take_along_axis(x, back, 1).T), False)[0]
-        out += np.take_along_axis(other, back.T[:, :, None], 0)
-        out += self.p["b"]
-        out -= out.max(axis=2, keepdims=True)
+        """Probabilities at each position, by time, label and stretch; x: bytes, a row for each stretch, filled up with zeros."""
+        back = np.maximum(size[:, None] - 1 - np.arange(x.shape[1]), 0)
+        out = self._states(0, np.ascontiguousarray(x.T))
+        other = self._states(1, np.ascontiguousarray(np.take_along_axis(x, back, 1).T))
+        out += np.take_along_axis(other, np.ascontiguousarray(back.T)[:, None, :], 0)
+        out += self.p["b"][:, None]
+        out -= out.max(axis=1, keepdims=True)
         np.exp(out, out=out)
-        out /= out.sum(axis=2, keepdims=True)
+        out /= out.sum(axis=1, keepdims=True)
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -166,8 +190,8 @@ class Network:
             x = data[at[own][:, None] + np.arange(width)]
             on = (IS_LETTER[x] & (np.arange(width) < size[own][:, None])).T
             p = self.label(x, size[own])
-            p *= on[:, :, None]
-            np.add.at(sums, doc[own], p.sum(axis=0))
+            p *= on[:, None, :]
+            np.add.at(sums, doc[own], p.sum(axis=0).T)
             np.add.at(count, doc[own], on.sum(axis=0))
         return sums / np.maximum(count, 1)[:, None]
 
