@@ -77,9 +77,9 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def sketch(x: np.ndarray) -> bytes:
-    """Parities of a set's members by hash class; twice as many classes as members, or up to twice that."""
-    bits = max(64, 1 << int(2 * len(x) - 1).bit_length())
+def sketch(x: np.ndarray, classes: int = 2) -> bytes:
+    """Parities of a set's members by hash class; so many classes for each member, or up to twice that."""
+    bits = max(64, 1 << int(classes * len(x) - 1).bit_length())
     odd = np.bincount((mix(x) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -192,35 +192,41 @@ def regions(docs: DataFrame, parts: int) -> DataFrame:
     return found.repartitionById(parts, F.col("bucket")).mapInArrow(meet, "rid long, node long, n long").dropDuplicates(["rid", "node"])
 
 
-def clusters(n: np.ndarray, sketches: list[bytes], percent: int = PERCENT) -> list[np.ndarray]:
-    """Members that sketches near enough connect, those with most near ones first; single members are left out."""
-    size = np.array([len(k) // 8 for k in sketches])
-    least = int(size.min())
-    by_size = {w: np.flatnonzero(size == w) for w in np.unique(size).tolist()}
-    rows = {w: np.frombuffer(b"".join(sketches[i] for i in at), np.uint64).reshape(len(at), w) for w, at in by_size.items()}
-    place = np.empty(len(n), np.int64)
-    for at in by_size.values():
-        place[at] = np.arange(len(at))
-    small = {w: folded(r, least) for w, r in rows.items()}
-    every = np.empty((len(n), least), np.uint64)
-    for w, at in by_size.items():
-        every[at] = small[w]
-
-    def near(i: int, others: np.ndarray) -> np.ndarray:
-        """Which of the others may be linked: by folded sketches first, then by those of the smaller of each two sizes."""
-        most = (n[i] + n[others]) * (100 - percent)
-        close = others[np.bitwise_count(every[others] ^ every[i]).sum(axis=1, dtype=np.int64) * (100 + percent) <= most]
-        if len(by_size) == 1:
+class Near:
+    """Which sets may be linked, by their sketches: never fewer than are."""
+
+    def __init__(self, n: np.ndarray, sketches: list[bytes], percent: int = PERCENT):
+        self.n, self.percent = n, percent
+        self.size = np.array([len(k) // 8 for k in sketches])
+        least = int(self.size.min())
+        self.rows = {}
+        self.place = np.empty(len(n), np.int64)
+        self.every = np.empty((len(n), least), np.uint64)
+        for w in np.unique(self.size).tolist():
+            at = np.flatnonzero(self.size == w)
+            self.rows[w] = np.frombuffer(b"".join(sketches[i] for i in at), np.uint64).reshape(len(at), w)
+            self.place[at] = np.arange(len(at))
+            self.every[at] = folded(self.rows[w], least)
+
+    def __call__(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others that may be linked with i: by sketches of the least size first, then of the smaller of each two."""
+        most = (self.n[i] + self.n[others]) * (100 - self.percent)
+        close = others[np.bitwise_count(self.every[others] ^ self.every[i]).sum(axis=1, dtype=np.int64) * (100 + self.percent) <= most]
+        if len(self.rows) == 1:
             return close
         out = []
-        for w in np.unique(size[close]).tolist():
-            own = close[size[close] == w]
-            width = min(w, int(size[i]))
-            mine = folded(rows[int(size[i])][place[i] : place[i] + 1], width)
-            h = np.bitwise_count(folded(rows[w][place[own]], width) ^ mine).sum(axis=1, dtype=np.int64)
-            out.append(own[h * (100 + percent) <= (n[i] + n[own]) * (100 - percent)])
+        for w in np.unique(self.size[close]).tolist():
+            own = close[self.size[close] == w]
+            width = min(w, int(self.size[i]))
+            mine = folded(self.rows[int(self.size[i])][self.place[i] : self.place[i] + 1], width)
+            h = np.bitwise_count(folded(self.rows[w][self.place[own]], width) ^ mine).sum(axis=1, dtype=np.int64)
+            out.append(own[h * (100 + self.percent) <= (self.n[i] + self.n[own]) * (100 - self.percent)])
         return np.concatenate(out) if out else close
 
+
+def clusters(n: np.ndarray, sketches: list[bytes], percent: int = PERCENT) -> list[np.ndarray]:
+    """Members that sketches near enough connect, those with most near ones first; single members are left out."""
+    near = Near(n, sketches, percent)
     left = np.ones(len(n), bool)
     found = []
     for first in range(len(n)):
@@ -248,7 +254,7 @@ def split(region: DataFrame, sketches: DataFrame, parts: int, percent: int = PER
     which one task should not hold, stay whole, in the order of their nodes."""
     size = region.groupBy("rid").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("leader"))
     rows = region.join(size, "rid")
-    large = rows.filter(F.col("m") > WHOLE).withColumn("ord", F.when(F.col("node") == F.col("leader"), 0).otherwise(1 + F.pmod(F.xxhash64("node"), F.col("m") * 4))).select("rid", "node", "n", "ord", "leader")
+    large = rows.filter(F.col("m") > WHOLE).withColumn("ord", F.when(F.col("node") == F.col("leader"), 0).otherwise(1 + F.pmod(F.xxhash64("node"), F.col("m") * 4))).select("rid", "node", "n", "ord", "leader", F.lit(True).alias("large"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -280,11 +286,11 @@ def split(region: DataFrame, sketches: DataFrame, parts: int, percent: int = PER
 
     met = rows.filter(F.col("m") <= WHOLE).join(sketches, "node").select("rid", "node", "n", "sketch")
     near = met.repartitionById(parts, F.pmod("rid", F.lit(parts)).cast("int")).mapInArrow(run, "rid long, node long, n long, ord long, leader long")
-    return near.dropDuplicates(["rid", "node"]).unionByName(large)
+    return near.dropDuplicates(["rid", "node"]).withColumn("large", F.lit(False)).unionByName(large)
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and its compressed text, one row for each wanted node (node, doc_id)."""
+    """node, its compressed text and a sketch of more classes, one row for each wanted node (node, doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
@@ -292,8 +298,50 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             data = views(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes(shingle_sets(data))), pa.array([z.compress(t) for t in data], pa.binary())], names=["doc_id", "node", "z"])
 
+    def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        for b in slices(batches, "z", STEP // 4):
+            sets = shingle_sets([memoryview(z.decompress(v)) for v in views(b.column("z"))])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([sketch(x, 8) for x in sets], pa.binary())], names=["node", "z", "fine"])
+
     rows = _source(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "doc_id long, node long, z binary")
-    return rows.join(wanted, ["node", "doc_id"], "left_semi").select("node", "z")
+    return rows.join(wanted, ["node", "doc_id"], "left_semi").select("node", "z").mapInArrow(more, "node long, z binary, fine binary")
+
+
+def near_pairs(region: DataFrame, texts: DataFrame, low: int, width: int, parts: int, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b, la, lb) of each region's pivots, those with ord from low on, and later members that may be linked with
+    them and are in other components. A region's members meet in one task, with their sketches; only pairs leave it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        rid, node, n, nth, label = (t.column(c).to_numpy() for c in ("rid", "node", "n", "ord", "label"))
+        d = t.column("d").to_numpy(zero_copy_only=False)
+        keys = t.column("fine").to_pylist()
+        order = np.lexsort((nth, rid))
+        edge = np.flatnonzero(np.append(True, np.diff(rid[order]) != 0)).tolist()
+        out: set[tuple[int, int, int, int]] = set()
+        for x, z in zip(edge, [*edge[1:], len(order)], strict=True):
+            own = order[x:z]
+            near = Near(n[own], [keys[i] for i in own], percent)
+            pivots = np.flatnonzero((nth[own] >= low) & (nth[own] < low + width))
+            for p in pivots.tolist():
+                others = np.arange(p + 1, len(own))
+                others = others[label[own[others]] != label[own[p]]]
+                if len(others):  # triangle inequality with the distances to the region's leader
+                    gap = np.abs(d[own[others]] - d[own[p]])
+                    others = others[~(gap > 1 - percent / 100 + 1e-9)]
+                for q in near(p, others).tolist() if len(others) else ():
+                    i, j = own[p], own[q]
+                    out.add((int(node[i]), int(node[j]), int(label[i]), int(label[j])) if node[i] < node[j] else (int(node[j]), int(node[i]), int(label[j]), int(label[i])))
+        rows = sorted(out)
+        for x in range(0, len(rows), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[x : x + 100_000], strict=True)], names=["a", "b", "la", "lb"])
+
+    met = region.join(texts.select("node", "fine"), "node").select("rid", "node", "n", "ord", "label", "d", "fine")
+    return met.repartitionById(parts, F.pmod("rid", F.lit(parts)).cast("int")).mapInArrow(run, "a long, b long, la long, lb long").distinct()
 
 
 def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -355,14 +403,18 @@ def join(docs: DataFrame, percent: int = PERCENT, parts: int | None = None) -> t
     steps, low, width = [], 0, 1
     radius = 1 - percent / 100 + 1e-9
     while True:
-        pivot = region.filter((F.col("ord") >= low) & (F.col("ord") < low + width)).select("rid", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("ord").alias("po"), F.col("label").alias("pl"), F.col("d").alias("pd"))
+        # a region too large for one task is joined by Spark, as are all with their leaders
+        whole = region if low == 0 else region.filter("large")
+        pivot = whole.filter((F.col("ord") >= low) & (F.col("ord") < low + width)).select("rid", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("ord").alias("po"), F.col("label").alias("pl"), F.col("d").alias("pd"))
         like = (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent) & (F.col("label") != F.col("pl")) & (F.col("ord") > F.col("po"))
         close = F.coalesce(F.abs(F.col("d") - F.col("pd")) <= radius, F.lit(True))
         swap = F.col("p") < F.col("node")
-        pairs = region.join(pivot, "rid").filter(like & close).select(
+        pairs = whole.join(pivot, "rid").filter(like & close).select(
             F.when(swap, F.col("p")).otherwise(F.col("node")).alias("a"), F.when(swap, F.col("node")).otherwise(F.col("p")).alias("b"),
             F.when(swap, F.col("pl")).otherwise(F.col("label")).alias("la"), F.when(swap, F.col("label")).otherwise(F.col("pl")).alias("lb"),
         ).distinct()
+        if low:
+            pairs = pairs.unionByName(near_pairs(region.filter("NOT large"), texts, low, width, parts, percent)).distinct()
         found = stored(distances(pairs, texts), "distances")
         links = found.filter(F.col("common") * 100 >= F.col("union") * percent)
         if links.limit(1).count():
@@ -376,7 +428,7 @@ def join(docs: DataFrame, percent: int = PERCENT, parts: int | None = None) -> t
         low, width = low + width, width * 4
         region = region.filter(F.col("ord") >= low)
         open_ = region.groupBy("rid").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("rid")
-        region = stored(region.join(open_, "rid", "left_semi").select("rid", "node", "n", "ord", "leader", "label", "d"), "regions")
+        region = stored(region.join(open_, "rid", "left_semi").select("rid", "node", "n", "ord", "leader", "large", "label", "d"), "regions")
         if not region.limit(1).count():
             break
     named = least.withColumn("label", F.col("node"))
