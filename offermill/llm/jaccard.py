@@ -210,6 +210,7 @@ class Near:
 
     def __call__(self, i: int, others: np.ndarray) -> np.ndarray:
         """Those of the others that may be linked with i: by sketches of the least size first, then of the smaller of each two."""
+        others = others[np.minimum(self.n[i], self.n[others]) * 100 >= np.maximum(self.n[i], self.n[others]) * self.percent]
         most = (self.n[i] + self.n[others]) * (100 - self.percent)
         close = others[np.bitwise_count(self.every[others] ^ self.every[i]).sum(axis=1, dtype=np.int64) * (100 + self.percent) <= most]
         if len(self.rows) == 1:

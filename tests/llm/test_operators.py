@@ -346,3 +346,41 @@ def test_neighbours(spark):
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in sorted(ann.nearest(few).collect(), key=lambda r: r.rank)] == sorted((1, 2), key=lambda i: np.linalg.norm(x[0] - x[i]))
     assert ann.nearest(few.limit(0)).count() == 0
+
+
+def test_sketches_never_part_linked_sets():
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = []
+    for i in range(60):
+        x = base[: rng.integers(300, 400)].copy()
+        x[rng.choice(len(x), rng.integers(0, 60), replace=False)] = rng.integers(0, 1 << 63)
+        sets.append(np.unique(x))
+    sets += [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 5, 90, 700)]
+    n = np.array([len(x) for x in sets])
+    linked = lambda i, j: 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - c)
+    for classes in (2, 8):
+        keys = [jaccard.sketch(x, classes) for x in sets]
+        near = jaccard.Near(n, keys)
+        together = {}
+        for k, c in enumerate(jaccard.clusters(n, keys, 80)):
+            together |= dict.fromkeys(c.tolist(), k)
+        for i in range(len(sets)):
+            close = set(near(i, np.arange(len(sets))).tolist())
+            for j in range(len(sets)):
+                if i != j and linked(i, j):
+                    assert j in close and together[i] == together[j]
+        assert not {60, 61, 62, 63} & set(together)
+
+
+def test_windows_of_linked_sets_meet():
+    rng = np.random.default_rng(12)
+    common = np.sort(rng.integers(0, 1 << 63, 30).astype(np.uint64))
+    table = common, np.arange(3, 33)
+    for _ in range(300):
+        n = int(rng.integers(1, 80))
+        x = np.unique(np.concatenate([rng.integers(0, 1 << 63, n).astype(np.uint64), rng.choice(common, int(rng.integers(0, 20)))]))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.92], rng.integers(0, 1 << 63, int(rng.integers(0, 3))).astype(np.uint64)]))
+        c = len(np.intersect1d(x, y))
+        if c and 100 * c >= 80 * (len(x) + len(y) - c):
+            assert len(np.intersect1d(jaccard.window(x, table), jaccard.window(y, table)))
