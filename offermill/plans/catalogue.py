@@ -452,17 +452,27 @@ def panel_extraction(spark, sf_dir):
     return df.select("page_id", "price", "wattage", F.col("specs.panelType").alias("kind"), F.col("specs.efficiency").alias("efficiency"), F.col("specs.brand").alias("brand"), F.col("pricePerWatt").alias("per_watt"), half_up(F.col("confidence"), 3).alias("confidence"))
 
 
-@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Google' WHEN 1 THEN 'Yahoo' ELSE 'Mojeek' END AS engine, CAST(i AS BIGINT) AS ordinal, url || '/' || i AS url FROM pages, (SELECT unnest([0, 1, 2]) AS i) WHERE url NOT LIKE '%#%' AND url NOT LIKE '%?%'""")
-def result_links(spark, sf_dir):
+def _result_links(pages):
+    """Result pages whose links lead to the urls of pages, and the links found on them."""
     from ..operators.extract import links
 
     k, items = F.col("page_id") % 3, []
     for i in range(3):
         u = F.concat("url", F.lit(f"/{i}"))
         items.append(F.when(k == 0, F.concat(F.lit("<a href='/url?q="), urls.encoded(u), F.lit("&sa=1'>x</a>"))).when(k == 1, F.concat(F.lit("<a href='https://r.example/RU="), urls.encoded(u), F.lit("/RK=2'>x</a>"))).otherwise(F.concat(F.lit("<a class=title href='"), u, F.lit("'>x</a><a href='https://www.mojeek.com/about'>y</a>"))))
-    df = table(spark, sf_dir, "pages").filter("url NOT LIKE '%#%' AND url NOT LIKE '%?%'")
     engine = F.when(k == 0, "Google").when(k == 1, "Yahoo").otherwise("Mojeek")
-    return links(df.select("page_id", engine.alias("engine"), F.concat(*items).alias("html"))).select("page_id", "engine", "ordinal", "url")
+    return links(pages.select("page_id", engine.alias("engine"), F.concat(*items).alias("html"))).select("page_id", "engine", "ordinal", "url")
+
+
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Google' WHEN 1 THEN 'Yahoo' ELSE 'Mojeek' END AS engine, CAST(i AS BIGINT) AS ordinal, url || '/' || i AS url FROM pages, (SELECT unnest([0, 1, 2]) AS i) WHERE url NOT LIKE '%#%' AND url NOT LIKE '%?%'""")
+def result_links(spark, sf_dir):
+    """Only urls without query and fragment, as its SQL has them; result_links_whole takes all."""
+    return _result_links(table(spark, sf_dir, "pages").filter("url NOT LIKE '%#%' AND url NOT LIKE '%?%'"))
+
+
+@query()
+def result_links_whole(spark, sf_dir):
+    return _result_links(table(spark, sf_dir, "pages"))
 
 
 @query("""SELECT page_id, CAST(i AS BIGINT) AS ordinal, 'Panel mono ' || (page_id % 300 + i) || 'W' AS title, page_id % 900 + 100.25::DOUBLE AS price, 'EUR' AS currency, CAST(page_id % 300 + i AS BIGINT) AS wattage, 'https://shop.example/product/' || page_id || '-' || i AS url FROM pages, (SELECT unnest([0, 1]) AS i)""")
