@@ -94,10 +94,16 @@ def vendor_price_dedupe(spark, sf_dir):
 
 @query(f"WITH {sql.RANKED} SELECT ordinal, floor((avg(price_per_unit) OVER () - price_per_unit) / avg(price_per_unit) OVER () * 100 + 0.5) AS savings FROM priced WHERE price_per_unit < 10")
 def savings_vs_avg(spark, sf_dir):
+    """Only prices per unit under 10 and their mean, as its SQL has them; savings_vs_avg_whole takes all priced offers."""
     df = ranking.priced(ranking.verified(_coded(spark, sf_dir))).filter("price_per_unit < 10")
     return ranking.savings(df).select("ordinal", "savings")
 
 
+@query()
+def savings_vs_avg_whole(spark, sf_dir):
+    return ranking.savings(ranking.priced(ranking.verified(_coded(spark, sf_dir)))).select("ordinal", "savings")
+
+
 _PARTS = "p_partkey, p_name || ' ' || ['12.5 kg', '60 Capsules', '2 fl. oz', '3 veggie caps', '40 mgs', '500GRAMS pack', '7 scoops x', 'no size'][p_partkey % 8 + 1] AS t"
 
 

@@ -1,8 +1,12 @@
 """Queries that read their whole tables, against brute force in plain Python."""
 
+import math
 from collections import Counter
+from fractions import Fraction
 
 import __spark_entry__ as entry
+from offermill.operators import ranking
+from offermill.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,3 +16,12 @@ def test_result_links_of_all_pages(spark):
     assert any("?" in p.url for p in pages) and any("#" in p.url for p in pages)
     want = Counter((p.page_id, ["Google", "Yahoo", "Mojeek"][p.page_id % 3], i, f"{p.url}/{i}") for p in pages for i in range(3))
     assert Counter(tuple(r) for r in entry.queries()["result_links_whole"](spark, SF).collect()) == want
+
+
+def test_savings_against_the_mean_of_all_priced_offers(spark):
+    priced = {r.ordinal: Fraction(repr(r.price_per_unit)) for r in ranking.priced(ranking.verified(catalogue._coded(spark, SF))).select("ordinal", "price_per_unit").collect()}
+    mean = sum(priced.values()) / len(priced)
+    assert sum(p >= 10 for p in priced.values()) > len(priced) / 2
+    want = {k: math.floor((mean - p) / mean * 100 + Fraction(1, 2)) for k, p in priced.items()}
+    got = entry.queries()["savings_vs_avg_whole"](spark, SF).collect()
+    assert len(got) == len(want) and {r.ordinal: r.savings for r in got} == want
