@@ -407,7 +407,7 @@ def join(docs: DataFrame, percent: int = PERCENT, parts: int | None = None) -> t
         # a region too large for one task is joined by Spark, as are all with their leaders
         whole = region if low == 0 else region.filter("large")
         pivot = whole.filter((F.col("ord") >= low) & (F.col("ord") < low + width)).select("rid", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("ord").alias("po"), F.col("label").alias("pl"), F.col("d").alias("pd"))
-        like = (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent) & (F.col("label") != F.col("pl")) & (F.col("ord") > F.col("po"))
+        like = (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent) & (F.col("label") != F.col("pl")) & ((F.col("ord") > F.col("po")) | ((F.col("ord") == F.col("po")) & (F.col("node") > F.col("p"))))
         close = F.coalesce(F.abs(F.col("d") - F.col("pd")) <= radius, F.lit(True))
         swap = F.col("p") < F.col("node")
         pairs = whole.join(pivot, "rid").filter(like & close).select(

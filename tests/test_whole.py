@@ -1,10 +1,12 @@
 """Queries that read their whole tables, against brute force in plain Python."""
 
 import math
+import random
 from collections import Counter
 from fractions import Fraction
 
 import __spark_entry__ as entry
+from offermill.llm import jaccard
 from offermill.operators import ranking
 from offermill.plans import catalogue
 
@@ -25,3 +27,23 @@ def test_savings_against_the_mean_of_all_priced_offers(spark):
     want = {k: math.floor((mean - p) / mean * 100 + Fraction(1, 2)) for k, p in priced.items()}
     got = entry.queries()["savings_vs_avg_whole"](spark, SF).collect()
     assert len(got) == len(want) and {r.ordinal: r.savings for r in got} == want
+
+
+def test_jaccard_links_members_of_equal_order_in_large_regions(spark, monkeypatch):
+    rnd = random.Random(5)
+    some = lambda n: [f"w{rnd.randrange(1 << 40)}" for _ in range(n)]
+    frequent = some(20)
+    texts = []
+    for _ in range(150):  # two linked texts, and one linked with neither that is in all regions of theirs
+        passage = some(94)
+        texts += [passage + some(10), passage + some(10), passage + frequent]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    least = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                least[j] = min(least[j], least[i])
+    assert least == [i - (i % 3 == 1) for i in range(len(texts))]
+    monkeypatch.setattr(jaccard, "WHOLE", 2)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()} == dict(enumerate(least))
