@@ -13,6 +13,7 @@ count once for the template and are each extracted; whole pages are read, whatev
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -164,6 +165,11 @@ def match(page: str, reference: str) -> tuple[int, ...]:
     return tuple(out)
 
 
+def text_hash(text: str) -> int:
+    """64 bits that stand for a text of any length."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def slot_texts(page: Node, slots: dict[int, int], aligned: tuple[int, ...]) -> set[tuple[int, str]]:
     """The texts that stand in the slots of the reference."""
     found = set()
@@ -181,16 +187,16 @@ def slot_texts(page: Node, slots: dict[int, int], aligned: tuple[int, ...]) -> s
     return found
 
 
-def extract(html: str, reference: str | None = None, constants: frozenset[tuple[int, str]] = frozenset()) -> str:
-    """The article's blocks, joined by an empty line."""
+def extract(html: str, reference: str | None = None, constants: frozenset[tuple[int, int]] = frozenset()) -> str:
+    """The article's blocks, joined by an empty line. constants: slots and hashes of texts."""
     page = parse(html)
-    fixed: dict[int, set[str]] = {}
+    fixed: dict[int, set[int]] = {}
     slots, aligned = {}, ()
     if reference and constants:
         own, slots = outline(page)
         aligned = match(own, reference)
-        for slot, text in constants:
-            fixed.setdefault(slot, set()).add(text)
+        for slot, h in constants:
+            fixed.setdefault(slot, set()).add(h)
     root = article(page)
     out: list[str] = []
 
@@ -199,7 +205,7 @@ def extract(html: str, reference: str | None = None, constants: frozenset[tuple[
         own = sum(len(c) for c in n.children if isinstance(c, str))
         for c in n.children:
             if isinstance(c, str):
-                if c not in gone and (inside or n.link * 2 < own):
+                if not (gone and text_hash(c) in gone) and (inside or n.link * 2 < own):
                     out.append(c)
             elif not chrome(c, inside):
                 walk(c, inside)
@@ -213,7 +219,7 @@ def host(url):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """For each host with enough distinct pages: the reference's skeleton and the texts that are constant in its slots.
+    """For each host with enough distinct pages: the reference's skeleton and the hashes of the texts that are constant in its slots.
 
     Every page counts. Only a skeleton or a text's hash moves between tasks, and counts are added up before they move.
     """
@@ -233,19 +239,17 @@ def templates(pages: DataFrame) -> DataFrame:
             for h, d, r, v in zip(b.column("host").to_pylist(), b.column("digest").to_pylist(), b.column("reference").to_pylist(), views(b.column("html")), strict=True):
                 page = parse(str(v, "utf-8", "replace"))
                 own, slots = outline(page)
-                rows += ((h, d, s, t) for s, t in slot_texts(page, slots, match(own, r)) if len(t) <= 2000)
-                rows.append((h, d, -1, ""))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["host", "digest", "slot", "text"])
+                rows += ((h, d, s, text_hash(t)) for s, t in slot_texts(page, slots, match(own, r)))
+                rows.append((h, d, -1, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["host", "digest", "slot", "h"])
 
     met = meet(pages.select("host", "page_id", "html", F.xxhash64("html").alias("digest")), references).filter("reference IS NOT NULL")
-    seen = met.select("host", "digest", "reference", "html").mapInArrow(texts, "host string, digest long, slot int, text string")
-    hashed = seen.select("host", "slot", "digest", F.col("text"), F.xxhash64("text").alias("h"))
-    counts = hashed.select("host", "slot", "h", "digest", F.when(F.length("text") <= 400, F.col("text")).otherwise(F.substring("text", 1, 0)).alias("text")).distinct()
-    counts = counts.groupBy("host", "slot", "h").agg(F.count(F.lit(1)).alias("n"), F.max("text").alias("text"))
+    seen = met.select("host", "digest", "reference", "html").mapInArrow(texts, "host string, digest long, slot int, h long").distinct()
+    counts = seen.groupBy("host", "slot", "h").agg(F.count(F.lit(1)).alias("n"))
     counts = stored(counts.filter(F.col("n") >= LEAST_PAGES), "counts")
     total = counts.filter("slot = -1").select("host", F.col("n").alias("pages"))
-    fixed = counts.filter("slot >= 0 AND text <> ''").join(total, "host").filter(F.col("n") >= F.col("pages") * SHARE)
-    return references.join(fixed.groupBy("host").agg(F.collect_list(F.struct("slot", "text")).alias("constants")), "host")
+    fixed = counts.filter("slot >= 0").join(total, "host").filter(F.col("n") >= F.col("pages") * SHARE)
+    return references.join(fixed.groupBy("host").agg(F.collect_list(F.struct("slot", "h")).alias("constants")), "host")
 
 
 def meet(pages: DataFrame, by_host: DataFrame) -> DataFrame:
@@ -268,7 +272,7 @@ def main_text(pages: DataFrame) -> DataFrame:
         for b in slices(batches, "html"):
             out = []
             for v, r, c in zip(views(b.column("html")), b.column("reference").to_pylist(), b.column("constants").to_pylist(), strict=True):
-                out.append(extract(str(v, "utf-8", "replace"), r, frozenset((x["slot"], x["text"]) for x in c or ())))
+                out.append(extract(str(v, "utf-8", "replace"), r, frozenset((x["slot"], x["h"]) for x in c or ())))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

@@ -6,7 +6,7 @@ from collections import Counter
 from fractions import Fraction
 
 import __spark_entry__ as entry
-from offermill.llm import jaccard
+from offermill.llm import jaccard, wrapper
 from offermill.operators import ranking
 from offermill.plans import catalogue
 
@@ -47,3 +47,9 @@ def test_jaccard_links_members_of_equal_order_in_large_regions(spark, monkeypatc
     monkeypatch.setattr(jaccard, "WHOLE", 2)
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()} == dict(enumerate(least))
+
+
+def test_constant_texts_of_any_length_are_template(spark):
+    page = lambda i: f"<div><p>{'all rights of this text are kept ' * 15}</p><div>{'we use what we like ' * 300}</div><ul>Story {i} of a host</ul></div>"
+    df = spark.createDataFrame([(i, "http://h.example/a", page(i)) for i in range(8)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrapper.main_text(df).collect()} == {i: f"Story {i} of a host" for i in range(8)}
