@@ -1,8 +1,10 @@
 """Main text of pages by wrapper induction.
 
 The pages of a host come from a few templates. Each page's tree, with runs of like siblings as one node, is aligned with
-the tree of the host's first page by simple tree matching; so the blocks of all pages fall into the slots of one tree.
-A text that stands in the same slot of most of a host's distinct pages is template, a slot that varies is content. The
+trees of its host's layouts by simple tree matching; so the blocks of all pages fall into the slots of few trees. The
+layouts are the host's most frequent trees that are unlike each other; a page belongs to the likest one. Blocks of one
+element match, those with the same classes by preference. A text that stands in the same slot of most of a layout's
+distinct pages, or in the first layout's slot of most of the host's, is template, a slot that varies is content. The
 article's place follows from its element or, without one, from the slots that vary; what names itself as menu, header,
 footer, sidebar, notice, advert, form or comments is left out.
 
@@ -21,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +32,8 @@ from .dom import MUTE, Node, parse
 
 #: A text is template if so many distinct pages of a host have it in one slot, and this share of them.
 LEAST_PAGES, SHARE = 5, 0.5
+#: Layouts of a host, at most, and the trees from which they are chosen; trees at least so like each other are one layout.
+LAYOUTS, CANDIDATES, LIKE = 8, 32, 0.5
 #: Templates are broadcast up to so many bytes; beyond, pages meet them by host, each host dealt among salts.
 BROADCAST_BYTES, SALTS = 8 << 20, 32
 
@@ -119,19 +123,24 @@ def outline(page: Node) -> tuple[str, dict[int, int]]:
     return json.dumps(top), slots
 
 
-@lru_cache(20_000)
-def match(page: str, reference: str) -> tuple[int, ...]:
-    """Simple tree matching: for each node of the page's skeleton the reference's node, or -1; both in preorder."""
-    a, b = json.loads(page), json.loads(reference)
+def count(s: list) -> int:
+    return 1 + sum(count(c) for c in s[2])
 
-    def count(s: list) -> int:
-        return 1 + sum(count(c) for c in s[2])
 
+#: What two blocks of one element count, with and without the same classes.
+SAME, OTHER = 4, 1
+
+
+@lru_cache(20_000)
+def aligned(page: str, reference: str) -> tuple[float, tuple[int, ...]]:
+    """Simple tree matching: how like the skeletons are, from 0 to 1, and for each node of the page's the reference's node,
+    or -1; both in preorder."""
+    a, b = json.loads(page), json.loads(reference)
     memo: dict[tuple[int, int], tuple[int, list]] = {}
 
     def best(x: list, y: list) -> tuple[int, list]:
-        """How many nodes match, and which children go together."""
-        if x[0] != y[0]:
+        """How well nodes match, and which children go together."""
+        if x[0] != y[0] and x[0].split(".", 1)[0] != y[0].split(".", 1)[0]:
             return 0, []
         key = id(x), id(y)
         if key not in memo:
@@ -149,10 +158,11 @@ def match(page: str, reference: str) -> tuple[int, ...]:
                 else:
                     i, j = i - 1, j - 1
                     pairs.append((i, j))
-            memo[key] = 1 + w[m][n], pairs
+            memo[key] = (SAME if x[0] == y[0] else OTHER) + w[m][n], pairs
         return memo[key]
 
-    out = [-1] * count(a)
+    size = count(a)
+    out = [-1] * size
 
     def place(x: list, y: list, px: int, py: int) -> None:
         out[px] = py
@@ -160,9 +170,37 @@ def match(page: str, reference: str) -> tuple[int, ...]:
         for i, j in best(x, y)[1]:
             place(x[2][i], y[2][j], int(xs[i]), int(ys[j]))
 
-    if a[0] == b[0]:
+    score = best(a, b)[0]
+    if score:
         place(a, b, 0, 0)
-    return tuple(out)
+    return 2 * score / (SAME * (size + count(b))), tuple(out)
+
+
+def match(page: str, reference: str) -> tuple[int, ...]:
+    return aligned(page, reference)[1]
+
+
+def layouts(skeletons: list[str]) -> list[str]:
+    """Of skeletons, the first to come first, those unlike all before; one without blocks only if there is no other."""
+    out: list[str] = []
+    for s in [x for x in skeletons if json.loads(x)[2]] or skeletons[:1]:
+        if len(out) < LAYOUTS and all(aligned(s, o)[0] < LIKE for o in out):
+            out.append(s)
+    return out
+
+
+@lru_cache(20_000)
+def layout(page: str, references: tuple[str, ...]) -> int:
+    """The likest reference."""
+    if page in references:
+        return references.index(page)
+    return max(range(len(references)), key=lambda k: (aligned(page, references[k])[0], -k))
+
+
+def alignments(own: str, references: tuple[str, ...]) -> list[tuple[int, tuple[int, ...]]]:
+    """The page's layout and its slots there; for a page of another layout than the first also its slots in the first, as -1."""
+    k = layout(own, references)
+    return [(k, match(own, references[k])), *([(-1, match(own, references[0]))] if k else [])]
 
 
 def text_hash(text: str) -> int:
@@ -170,12 +208,12 @@ def text_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def slot_texts(page: Node, slots: dict[int, int], aligned: tuple[int, ...]) -> set[tuple[int, str]]:
+def slot_texts(page: Node, slots: dict[int, int], places: tuple[int, ...]) -> set[tuple[int, str]]:
     """The texts that stand in the slots of the reference."""
     found = set()
 
     def walk(n: Node) -> None:
-        slot = aligned[slots[id(n)]]
+        slot = places[slots[id(n)]]
         for c in n.children:
             if isinstance(c, str):
                 if slot >= 0:
@@ -187,21 +225,25 @@ def slot_texts(page: Node, slots: dict[int, int], aligned: tuple[int, ...]) -> s
     return found
 
 
-def extract(html: str, reference: str | None = None, constants: frozenset[tuple[int, int]] = frozenset()) -> str:
-    """The article's blocks, joined by an empty line. constants: slots and hashes of texts."""
+def extract(html: str, references: tuple[str, ...] = (), constants: frozenset[tuple[int, int, int]] = frozenset()) -> str:
+    """The article's blocks, joined by an empty line. constants: layouts (-1: the first one's slots, for pages of any), slots
+    and hashes of texts."""
     page = parse(html)
-    fixed: dict[int, set[int]] = {}
-    slots, aligned = {}, ()
-    if reference and constants:
+    fixed: dict[tuple[int, int], set[int]] = {}
+    slots: dict[int, int] = {}
+    places: list[tuple[int, tuple[int, ...]]] = []
+    if references and constants:
         own, slots = outline(page)
-        aligned = match(own, reference)
-        for slot, h in constants:
-            fixed.setdefault(slot, set()).add(h)
+        places = alignments(own, references)
+        if places[0][0] == 0:
+            places.append((-1, places[0][1]))
+        for k, slot, h in constants:
+            fixed.setdefault((k, slot), set()).add(h)
     root = article(page)
     out: list[str] = []
 
     def walk(n: Node, inside: bool) -> None:
-        gone = fixed.get(aligned[slots[id(n)]], ()) if fixed and id(n) in slots else ()
+        gone = set().union(*(fixed.get((k, to[slots[id(n)]]), ()) for k, to in places)) if fixed and id(n) in slots else ()
         own = sum(len(c) for c in n.children if isinstance(c, str))
         for c in n.children:
             if isinstance(c, str):
@@ -219,37 +261,60 @@ def host(url):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """For each host with enough distinct pages: the reference's skeleton and the hashes of the texts that are constant in its slots.
+    """For each host with enough pages: its layouts' skeletons and the hashes of the texts that are constant in their slots.
 
-    Every page counts. Only a skeleton or a text's hash moves between tasks, and counts are added up before they move.
+    Every page counts. Only hashes move between tasks, and the skeletons of at most CANDIDATES pages a host; counts are added
+    up before they move.
     """
 
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "html"):
+            s = [text_hash(outline(parse(str(v, "utf-8", "replace")))[0]) for v in views(b.column("html"))]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("page_id"), pa.array(s, pa.int64())], names=["host", "page_id", "shape"])
+
     def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
             s = [outline(parse(str(v, "utf-8", "replace")))[0] for v in views(b.column("html"))]
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("page_id"), pa.array(s, pa.string())], names=["host", "page_id", "reference"])
-
-    first = pages.groupBy("host").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_PAGES)
-    seeds = pages.join(first.select("host", "page_id"), ["host", "page_id"], "left_semi").dropDuplicates(["host", "page_id"])
-    references = stored(seeds.select("host", "page_id", "html").mapInArrow(outlines, "host string, page_id long, reference string").select("host", "reference"), "references")
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("shape"), b.column("n"), pa.array(s, pa.string())], names=["host", "shape", "n", "skeleton"])
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [layouts(x) for x in b.column("skeletons").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(own, pa.list_(pa.string()))], names=["host", "references"])
+
+    enough = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_PAGES).select("host")
+    some = pages.filter("html <> ''").select("host", "page_id", "html").mapInArrow(hashes, "host string, page_id long, shape long")
+    shapes = some.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("page_id")).join(enough, "host", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), F.xxhash64("shape"), "shape"))
+    seeds = stored(shapes.withColumn("nth", nth).filter(F.col("nth") <= CANDIDATES).drop("nth"), "shapes")
+    few = F.broadcast(seeds) if seeds.count() * 64 <= BROADCAST_BYTES else seeds
+    met = pages.filter("html <> ''").select("host", "page_id", "html").join(few, ["host", "page_id"])
+    skeletons = met.mapInArrow(outlines, "host string, shape long, n long, skeleton string").dropDuplicates(["host", "skeleton"])
+    order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), F.xxhash64("shape").alias("lot"), "skeleton")))
+    by_host = skeletons.groupBy("host").agg(order.alias("s")).select("host", F.col("s.skeleton").alias("skeletons"))
+    references = stored(by_host.mapInArrow(chosen, "host string, references array<string>"), "references")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
             rows: list[tuple] = []
-            for h, d, r, v in zip(b.column("host").to_pylist(), b.column("digest").to_pylist(), b.column("reference").to_pylist(), views(b.column("html")), strict=True):
+            for h, d, r, v in zip(b.column("host").to_pylist(), b.column("digest").to_pylist(), b.column("references").to_pylist(), views(b.column("html")), strict=True):
                 page = parse(str(v, "utf-8", "replace"))
                 own, slots = outline(page)
-                rows += ((h, d, s, text_hash(t)) for s, t in slot_texts(page, slots, match(own, r)))
-                rows.append((h, d, -1, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["host", "digest", "slot", "h"])
-
-    met = meet(pages.select("host", "page_id", "html", F.xxhash64("html").alias("digest")), references).filter("reference IS NOT NULL")
-    seen = met.select("host", "digest", "reference", "html").mapInArrow(texts, "host string, digest long, slot int, h long").distinct()
-    counts = seen.groupBy("host", "slot", "h").agg(F.count(F.lit(1)).alias("n"))
+                for k, places in alignments(own, tuple(r)):
+                    rows += ((h, d, max(k, 0), k >= 0, s, text_hash(t)) for s, t in slot_texts(page, slots, places))
+                    rows.append((h, d, max(k, 0), k >= 0, -1, 0))
+            types = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["host", "digest", "layout", "own", "slot", "h"])
+
+    met = meet(pages.select("host", "page_id", "html", F.xxhash64("html").alias("digest")), references).filter("references IS NOT NULL")
+    seen = met.select("host", "digest", "references", "html").mapInArrow(texts, "host string, digest long, layout int, own boolean, slot int, h long").distinct()
+    counts = seen.groupBy("host", "layout", "slot", "h").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("n_own"))
     counts = stored(counts.filter(F.col("n") >= LEAST_PAGES), "counts")
-    total = counts.filter("slot = -1").select("host", F.col("n").alias("pages"))
-    fixed = counts.filter("slot >= 0").join(total, "host").filter(F.col("n") >= F.col("pages") * SHARE)
-    return references.join(fixed.groupBy("host").agg(F.collect_list(F.struct("slot", "h")).alias("constants")), "host")
+    total = counts.filter("slot = -1").select("host", "layout", F.col("n").alias("pages"), F.col("n_own").alias("pages_own"))
+    both = counts.filter("slot >= 0").join(total, ["host", "layout"])
+    fixed = both.filter((F.col("n_own") >= LEAST_PAGES) & (F.col("n_own") >= F.col("pages_own") * SHARE)).select("host", "layout", "slot", "h")
+    fixed = fixed.unionByName(both.filter((F.col("layout") == 0) & (F.col("n") >= F.col("pages") * SHARE)).select("host", F.lit(-1).alias("layout"), "slot", "h"))
+    return references.join(fixed.groupBy("host").agg(F.collect_list(F.struct("layout", "slot", "h")).alias("constants")), "host")
 
 
 def meet(pages: DataFrame, by_host: DataFrame) -> DataFrame:
@@ -271,9 +336,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
             out = []
-            for v, r, c in zip(views(b.column("html")), b.column("reference").to_pylist(), b.column("constants").to_pylist(), strict=True):
-                out.append(extract(str(v, "utf-8", "replace"), r, frozenset((x["slot"], x["h"]) for x in c or ())))
+            for v, r, c in zip(views(b.column("html")), b.column("references").to_pylist(), b.column("constants").to_pylist(), strict=True):
+                out.append(extract(str(v, "utf-8", "replace"), tuple(r or ()), frozenset((x["layout"], x["slot"], x["h"]) for x in c or ())))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return meet(rows, templates(rows)).select("page_id", "url", "html", "reference", "constants").mapInArrow(run, schema)
+    return meet(rows, templates(rows)).select("page_id", "url", "html", "references", "constants").mapInArrow(run, schema)

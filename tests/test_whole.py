@@ -53,3 +53,12 @@ def test_constant_texts_of_any_length_are_template(spark):
     page = lambda i: f"<div><p>{'all rights of this text are kept ' * 15}</p><div>{'we use what we like ' * 300}</div><ul>Story {i} of a host</ul></div>"
     df = spark.createDataFrame([(i, "http://h.example/a", page(i)) for i in range(8)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in wrapper.main_text(df).collect()} == {i: f"Story {i} of a host" for i in range(8)}
+
+
+def test_pages_are_aligned_with_their_own_layout(spark):
+    one = lambda i: f"<body class=post-{i}><div><p>We keep what we like</p><ul>Story {i} of one</ul></div></body>"
+    two = lambda i: f"<body><table><tr><td><h2>Read this one as well</h2><h4>Story {i} of two</h4></td></tr></table><section><h3>Tell all about it</h3></section></body>"
+    rows = [(0, None), (1, ""), *((i, one(i)) for i in range(2, 22)), *((i, two(i)) for i in range(22, 30))]
+    df = spark.createDataFrame([(i, "http://h.example/a", h) for i, h in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.main_text(df).collect()}
+    assert got == {0: "", 1: ""} | {i: f"Story {i} of one" for i in range(2, 22)} | {i: f"Story {i} of two" for i in range(22, 30)}
