@@ -5,8 +5,10 @@ import random
 from collections import Counter
 from fractions import Fraction
 
+import pytest
+
 import __spark_entry__ as entry
-from offermill.llm import jaccard, wrapper
+from offermill.llm import jaccard, warc, wrapper
 from offermill.operators import ranking
 from offermill.plans import catalogue
 
@@ -62,3 +64,17 @@ def test_pages_are_aligned_with_their_own_layout(spark):
     df = spark.createDataFrame([(i, "http://h.example/a", h) for i, h in rows], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in wrapper.main_text(df).collect()}
     assert got == {0: "", 1: ""} | {i: f"Story {i} of one" for i in range(2, 22)} | {i: f"Story {i} of two" for i in range(22, 30)}
+
+
+def test_warc_keeps_pages_with_long_urls(spark):
+    urls = ["http://h.example/" + "a" * 70_000, "http://h.example/" + "é" * 30_000, "http://h.example/"]
+    df = spark.createDataFrame([(i, u, "page") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert {r.page_id: r.url for r in warc.round_trip(df).collect()} == dict(enumerate(urls))
+
+
+def test_a_gap_in_a_fresh_archive_is_an_error(spark, monkeypatch):
+    read = warc.read
+    gap = "'f' AS file, 'gap' AS kind, 0L AS start, 1L AS stop, 'broken' AS reason"
+    monkeypatch.setattr(warc, "read", lambda s, *a, **k: read(s, *a, **k).unionByName(s.range(1).selectExpr(*gap.split(", ")), allowMissingColumns=True))
+    with pytest.raises(Exception, match="gap in a fresh archive: broken"):
+        warc.round_trip(spark.createDataFrame([(1, "u", "page")], "page_id long, url string, html string")).collect()
