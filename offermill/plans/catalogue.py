@@ -168,6 +168,13 @@ def upc_to_ean_join(spark, sf_dir):
     return df.withColumn("ean", barcodes.as_ean(F.col("primaryUpc"))).join(other, "ean").select("ordinal", "other")
 
 
+@query()
+def upc_to_ean_join_whole(spark, sf_dir):
+    df = offers(spark, sf_dir)
+    other = df.select(F.col("partkey").alias("other"), F.concat(F.lit("0"), "primaryUpc").alias("ean")).distinct()
+    return df.withColumn("ean", barcodes.as_ean(F.col("primaryUpc"))).join(other, "ean").select("ordinal", "other")
+
+
 @query(r"SELECT doc_id, substr(trim(regexp_replace(regexp_replace(text, '[\s\x{00A0}]+', ' ', 'g'), '[^A-Za-z0-9_\s\-.,()]', '', 'g')), 1, 200) AS title FROM documents")
 def clean_titles(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", parse.title(F.col("text")).alias("title"))
@@ -247,6 +254,11 @@ def query_dedupe(spark, sf_dir):
     return frontier.distinct_queries(df)
 
 
+@query()
+def query_dedupe_whole(spark, sf_dir):
+    return frontier.distinct_queries(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.col("text").alias("query")))
+
+
 @query("WITH t AS (SELECT unnest(" + sql.templates("supplements", ["US", "UK", "DE"]) + ") AS t, unnest(range(0, " + str(len(frontier.category_templates("supplements", ["US", "UK", "DE"]))) + ")) AS ordinal) SELECT p_partkey, CAST(ordinal AS INT) AS ordinal, replace(t, '{}', trim(p_name)) AS query FROM part, t")
 def query_generation(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("product"))
@@ -428,6 +440,15 @@ def page_titles(spark, sf_dir):
     return found.select("page_id", title(found).alias("title")).filter("title IS NOT NULL")
 
 
+@query()
+def page_titles_whole(spark, sf_dir):
+    from ..operators.extract import title
+    from ..sources.html import page_facts
+
+    found = page_facts(table(spark, sf_dir, "pages"))
+    return found.select("page_id", title(found).alias("title")).filter("title IS NOT NULL")
+
+
 def _product_pages(spark, sf_dir):
     """Pages with what a shop adds: a price that is now and then reduced, a size, a code, shipping and a coupon."""
     n = F.col("page_id")

@@ -1,7 +1,9 @@
 """Queries that read their whole tables, against brute force in plain Python."""
 
+import html
 import math
 import random
+import re
 from collections import Counter
 from fractions import Fraction
 
@@ -78,3 +80,29 @@ def test_a_gap_in_a_fresh_archive_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(warc, "read", lambda s, *a, **k: read(s, *a, **k).unionByName(s.range(1).selectExpr(*gap.split(", ")), allowMissingColumns=True))
     with pytest.raises(Exception, match="gap in a fresh archive: broken"):
         warc.round_trip(spark.createDataFrame([(1, "u", "page")], "page_id long, url string, html string")).collect()
+
+
+def test_queries_are_told_apart_by_their_whole_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    first = {}
+    for d in sorted(docs, key=lambda d: d.doc_id):
+        words = re.split(r"\s+", re.sub(r"[^a-z0-9_\s]", "", d.text.lower(), flags=re.A), flags=re.A)
+        first.setdefault(" ".join(sorted(w for w in words if len(w) > 2)), (d.doc_id, d.text))
+    assert any(len(t) > 24 for _, t in first.values())
+    assert {tuple(r) for r in entry.queries()["query_dedupe_whole"](spark, SF).collect()} == set(first.values())
+
+
+def test_all_parts_meet_by_ean(spark):
+    rows = catalogue.offers(spark, SF).select("ordinal", "partkey", "primaryUpc").collect()
+    parts = {}
+    for r in rows:
+        parts.setdefault(r.primaryUpc, set()).add(r.partkey)
+    want = Counter((r.ordinal, p) for r in rows for p in parts[r.primaryUpc])
+    assert Counter(tuple(r) for r in entry.queries()["upc_to_ean_join_whole"](spark, SF).collect()) == want
+
+
+def test_titles_cut_in_a_character_reference(spark, tmp_path):
+    heads = ["Salt &am", "Salt &amp", "Oil &quo", "Oil &quot", "Tea &a", "Tea &amp; more"]
+    spark.createDataFrame([(i, "http://h.example/", f"<html><body><h1>{h}</h1></body></html>") for i, h in enumerate(heads)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = {i: re.sub(r"[^A-Za-z0-9_\s\-.,()]", "", html.unescape(h)).strip() for i, h in enumerate(heads)}
+    assert dict(map(tuple, entry.queries()["page_titles_whole"](spark, str(tmp_path)).collect())) == want
