@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from offermill.llm.common import scratch, table
 from offermill.llm.decontaminate import decontaminate
 from offermill.llm.jaccard import keep_one
-from offermill.llm.langid import identify
+from offermill.llm.langid import identify, train
 from offermill.llm.pack import pack_documents
 from offermill.llm.suffixes import deduplicate
 
@@ -17,8 +17,11 @@ LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those without a letter go."""
-    found = identify(docs).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    """Documents in a known language; those without a letter go. If no row is labelled, no language is known and all stay."""
+    network = train(docs)
+    if not network.labels:
+        return docs
+    found = identify(docs, network).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return found.select(*docs.columns)
 
 

@@ -24,7 +24,7 @@ HIDDEN = 12
 #: Bytes that are read in one stretch; the states start anew at its ends.
 STRETCH = 192
 #: The training sample: documents of each language, at most, and characters of each.
-SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS, SAMPLE_LANGUAGES = 400, 480, 64
+SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS = 400, 480
 WINDOW, BATCH, STEPS, RATE = 48, 192, 160, 0.02
 
 #: Bytes of letters: a position of any other is not pooled.
@@ -205,11 +205,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     """A network for the languages of the documents that aren't held out.
 
     Learns from SAMPLE_DOCUMENTS documents of each language at most, chosen by a hash, and of each a stretch of
-    SAMPLE_CHARACTERS at a place chosen by a hash; that bounds what the driver gets. Of more than SAMPLE_LANGUAGES
-    languages the most frequent are learned.
+    SAMPLE_CHARACTERS at a place chosen by a hash; that bounds what the driver gets of each. All languages are
+    learned.
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc_id))
-    counts = sorted(((r[1], r[0]) for r in rows.groupBy(lang).count().collect()), key=lambda x: (-x[0], x[1]))[:SAMPLE_LANGUAGES]
+    counts = sorted(((r[1], r[0]) for r in rows.groupBy(lang).count().collect()), key=lambda x: (-x[0], x[1]))
     if not counts:
         return Network([])
     chance = F.create_map(*(F.lit(v) for n, k in counts for v in (k, min(1.0, 1.5 * SAMPLE_DOCUMENTS / n))))

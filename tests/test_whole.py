@@ -10,7 +10,8 @@ from fractions import Fraction
 import pytest
 
 import __spark_entry__ as entry
-from offermill.llm import jaccard, warc, wrapper
+import corpus_pipeline
+from offermill.llm import jaccard, langid, warc, wrapper
 from offermill.operators import ranking
 from offermill.plans import catalogue
 
@@ -106,3 +107,14 @@ def test_titles_cut_in_a_character_reference(spark, tmp_path):
     spark.createDataFrame([(i, "http://h.example/", f"<html><body><h1>{h}</h1></body></html>") for i, h in enumerate(heads)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     want = {i: re.sub(r"[^A-Za-z0-9_\s\-.,()]", "", html.unescape(h)).strip() for i, h in enumerate(heads)}
     assert dict(map(tuple, entry.queries()["page_titles_whole"](spark, str(tmp_path)).collect())) == want
+
+
+def test_all_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid.Network, "fit", lambda self, texts, labels: self)
+    df = spark.createDataFrame([(i, f"some text {i}", f"l{i % 70:02}") for i in range(700)], "doc_id long, text string, lang string")
+    assert langid.train(df).labels == [f"l{i:02}" for i in range(70)]
+
+
+def test_the_pipeline_keeps_documents_where_no_language_is_known(spark):
+    df = spark.createDataFrame([(1, "some text", None), (2, "more", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, df, SF).collect()) == [1, 2]
