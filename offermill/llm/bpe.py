@@ -11,19 +11,21 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from array import array
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
 
-from .common import Rolling, mix
+from .common import rows_of, strings
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 OTHER, LETTER, NUMBER, BLANK, RARE = range(5)
 #: Code points from here on go to the library with their whole text.
 _FAR = 0x20000
-#: Words that a process remembers, at most; then it starts anew.
-REMEMBERED = 2_000_000
+#: Words of a generation that a process remembers, and their bytes, at most; it remembers two.
+REMEMBERED, REMEMBERED_BYTES = 250_000, 8 << 20
 #: Text bytes that are encoded in one step.
 ENCODE_BYTES = 1 << 20
 
@@ -84,33 +86,8 @@ def word_starts(points: np.ndarray, kind: np.ndarray, fresh: np.ndarray) -> np.n
     return np.flatnonzero(start)
 
 
-class Words:
-    """Distinct words by hash, and one entry of values for each, kept sorted."""
-
-    def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
-        self.known, self.entry, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), 0
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The entry of each, -1 where unknown."""
-        if not len(self.known):
-            return np.full(len(hashes), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, self.entry[at], -1)
-
-    def add(self, hashes: np.ndarray) -> np.ndarray:
-        """New entries, for sorted distinct hashes that are unknown."""
-        entry = np.arange(self.size, self.size + len(hashes))
-        at = np.searchsorted(self.known, hashes)
-        self.known, self.entry = np.insert(self.known, at, hashes), np.insert(self.entry, at, entry)
-        self.size += len(hashes)
-        return entry
-
-
 class Batch:
-    """The words of some texts: where each starts, and its distinct number."""
+    """The words of some texts: where each starts, the distinct ones, and which of them it is. Words are told apart by their bytes."""
 
     def __init__(self, texts: list[str], specials: list[str]):
         self.texts = texts
@@ -135,7 +112,8 @@ class Batch:
         self.slow = np.flatnonzero(slow).tolist()
         if not n:
             self.start = self.stop = np.empty(0, np.int64)
-            self.hashes, self.first, self.which = np.empty(0, np.uint64), self.start, self.start
+            self.distinct: list[bytes] = []
+            self.which = self.start
             self.bounds = np.zeros(len(texts) + 1, np.int64)
             return
         fresh = np.zeros(n + 1, bool)
@@ -143,18 +121,41 @@ class Batch:
         fresh = fresh[:n]
         self.start = word_starts(points, kind, fresh)
         self.stop = np.append(self.start[1:], n)
-        Rolling.grow(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        x = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        x *= Rolling.power[:n]
-        np.cumsum(x, out=sums[1:])
-        h = mix((sums[self.stop] - sums[self.start]) * Rolling.inverse[self.start] + (self.stop - self.start).astype(np.uint64))
-        self.hashes, self.first, self.which = np.unique(h, return_index=True, return_inverse=True)
+        width = np.ones(n, np.int64)
+        for least in (0x80, 0x800, 0x10000):
+            width += points >= least
+        at = np.concatenate([[0], np.cumsum(width)])
+        words = rows_of(self.joined.encode("utf-8", "surrogatepass"), at[np.append(self.start, n)]).dictionary_encode()
+        self.distinct = strings(words.dictionary)
+        self.which = words.indices.to_numpy().astype(np.int64)
         self.bounds = np.append(np.searchsorted(self.start, self.begins), len(self.start))
 
-    def strings(self, distinct: np.ndarray) -> list[str]:
-        at = self.first[distinct]
-        return [self.joined[a:b] for a, b in zip(self.start[at].tolist(), self.stop[at].tolist(), strict=True)]
+
+class Memory:
+    """What is known of words, by their bytes. When a generation is full, words not asked for since the one before are forgotten."""
+
+    def __init__(self):
+        self.young: dict[bytes, object] = {}
+        self.old: dict[bytes, object] = {}
+        self.held = 0
+
+    def find(self, words: list[bytes], make: Callable[[list[bytes]], Iterable]) -> list:
+        """What is known of each word; make gives it for those that are new."""
+        young, old = self.young, self.old
+        out = [young.get(w) for w in words]
+        new = []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            x = out[i] = old.get(words[i])
+            if x is None:
+                new.append(i)
+            else:
+                young[words[i]] = x
+        for i, x in zip(new, make([words[i] for i in new]) if new else (), strict=True):
+            out[i] = young[words[i]] = x
+            self.held += len(words[i])
+        if len(young) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self.old, self.young, self.held = young, {}, 0
+        return out
 
 
 class Encoder:
@@ -169,45 +170,23 @@ class Encoder:
         self.library.no_truncation()
         with open(path, encoding="utf-8") as f:
             self.specials = [t["content"] for t in json.load(f).get("added_tokens") or []]
-        self.forget()
-
-    def encode_word(self, word: str) -> list[int]:
-        """By the library's model alone: it takes a word as the printable characters that stand for its bytes."""
-        return [t.id for t in self.model.tokenize(word.encode("utf-8", "replace").decode("latin-1").translate(PRINTABLE))]
-
-    def forget(self) -> None:
-        self.words = Words()
-        self.at, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-
-    def learn(self, batch: Batch) -> np.ndarray:
-        """The entry of each distinct word of the batch."""
-        entry = self.words.find(batch.hashes)
-        new = np.flatnonzero(entry < 0)
-        if len(new):
-            if self.words.size + len(new) > REMEMBERED and self.words.size:
-                self.forget()
-                return self.learn(batch)
-            ids = [self.encode_word(w) for w in batch.strings(new)]
-            count = np.array([len(i) for i in ids], np.int64)
-            own = np.fromiter((x for i in ids for x in i), np.uint32, int(count.sum()))
-            while self.used + len(own) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            self.flat[self.used : self.used + len(own)] = own
-            self.at = np.concatenate([self.at, self.used + np.cumsum(count) - count])
-            self.count = np.concatenate([self.count, count])
-            self.used += len(own)
-            entry[new] = self.words.add(batch.hashes[new])
-        return entry
+        self.memory = Memory()
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """By the library's model alone: it takes a word as the printable characters that stand for its bytes. Ids of four bytes."""
+        tokenize = self.model.tokenize
+        return [array("I", [t.id for t in tokenize(w.decode("latin-1").translate(PRINTABLE))]).tobytes() for w in words]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's begin, with the end."""
         batch = Batch(texts, self.specials)
-        entry = self.learn(batch)[batch.which] if len(batch.which) else np.empty(0, np.int64)
-        count = self.count[entry]
+        own = self.memory.find(batch.distinct, self.encode_words) if batch.distinct else []
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat, at = np.frombuffer(b"".join(own), np.uint32), np.cumsum(size) - size
+        count, at = size[batch.which], at[batch.which]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.at[entry] - ends + count, count) + np.arange(total)]
+        ids = flat[np.repeat(at - ends + count, count) + np.arange(total)]
         offsets = np.concatenate([[0], ends])[batch.bounds]
         if batch.slow:
             parts = [ids[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,14 +18,35 @@ from pyspark.sql import functions as F
 STEP_BYTES = 4 << 20
 
 
+#: A key with more than one in so many of the rows is hot: so fewer than so many keys are.
+SPREAD = 1000
+
+
+pa.set_memory_pool(pa.system_memory_pool())
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD, which else follows the largest block that was freed
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
+
+def give_back() -> None:
+    """Workers outlive tasks, so what a task freed goes back to the system."""
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one that the cluster names; a temporary one only where none is named."""
+    """A new folder under the shared one that the cluster names; a temporary one only in a local session that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="offermill-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -51,6 +74,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = STEP_BYT
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def views(column: pa.Array) -> list[memoryview]:
@@ -80,8 +104,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def digests(values: Iterable[bytes | memoryview]) -> np.ndarray:
+    """128 bits that stand for each value, as two numbers a row."""
+    return np.frombuffer(b"".join([hashlib.blake2b(v, digest_size=16).digest() for v in values]), np.uint64).reshape(-1, 2)
+
+
 class Rolling:
-    """Polynomial hashes of any substring from prefix sums modulo 2**64; equal strings have equal hashes anywhere."""
+    """Polynomial hashes of any substring from prefix sums modulo 2**64; equal strings have equal hashes anywhere.
+
+    Unlike strings can be made that share such a hash, so it chooses places and candidates but never tells identity.
+    """
 
     BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse
     INVERSE = pow(BASE, -1, 1 << 64)
@@ -100,11 +132,10 @@ class Rolling:
                     setattr(cls, name, np.cumprod(x))
 
     def __init__(self, values: np.ndarray):
-        """values: uint8 bytes, or uint64 numbers that stand for symbols."""
-        n = len(values)
+        n, self.data = len(values), values
         self.grow(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        x = self.BYTES[values] if values.dtype == np.uint8 else mix(values + np.uint64(1))
+        x = self.BYTES[values]
         np.multiply(x, self.power[:n], out=x)
         np.cumsum(x, out=self.sums[1:])
 
@@ -122,11 +153,36 @@ class Rolling:
         return mix(x)
 
 
+def rows_of(data: bytes, offsets: np.ndarray) -> pa.Array:
+    """The strings between neighbouring offsets, without copying."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)])
+
+
+def strings(column: pa.Array) -> list[bytes]:
+    """The values of an array that rows_of or its dictionary made."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1].tolist()
+    whole = data.to_pybytes() if data is not None else b""
+    return [whole[a:b] for a, b in zip(at, at[1:])]  # noqa: B905, RUF007
+
+
+def dealt(rows: DataFrame, values: DataFrame, key: str, lot: list[str]) -> DataFrame:
+    """rows left-joined by key with values, a stored table of one row a key and _n, the rows that have it.
+
+    Keys with more than one in SPREAD of all rows are dealt among as many salts as they are such parts, by a hash of the
+    columns of lot; only those, fewer than SPREAD, are broadcast, to tell how many salts a row's key has.
+    """
+    total = values.agg(F.sum("_n")).first()[0] or 0
+    share = max(1, total // SPREAD)
+    salts = F.when(F.col("_n") > share, F.ceil(F.col("_n") / share)).otherwise(1).cast("int")
+    values = values.withColumn("_salts", salts)
+    hot = F.broadcast(values.filter("_salts > 1").select(key, "_salts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*lot), F.col("_salts")).cast("int"), F.lit(0))
+    spread = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts", "_n")
+    return rows.join(hot, key, "left").withColumn("_salt", salt).drop("_salts").join(spread, [key, "_salt"], "left").drop("_salt")
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """df without columns that an operator is about to add."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
-
-
-def empty_text(name: str = "text"):
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -21,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bpe import ENCODE_BYTES, PRINTABLE, REMEMBERED, Batch, Encoder, Words, decoded, encoder, vocabulary
-from .common import Rolling, lengths, slices, views, without
+from .bpe import ENCODE_BYTES, PRINTABLE, Batch, Encoder, Memory, decoded, encoder, vocabulary
+from .common import Rolling, lengths, mix, slices, views, without
 
 #: Words of more bytes than this have a table each.
 SHORT = 48
+#: Places of a long word whose candidates are held at a time.
+CHUNK = 4096
+#: Pairs of tokens of which a process remembers whether they follow each other, at most, as a power of two.
+PAIRS = 20
 
 
 class PrefixTables:
@@ -37,41 +41,47 @@ class PrefixTables:
         self.tokens = tokens
         self.spelt = {i: t.decode("latin-1").translate(PRINTABLE) for i, t in tokens.items()}
         self.longest = max(map(len, tokens.values()))
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in sorted({len(t) for t in tokens.values()}):
             own = [(i, t) for i, t in tokens.items() if len(t) == n]
-            flat = Rolling(np.frombuffer(b"".join(t for _, t in own), np.uint8))
+            spelt = np.frombuffer(b"".join(t for _, t in own), np.uint8).reshape(-1, n)
             at = np.arange(len(own)) * n
-            h, ids = flat.of(at, at + n), np.array([i for i, _ in own], np.int64)
+            h, ids = Rolling(spelt.ravel()).of(at, at + n), np.array([i for i, _ in own], np.int64)
             order = np.argsort(h)
-            self.by_length[n] = h[order], ids[order]
-        self.pairs, self.valid = Words(), np.empty(0, bool)
-        self.forget()
-
-    def forget(self) -> None:
-        self.words, self.totals = Words(), np.empty(0, np.int64)
+            if (np.diff(h[order]) == 0).any():
+                raise ValueError("two tokens share a hash")
+            self.by_length[n] = h[order], ids[order], spelt[order]
+        self.pairs, self.valid = np.zeros(1 << PAIRS, np.uint64), np.zeros(1 << PAIRS, bool)
+        self.memory = Memory()
 
     def follows(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether each right token can follow its left one; left is -1 at a word's start."""
-        keys, inverse = np.unique(((left + 1).astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64), return_inverse=True)
-        entry = self.pairs.find(keys)
-        new = np.flatnonzero(entry < 0)
+        keys = ((left + 2).astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+        place = (mix(keys) >> np.uint64(64 - PAIRS)).astype(np.int64)
+        out = self.valid[place]
+        new = np.flatnonzero(self.pairs[place] != keys)
         if len(new):
-            tokenize, out = self.encoder.model.tokenize, []
-            for k in keys[new].tolist():
-                a, b = (k >> 32) - 1, k & 0xFFFFFFFF
+            tokenize, found = self.encoder.model.tokenize, {}
+            for k in np.unique(keys[new]).tolist():
+                a, b = (k >> 32) - 2, k & 0xFFFFFFFF
                 got = [t.id for t in tokenize((self.spelt[a] if a >= 0 else "") + self.spelt[b])]
-                out.append(got == ([a, b] if a >= 0 else [b]))
-            self.valid = np.concatenate([self.valid, np.array(out, bool)])
-            entry[new] = self.pairs.add(keys[new])
-        return self.valid[entry][inverse]
+                found[k] = got == ([a, b] if a >= 0 else [b])
+            out[new] = [found[k] for k in keys[new].tolist()]
+            # one pair for each place, in the stead of that which was there
+            one = new[np.unique(place[new], return_index=True)[1]]
+            self.pairs[place[one]], self.valid[place[one]] = keys[one], out[one]
+        return out
 
     def _candidates(self, hashes: Rolling, start: np.ndarray, n: int) -> np.ndarray:
-        """The token that spells the n bytes from each start, or -1."""
-        known, ids = self.by_length[n]
+        """The token that spells the n bytes from each start, or -1: found by hash, settled by its bytes."""
+        known, ids, spelt = self.by_length[n]
         h = hashes.of(start, start + n)
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        return np.where(known[at] == h, ids[at], -1)
+        out = np.full(len(start), -1, np.int64)
+        like = np.flatnonzero(known[at] == h)
+        same = (hashes.data[start[like][:, None] + np.arange(n)] == spelt[at[like]]).all(axis=1)
+        out[like[same]] = ids[at[like[same]]]
+        return out
 
     def tables(self, words: list[bytes]) -> list[np.ndarray]:
         """For each word, the number of tokens of each of its prefixes, from the empty one to the whole."""
@@ -110,46 +120,47 @@ class PrefixTables:
         return count
 
     def _long(self, word: bytes) -> np.ndarray:
+        """The same for one word, with the candidates of CHUNK places at a time."""
         flat, n = Rolling(np.frombuffer(word, np.uint8)), len(word)
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        for m in self.by_length:
-            if m <= n:
-                t = self._candidates(flat, np.arange(n - m + 1), m)
-                for s in np.flatnonzero(t >= 0).tolist():
-                    ends[s + m].append((s, int(t[s])))
-        last, count, known = [-1] * (n + 1), np.zeros(n + 1, np.int64), {}
-        for end in range(1, n + 1):
-            for s, t in ends[end]:
-                key = (last[s], t)
-                if key not in known:
-                    known[key] = bool(self.follows(np.array([last[s]]), np.array([t]))[0])
-                if known[key]:
-                    last[end], count[end] = t, count[s] + 1
-                    break
+        last, count, known = np.full(n + 1, -1, np.int64), np.zeros(n + 1, np.int64), {}
+        for base in range(0, n, CHUNK):
+            ends: list[list[tuple[int, int]]] = [[] for _ in range(min(CHUNK, n - base))]
+            for m in self.by_length:
+                start = np.arange(max(0, base + 1 - m), base + len(ends) - m + 1)
+                if len(start):
+                    t = self._candidates(flat, start, m)
+                    for i in np.flatnonzero(t >= 0).tolist():
+                        s = int(start[i])
+                        ends[s + m - base - 1].append((s, int(t[i])))
+            if len(known) > 1 << 16:
+                known.clear()
+            for end, own in enumerate(ends, base + 1):
+                for s, t in own:
+                    key = (int(last[s]), t)
+                    if key not in known:
+                        known[key] = bool(self.follows(np.array([key[0]]), np.array([t]))[0])
+                    if known[key]:
+                        last[end], count[end] = t, count[s] + 1
+                        break
         return count
 
+    def _totals(self, words: list[bytes]) -> list[int]:
+        size = np.array([len(w) for w in words])
+        total = np.zeros(len(words), np.int64)
+        for low, high in ((1, 8), (8, 12), (12, 20), (20, SHORT + 1)):
+            own = np.flatnonzero((size >= low) & (size < high))
+            if len(own):
+                table = self._short([words[i] for i in own.tolist()], size[own], int(size[own].max()))
+                total[own] = table[np.arange(len(own)), size[own]]
+        for i in np.flatnonzero(size > SHORT).tolist():
+            total[i] = self._long(words[i])[-1]
+        return total.tolist()
+
     def count(self, texts: list[str]) -> np.ndarray:
         """The tokens of each text."""
         batch = Batch(texts, self.encoder.specials)
-        entry = self.words.find(batch.hashes)
-        new = np.flatnonzero(entry < 0)
-        if len(new) and self.words.size and self.words.size + len(new) > REMEMBERED:
-            self.forget()
-            entry, new = np.full(len(batch.hashes), -1, np.int64), np.arange(len(batch.hashes))
-        if len(new):
-            words = [w.encode("utf-8", "replace") for w in batch.strings(new)]
-            size = np.array([len(w) for w in words])
-            total = np.zeros(len(words), np.int64)
-            for low, high in ((1, 8), (8, 12), (12, 20), (20, SHORT + 1)):
-                own = np.flatnonzero((size >= low) & (size < high))
-                if len(own):
-                    table = self._short([words[i] for i in own.tolist()], size[own], int(size[own].max()))
-                    total[own] = table[np.arange(len(own)), size[own]]
-            for i in np.flatnonzero(size > SHORT).tolist():
-                total[i] = self._long(words[i])[-1]
-            self.totals = np.concatenate([self.totals, total])
-            entry[new] = self.words.add(batch.hashes[new])
-        sums = np.concatenate([[0], np.cumsum(self.totals[entry][batch.which])]) if len(batch.which) else np.zeros(1, np.int64)
+        totals = np.array(self.memory.find(batch.distinct, self._totals) if batch.distinct else [], np.int64)
+        sums = np.concatenate([[0], np.cumsum(totals[batch.which])]) if len(batch.which) else np.zeros(1, np.int64)
         out = sums[batch.bounds[1:]] - sums[batch.bounds[:-1]]
         for i in batch.slow:
             out[i] = len(self.encoder.library.encode(texts[i], add_special_tokens=False).ids)
