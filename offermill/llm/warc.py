@@ -5,15 +5,20 @@ stored once: the one with the smallest page_id is the response, the others revis
 digests; where a check fails it looks for the next place at which a member inflates to a record or a version line
 begins one that holds, goes on from there, and logs the bytes between as quarantined.
 
+Spark's text writer writes the files and ends each row with a zero byte. As the last byte of a gzip member is the high one
+of its size, rows are members without that byte, so a file is nothing but gzip members, which any reader takes.
+
 Defined results: null html is an empty payload; a page without page_id is never what others refer to, and revisits the
 page that has one if their payloads are equal; pages that repeat the smallest page_id are all responses; null urls are
-left out of the header; an empty table gives no records.
+left out of the header; payloads and headers of any length are written and read whole; an empty table gives no records;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
@@ -22,15 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, views
+from .common import dealt, give_back, scratch, slices, stored, views
 
 LEAST = 100
-#: Salts among which the copies of one payload are dealt when the response is looked up.
-SALTS = 32
 DATE = "1970-01-01T00:00:00Z"
 VERSION = b"WARC/1.1\r\n"
 MEMBER = b"\x1f\x8b\x08"
-FRAME_BYTES = 8 << 20
+#: Where a record may start.
+_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+_HEADER_END = re.compile(rb"\r\n\r\n")
+#: Bytes of a row of members, about, and rows of a file: a reader's task holds one file.
+FRAME_BYTES, FRAMES = 256 << 10, 128
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
@@ -58,19 +65,25 @@ def member(data: bytes, level: int = 3) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def row(members: list[bytes]) -> bytes:
+    """Members without the zero byte at their end; an empty member follows one of 16 MB or more, which ends otherwise."""
+    return b"".join(members if members[-1][-1] == 0 else [*members, member(b"")])[:-1]
+
+
 class Damaged(ValueError):
     pass
 
 
-def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
+def parse(data: bytes | memoryview, at: int = 0) -> tuple[dict, int]:
     """The record that starts here and where it ends; Damaged if a check fails."""
-    if not data.startswith(b"WARC/1.", at):
+    if data[at : at + 7] != b"WARC/1.":
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0:
+    found = _HEADER_END.search(data, at)
+    if not found:
         raise Damaged("header without end")
+    stop = found.start()
     head = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
+    for line in bytes(data[at:stop]).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line without colon")
@@ -81,7 +94,7 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     begin, end = stop + 4, stop + 4 + int(size)
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("record cut off or of another length")
-    block = data[begin:end]
+    block = bytes(data[begin:end])
     if head.get("warc-block-digest", "").startswith("sha1:") and head["warc-block-digest"][5:] != base64.b32encode(hashlib.sha1(block).digest()).decode():
         raise Damaged("block digest differs")
     http, blank, payload = block.partition(b"\r\n\r\n")
@@ -112,38 +125,36 @@ def inflate(data: memoryview, at: int) -> tuple[bytes, int]:
     return b"".join(parts), min(at, len(data)) - len(z.unused_data)
 
 
-def _here(data: memoryview, whole: bytes, at: int) -> tuple[list[dict], int]:
-    """The records of the member or the plain record that starts here."""
-    if whole.startswith(MEMBER, at):
+def _here(data: memoryview, at: int) -> tuple[list[dict], int]:
+    """The records of the member or the plain record that starts here; an empty member has none."""
+    if data[at : at + 3] == MEMBER:
         plain, end = inflate(data, at)
         found, p = [], 0
         while p < len(plain):
             r, p = parse(plain, p)
             found.append(r)
-        if not found:
-            raise Damaged("empty member")
         return found, end
-    if whole.startswith(b"WARC/1.", at):
-        r, end = parse(whole, at)
+    if data[at : at + 7] == b"WARC/1.":
+        r, end = parse(data, at)
         return [r], end
     raise Damaged("neither member nor version line")
 
 
 def salvage(content: bytes | memoryview) -> Iterator[tuple[str, int, int, object]]:
-    """("record", start, end, fields) and ("gap", start, end, reason), in order and covering all bytes but line ends."""
-    data, whole = memoryview(content), bytes(content)
+    """("record", start, end, fields) and ("gap", start, end, reason), in order and covering all bytes but line ends and empty members."""
+    data = memoryview(content).cast("B")
     at, bad, why = 0, None, ""
     while at < len(data):
-        if bad is None and whole[at] in (10, 13):
+        if bad is None and data[at] in (10, 13):
             at += 1
             continue
         try:
-            found, end = _here(data, whole, at)
+            found, end = _here(data, at)
         except Damaged as e:
             if bad is None:
                 bad, why = at, str(e)
-            next_ = [p for p in (whole.find(MEMBER, at + 1), whole.find(b"WARC/1.", at + 1)) if p >= 0]
-            at = min(next_, default=len(data))
+            start = _START.search(data, at + 1)
+            at = start.start() if start else len(data)
             continue
         if bad is not None:
             yield "gap", bad, at, why
@@ -156,36 +167,36 @@ def salvage(content: bytes | memoryview) -> Iterator[tuple[str, int, int, object
 
 
 def with_responses(pages: DataFrame, html: str = "html", least: int = LEAST) -> DataFrame:
-    """pages with digest, size and refers_to. Only digests with several rows are looked up, dealt among salts."""
+    """pages with digest, size and refers_to. Only digests with several rows are looked up, hot ones dealt among salts."""
     body = F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = pages.withColumns({"_body": body, "_digest": F.sha2(F.encode(body, "UTF-8"), 256), "_size": F.octet_length(body).cast("long")})
     keys = pages.select("page_id", F.sha2(F.encode(body, "UTF-8"), 256).alias("_digest"), F.octet_length(body).alias("n")).filter(F.col("n") >= least)
-    first = keys.groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("_digest", "_first")
-    first = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    first = keys.groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
-    return salted.join(first, ["_digest", "_salt"], "left").withColumn("_refers_to", refers)
+    return dealt(rows, stored(first, "firsts"), "_digest", ["page_id", "url"]).withColumn("_refers_to", refers)
 
 
 def write(pages: DataFrame, folder: str, least: int = LEAST) -> None:
-    """pages (page_id, url, html) as .warc.gz content in the folder, one member for each record."""
+    """pages (page_id, url, html) as files of gzip members, one for each record; full files are followed by more."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([row(parts)], pa.binary())], names=["frame"])
         for b in slices(batches, "_body"):
             columns = [b.column(c).to_pylist() for c in ("page_id", "url", "_digest", "_size", "_refers_to")]
             for page_id, url, digest, n, refers, payload in zip(*columns, views(b.column("_body")), strict=True):
                 parts.append(member(record(page_id, url, bytes(payload), digest, n, refers)))
                 size += len(parts[-1])
                 if size >= FRAME_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["frame"])
+                    yield done()
                     parts, size = [], 0
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["frame"])
+            yield done()
 
     rows = with_responses(pages.select("page_id", F.col("url").cast("string").alias("url"), "html"), least=least)
     rows = rows.select("page_id", "url", "_digest", "_size", "_refers_to", "_body")
-    rows.mapInArrow(build, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(folder)
+    frames = rows.mapInArrow(build, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    frames.write.option("lineSep", "\0").option("maxRecordsPerFile", FRAMES).text(folder)
 
 
 SCHEMA = "file string, kind string, start long, stop long, reason string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
@@ -220,6 +231,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True, pattern: str =
                         some = []
                 if some:
                     yield pa.RecordBatch.from_pylist(some, schema)
+        give_back()
 
     return files.mapInArrow(run, SCHEMA)
 
