@@ -132,37 +132,30 @@ NEW = [("sequence_id", T.LongType()), ("offset", T.LongType())]
 def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """pieces with sequence_id and offset. pieces is read twice, so it should be a stored table.
 
-    The driver gets one row for each length and part of it: at most capacity rows times the parts, which follow the
-    number of rows up to 256. Columns with the new names are replaced.
+    The driver gets one number for each length. Rows of a length are ranked in parts, as many as RANKED pieces each need.
+    Without order columns, rows are ranked by all their columns. Columns with the new names are replaced.
     """
-    pieces = without(pieces, [n for n, _ in NEW] + ["_part", "_rank"])
+    pieces = without(pieces, [n for n, _ in NEW] + ["_part", "_rank", "_before"])
     spark, total = pieces.sparkSession, pieces.count()
-    parts = int(min(256, max(16, total // RANKED)))
-    order = tuple(c for c in order if c in pieces.columns)
-    split = pieces.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int")) if order else pieces.withColumn("_part", F.lit(0))
-    sizes = {(r[0], r[1]): r[2] for r in split.groupBy(length, "_part").count().collect()}
-    counts: dict[int, int] = {}
-    before = {}
-    for n, part in sorted(sizes):
-        before[n, part] = counts.get(n, 0)
-        counts[n] = before[n, part] + sizes[n, part]
-    table = np.zeros((capacity + 1, parts), np.int64)
-    for (n, part), b in before.items():
-        table[n, part] = b
-    shared = spark.sparkContext.broadcast((Plan(counts, capacity), table))
+    parts = int(max(16, total // RANKED))
+    order = tuple(c for c in order if c in pieces.columns) or tuple(pieces.columns)
+    split = pieces.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    sizes = stored(split.groupBy(length, "_part").agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    shared = spark.sparkContext.broadcast(Plan({r[0]: r[1] for r in sizes.groupBy(length).agg(F.sum("_n")).collect()}, capacity))
+    earlier = Window.partitionBy(length).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(length, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, earlier = shared.value
+        plan = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
-            n, part, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (length, "_part", "_rank"))
-            sequence, offset = plan.place(n, earlier[n, part] + rank - 1)
-            kept = [c for c in b.schema.names if c not in ("_part", "_rank")]
+            n, rank, first = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (length, "_rank", "_before"))
+            sequence, offset = plan.place(n, first + rank - 1)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, *(c for c, _ in NEW)])
 
-    window = Window.partitionBy(length, "_part").orderBy(*(order or (F.lit(0),)))
-    ranked = split.withColumn("_rank", F.row_number().over(window))
+    kept = pieces.columns
+    ranked = split.withColumn("_rank", F.row_number().over(Window.partitionBy(length, "_part").orderBy(*order))).join(before, [length, "_part"])
     return ranked.mapInArrow(run, T.StructType([*pieces.schema.fields, *(T.StructField(n, t) for n, t in NEW)]))
 
 

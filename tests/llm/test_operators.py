@@ -1,5 +1,6 @@
 """Each operator against brute force on small tables that hold the hard cases."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -23,6 +24,8 @@ def corpus(seed=1):
     base, passage, line = some(80), some(30), "buy now and save the day, the best of all the offers here\n"
     texts = [None, "", " ", "\n\n", "123 !!", "one", "one two three four", base, base, base.replace("alpha", "beta", 1), base + " tail end", passage + " " + some(40), some(35) + " " + passage, line * 3, line + some(20), "a" * 400, "ab" + "a" * 300, "<|endoftext|> special " + some(5), some(4000), "é" * 60, "x" + "é" * 60]
     texts += [some(rnd.randint(1, 120)) for _ in range(40)]
+    for n in (1024, 4096):
+        texts += [thue_morse(n), thue_morse(n, "ba"), "the " + thue_morse(n), "the " + thue_morse(n, "ba")]
     variant = base.split()
     for i in range(12):
         v = list(variant)
@@ -33,6 +36,11 @@ def corpus(seed=1):
     return [*rows, rows[7], (None, base, "en", None, None, None)]
 
 
+def thue_morse(n, letters="ab"):
+    """A word whose polynomial hashes modulo a power of two equal those of its complement, whatever the base."""
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame(corpus(), SCHEMA).repartition(3)
@@ -189,7 +197,8 @@ def test_elias_fano(values):
 
 
 def test_a_damaged_frame_is_refused():
-    f = bytearray(tokenfile.frame(0, [np.array([1, 2]), np.array([3])], [None, 5], 2))
+    f = bytearray(tokenfile.frame(0, 0, [np.array([1, 2]), np.array([3])], [None, 5], 2))
+    assert b"\n" not in tokenfile.escaped(bytes(range(256)) * 2) and tokenfile.plain(tokenfile.escaped(b"\x1b\n\x1b\x02" * 3)) == b"\x1b\n\x1b\x02" * 3
     assert tokenfile.Frame(bytes(f)).keys() == [None, 5]
     assert tokenfile.Frame(bytes(f)).document(1).tolist() == [3]
     f[-6] ^= 1
@@ -247,6 +256,13 @@ def test_warc(spark):
         want[p, u, len(body(h)), hashlib.sha256(body(h)).hexdigest(), "revisit" if revisit else "response", 3 if revisit else None] += 1
     assert Counter((r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
     assert warc.round_trip(pages.limit(0)).count() == 0
+    folder = scratch(spark, "warc")
+    long = [(1, "http://h/" + "é" * 40_000, "x"), (2, None, "".join(random.Random(0).choices("abcdefgh", k=50_000_000)))]
+    warc.write(spark.createDataFrame([*long, *rows], pages.schema).coalesce(1), folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).collect()
+    assert b"".join(gzip.decompress(f.content) for f in files).count(b"WARC-Type") == len(rows) + 2
+    got = warc.read(spark, folder, payloads=False).filter("page_id < 3").orderBy("page_id").collect()
+    assert [(r.url, r.payload_bytes) for r in got] == [(u, len(h)) for _, u, h in long]
 
 
 def test_salvage_logs_gaps_and_goes_on():
