@@ -26,6 +26,7 @@ pa.set_memory_pool(pa.system_memory_pool())
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
     _LIBC.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD, which else follows the largest block that was freed
+    _LIBC.mallopt(-1, 512 << 20)  # M_TRIM_THRESHOLD: within a task memory is kept and used again
     _LIBC.malloc_trim  # noqa: B018
 except (OSError, AttributeError):  # another C library
     _LIBC = None

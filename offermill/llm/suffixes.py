@@ -6,18 +6,20 @@ The parse is then short rows (trigger, hash of the phrase, document, place), and
 A phrase that a smaller document has too is covered whole, which settles most of a repetitive corpus without its text.
 Only of triggers with several distinct phrases are the phrases' bytes needed: their suffixes are sorted to the depth of
 50 bytes, and equal neighbours form the groups in which the smallest document keeps the string. As a trigger's phrases
-are in one bucket, the sorted buckets together are the corpus order.
+are in one bucket, the sorted buckets together are the corpus order. Phrases are told apart by 128 bits of BLAKE2, and
+strings by their bytes; rolling hashes only choose where to cut. A task reads its buckets one after another.
 
 Defined results: a null or empty text, or one of fewer bytes than the string's length, loses nothing; a document without
 doc_id loses nothing and takes nothing from others; rows that repeat a doc_id don't count as smaller than each other;
-columns other than the text are kept. Texts of any length are handled whole.
+columns other than the text are kept, whatever their names, but for those with the names of the results, which are
+replaced; an empty table gives no rows. Texts of any length are handled whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, mix, slices, stored, views, without
+from .common import Rolling, digests, give_back, mix, slices, stored, views, without
 
 DEPTH, TRIGGER = 50, 24
 #: Windows in a phrase, at most; longer runs (of one character, say) are several phrases of one trigger.
 LONGEST = 4096
 PARSE_BYTES = 3 << 20
+#: Text bytes whose phrases are in one bucket, about, and the buckets, at most. A task holds one bucket at a time.
+BUCKET_BYTES, BUCKETS = 6 << 20, 100_000
 NEW = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())]
 
 
@@ -72,15 +76,16 @@ def least(x: np.ndarray, width: int) -> np.ndarray:
 class Parse:
     """The phrases of some texts."""
 
-    def __init__(self, texts: list[memoryview], depth: int = DEPTH, trigger: int = TRIGGER):
+    def __init__(self, texts: list[memoryview], depth: int = DEPTH, trigger: int = TRIGGER, repeats: bool = True):
         size = np.array([len(t) for t in texts], np.int64)
         begin = np.cumsum(size) - size
-        data = np.frombuffer(b"".join(texts), np.uint8)
+        whole = b"".join(texts)
+        data = np.frombuffer(whole, np.uint8)
         rolling = Rolling(data)
-        self.text_hash = rolling.of(begin, begin + size)
+        self.text_hash = text_hashes(texts, repeats)
         n = len(data) - depth + 1
         empty = np.empty(0, np.int64)
-        self.doc, self.start, self.windows, self.key, self.hash = empty, empty, empty, empty.astype(np.uint32), empty.astype(np.uint64)
+        self.doc, self.start, self.windows, self.key, self.name = empty, empty, empty, empty.astype(np.uint32), np.empty((0, 2), np.uint64)
         if n <= 0:
             return
         low = least(rolling.every(trigger), depth - trigger + 1)
@@ -100,9 +105,9 @@ class Parse:
             parts = -(-windows // LONGEST)
             nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
             doc, start, windows = np.repeat(doc, parts), np.repeat(start, parts) + nth * LONGEST, np.minimum(LONGEST, np.repeat(windows, parts) - nth * LONGEST)
-        self.hash = rolling.of(start, start + windows + depth - 1)
+        view = memoryview(whole)
+        self.name = digests([view[a:z] for a, z in zip(start.tolist(), (start + windows + depth - 1).tolist(), strict=True)])
         self.key = (low[start] >> np.uint64(32)).astype(np.uint32)
-        self.bucket_of = low[start] & np.uint64(0x7FFFFFFF)
         self.doc, self.start, self.windows = doc, start - begin[doc], windows
 
 
@@ -120,9 +125,45 @@ def _rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(v, pa.binary())], names=["bucket", "kind", "value"])
 
 
-def home(text_hash: np.ndarray, parts: int) -> np.ndarray:
-    """The bucket of a document's text."""
-    return (mix(text_hash) % np.uint64(parts)).astype(np.int64)
+def text_hashes(texts: list[memoryview], repeats: bool) -> np.ndarray:
+    """A number for each text, which with the doc_id names its row; 0 if no doc_id repeats."""
+    if not repeats:
+        return np.zeros(len(texts), np.uint64)
+    return np.frombuffer(b"".join([hashlib.blake2b(t, digest_size=8).digest() for t in texts]), np.uint64)
+
+
+def dealt_to(number: np.ndarray, parts: int) -> np.ndarray:
+    """The bucket of a trigger."""
+    return (mix(number.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def home(doc: np.ndarray, text_hash: np.ndarray, parts: int) -> np.ndarray:
+    """The bucket of a document."""
+    return dealt_to(mix(doc.astype(np.int64).view(np.uint64)) + text_hash, parts)
+
+
+def gathered(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows of a bucket one after another, replies before texts."""
+    return rows.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "kind")
+
+
+def _by_turns(batches: Iterator[pa.RecordBatch], work: Callable[[list[bytes]], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
+    """What comes of the packed values of each bucket; replies that are ready pass."""
+    own, at = [], None
+    for b in batches:
+        for bucket, kind, value in zip(b.column("bucket").to_pylist(), b.column("kind").to_pylist(), views(b.column("value")), strict=True):
+            if kind != PARSE:
+                yield _rows([(bucket, kind, bytes(value))])
+                continue
+            if bucket != at and own:
+                done, own = work(own), []
+                if done is not None:
+                    yield done
+            at = bucket
+            own.append(bytes(value))
+    if own and (done := work(own)) is not None:
+        yield done
+    give_back()
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -144,7 +185,7 @@ def _firsts(doc: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 PARSE, REPLY, TEXT = 0, 1, 2
 
 
-def parse(docs: DataFrame, parts: int) -> DataFrame:
+def parse(docs: DataFrame, parts: int, repeats: bool = True) -> DataFrame:
     """Packed rows of the parse by bucket of their triggers. Phrases that an earlier document of the same step has are
     settled here, so a phrase that very many documents share is sent once a step."""
 
@@ -152,18 +193,19 @@ def parse(docs: DataFrame, parts: int) -> DataFrame:
         for b in slices(batches, "text", PARSE_BYTES):
             ids = b.column("doc_id")
             texts = [v if ok else v[:0] for v, ok in zip(views(b.column("text")), ids.is_valid().to_pylist(), strict=True)]
-            p = Parse(texts)
+            p = Parse(texts, repeats=repeats)
             if not len(p.doc):
                 continue
             doc = ids.fill_null(0).to_numpy().astype(np.int64)[p.doc]
             text = p.text_hash[p.doc]
-            order, first = _firsts(doc, p.hash, p.key)
+            order, first = _firsts(doc, p.name[:, 0], p.name[:, 1])
             late = np.zeros(len(doc), bool)
             late[order] = doc[order] > first
-            start, windows = p.start.astype(np.uint32), p.windows.astype(np.uint32)
-            found = list(_by_bucket((p.bucket_of[~late] % np.uint64(parts)).astype(np.int64), PARSE, p.key[~late], p.hash[~late], doc[~late], text[~late], start[~late], windows[~late]))
+            start, windows = p.start.astype(np.uint32), p.windows.astype(np.uint16)
+            early = ~late
+            found = list(_by_bucket(dealt_to(p.key[early], parts), PARSE, p.key[early], p.name[early, 0], p.name[early, 1], doc[early], text[early], start[early], windows[early]))
             if late.any():
-                found += _by_bucket(home(text[late], parts), REPLY, doc[late], text[late], start[late], windows[late], np.zeros(int(late.sum()), np.uint32))
+                found += _by_bucket(home(doc[late], text[late], parts), REPLY, doc[late], text[late], start[late], windows[late], np.zeros(int(late.sum()), np.uint32))
             yield _rows(found)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket int, kind int, value binary")
@@ -172,38 +214,27 @@ def parse(docs: DataFrame, parts: int) -> DataFrame:
 def settle(rows: DataFrame, parts: int) -> DataFrame:
     """Replies to the documents: phrases that are covered, with key 0, and those whose bytes are needed, with their key."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = []
-        for b in batches:
-            for bucket, kind, value in zip(b.column("bucket").to_pylist(), b.column("kind").to_pylist(), views(b.column("value")), strict=True):
-                if kind == PARSE:
-                    own.append(bytes(value))
-                else:
-                    yield _rows([(bucket, kind, bytes(value))])
-        if not own:
-            return
-        key, phrase, doc, text, start, windows = joined(own)
-        order, first = _firsts(doc, key, phrase)
-        key, phrase, doc, text, start, windows = (x[order] for x in (key, phrase, doc, text, start, windows))
+    def work(own: list[bytes]) -> pa.RecordBatch | None:
+        key, high, low, doc, text, start, windows = joined(own)
+        order, first = _firsts(doc, key, high, low)
+        key, high, low, doc, text, start, windows = (x[order] for x in (key, high, low, doc, text, start, windows))
         group = _runs(key)
         number = np.cumsum(group) - 1
-        distinct = np.add.reduceat(_runs(key, phrase).astype(np.int64), np.flatnonzero(group))[number]
+        distinct = np.add.reduceat(_runs(key, high, low).astype(np.int64), np.flatnonzero(group))[number]
         covered = doc > first
         send = covered | (distinct > 1)
-        if send.any():
-            tag = np.where(covered, 0, np.maximum(key, 1)).astype(np.uint32)
-            yield _rows(list(_by_bucket(home(text[send], parts), REPLY, doc[send], text[send], start[send], windows[send], tag[send])))
+        if not send.any():
+            return None
+        tag = np.where(covered, 0, np.maximum(key, 1)).astype(np.uint32)
+        return _rows(list(_by_bucket(home(doc[send], text[send], parts), REPLY, doc[send], text[send], start[send], windows[send], tag[send])))
 
-    return rows.repartitionById(parts, F.col("bucket")).mapInArrow(run, "bucket int, kind int, value binary")
+    return gathered(rows, parts).mapInArrow(lambda batches: _by_turns(batches, work), "bucket int, kind int, value binary")
 
 
 def sort_suffixes(rows: DataFrame, parts: int, depth: int = DEPTH) -> DataFrame:
     """Replies from the dictionary phrases of each bucket: their suffixes, sorted to the depth, in groups of equals."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [bytes(v) for b in batches for v in views(b.column("value"))]
-        if not own:
-            return
+    def work(own: list[bytes]) -> pa.RecordBatch | None:
         doc, text, start, windows, data = joined(own)
         at = np.cumsum(windows.astype(np.int64) + depth - 1) - windows - depth + 1
         which = np.repeat(np.arange(len(doc)), windows)
@@ -217,13 +248,13 @@ def sort_suffixes(rows: DataFrame, parts: int, depth: int = DEPTH) -> DataFrame:
         late[order] = doc[which[order]] > first
         which, nth = which[late], nth[late]
         if not len(which):
-            return
+            return None
         new = _runs(which, nth - np.arange(len(nth)))
         w, s = which[new], (start[which] + nth)[new].astype(np.uint32)
-        size = np.diff(np.append(np.flatnonzero(new), len(which))).astype(np.uint32)
-        yield _rows(list(_by_bucket(home(text[w], parts), REPLY, doc[w], text[w], s, size, np.zeros(len(w), np.uint32))))
+        size = np.diff(np.append(np.flatnonzero(new), len(which))).astype(np.uint16)
+        return _rows(list(_by_bucket(home(doc[w], text[w], parts), REPLY, doc[w], text[w], s, size, np.zeros(len(w), np.uint32))))
 
-    return rows.repartitionById(parts, F.col("bucket")).mapInArrow(run, "bucket int, kind int, value binary")
+    return gathered(rows, parts).mapInArrow(lambda batches: _by_turns(batches, work), "bucket int, kind int, value binary")
 
 
 def removed(size: int, start: np.ndarray, windows: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -238,22 +269,31 @@ def _meet(texts: DataFrame, replies: DataFrame, parts: int) -> DataFrame:
     """Texts and what is known of them in the same partitions, replies first."""
     extra = [f for f in texts.schema.fields if f.name not in ("bucket", "kind", "value")]
     replies = replies.select("bucket", "kind", "value", *(F.lit(None).cast(f.dataType).alias(f.name) for f in extra))
-    return replies.select(*texts.columns).unionByName(texts).repartitionById(parts, F.col("bucket")).sortWithinPartitions("kind")
+    return gathered(replies.select(*texts.columns).unionByName(texts), parts)
 
 
 def _answer(parts: int, kept: list[str], last: bool):
     """For each text either its result, or, if bytes are needed that aren't settled yet, what is known so far."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, index = [], None
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "value", PARSE_BYTES):
-            values, kinds = views(b.column("value")), b.column("kind").to_pylist()
+            bucket = b.column("bucket").to_numpy()
+            edge = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), b.num_rows]
+            for i, j in zip(edge[:-1], edge[1:], strict=True):
+                yield b.slice(i, j - i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, index, at = [], {}, None
+        for b in pieces(batches):
+            values, kinds, bucket = views(b.column("value")), b.column("kind").to_pylist(), b.column("bucket")[0].as_py()
+            if bucket != at:
+                known, index, at = [], None, bucket
             known += [bytes(v) for v, k in zip(values, kinds, strict=True) if k == REPLY]
             texts = [i for i, k in enumerate(kinds) if k == TEXT]
             if not texts:
                 continue
             if index is None:
-                doc, text, start, windows, tag = joined(known) if known else [np.empty(0, d) for d in (np.int64, np.uint64, np.uint32, np.uint32, np.uint32)]
+                doc, text, start, windows, tag = joined(known) if known else [np.empty(0, d) for d in (np.int64, np.uint64, np.uint32, np.uint16, np.uint32)]
                 order = np.lexsort((text, doc))
                 doc, text, start, windows, tag = (x[order] for x in (doc, text, start, windows, tag))
                 edge = np.flatnonzero(_runs(doc, text)).tolist() if len(doc) else []
@@ -297,20 +337,20 @@ def deduplicate(docs: DataFrame, parts: int | None = None) -> DataFrame:
     A removed string may cut a character in two; in the text such bytes are left out, the hash is of all that are kept.
     """
     docs = without(docs, [n for n, _ in NEW])
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or min(BUCKETS, 1 + (docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) // BUCKET_BYTES)
+    ids = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count()
+    repeats = bool(ids.filter("count > 1").limit(1).count())
     others = [f for f in docs.schema.fields if f.name != "text"]
     kept = ["_doc", "_text_hash", "_row"]
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", PARSE_BYTES):
             data = views(b.column("text"))
-            size = np.array([len(t) for t in data], np.int64)
-            begin = np.cumsum(size) - size
-            hashes = Rolling(np.frombuffer(b"".join(data), np.uint8)).of(begin, begin + size)
+            hashes = text_hashes(data, repeats)
+            doc = b.column("_doc").fill_null(0).to_numpy()
             z = zstandard.ZstdCompressor(level=1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(home(hashes, parts).astype(np.int32)), pa.array(np.full(len(data), TEXT, np.int32)), pa.array([z.compress(t) for t in data], pa.binary()), b.column("_doc"), pa.array(hashes.view(np.int64)), b.column("_row")],
+                [pa.array(home(doc, hashes, parts).astype(np.int32)), pa.array(np.full(len(data), TEXT, np.int32)), pa.array([z.compress(t) for t in data], pa.binary()), b.column("_doc"), pa.array(hashes.view(np.int64)), b.column("_row")],
                 names=["bucket", "kind", "value", *kept],
             )
 
@@ -321,7 +361,7 @@ def deduplicate(docs: DataFrame, parts: int | None = None) -> DataFrame:
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("value", T.BinaryType()), *held])
     done = [*held, *(T.StructField(n, t) for n, t in NEW), T.StructField("_clean", T.StringType())]
 
-    replies = stored(settle(parse(docs, parts), parts), "replies")
+    replies = stored(settle(parse(docs, parts, repeats), parts), "replies")
     met = _meet(source.mapInArrow(texts, schema), replies, parts)
     once = stored(met.mapInArrow(_answer(parts, kept, False), T.StructType([*done, T.StructField("_open", T.BinaryType()), T.StructField("_value", T.BinaryType())])), "once")
 
@@ -337,7 +377,7 @@ def deduplicate(docs: DataFrame, parts: int | None = None) -> DataFrame:
             doc, text, s, w, t, data = (np.concatenate(x) for x in zip(*parts_, strict=True))
             size = w.astype(np.int64) + DEPTH - 1
             end = np.cumsum(size)
-            bucket = (mix(t.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            bucket = dealt_to(t, parts)
             found = []
             for k in np.unique(bucket).tolist():
                 own = np.flatnonzero(bucket == k)
@@ -350,7 +390,8 @@ def deduplicate(docs: DataFrame, parts: int | None = None) -> DataFrame:
         for b in batches:
             hashes = b.column("_text_hash").to_numpy().astype(np.int64).view(np.uint64)
             ready = [packed(*unpacked(o)[:2]) for o in views(b.column("_open"))]
-            yield pa.RecordBatch.from_arrays([pa.array(home(hashes, parts).astype(np.int32)), pa.array(np.full(b.num_rows, TEXT, np.int32)), b.column("_value"), *(b.column(c) for c in kept), pa.array(ready, pa.binary())], names=["bucket", "kind", "value", *kept, "_known"])
+            doc = b.column("_doc").fill_null(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(home(doc, hashes, parts).astype(np.int32)), pa.array(np.full(b.num_rows, TEXT, np.int32)), b.column("_value"), *(b.column(c) for c in kept), pa.array(ready, pa.binary())], names=["bucket", "kind", "value", *kept, "_known"])
 
     waiting = once.filter("_open IS NOT NULL")
     more = sort_suffixes(waiting.select("_doc", "_text_hash", "_open", "_value").mapInArrow(phrases, "bucket int, kind int, value binary"), parts)
