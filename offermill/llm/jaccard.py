@@ -19,15 +19,16 @@ whatever their number; a document without doc_id has no component; rows that rep
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, mix, slices, stored, views, without
+from .common import dealt, mix, slices, stored, views
 from .suffixes import joined, packed
 
 WORDS = 5
@@ -38,7 +39,6 @@ SAMPLE_DOCUMENTS, SAMPLE_COMMON = 4096, 1 << 19
 STEP = 2 << 20
 #: Members of a region that one task compares by their sketches, and how many of a cluster's members are tried as its pivot.
 WHOLE, DEGREES = 20_000, 64
-SALTS = 32
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -46,6 +46,34 @@ _BLANK = np.zeros(256, bool)
 _BLANK[0x20] = _BLANK[0x09:0x0E] = True
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each word: eight bytes at a time are mixed in, so words of up to eight never share one; long ones by BLAKE2."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = end - start
+    out = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    short = np.flatnonzero(size <= 64)
+    at = 0
+    while len(short):
+        left = np.minimum(size[short] - at, 8).astype(np.uint64)
+        block = eights[start[short] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        out[short] = mix(out[short] ^ block)
+        at += 8
+        short = short[size[short] > at]
+    for i in np.flatnonzero(size > 64).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def chained(words: list[np.ndarray]) -> np.ndarray:
+    """A number for each sequence of words, of which the first, second, ... are given."""
+    out = mix(words[0] + np.uint64(len(words)))
+    for w in words[1:]:
+        out *= np.uint64(0x9FB21C651E98DF25)
+        out = mix(out + w)
+    return out
+
+
 def shingle_sets(texts: list[memoryview], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles; of a text with fewer words, one for all of them."""
     data = _LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
@@ -54,23 +82,35 @@ def shingle_sets(texts: list[memoryview], words: int = WORDS) -> list[np.ndarray
     blank = _BLANK[data]
     edge = np.diff(blank.astype(np.int8), prepend=1)
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    rolling = Rolling(Rolling(data).of(start, end))
+    own = word_hashes(data, start, end)
     first = np.append(np.searchsorted(start, begin), len(start))
-    full = rolling.every(words)
+    n = len(own) - words + 1
+    full = chained([own[i : i + n] for i in range(words)]) if n > 0 else own[:0]
     out = []
     for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if z - a >= words:
             x = np.sort(full[a : z - words + 1])
             out.append(x[np.append(True, x[1:] != x[:-1])])
         else:
-            out.append(rolling.of(np.array([a]), np.array([z])) if z > a else np.empty(0, np.uint64))
+            out.append(chained([own[i : i + 1] for i in range(a, z)]) if z > a else own[:0])
     return out
 
 
-def nodes(sets: list[np.ndarray]) -> np.ndarray:
-    """A number for each distinct set."""
-    sums = np.array([int(mix(x + np.uint64(0x51ED270B)).sum(dtype=np.uint64)) ^ (len(x) << 40) for x in sets], np.uint64)
-    return mix(sums).view(np.int64)
+def names(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits that stand for each set, as two numbers a row."""
+    out = np.empty((len(sets), 2), np.uint64)
+    for i, x in enumerate(sets):
+        out[i, 0] = mix(x + np.uint64(0x51ED270B)).sum(dtype=np.uint64) ^ np.uint64(len(x) << 40)
+        out[i, 1] = mix(x ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(x))
+    return mix(out)
+
+
+def nodes(sets: list[np.ndarray], twice: frozenset[int] = frozenset()) -> np.ndarray:
+    """A number for each distinct set: the first half of its name, or the second where unlike sets share a first half, as those in twice do."""
+    both = names(sets).view(np.int64)
+    if not twice:
+        return both[:, 0]
+    return np.where(np.isin(both[:, 0], list(twice)), both[:, 1], both[:, 0])
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -93,16 +133,18 @@ def folded(rows: np.ndarray, words: int) -> np.ndarray:
 
 
 def membership(docs: DataFrame) -> DataFrame:
-    """doc_id, node (null without a set or doc_id), n_shingles and sketch of every row."""
+    """doc_id, node (null without a set or doc_id), other (the second half of its name), n_shingles and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", STEP):
             sets = shingle_sets(views(b.column("text")))
             n = np.array([len(x) for x in sets], np.int64)
             none = (n == 0) | np.asarray(b.column("doc_id").is_null())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes(sets), mask=none), pa.array(n), pa.array([sketch(x) for x in sets], pa.binary())], names=["doc_id", "node", "n_shingles", "sketch"])
+            both = names(sets).view(np.int64)
+            columns = [pa.array(both[:, 0], mask=none), pa.array(both[:, 1], mask=none), pa.array(n), pa.array([sketch(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", "node", "other", "n_shingles", "sketch"])
 
-    return _source(docs).mapInArrow(run, "doc_id long, node long, n_shingles long, sketch binary")
+    return _source(docs).mapInArrow(run, "doc_id long, node long, other long, n_shingles long, sketch binary")
 
 
 def common_shingles(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +179,7 @@ def window(x: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int =
     return x[:size]
 
 
-def regions(docs: DataFrame, parts: int) -> DataFrame:
+def regions(docs: DataFrame, parts: int, twice: frozenset[int] = frozenset()) -> DataFrame:
     """rid, node and n: the regions in which sets of like sizes meet. Regions with equal members are one."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
@@ -145,7 +187,7 @@ def regions(docs: DataFrame, parts: int) -> DataFrame:
         common = shared.value
         for b in slices(batches, "text", STEP):
             sets = shingle_sets(views(b.column("text")))
-            ids = nodes(sets)
+            ids = nodes(sets, twice)
             _, once = np.unique(ids, return_index=True)
             once = [i for i in once.tolist() if len(sets[i])]
             if not once:
@@ -290,14 +332,14 @@ def split(region: DataFrame, sketches: DataFrame, parts: int, percent: int = PER
     return near.dropDuplicates(["rid", "node"]).withColumn("large", F.lit(False)).unionByName(large)
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, wanted: DataFrame, twice: frozenset[int] = frozenset()) -> DataFrame:
     """node, its compressed text and a sketch of more classes, one row for each wanted node (node, doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for b in slices(batches, "text", STEP):
             data = views(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes(shingle_sets(data))), pa.array([z.compress(t) for t in data], pa.binary())], names=["doc_id", "node", "z"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes(shingle_sets(data), twice)), pa.array([z.compress(t) for t in data], pa.binary())], names=["doc_id", "node", "z"])
 
     def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -390,16 +432,21 @@ def components(edges: DataFrame) -> DataFrame:
         now = new.select("node", "label")
 
 
-def join(docs: DataFrame, percent: int = PERCENT, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Every row's doc_id, node and n_shingles; and for nodes that links or copies join with others, the component_id."""
+def join(docs: DataFrame, percent: int = PERCENT, parts: int | None = None) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """Every row's doc_id, node and n_shingles; for nodes that links or copies join with others, the component_id, the node of
+    the row that has it, and the node's rows, as a stored table; and the nodes that have another half of their names."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     members = stored(membership(docs), "members")
+    # sets are told apart by 128 bits: where only half are the same, the other half is the node
+    same = members.filter("node IS NOT NULL").groupBy("node").agg(F.min("other").alias("x"), F.max("other").alias("y")).filter("x <> y")
+    twice = frozenset(r[0] for r in same.select("node").toLocalIterator())
+    members = members.withColumn("node", F.when(F.col("node").isin(*twice), F.col("other")).otherwise(F.col("node")) if twice else F.col("node")).drop("other")
     least = members.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
     sketches = members.select("node", "doc_id", "sketch").join(least.select("node", "doc_id"), ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "sketch")
-    region = stored(split(stored(regions(docs, parts), "cells"), sketches, parts, percent), "regions")
+    region = stored(split(stored(regions(docs, parts, twice), "cells"), sketches, parts, percent), "regions")
     wanted = region.select("node").distinct().join(least.select("node", "doc_id"), "node")
-    texts = stored(texts_of(docs, wanted), "texts")
+    texts = stored(texts_of(docs, wanted, twice), "texts")
     region = region.withColumns({"label": F.col("node"), "d": F.lit(None).cast("double")})
     steps, low, width = [], 0, 1
     radius = 1 - percent / 100 + 1e-9
@@ -436,24 +483,44 @@ def join(docs: DataFrame, percent: int = PERCENT, parts: int | None = None) -> t
     for labels in steps:
         named = named.withColumnRenamed("label", "was").join(labels.select(F.col("node").alias("was"), "label"), "was", "left").withColumn("label", F.coalesce("label", "was")).drop("was")
     named = stored(named, "named")
-    joint = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.sum("rows").alias("size")).filter("size > 1")
-    return members.drop("sketch"), named.join(joint, "label").select("node", "component_id")
+    least = F.min(F.struct("doc_id", "node"))
+    joint = named.groupBy("label").agg(least.alias("least"), F.sum("rows").alias("size")).filter("size > 1")
+    joint = named.join(joint, "label").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.node").alias("first"), F.col("rows").alias("_n"))
+    return members.drop("sketch"), stored(joint, "joint"), twice
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row. Nodes that hold many rows are dealt among salts."""
-    members, joint = join(docs, percent)
-    joint = joint.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = members.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(joint, ["node", "_salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    members, joint, _ = join(docs, percent)
+    return dealt(members, joint, "node", ["doc_id"]).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without those that a document with a smaller doc_id in their component stands for; columns stay.
+    """docs with one row of each component: that with the smallest doc_id. All columns stay.
 
-    Rows that repeat a doc_id are kept once; rows without doc_id all stay.
+    Rows without doc_id and rows whose sets are empty all stay. Rows that share a doc_id are judged each by its own text;
+    of those among them with equal sets, the one whose text is least stays.
     """
-    found = near_duplicates(docs, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    docs = without(docs, ["_nth"])
-    kept = docs.filter("doc_id IS NOT NULL").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    members, joint, twice = join(docs, percent)
+    late = dealt(members.filter("node IS NOT NULL"), joint, "node", ["doc_id"]).filter("component_id < doc_id").select("doc_id").distinct()
+    same = stored(members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "same")
+    keyed = docs.filter("doc_id IS NOT NULL")
+    if not same.limit(1).count():
+        return keyed.join(late, "doc_id", "left_anti").unionByName(docs.filter("doc_id IS NULL"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", STEP):
+            sets = shingle_sets(views(b.column("text")))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes(sets, twice), mask=np.array([not len(x) for x in sets], bool)), *b.columns], names=["node", *(f"c{i}" for i in range(len(b.columns) - 1)), "text"])
+
+    # rows that share a doc_id: columns under names of our own, with the node of each row
+    rows = keyed.join(same, "doc_id", "left_semi")
+    own = rows.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), F.col("text").cast("string").alias("text"))
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields)
+    key = f"c{docs.columns.index('doc_id')}"
+    placed = own.mapInArrow(run, f"node long, {types}").join(joint.drop("_n"), "node", "left")
+    stays = placed.filter(F.col("node").isNull() | F.col("first").isNull() | ((F.col("component_id") == F.col(key)) & (F.col("first") == F.col("node"))))
+    nth = F.row_number().over(Window.partitionBy(key, "node").orderBy("text", *(F.hash(F.col(f"c{i}")) for i in range(len(docs.columns)))))
+    one = stays.withColumn("nth", nth).filter("nth = 1 OR node IS NULL").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    rest = keyed.join(same, "doc_id", "left_anti").join(late, "doc_id", "left_anti")
+    return rest.unionByName(one).unionByName(docs.filter("doc_id IS NULL"))
