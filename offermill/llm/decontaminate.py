@@ -6,7 +6,7 @@ may occur, and comparing their bytes decides. The search runs over many stretche
 
 Defined results: a null or empty text has no words and is never contaminated; a null or empty item has no windows; a
 null item_id never counts as an item, but its windows hit; rows that repeat are each judged; an empty benchmark
-contaminates nothing. Texts of any length are searched whole, one of them at least in a step.
+contaminates nothing; an empty table gives no rows. Texts of any length are searched whole, one of them at least in a step.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, views, without
+from .common import slices, stored, views, without
 
 WINDOW = 13
 #: Bytes of patterns searched for in one pass; a larger benchmark takes more passes over the texts.
@@ -158,34 +158,37 @@ class Benchmark:
 NEW = [("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean")]
 
 
-def _passes(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[Benchmark]:
+def _passes(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[tuple[Benchmark, bool]]:
+    """Parts of the benchmark, one at a time, and whether it is the last."""
     part, size = [], 0
     for row in benchmark.select(item, text).toLocalIterator():
+        if size >= limit:
+            yield Benchmark(part), False
+            part, size = [], 0
         own = words(row[1])
         size += sum(map(len, own)) * WINDOW
         part.append((row[0], own))
-        if size >= limit:
-            yield Benchmark(part)
-            part, size = [], 0
-    if part:
-        yield Benchmark(part)
+    yield Benchmark(part), True
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256 and contaminated, by the rule 20 * n_hit >= n_words.
 
-    Columns of docs that have these names are replaced. The benchmark is read in parts of pass_bytes of patterns, which
-    bounds what is broadcast; each part is one more pass over rows already in memory, and no rows move between tasks.
+    Columns of docs that have these names are replaced, as are _hits and _items, which hold what passes found. The
+    benchmark is read in parts of pass_bytes of patterns, of which the driver and a task hold one at a time; each part is
+    a pass over the documents, and what it found is stored before the next. No rows move between tasks.
     """
     docs = without(docs, [n for n, _ in NEW] + ["_hits", "_items"])
     spark = docs.sparkSession
-    parts = list(_passes(benchmark, item, item_text, pass_bytes)) or [Benchmark([])]
     kept = docs.schema
     between = T.StructType([*kept.fields, T.StructField("_hits", T.BinaryType()), T.StructField("_items", T.ArrayType(T.StringType()))])
     final = T.StructType([*kept.fields, *(T.StructField(n, {"long": T.LongType(), "string": T.StringType(), "boolean": T.BooleanType()}[t]) for n, t in NEW)])
-    for k, part in enumerate(parts):
+    for k, (part, last) in enumerate(_passes(benchmark, item, item_text, pass_bytes)):
         tables = spark.sparkContext.broadcast(part)
-        docs = docs.mapInArrow(_scanner(tables, text, k > 0, k == len(parts) - 1), final if k == len(parts) - 1 else between)
+        docs = docs.mapInArrow(_scanner(tables, text, k > 0, last), final if last else between)
+        if not last:
+            docs = stored(docs, "pass")
+            tables.destroy()
     return docs
 
 
