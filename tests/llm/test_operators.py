@@ -223,7 +223,8 @@ def test_counts_of_all_prefixes(library):
         assert tables.prefixes(text).tolist() == [len(plain_ids(library, text[:i])) for i in range(len(text) + 1)], text
 
 
-def test_repeated_strings(docs, empty):
+@pytest.mark.parametrize("parts", [None, 7])
+def test_repeated_strings(docs, empty, parts):
     rows = corpus()
     first = {}
     for d, text, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
@@ -239,7 +240,7 @@ def test_repeated_strings(docs, empty):
                 gone[i : i + 50] = True
         left = np.frombuffer(data, np.uint8)[~gone].tobytes()
         want[d, len(data), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(left).hexdigest()] += 1
-    got = suffixes.deduplicate(docs)
+    got = suffixes.deduplicate(docs, parts)
     assert Counter(tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == want
     assert {"lang", "label"} <= set(got.columns)
     assert suffixes.deduplicate(empty).count() == 0
@@ -334,6 +335,9 @@ def test_jaccard(spark, docs, empty):
     assert Counter(tuple(r) for r in jaccard.near_duplicates(df).collect()) == want
     assert jaccard.near_duplicates(empty).count() == 0
     kept = jaccard.keep_one(df)
+    unlike = [(1, "one text about a thing that is long enough"), (1, "another text, quite unlike the first of them all"), (1, "one text about  a thing that is long enough"), (2, "one text about a thing that is long enough"), (2, None), (3, "")]
+    few = spark.createDataFrame([(*r, i) for i, r in enumerate(unlike)], "doc_id long, text string, _nth int")
+    assert sorted(r._nth for r in jaccard.keep_one(few).collect()) == [1, 2, 4, 5]
     assert sorted(r[0] for r in kept.filter("doc_id IS NOT NULL").select("doc_id").collect()) == sorted({c for _, _, c in want if c is not None})
 
 
@@ -389,6 +393,14 @@ def test_sketches_never_part_linked_sets():
         assert not {60, 61, 62, 63} & set(together)
 
 
+def test_unlike_sets_with_half_a_name_in_common_are_two_nodes():
+    sets = jaccard.shingle_sets([memoryview(t.encode()) for t in (thue_morse(1024), thue_morse(1024, "ba"), "a b c d e f", "a b c d e", "a b", "a  B")])
+    assert len({x.tobytes() for x in sets}) == 5 and len(sets[2]) == 2 and sets[3][0] in sets[2]
+    one, both = jaccard.nodes(sets), jaccard.names(sets).view(np.int64)
+    assert len(set(one.tolist())) == 5
+    assert jaccard.nodes(sets, frozenset([int(one[2])])).tolist() == [*one[:2].tolist(), int(both[2, 1]), *one[3:].tolist()]
+
+
 def test_windows_of_linked_sets_meet():
     rng = np.random.default_rng(12)
     common = np.sort(rng.integers(0, 1 << 63, 30).astype(np.uint64))
