@@ -7,8 +7,8 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .functions.fixed import COUNTRIES
-from .operators.leaderboard import metadata
-from .plans.search import solar_board
+from .operators.leaderboard import metadata, top_panels
+from .plans.search import crawl_counters, solar_records
 from .sources.documents import document, write_document
 
 
@@ -30,8 +30,11 @@ def main() -> None:
     a = arguments()
     spark = SparkSession.builder.appName("offermill").getOrCreate()
     countries = spark.createDataFrame([(c,) for c in a.countries], "country string")
-    board = solar_board(spark.read.parquet(a.results), spark.read.parquet(a.pages), countries, a.max_pages).cache()
-    write_document(document(board.drop("ordinal"), metadata(board, board.count()), "pricePerWattUsd", "url"), a.out)
+    pages, records = solar_records(spark.read.parquet(a.results), spark.read.parquet(a.pages), countries, a.max_pages)
+    records = records.cache()
+    board = top_panels(records).cache()
+    n = crawl_counters(pages, records, board).first()
+    write_document(document(board.drop("ordinal"), metadata(board, n.totalCrawled, n.totalExtracted), "pricePerWattUsd", "url"), a.out)
     for r in board.limit(10).collect():
         print(f"{r.pricePerWattUsd:.3f} $/W  {r.title}  {r.vendor}")
 

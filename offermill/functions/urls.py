@@ -96,7 +96,11 @@ def unwrapped(url: Column, engine: str) -> Column:
 
 
 def encoded(text: Column) -> Column:
-    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    """Percent escapes of all but letters, digits and - _ . ! ~ * ' ( )."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for escape, sign in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(escape), F.lit(sign))
+    return out
 
 
 def blocked(html: Column) -> Column:

@@ -142,6 +142,15 @@ def json_links(bodies: DataFrame, body: str = "body", most: int = fixed.LINKS_KE
     return bodies.select(*[c for c in bodies.columns if c != body], F.posexplode(F.transform(fine, lambda r: r["url"])).alias("ordinal", "url"))
 
 
+def either_links(results: DataFrame) -> DataFrame:
+    """url of each result, in order: of the JSON body where it has any, else of the markup. results: keys, engine, body, html."""
+    keys = [c for c in results.columns if c not in ("body", "html")]
+    found = json_links(results.select(*keys, "body"))
+    rest = results.drop("body").join(found.select(*keys).distinct(), keys, "left_anti")
+    columns = [*keys, F.col("ordinal").cast("long").alias("ordinal"), "url"]
+    return found.select(*columns).unionByName(links(rest).select(*columns))
+
+
 def cards(listings: DataFrame) -> DataFrame:
     """Cards of listing pages (url, html, ...): title, price, currency, wattage, panelType, isUsed and url."""
     df = mapped(listings.withColumnRenamed("url", "page_url"), listing_cards, CARDS, also="page_url")

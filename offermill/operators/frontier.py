@@ -135,3 +135,16 @@ def request(query: str, category: str | None = None, countries: list[str] | None
         raise ValueError("a query has 2 to 200 characters")
     known = [c for c in countries or [] if c in fixed.COUNTRIES] if isinstance(countries, list) else []
     return {"query": query.strip(), "category": category if category in fixed.CATEGORIES else "supplements", "countries": known or ["US"], "depth": depth if depth in fixed.DEPTHS else "normal"}
+
+
+def read_through(wanted: DataFrame, held: DataFrame, fetched: DataFrame) -> DataFrame:
+    """url, html and source of wanted pages: from the cache, and those that it lacks as they were fetched or rendered."""
+    hits = wanted.select("url").join(held.select("url", "html"), "url").withColumn("source", F.lit("cache"))
+    misses = wanted.select("url").join(held.select("url"), "url", "left_anti").join(fetched.select("url", "html"), "url").withColumn("source", F.lit("fetch"))
+    return hits.unionByName(misses)
+
+
+def one_of_both(fetched: DataFrame, rendered: DataFrame) -> DataFrame:
+    """Pages (url, html) read both ways, by url: the rendered one where there is one, else the fetched one."""
+    rest = fetched.select("url", "html").join(rendered.select("url"), "url", "left_anti")
+    return rendered.select("url", "html").withColumn("source", F.lit("render")).unionByName(rest.withColumn("source", F.lit("fetch")))

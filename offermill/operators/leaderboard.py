@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, scores
 from ..functions.numbers import half_up, lookup
+from ..functions.urls import encoded
 from .ranking import first_of
 
 
@@ -34,13 +35,6 @@ def listing_panels(cards: DataFrame) -> DataFrame:
     return df.filter(raw.between(0.05, 5.0) & ~F.col("title").rlike("(?i)pallet|bundle|pack of|set of")).withColumn("confidence", F.lit(0.7))
 
 
-def _encoded_head(title: Column) -> Column:
-    head = F.replace(F.url_encode(F.substring(F.coalesce(title, F.lit("")), 1, 20)), F.lit("+"), F.lit("%20"))
-    for escape, plain in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
-        head = F.replace(head, F.lit(escape), F.lit(plain))
-    return head
-
-
 def build(products: DataFrame) -> DataFrame:
     """A leaderboard of merged batches: rates of more currencies, filters and order by the price per watt as paid."""
     df = products.filter(F.col("wattage").between(10, 1000) & (F.col("price") > 0))
@@ -48,14 +42,15 @@ def build(products: DataFrame) -> DataFrame:
     usd = half_up(F.col("price") * F.coalesce(lookup(fixed.BUILDER_RATES, code), F.lit(1.0)), 2)
     df = df.withColumns({"currency": code, "priceUsd": usd, "pricePerWatt": half_up(F.col("price") / F.col("wattage"), 3)}).withColumn("pricePerWattUsd", half_up(F.col("priceUsd") / F.col("wattage"), 3))
     df = df.filter(F.col("pricePerWatt").between(0.10, 3.0)).withColumns({"panelType": F.coalesce("panelType", F.lit("unknown")), "country": F.coalesce("country", F.lit("US")), "confidence": F.lit(0.85)})
-    real = F.col("url").startswith("http") & ~F.col("url").contains(_encoded_head(F.col("title")))
+    real = F.col("url").startswith("http") & ~F.col("url").contains(encoded(F.substring(F.coalesce("title", F.lit("")), 1, 20)))
     key = F.when(F.coalesce(real, F.lit(False)), F.col("url")).otherwise(F.concat_ws("|", F.col("vendor"), F.col("title"), F.col("wattage").cast("string")))
     return first_of(df, [key], F.asc("ordinal")).orderBy("pricePerWatt", "ordinal")
 
 
-def metadata(results: DataFrame, extracted: int, version: int = 3) -> DataFrame:
+def metadata(results: DataFrame, crawled: int, extracted: int | None = None, version: int = 3) -> DataFrame:
+    """One row of counters: pages read, panels found on them, and results; where pages aren't known, as many as panels."""
     return results.agg(
-        F.lit(extracted).alias("totalCrawled"), F.lit(extracted).alias("totalExtracted"), F.count(F.lit(1)).alias("totalAfterFiltering"),
+        F.lit(crawled).alias("totalCrawled"), F.lit(crawled if extracted is None else extracted).alias("totalExtracted"), F.count(F.lit(1)).alias("totalAfterFiltering"),
         F.sort_array(F.collect_set("country")).alias("countriesCrawled"), F.sort_array(F.collect_set("vendor")).alias("vendorsCrawled"), F.lit(version).alias("version"),
     )
 
@@ -77,15 +72,16 @@ def stock_counts(results: DataFrame) -> DataFrame:
 
 
 def facets(df: DataFrame, countries: list[str] | None = None, least_watts: float | None = None, most_watts: float | None = None, panel_type: str | None = None, stock: str | None = None, exact_type: bool = False) -> DataFrame:
-    """Rows that all given facets hold for. Watts and type are looked for in specs, where records have them."""
+    """Rows that all given facets hold for. Watts and type are looked for in specs, where records have them; countries and,
+    unless it must be exact, type in any case."""
     nested = "specs" in df.columns
     watts = F.coalesce(F.col("specs.wattage" if nested else "wattage"), F.lit(0))
     kind = F.col("specs.panelType" if nested else "panelType")
     if countries:
-        df = df.filter(F.col("country").isin(countries))
-    if least_watts:
+        df = df.filter(F.upper("country").isin([c.strip().upper() for c in countries]))
+    if least_watts is not None:
         df = df.filter(watts >= least_watts)
-    if most_watts:
+    if most_watts is not None:
         df = df.filter(watts <= most_watts)
     if panel_type:
         df = df.filter(kind == panel_type if exact_type else F.lower(kind) == panel_type.lower())

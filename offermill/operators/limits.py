@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
 
@@ -24,8 +29,68 @@ def in_last(df: DataFrame, ts: str = "ts", ms: int = 60_000, keys: list[str] | N
     return out.filter("_place = 0").drop("_at", "_step", "_place")
 
 
-def within_budget(df: DataFrame, most: int = fixed.BUDGET_PER_MINUTE) -> DataFrame:
-    return df.withColumn("allowed", F.col("recent") < most)
+_TYPES = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def folded(df: DataFrame, keys: list[str], order: list[str], read: list[str], new: list[tuple[str, str]], start: Callable[[], object], step: Callable[..., tuple]) -> DataFrame:
+    """df with new columns: what step makes of a key's state and the columns read, row by row in order.
+
+    A task holds one key's state, whatever the number of its rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            out = []
+            for key, *row in zip(zip(*(b.column(k).to_pylist() for k in keys), strict=True), *(b.column(c).to_pylist() for c in read), strict=True):
+                if state is None or key != at:
+                    at, state = key, start()
+                out.append(step(state, *row))
+            columns = [pa.array(x, _TYPES[t]) for x, (_, t) in zip(zip(*out, strict=True), new, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, *(n for n, _ in new)])
+
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, {"long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}[t]) for n, t in new)])
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def _islands(df: DataFrame, at: str, ms: int) -> DataFrame:
+    """df with _island, which rises where nothing happens for ms; told from one row for each time step that has rows."""
+    rows = df.withColumn("_step", F.floor(F.col(at) / ms))
+    by = Window.orderBy("_step")
+    steps = rows.groupBy("_step").agg(F.min(at).alias("_x"), F.max(at).alias("_y"))
+    steps = steps.withColumn("_pause", F.coalesce((F.col("_x") - F.lag("_y").over(by) >= ms).cast("long"), F.lit(0)))
+    return rows.join(steps.select("_step", F.sum("_pause").over(by).alias("_island")), "_step").drop("_step")
+
+
+def budgeted(df: DataFrame, ts: str, *order: str, ms: int = 60_000, most: int = fixed.BUDGET_PER_MINUTE, engine: str | None = None, failed: str | None = None) -> DataFrame:
+    """df with recent, how many requests were made within ms before, and allowed; only allowed requests are made.
+
+    One budget serves all requests, so they are taken in order; after a pause of ms it is full again, and what lies between
+    such pauses goes to different tasks. With engine and failed, an engine whose made requests failed too often is denied,
+    and as that lasts, all requests are one run. Requests without a time are neither allowed nor denied.
+    """
+    rows = df.withColumn("_at", F.unix_millis(F.col(ts).cast("timestamp")))
+    timed = rows.filter("_at IS NOT NULL")
+    timed = timed.withColumn("_island", F.lit(0).cast("long")) if engine else _islands(timed, "_at", ms)
+    read = ["_at", *([engine, failed] if engine else [])]
+
+    def step(state: tuple[deque, dict], at: int, name: object = None, bad: bool | None = None) -> tuple[int, bool]:
+        made, engines = state
+        while made and at - made[0] >= ms:
+            made.popleft()
+        recent, (n, wrong) = len(made), engines.get(name, (0, 0))
+        allowed = recent < most and not (wrong > 2 * (n - wrong) and n > 5)
+        if allowed:
+            made.append(at)
+            if engine:
+                engines[name] = n + 1, wrong + bool(bad)
+        return recent, allowed
+
+    out = folded(timed, ["_island"], ["_at", *order], read, [("recent", "long"), ("allowed", "boolean")], lambda: (deque(), {}), step)
+    none = rows.filter("_at IS NULL").withColumns({"recent": F.lit(None).cast("long"), "allowed": F.lit(None).cast("boolean")})
+    return out.drop("_island").unionByName(none).drop("_at")
 
 
 def healthy(requests: Column, succeeded: Column, failed: Column) -> Column:
@@ -48,19 +113,22 @@ def failure_runs(df: DataFrame, key: str, failed: Column, *order: str, base_ms:
 
 def circuit_breaker(df: DataFrame, domain: str, failed: Column, ordinal: str, size: int = 8) -> DataFrame:
     """df with chunk and skipped: its domain failed in an earlier chunk of so many rows. ordinal counts from 0 without gaps."""
-    earlier = Window.partitionBy(domain).orderBy("chunk").rangeBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("chunk", F.floor(F.col(ordinal) / size))
-    return df.withColumn("_failed", failed.cast("int")).withColumn("skipped", F.coalesce(F.max("_failed").over(earlier), F.lit(0)) == 1).drop("_failed")
+    first = df.filter(failed).groupBy(domain).agg(F.min("chunk").alias("_first"))
+    return df.join(first, domain, "left").withColumn("skipped", F.coalesce(F.col("chunk") > F.col("_first"), F.lit(False))).drop("_first")
+
 
+def numbered(df: DataFrame, *order: Column, by: Column, into: str = "ordinal") -> DataFrame:
+    """Rows numbered from 0 in a total order without sorting them in one task.
 
-def numbered(df: DataFrame, *order: Column, into: str = "ordinal") -> DataFrame:
-    """Rows numbered from 0 in a total order without sorting them in one task: ranges are counted, then numbered."""
-    df = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    sizes = df.groupBy("_part").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(sizes.withColumn("_start", before).select("_part", "_start"))
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return df.withColumn("_nth", nth).join(starts, "_part").withColumn(into, F.col("_start") + F.col("_nth")).drop("_part", "_nth", "_start")
+    by never falls along the order, as the hour of a time by which rows are ordered; rows of one value are sorted together.
+    """
+    rows = df.withColumn("_bucket", by)
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy("_bucket").count().select(F.col("_bucket").alias("_own"), before.alias("_start"))
+    nth = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
+    rows = rows.withColumn("_nth", nth).join(starts, F.col("_bucket").eqNullSafe(F.col("_own")))
+    return rows.withColumn(into, F.col("_start") + F.col("_nth")).drop("_bucket", "_own", "_nth", "_start")
 
 
 def engine_stats(df: DataFrame, key: str, failed: Column) -> DataFrame:
@@ -70,19 +138,25 @@ def engine_stats(df: DataFrame, key: str, failed: Column) -> DataFrame:
 
 
 def moving_mean(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Each key's mean, from 0, that each value moves halfway. Older values than 60 weigh less than any double's last bit."""
-    last = df.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("_nth <= 1100")
-    return last.groupBy(key).agg(F.sum(F.col(value) * F.pow(F.lit(0.5), F.col("_nth"))).alias("mean"))
+    """Each key's mean, from 0, that each value in order moves halfway; a null value counts as 0."""
+
+    def step(state: list[float], x: float | None) -> tuple[float]:
+        state[0] = (state[0] + (x or 0.0)) / 2
+        return (state[0],)
+
+    out = folded(df.select(key, order, F.col(value).cast("double").alias("_value")), [key], [order], ["_value"], [("_mean", "double")], lambda: [0.0], step)
+    return out.groupBy(key).agg(F.max_by("_mean", order).alias("mean"))
 
 
 def cache_hits(df: DataFrame, key: str, ts: str, ttl_ms: int) -> DataFrame:
-    """df with hit: the key's entry, which a miss sets anew, is at most ttl_ms old. Folds each key's times in order."""
-    times = df.groupBy(key).agg(F.sort_array(F.collect_list(F.unix_millis(F.col(ts).cast("timestamp")))).alias("_times"))
-    start = F.struct(F.lit(None).cast("long").alias("set"), F.array().cast("array<boolean>").alias("hits"))
+    """key, at (ms) and hit of every request: the key's entry, which a miss sets anew, is at most ttl_ms old. A request without
+    a time misses and sets nothing."""
 
-    def step(acc, t):
-        hit = F.coalesce(t - acc["set"] <= ttl_ms, F.lit(False))
-        return F.struct(F.when(hit, acc["set"]).otherwise(t).alias("set"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
+    def step(state: list[int | None], at: int | None) -> tuple[bool]:
+        hit = at is not None and state[0] is not None and at - state[0] <= ttl_ms
+        if not hit and at is not None:
+            state[0] = at
+        return (hit,)
 
-    folded = times.withColumn("_hits", F.aggregate("_times", start, step)["hits"])
-    return folded.select(key, F.explode(F.arrays_zip(F.col("_times").alias("at"), F.col("_hits").alias("hit"))).alias("x")).select(key, "x.at", "x.hit")
+    rows = df.select(key, F.unix_millis(F.col(ts).cast("timestamp")).alias("at"))
+    return folded(rows, [key], ["at"], ["at"], [("hit", "boolean")], lambda: [None], step)

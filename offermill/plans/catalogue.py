@@ -307,7 +307,7 @@ def leaderboard_metadata(spark, sf_dir):
 
 @query(f"""WITH {sql.PANELS}, {_LEADER} SELECT {_PANEL} FROM leaders WHERE country IN ('US', 'DE') AND coalesce(wattage, 0) >= 100 AND coalesce(wattage, 0) <= 800 AND lower("panelType") = 'bifacial'""")
 def leaderboard_facets(spark, sf_dir):
-    return leaderboard.facets(_leaders(spark, sf_dir), ["US", "DE"], 100, 800, "Bifacial").select("ordinal", "url", "wattage", "pricePerWatt", "pricePerWattUsd")
+    return leaderboard.facets(_leaders(spark, sf_dir), ["us", " DE"], 100, 800, "Bifacial").select("ordinal", "url", "wattage", "pricePerWatt", "pricePerWattUsd")
 
 
 @query(f"WITH {sql.PANELS}, {_LEADER} SELECT ordinal, efficiency FROM leaders ORDER BY efficiency ASC NULLS LAST, ordinal LIMIT 40 OFFSET 20")
@@ -375,9 +375,39 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.from_json("props", "k long")["k"].alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 35999999 MILLISECONDS PRECEDING AND CURRENT ROW) - 1 AS recent, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 35999999 MILLISECONDS PRECEDING AND CURRENT ROW) - 1 < 60 AS allowed FROM events")
+_MADE = "list_filter(f.made, lambda x: e.at - x < 36000000)"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, epoch_us(ts) // 1000 AS at, row_number() OVER (ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS recent, CAST([] AS BIGINT[]) AS made
+ UNION ALL SELECT e.i, e.event_id, CAST(len({_MADE}) AS BIGINT), CASE WHEN len({_MADE}) < 60 THEN list_append({_MADE}, e.at) ELSE {_MADE} END FROM f JOIN e ON e.i = f.i + 1)
+SELECT event_id, recent, recent < 60 AS allowed FROM f WHERE i > 0""")
 def request_budget(spark, sf_dir):
-    return limits.within_budget(limits.in_last(table(spark, sf_dir, "events"), ms=36_000_000)).select("event_id", "recent", "allowed")
+    """Only requests that are made count, so the first denials don't last."""
+    return limits.budgeted(table(spark, sf_dir, "events"), "ts", "event_id", ms=36_000_000).select("event_id", "recent", "allowed")
+
+
+@query()
+def engine_budget(spark, sf_dir):
+    """The same with engines, which are denied once two thirds of more than five requests failed; tested against plain Python."""
+    df = table(spark, sf_dir, "events").withColumns({"engine": F.col("user_id") % 12, "failed": F.col("event_type") != "click"})
+    return limits.budgeted(df, "ts", "event_id", ms=36_000_000, engine="engine", failed="failed").select("event_id", "recent", "allowed")
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events),
+f AS (SELECT user_id, at_ms, nth, at_ms AS was_set, false AS hit FROM o WHERE nth = 1
+ UNION ALL SELECT o.user_id, o.at_ms, o.nth, CASE WHEN o.at_ms - f.was_set <= 86400000 THEN f.was_set ELSE o.at_ms END, o.at_ms - f.was_set <= 86400000 FROM f JOIN o ON o.user_id = f.user_id AND o.nth = f.nth + 1)
+SELECT user_id, at_ms, hit FROM f""")
+def cache_day_hits(spark, sf_dir):
+    """A day's time to live: an entry is set by a miss and does not live longer for its hits."""
+    return limits.cache_hits(table(spark, sf_dir, "events"), "user_id", "ts", 86_400_000).select("user_id", F.col("at").alias("at_ms"), "hit")
+
+
+@query("""WITH c AS (SELECT user_id % 12 AS engine, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type <> 'error') AS succeeded FROM events GROUP BY 1)
+SELECT engine, failed > 3 AND failed > 2 * succeeded AS blocked FROM c""")
+def proxy_blocked_engines(spark, sf_dir):
+    df = limits.engine_stats(table(spark, sf_dir, "events").withColumn("engine", F.col("user_id") % 12), "engine", F.col("event_type") == "error")
+    return df.select("engine", limits.proxy_blocked(F.col("succeeded"), F.col("failed")).alias("blocked"))
 
 
 @query("""WITH f AS (SELECT *, event_type = 'error' AS failed FROM events), i AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM f),
@@ -390,7 +420,7 @@ def failure_runs_cooldown(spark, sf_dir):
 @query("""WITH n AS (SELECT event_id, user_id % 20 AS domain, event_type = 'error' AS failed, (row_number() OVER (ORDER BY ts, event_id) - 1) // 8 AS chunk FROM events)
 SELECT event_id, CAST(chunk AS BIGINT) AS chunk, coalesce(bool_or(failed) OVER (PARTITION BY domain ORDER BY chunk RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS skipped FROM n""")
 def domain_circuit_breaker(spark, sf_dir):
-    df = limits.numbered(table(spark, sf_dir, "events").withColumn("domain", F.col("user_id") % 20), F.asc("ts"), F.asc("event_id"))
+    df = limits.numbered(table(spark, sf_dir, "events").withColumn("domain", F.col("user_id") % 20), F.asc("ts"), F.asc("event_id"), by=F.date_trunc("hour", "ts"))
     return limits.circuit_breaker(df, "domain", F.col("event_type") == "error", "ordinal").select("event_id", "chunk", "skipped")
 
 
@@ -514,14 +544,22 @@ def listing_cards(spark, sf_dir):
 
 
 def _stream(spark, sf_dir, make, mode="append"):
+    """What a stream gives: appended rows go to a Parquet table, exactly once; a complete small result is a table in memory."""
     import tempfile
     import uuid
 
     from ..streaming import state
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).rstrip("/")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     name = f"stream_{uuid.uuid4().hex}"
-    return state.run_now(make(state.event_stream(spark, sf_dir)), name, f"{base}/{name}", mode)
+    folder = f"{(base or tempfile.mkdtemp()).rstrip('/')}/{name}"
+    df = make(state.event_stream(spark, sf_dir))
+    if mode != "append":
+        return state.run_now(df, name, folder, mode)
+    state.run_to(df, f"{folder}-rows", folder)
+    return spark.read.schema(df.schema).parquet(f"{folder}-rows")
 
 
 @query("SELECT event_type, count(*) AS n, floor(sum(value) * 100 + 0.5) / 100 AS total FROM events GROUP BY event_type")
@@ -570,3 +608,73 @@ def progress_percent(spark, sf_dir):
 def cache_first_misses(spark, sf_dir):
     """With a time to live beyond all events only the first request of a key misses."""
     return limits.cache_hits(table(spark, sf_dir, "events"), "user_id", "ts", 10**15).select("user_id", F.col("at").alias("at_ms"), "hit")
+
+
+@query("SELECT url, page_id % 3 = 0 AS held, octet_length(encode(html)) AS size FROM pages WHERE page_id % 5 < 4")
+def read_through_pages(spark, sf_dir):
+    """The cache holds each third page; the others are read as they were fetched."""
+    pages = table(spark, sf_dir, "pages")
+    found = frontier.read_through(pages.filter("page_id % 5 < 4"), pages.filter("page_id % 3 = 0"), pages)
+    return found.select("url", (F.col("source") == "cache").alias("held"), F.octet_length("html").cast("long").alias("size"))
+
+
+@query("SELECT url, CASE WHEN page_id % 4 = 0 THEN 'render' ELSE 'fetch' END AS source FROM pages")
+def fetched_and_rendered(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return frontier.one_of_both(pages, pages.filter("page_id % 4 = 0")).select("url", "source")
+
+
+@query("""SELECT page_id, CAST(i AS BIGINT) AS ordinal, 'https://' || CASE WHEN page_id % 3 = 0 THEN 'json' ELSE 'html' END || '.example/' || page_id || '/' || i AS url FROM pages, (SELECT unnest(range(70)) AS i) WHERE i < CASE WHEN page_id % 3 = 0 THEN 50 ELSE 2 END""")
+def json_first_links(spark, sf_dir):
+    """Results with a body of 70 JSON links, an empty one or none, and with markup; 50 links are kept of each."""
+    from ..operators.extract import either_links
+
+    k = F.col("page_id")
+    body = F.to_json(F.struct(F.transform(F.sequence(F.lit(0), F.lit(69)), lambda i: F.struct(F.concat(F.lit("https://json.example/"), k, F.lit("/"), i).alias("url"))).alias("results")))
+    html = F.concat(*(F.concat(F.lit("<a class=title href='https://html.example/"), k, F.lit(f"/{i}'>x</a>")) for i in range(2)))
+    df = table(spark, sf_dir, "pages").select("page_id", F.lit("Mojeek").alias("engine"), F.when(k % 3 == 0, body).when(k % 3 == 1, F.lit('{"results": []}')).alias("body"), html.alias("html"))
+    return either_links(df).select("page_id", "ordinal", "url")
+
+
+@query(f"WITH {sql.OFFERS}, s AS (SELECT * FROM offers WHERE partkey % 2 = 0), n AS (SELECT * FROM offers WHERE partkey % 3 = 0) SELECT ordinal FROM s UNION ALL SELECT ordinal FROM n WHERE url NOT IN (SELECT url FROM s)")
+def saved_inserted(spark, sf_dir):
+    from ..sources.documents import insert_absent
+
+    df = offers(spark, sf_dir)
+    return insert_absent(df.filter("partkey % 2 = 0"), df.filter("partkey % 3 = 0")).select("ordinal")
+
+
+@query(f"WITH {sql.OFFERS} SELECT ordinal FROM offers WHERE ordinal <> (SELECT min(ordinal) FROM offers)")
+def saved_without_one(spark, sf_dir):
+    from ..sources.documents import removed
+
+    df = offers(spark, sf_dir).withColumn("url", F.col("ordinal").cast("string"))
+    return removed(df, str(df.agg(F.min("ordinal")).first()[0])).select("ordinal")
+
+
+@query("SELECT p_partkey, lower(trim('  ' || p_name || ' ')) || ':supplements:' || CASE WHEN p_partkey % 2 = 0 THEN 'DE,US' ELSE 'UK' END || ':quick' AS cache_key FROM part")
+def search_cache_keys(spark, sf_dir):
+    from ..streaming.state import cache_key
+
+    countries = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("US"), F.lit("DE"))).otherwise(F.array(F.lit("UK")))
+    return table(spark, sf_dir, "part").select("p_partkey", cache_key(F.concat(F.lit("  "), "p_name", F.lit(" ")), F.lit("supplements"), countries, F.lit("quick")).alias("cache_key"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size * 12 AS wattage, p_retailprice / 4 AS price, CASE p_partkey % 4 WHEN 0 THEN 'Pallet of panels' WHEN 1 THEN 'Mono panel' WHEN 2 THEN 'Set of 2' ELSE 'Poly BUNDLE' END AS title FROM part)
+SELECT p_partkey, wattage FROM p WHERE wattage BETWEEN 5 AND 1000 AND price > 0 AND price / wattage BETWEEN 0.05 AND 5.0 AND p_partkey % 4 = 1""")
+def single_panels_of_listings(spark, sf_dir):
+    title = F.element_at(F.array(*(F.lit(t) for t in ("Pallet of panels", "Mono panel", "Set of 2", "Poly BUNDLE"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    df = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 12).alias("wattage"), (F.col("p_retailprice") / 4).alias("price"), F.lit("USD").alias("currency"), title.alias("title"))
+    return leaderboard.listing_panels(df).select("p_partkey", "wattage")
+
+
+@query(f'WITH {sql.PANELS}, {_LEADER} SELECT (SELECT count(*) FROM pages) AS "totalCrawled", (SELECT count(*) FROM part) AS "totalExtracted", (SELECT count(*) FROM leaders) AS "totalAfterFiltering"')
+def counters_of_a_crawl(spark, sf_dir):
+    from .search import crawl_counters
+
+    return crawl_counters(table(spark, sf_dir, "pages"), table(spark, sf_dir, "part"), _leaders(spark, sf_dir))
+
+
+@query("SELECT p_partkey, replace(replace(replace(replace(p_name || ' (A) it''s ~5! + 100%', '%', '%25'), ' ', '%20'), '+', '%2B'), '/', '%2F') AS escaped FROM part")
+def escaped_titles(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", urls.encoded(F.concat("p_name", F.lit(" (A) it's ~5! + 100%"))).alias("escaped"))

@@ -38,12 +38,18 @@ def search(spark: SparkSession, results: DataFrame, pages: DataFrame, query: str
     return ranked, envelope(ranked, ranking.best_deal(ranked), ask)
 
 
-def solar_board(results: DataFrame, pages: DataFrame, countries: DataFrame, most_pages: int = 3000, top: int = 1000) -> DataFrame:
-    """The cheapest panels per watt of stored pages found for the countries (country) by engines of the first two tiers."""
+def solar_records(results: DataFrame, pages: DataFrame, countries: DataFrame, most_pages: int = 3000) -> tuple[DataFrame, DataFrame]:
+    """Stored pages found for the countries (country) by engines of the first two tiers, and the panels on them."""
     queries = frontier.country_queries(countries).select("query", "ordinal").distinct()
     found = candidate_urls(queries, results, most_tier=2)
     wanted = frontier.solar_prioritised(frontier.solar_fetchable(found)).orderBy("tier", "ordinal").limit(most_pages)
-    return leaderboard.top_panels(extract.panel_records(pages_of(wanted, pages)), top)
+    found = pages_of(wanted, pages)
+    return found, extract.panel_records(found)
+
+
+def solar_board(results: DataFrame, pages: DataFrame, countries: DataFrame, most_pages: int = 3000, top: int = 1000) -> DataFrame:
+    """The cheapest panels per watt."""
+    return leaderboard.top_panels(solar_records(results, pages, countries, most_pages)[1], top)
 
 
 def crawl_counters(fetched: DataFrame, extracted: DataFrame, kept: DataFrame) -> DataFrame:

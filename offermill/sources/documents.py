@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import prefix_integer, prefix_number
+from ..functions.urls import encoded
 
 #: Numbers may be strings; everything is read as text first.
 PRODUCT = "struct<title:string,price:string,wattage:string,panelType:string,vendor:string,source:string,url:string,country:string,currency:string>"
@@ -37,9 +38,10 @@ def batches(spark: SparkSession, folder: str) -> DataFrame:
     price = F.coalesce(prefix_number(F.col("price")), F.lit(0.0))
     watts = F.coalesce(prefix_integer(F.col("wattage")), F.lit(0))
     rows = rows.filter((price != 0) & (watts != 0) & (F.col("title") != ""))
-    vendor = F.coalesce(F.nullif("vendor", F.lit("")), F.col("source"))
-    made = F.concat(F.lit("https://"), F.coalesce(vendor, F.lit("unknown")), F.lit("/"), F.substring(F.replace(F.url_encode("title"), F.lit("+"), F.lit("%20")), 1, 80))
-    url = F.coalesce(F.nullif("url", F.lit("")), F.col("source"), made)
+    source = F.nullif("source", F.lit(""))
+    vendor = F.coalesce(F.nullif("vendor", F.lit("")), source)
+    made = F.concat(F.lit("https://"), F.coalesce(vendor, F.lit("unknown")), F.lit("/"), F.substring(encoded(F.col("title")), 1, 80))
+    url = F.coalesce(F.nullif("url", F.lit("")), source, made)
     return rows.select(F.struct("name", "place").alias("ordinal"), "title", price.alias("price"), watts.alias("wattage"), "panelType", vendor.alias("vendor"), url.alias("url"), "country", "currency")
 
 

@@ -150,6 +150,39 @@ def test_budget_and_cache(spark):
     assert hits.filter("k = 0").orderBy("at").limit(4).select("hit").collect() == [(False,), (True,), (False,), (True,)]
 
 
+def test_only_requests_that_are_made_count(spark):
+    df = spark.sql("SELECT id, timestamp_millis(id * 500) AS ts, id % 2 AS engine, id < 20 OR id % 2 = 1 AS failed FROM range(400) UNION ALL SELECT 999, NULL, 0, false")
+    plain = limits.budgeted(df, "ts", "id").collect()
+    assert sum(bool(r.allowed) for r in plain) == 220 and [r.allowed for r in plain if r.id == 999] == [None]
+    made, engines, want = [], {}, {}
+    for i in range(400):
+        made = [t for t in made if i * 500 - t < 60_000]
+        n, wrong = engines.get(i % 2, (0, 0))
+        want[i] = len(made), len(made) < 60 and not (wrong > 2 * (n - wrong) and n > 5)
+        if want[i][1]:
+            made.append(i * 500)
+            engines[i % 2] = n + 1, wrong + (i < 20 or i % 2 == 1)
+    got = {r.id: (r.recent, r.allowed) for r in limits.budgeted(df, "ts", "id", engine="engine", failed="failed").collect() if r.id != 999}
+    assert got == want
+    apart = spark.sql("SELECT id, timestamp_millis(id * 100 + id DIV 70 * 120000) AS ts FROM range(700)")
+    assert sum(r.allowed for r in limits.budgeted(apart, "ts", "id").collect()) == 600
+
+
+def test_rows_without_a_time_stay(spark):
+    df = spark.sql("SELECT * FROM VALUES ('a', timestamp_millis(0)), ('a', NULL), ('a', timestamp_millis(10)) AS t(k, ts)")
+    assert sorted((r.at is not None, r.at or 0, r.hit) for r in limits.cache_hits(df, "k", "ts", 5000).collect()) == [(False, 0, False), (True, 0, False), (True, 10, True)]
+
+
+def test_made_up_urls_and_countries_in_any_case(spark, tmp_path):
+    p = {"title": "Panel (A) mono kit", "price": 99, "wattage": 400, "source": "", "vendor": ""}
+    (tmp_path / "solar-a.json").write_text(json.dumps([p, p | {"wattage": 300}, p]))
+    got = documents.batches(spark, str(tmp_path))
+    assert {r.url for r in got.collect()} == {"https://unknown/Panel%20(A)%20mono%20kit"}
+    built = leaderboard.build(got)
+    assert sorted(r.wattage for r in built.collect()) == [300, 400]
+    assert leaderboard.facets(built, ["us"]).count() == 2 and leaderboard.facets(built, most_watts=0).count() == 0
+
+
 def test_documents(spark, tmp_path):
     p = {"title": "P", "price": "99.5 USD", "wattage": "400W", "source": "s.com"}
     for name, doc in {"solar-a.json": [p], "solar-b.json": {"products": [p | {"title": "Q"}], "panels": [p | {"title": "R", "price": 0}]}, "solar-c.json": {"AU": {"products": [p | {"title": "S", "url": "https://x"}]}, "n": 1}, "solar-leaderboard.json": [p]}.items():
