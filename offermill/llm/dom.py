@@ -25,6 +25,8 @@ DEEPEST = 200
 
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|))*+)>)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: What no end follows swallows the rest.
+_OPEN = re.compile(r"<[!?]")
 _SPACE = re.compile(r"\s+")
 
 
@@ -73,9 +75,12 @@ def parse(html: str) -> Node:
             if links:
                 node.link += len(text)
 
-    while m := _TAG.search(html, at):
+    stop = html.rfind(">") + 1  # no tag ends later, so none is looked for from each start there
+    while at < stop and (m := _TAG.search(html, at, stop)):
         add(html[at : m.start()])
         at = m.end()
+        if at == stop and m[0].startswith("<!--") and not m[0].endswith(("-->", "--!>", "<!--->")):
+            at = len(html)  # a comment without an end
         if not m[2]:
             continue
         name = m[2].lower()
@@ -144,7 +149,8 @@ def parse(html: str) -> Node:
             continue
         stack.append((name, node))
         mute += name in MUTE
-    add(html[at:])
+    open_ = _OPEN.search(html, at)
+    add(html[at : open_.start()] if open_ else html[at:])
     pop(0)
     root.flush()
     return root

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -294,6 +295,17 @@ def test_main_text(spark):
     assert wrapper.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_markup_without_an_end():
+    from offermill.llm.dom import parse
+
+    text = lambda h: parse(h).children
+    began = time.process_time()
+    assert text("x" + "<a " * 300_000) == ["x" + ("<a " * 300_000).strip()]
+    assert time.process_time() - began < 5
+    assert text("a <!-- b > c") == ["a"] == text("a <!-- b") == text("a <!doctype") and text("a <!--> b <i>c</i> <!-- > --> d") == ["a b c d"]
+    assert text("a > b <!---> c") == ["a > b c"]
+
+
 def test_tree_matching():
     a = '["r", 0, [["x", 0, []], ["y", 1, [["z", 0, []]]], ["w", 0, []]]]'
     b = '["r", 0, [["y", 0, [["q", 0, []], ["z", 0, []]]], ["w", 0, []]]]'
