@@ -92,15 +92,8 @@ def vendor_price_dedupe(spark, sf_dir):
     return ranking.one_per_vendor_price(df, F.desc("deal_score"), F.asc("ordinal")).groupBy("vendor").agg(F.count(F.lit(1)).alias("n"), F.min("price_per_unit").alias("least"))
 
 
-@query(f"WITH {sql.RANKED} SELECT ordinal, floor((avg(price_per_unit) OVER () - price_per_unit) / avg(price_per_unit) OVER () * 100 + 0.5) AS savings FROM priced WHERE price_per_unit < 10")
+@query(f"WITH {sql.RANKED} SELECT ordinal, floor((avg(price_per_unit) OVER () - price_per_unit) / avg(price_per_unit) OVER () * 100 + 0.5) AS savings FROM priced")
 def savings_vs_avg(spark, sf_dir):
-    """Only prices per unit under 10 and their mean, as its SQL has them; savings_vs_avg_whole takes all priced offers."""
-    df = ranking.priced(ranking.verified(_coded(spark, sf_dir))).filter("price_per_unit < 10")
-    return ranking.savings(df).select("ordinal", "savings")
-
-
-@query()
-def savings_vs_avg_whole(spark, sf_dir):
     return ranking.savings(ranking.priced(ranking.verified(_coded(spark, sf_dir)))).select("ordinal", "savings")
 
 
@@ -161,15 +154,8 @@ def barcode_types(spark, sf_dir):
     return df.select("ordinal", "code", F.col("kind.type").alias("type"), F.col("kind.isValid").alias("valid"))
 
 
-@query(f"WITH {sql.OFFERS}, e AS (SELECT partkey, '0' || upc AS ean FROM offers WHERE partkey % 2 = 0 GROUP BY partkey, upc) SELECT o.ordinal, e.partkey AS other FROM offers o JOIN e ON '0' || o.upc = e.ean")
+@query(f"WITH {sql.OFFERS}, e AS (SELECT partkey, '0' || upc AS ean FROM offers GROUP BY partkey, upc) SELECT o.ordinal, e.partkey AS other FROM offers o JOIN e ON '0' || o.upc = e.ean")
 def upc_to_ean_join(spark, sf_dir):
-    df = offers(spark, sf_dir)
-    other = df.filter("partkey % 2 = 0").select(F.col("partkey").alias("other"), F.concat(F.lit("0"), "primaryUpc").alias("ean")).distinct()
-    return df.withColumn("ean", barcodes.as_ean(F.col("primaryUpc"))).join(other, "ean").select("ordinal", "other")
-
-
-@query()
-def upc_to_ean_join_whole(spark, sf_dir):
     df = offers(spark, sf_dir)
     other = df.select(F.col("partkey").alias("other"), F.concat(F.lit("0"), "primaryUpc").alias("ean")).distinct()
     return df.withColumn("ean", barcodes.as_ean(F.col("primaryUpc"))).join(other, "ean").select("ordinal", "other")
@@ -232,10 +218,12 @@ def fetch_routes(spark, sf_dir):
     return frontier.routed(_event_urls(spark, sf_dir)).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH u AS (SELECT event_id AS ordinal, {_URLS} AS url FROM events), c AS (SELECT DISTINCT url FROM u WHERE url LIKE '%7') SELECT ordinal, url FROM u WHERE url NOT IN (SELECT url FROM c)")
+@query(f"WITH u AS (SELECT event_id AS ordinal, {_URLS} AS url FROM events), c AS (SELECT DISTINCT url || CASE WHEN url LIKE '%7' THEN '' ELSE '#old' END AS url FROM u) SELECT ordinal, url FROM u WHERE url NOT IN (SELECT url FROM c)")
 def uncached_urls(spark, sf_dir):
+    """The cache holds all urls, those that don't end in 7 by names that they no longer have."""
     df = _event_urls(spark, sf_dir)
-    return frontier.uncached(df, df.filter(F.col("url").endswith("7")).select("url").distinct()).select("ordinal", "url")
+    held = df.select(F.concat("url", F.when(F.col("url").endswith("7"), "").otherwise("#old")).alias("url")).distinct()
+    return frontier.uncached(df, held).select("ordinal", "url")
 
 
 @query("WITH t AS (SELECT page_id, lower(html || CASE page_id % 4 WHEN 0 THEN '<p>reCAPTCHA</p>' WHEN 1 THEN 'Access Denied: are you a robot' ELSE '' END) AS t FROM pages) SELECT page_id, len(list_filter(" + sql._list(fixed.BLOCK_SIGNALS) + ", lambda x: contains(t, x))) >= 2 AS blocked FROM t")
@@ -248,14 +236,8 @@ def blocked_pages(spark, sf_dir):
 _KEY = r"array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace(lower(query), '[^a-z0-9_\s]', '', 'g'), '\s+'), lambda w: length(w) > 2)), ' ')"
 
 
-@query(f"WITH q AS (SELECT doc_id AS ordinal, substr(text, 1, 24) AS query FROM documents) SELECT ordinal, query FROM q QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY ordinal) = 1")
+@query(f"WITH q AS (SELECT doc_id AS ordinal, text AS query FROM documents) SELECT ordinal, query FROM q QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY ordinal) = 1")
 def query_dedupe(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.substring("text", 1, 24).alias("query"))
-    return frontier.distinct_queries(df)
-
-
-@query()
-def query_dedupe_whole(spark, sf_dir):
     return frontier.distinct_queries(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.col("text").alias("query")))
 
 
@@ -452,26 +434,16 @@ def numeric_prefixes(spark, sf_dir):
 
 
 _H1 = r"regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
-_UNESCAPED = f"replace(replace({_H1}, '&quot;', '\"'), '&amp;', '&')"
+_UNESCAPED = f"regexp_replace(regexp_replace({_H1}, '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
 
 
 def _clean(x: str) -> str:
     return rf"substr(trim(regexp_replace(regexp_replace({x}, '[\s\x{{00A0}}]+', ' ', 'g'), '[^A-Za-z0-9_\s\-.,()]', '', 'g')), 1, 200)"
 
 
-@query(f"SELECT page_id, {_clean(_UNESCAPED)} AS title FROM pages WHERE {_clean(_UNESCAPED)} <> '' AND NOT regexp_matches({_H1}, '&(am|a|qu|quo|amp|quot)$')")
+@query(f"SELECT page_id, {_clean(_UNESCAPED)} AS title FROM pages WHERE {_clean(_UNESCAPED)} <> ''")
 def page_titles(spark, sf_dir):
-    """Titles by the page's own heading; headings cut inside a character reference are left to unit tests."""
-    from ..operators.extract import title
-    from ..sources.html import page_facts
-
-    df = table(spark, sf_dir, "pages").filter(~F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1).rlike("&(am|a|qu|quo|amp|quot)$"))
-    found = page_facts(df)
-    return found.select("page_id", title(found).alias("title")).filter("title IS NOT NULL")
-
-
-@query()
-def page_titles_whole(spark, sf_dir):
+    """Titles by the page's own heading; pages without one have none."""
     from ..operators.extract import title
     from ..sources.html import page_facts
 
@@ -509,8 +481,9 @@ def panel_extraction(spark, sf_dir):
     return df.select("page_id", "price", "wattage", F.col("specs.panelType").alias("kind"), F.col("specs.efficiency").alias("efficiency"), F.col("specs.brand").alias("brand"), F.col("pricePerWatt").alias("per_watt"), half_up(F.col("confidence"), 3).alias("confidence"))
 
 
-def _result_links(pages):
-    """Result pages whose links lead to the urls of pages, and the links found on them."""
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Google' WHEN 1 THEN 'Yahoo' ELSE 'Mojeek' END AS engine, CAST(i AS BIGINT) AS ordinal, url || '/' || i AS url FROM pages, (SELECT unnest([0, 1, 2]) AS i)""")
+def result_links(spark, sf_dir):
+    """Result pages whose links lead to the urls of all pages, with query and fragment, and the links found on them."""
     from ..operators.extract import links
 
     k, items = F.col("page_id") % 3, []
@@ -518,18 +491,7 @@ def _result_links(pages):
         u = F.concat("url", F.lit(f"/{i}"))
         items.append(F.when(k == 0, F.concat(F.lit("<a href='/url?q="), urls.encoded(u), F.lit("&sa=1'>x</a>"))).when(k == 1, F.concat(F.lit("<a href='https://r.example/RU="), urls.encoded(u), F.lit("/RK=2'>x</a>"))).otherwise(F.concat(F.lit("<a class=title href='"), u, F.lit("'>x</a><a href='https://www.mojeek.com/about'>y</a>"))))
     engine = F.when(k == 0, "Google").when(k == 1, "Yahoo").otherwise("Mojeek")
-    return links(pages.select("page_id", engine.alias("engine"), F.concat(*items).alias("html"))).select("page_id", "engine", "ordinal", "url")
-
-
-@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Google' WHEN 1 THEN 'Yahoo' ELSE 'Mojeek' END AS engine, CAST(i AS BIGINT) AS ordinal, url || '/' || i AS url FROM pages, (SELECT unnest([0, 1, 2]) AS i) WHERE url NOT LIKE '%#%' AND url NOT LIKE '%?%'""")
-def result_links(spark, sf_dir):
-    """Only urls without query and fragment, as its SQL has them; result_links_whole takes all."""
-    return _result_links(table(spark, sf_dir, "pages").filter("url NOT LIKE '%#%' AND url NOT LIKE '%?%'"))
-
-
-@query()
-def result_links_whole(spark, sf_dir):
-    return _result_links(table(spark, sf_dir, "pages"))
+    return links(table(spark, sf_dir, "pages").select("page_id", engine.alias("engine"), F.concat(*items).alias("html"))).select("page_id", "engine", "ordinal", "url")
 
 
 @query("""SELECT page_id, CAST(i AS BIGINT) AS ordinal, 'Panel mono ' || (page_id % 300 + i) || 'W' AS title, page_id % 900 + 100.25::DOUBLE AS price, 'EUR' AS currency, CAST(page_id % 300 + i AS BIGINT) AS wattage, 'https://shop.example/product/' || page_id || '-' || i AS url FROM pages, (SELECT unnest([0, 1]) AS i)""")
@@ -598,10 +560,11 @@ def offer_badges(spark, sf_dir):
     return _coded(spark, sf_dir).select("ordinal", F.array_join(b, ", ").alias("badges"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'click' THEN floor(40 + (event_id % 10) / 10.0::DOUBLE * 40 + 0) ELSE NULL END AS percent FROM events WHERE event_type = 'click'")
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 40 + event_id % 10 / 10::DOUBLE * 40 WHEN 'view' THEN CASE event_id % 10 WHEN 0 THEN 10 ELSE 5 + event_id % 10 / 10::DOUBLE * 35 END WHEN 'error' THEN 85 ELSE 100 END::DOUBLE AS percent FROM events""")
 def progress_percent(spark, sf_dir):
-    df = table(spark, sf_dir, "events").filter("event_type = 'click'")
-    return df.select("event_id", formats.progress(F.lit("crawling"), F.col("event_id") % 10, F.lit(10)).alias("percent"))
+    kind = F.col("event_type")
+    stage = F.when(kind == "click", "crawling").when(kind == "view", "searching").when(kind == "error", "extracting").otherwise("complete")
+    return table(spark, sf_dir, "events").select("event_id", formats.progress(stage, F.col("event_id") % 10, F.lit(10)).alias("percent"))
 
 
 @query(f"WITH {sql.OFFERS}, h AS (SELECT partkey, CAST(epoch_us(ts) // 1000 AS BIGINT) AS at_ms FROM (SELECT user_id AS partkey, ts FROM events)), o AS (SELECT partkey AS user_id, at_ms, row_number() OVER (PARTITION BY partkey ORDER BY at_ms) AS nth FROM h) SELECT user_id, at_ms, nth > 1 AS hit FROM o")
@@ -610,18 +573,21 @@ def cache_first_misses(spark, sf_dir):
     return limits.cache_hits(table(spark, sf_dir, "events"), "user_id", "ts", 10**15).select("user_id", F.col("at").alias("at_ms"), "hit")
 
 
-@query("SELECT url, page_id % 3 = 0 AS held, octet_length(encode(html)) AS size FROM pages WHERE page_id % 5 < 4")
+@query("SELECT url, page_id % 3 = 0 AS held, octet_length(encode(html)) AS size FROM pages")
 def read_through_pages(spark, sf_dir):
-    """The cache holds each third page; the others are read as they were fetched."""
+    """The cache holds all pages, two of three by urls that they no longer have; those are read as they were fetched."""
     pages = table(spark, sf_dir, "pages")
-    found = frontier.read_through(pages.filter("page_id % 5 < 4"), pages.filter("page_id % 3 = 0"), pages)
+    held = pages.select(F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.concat("url", F.lit("#old"))).alias("url"), "html")
+    found = frontier.read_through(pages, held, pages)
     return found.select("url", (F.col("source") == "cache").alias("held"), F.octet_length("html").cast("long").alias("size"))
 
 
-@query("SELECT url, CASE WHEN page_id % 4 = 0 THEN 'render' ELSE 'fetch' END AS source FROM pages")
+@query("SELECT url, CASE WHEN page_id % 4 = 0 THEN 'render' ELSE 'fetch' END AS source FROM pages UNION ALL SELECT url || '#late', 'render' FROM pages WHERE page_id % 4 > 0")
 def fetched_and_rendered(spark, sf_dir):
+    """All pages are fetched and rendered, three of four by urls that no fetch has."""
     pages = table(spark, sf_dir, "pages")
-    return frontier.one_of_both(pages, pages.filter("page_id % 4 = 0")).select("url", "source")
+    rendered = pages.select(F.when(F.col("page_id") % 4 == 0, F.col("url")).otherwise(F.concat("url", F.lit("#late"))).alias("url"), "html")
+    return frontier.one_of_both(pages, rendered).select("url", "source")
 
 
 @query("""SELECT page_id, CAST(i AS BIGINT) AS ordinal, 'https://' || CASE WHEN page_id % 3 = 0 THEN 'json' ELSE 'html' END || '.example/' || page_id || '/' || i AS url FROM pages, (SELECT unnest(range(70)) AS i) WHERE i < CASE WHEN page_id % 3 = 0 THEN 50 ELSE 2 END""")
@@ -636,12 +602,14 @@ def json_first_links(spark, sf_dir):
     return either_links(df).select("page_id", "ordinal", "url")
 
 
-@query(f"WITH {sql.OFFERS}, s AS (SELECT * FROM offers WHERE partkey % 2 = 0), n AS (SELECT * FROM offers WHERE partkey % 3 = 0) SELECT ordinal FROM s UNION ALL SELECT ordinal FROM n WHERE url NOT IN (SELECT url FROM s)")
+@query(f"WITH {sql.OFFERS} SELECT ordinal, false AS added FROM offers UNION ALL SELECT ordinal, true FROM offers WHERE partkey % 3 > 0")
 def saved_inserted(spark, sf_dir):
+    """All offers are saved; of as many that come later, those whose url isn't saved yet are added."""
     from ..sources.documents import insert_absent
 
-    df = offers(spark, sf_dir)
-    return insert_absent(df.filter("partkey % 2 = 0"), df.filter("partkey % 3 = 0")).select("ordinal")
+    df = offers(spark, sf_dir).withColumn("added", F.lit(False))
+    later = df.withColumn("added", F.lit(True)).withColumn("url", F.when(F.col("partkey") % 3 > 0, F.concat("url", F.lit("#new"))).otherwise(F.col("url")))
+    return insert_absent(df, later).select("ordinal", "added")
 
 
 @query(f"WITH {sql.OFFERS} SELECT ordinal FROM offers WHERE ordinal <> (SELECT min(ordinal) FROM offers)")

