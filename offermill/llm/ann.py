@@ -3,12 +3,15 @@
 A vector is coded as a sum of one codeword from each of several codebooks, each of full dimension. The codebooks are
 learned on a bounded sample: residual k-means first, then beam-search coding and least squares for all codewords at once
 by turns. Every row is coded by beam search and keeps its code and the norm of what the code stands for. A query's table
-of products with all codewords then scores a row by lookups; the best scored rows of each block of rows are compared
-exactly, and the nearest of all blocks are the answer.
+of products with all codewords then scores a row by lookups; the best scored vectors of each block of rows are compared
+exactly, and the nearest of all blocks are the answer. Copies of a vector are scored once a block, and stand for as many
+rows as an answer can need, those with the smallest vec_ids: however many there are, ties between them are exact.
 
 Defined results: vectors that are null, zero, of another dimension than most, or hold null or non-finite components take
-no part, nor do rows without vec_id; rows that repeat the query's vec_id are not its neighbours; other repeated rows are
-each a candidate; ties go to the smaller vec_id; with fewer candidates than asked for, all are returned.
+no part, nor do rows without vec_id; rows that repeat the query's vec_id are not its neighbours, and it is searched once, by
+the least of their vectors in the order of arrays; other repeated rows are each a candidate; ties go to the smaller
+vec_id; with fewer candidates than asked for, all are returned; an empty table gives no rows; columns other than the
+vector and its id are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -160,7 +163,7 @@ def search(indexed: DataFrame, books: Codebooks | None, queries: DataFrame, k: i
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
         near.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(folder)
 
-    for r in queries.dropDuplicates(["vec_id", "v"]).toLocalIterator():
+    for r in queries.groupBy("vec_id").agg(F.min("v").alias("v")).toLocalIterator():
         block.append(r)
         if len(block) == QUERY_BLOCK:
             answer(block)
@@ -172,6 +175,25 @@ def search(indexed: DataFrame, books: Codebooks | None, queries: DataFrame, k: i
     return spark.read.schema(schema).parquet(folder)
 
 
+def copies(x: np.ndarray, key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each distinct vector, and its rows' keys, the smallest first: 2 k of them, and k of each key at most.
+
+    Without the rows of any one key, that leaves k where there are so many. Fewer are filled up with the largest number.
+    """
+    _, first, which = np.unique(np.ascontiguousarray(x).view(f"V{x.itemsize * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    order = np.lexsort((key, which))
+    which, key = which[order], key[order]
+    nth = lambda new: np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    other = np.append(True, which[1:] != which[:-1])
+    few = nth(other | np.append(True, key[1:] != key[:-1])) < k
+    which, key = which[few], key[few]
+    place = nth(np.append(True, which[1:] != which[:-1]))
+    few = place < 2 * k
+    keys = np.full((len(first), min(2 * k, int(place.max()) + 1)), np.iinfo(np.int64).max)
+    keys[which[few], place[few]] = key[few]
+    return first, keys
+
+
 def _searcher(shared, k: int, short_list: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, books = shared.value
@@ -182,8 +204,10 @@ def _searcher(shared, k: int, short_list: int):
             for a in range(0, b.num_rows, ROW_BLOCK):
                 part = b.slice(a, ROW_BLOCK)
                 x, key = matrix(part.column("v"), q.shape[1]), part.column("vec_id").to_numpy()
-                codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
-                norms = part.column("norm").to_numpy()
+                first, keys = copies(x, key, k)
+                x = x[first]
+                codes = np.frombuffer(b"".join(part.column("code").take(pa.array(first)).to_pylist()), np.uint8).reshape(len(x), -1)
+                norms = part.column("norm").to_numpy()[first]
                 for c in range(0, len(ids), 256):
                     z = slice(c, min(c + 256, len(ids)))
                     s = scores(tables[:, :, z], codes, norms)
@@ -191,8 +215,12 @@ def _searcher(shared, k: int, short_list: int):
                     near = np.argpartition(s, n - 1, axis=1)[:, :n]
                     own = q[z]
                     d = np.sqrt(((x[near] - own[:, None, :]) ** 2).sum(axis=2))
-                    d[key[near] == ids[z, None]] = np.inf
-                    d, i = np.concatenate([best_d[z], d], axis=1), np.concatenate([best_i[z], key[near]], axis=1)
+                    # the query's own vector may have no other row, so one more than k are looked at
+                    order = np.lexsort((keys[near, 0], d), axis=1)[:, : k + 1]
+                    d, i = np.take_along_axis(d, order, 1), keys[np.take_along_axis(near, order, 1)]
+                    d, i = np.repeat(d, keys.shape[1], axis=1), i.reshape(len(own), -1)
+                    d[(i == ids[z, None]) | (i == np.iinfo(np.int64).max)] = np.inf
+                    d, i = np.concatenate([best_d[z], d], axis=1), np.concatenate([best_i[z], i], axis=1)
                     order = np.lexsort((i, d), axis=1)[:, :k]
                     best_d[z], best_i[z] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
         row, col = np.nonzero(np.isfinite(best_d))

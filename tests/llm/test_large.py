@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from offermill.llm import jaccard, langid, warc, wrapper
+from offermill.llm import ann, jaccard, langid, warc, wrapper
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +69,35 @@ def test_all_languages_are_learned(spark, monkeypatch):
 def test_the_pipeline_keeps_documents_where_no_language_is_known(spark):
     df = spark.createDataFrame([(1, "some text", None), (2, "more", None)], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in corpus_pipeline.language(spark, df, SF).collect()) == [1, 2]
+
+
+def test_ties_between_very_many_copies_of_a_vector(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((4000, 8))
+    key = rng.permutation(4000)
+    x[:2500] = x[0]  # copies, in no order of their ids, more than are compared exactly
+    x[2500:2504] = x[2500]
+    key[3000:3030] = key[3000]  # one row many times
+    x[3000:3030] = x[3000]
+    again = [(int(key[0]), [9.0] * 8)]  # another vector by an id that is there
+    rows = [(int(k), [float(v) for v in r]) for k, r in zip(key, x, strict=True)] + again
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), every=50).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    wanted = {}
+    for i, r in rows:
+        if i % 50 == 0:
+            wanted[i] = min(r, wanted.get(i, r))
+    assert set(found) == set(wanted)
+    right = 0
+    for i, q in wanted.items():
+        d = np.sqrt(((v - np.array(q)) ** 2).sum(axis=1))
+        d[ids == i] = np.inf
+        best = np.lexsort((ids, d))[:10]
+        assert sorted(found[i]) == list(range(1, 11))
+        if d[best[9]] == 0:
+            assert [found[i][k][0] for k in range(1, 11)] == ids[best].tolist()
+        right += sum((a, pytest.approx(s)) == (b, t) for (a, s), (b, t) in zip([found[i][k] for k in range(1, 11)], zip(ids[best].tolist(), d[best].tolist(), strict=True), strict=True))
+    assert sum(len({s for _, s in f.values()}) == 1 for f in found.values()) > 40 and right >= 9 * len(wanted)
