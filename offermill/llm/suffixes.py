@@ -34,6 +34,8 @@ DEPTH, TRIGGER = 50, 24
 #: Windows in a phrase, at most; longer runs (of one character, say) are several phrases of one trigger.
 LONGEST = 4096
 PARSE_BYTES = 3 << 20
+#: Text bytes that are hashed at once; every byte takes some hundred bytes then. A longer text is hashed by itself.
+HASH_BYTES = 512 << 10
 #: Text bytes whose phrases are in one bucket, about, and the buckets, at most. A task holds one bucket at a time.
 BUCKET_BYTES, BUCKETS = 6 << 20, 100_000
 NEW = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())]
@@ -111,6 +113,22 @@ class Parse:
         self.doc, self.start, self.windows = doc, start - begin[doc], windows
 
 
+class Parses:
+    """The phrases of some texts, hashed a few at a time."""
+
+    def __init__(self, texts: list[memoryview], repeats: bool = True):
+        ends = np.cumsum([len(t) for t in texts])
+        some, at = [], 0
+        while at < len(texts) or not some:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HASH_BYTES, side="right")))
+            p = Parse(texts[at:to], repeats=repeats)
+            p.doc = p.doc + at
+            some.append(p)
+            at = to
+        for name in ("text_hash", "doc", "start", "windows", "key", "name"):
+            setattr(self, name, np.concatenate([getattr(p, name) for p in some]))
+
+
 def _by_bucket(bucket: np.ndarray, kind: int, *arrays: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
@@ -193,7 +211,7 @@ def parse(docs: DataFrame, parts: int, repeats: bool = True) -> DataFrame:
         for b in slices(batches, "text", PARSE_BYTES):
             ids = b.column("doc_id")
             texts = [v if ok else v[:0] for v, ok in zip(views(b.column("text")), ids.is_valid().to_pylist(), strict=True)]
-            p = Parse(texts, repeats=repeats)
+            p = Parses(texts, repeats)
             if not len(p.doc):
                 continue
             doc = ids.fill_null(0).to_numpy().astype(np.int64)[p.doc]
