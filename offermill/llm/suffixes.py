@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, digests, give_back, mix, slices, stored, views, without
+from .common import MIX1, Rolling, digests, give_back, mix, slices, stored, views, without
 
 DEPTH, TRIGGER = 50, 24
 #: Windows in a phrase, at most; longer runs (of one character, say) are several phrases of one trigger.
@@ -200,6 +200,21 @@ def _firsts(doc: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order, doc[order][new][np.cumsum(new) - 1]
 
 
+def _shared(columns: list[np.ndarray]) -> np.ndarray:
+    """Rows whose hash another row has too: the others are like no row, and needn't be sorted."""
+    low = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        low *= MIX1
+        low += c.astype(np.uint64)
+    low = mix(low)
+    order = np.argsort(low)
+    low = low[order]
+    same = low[1:] == low[:-1]
+    twice = np.zeros(len(low), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    return np.flatnonzero(twice)
+
+
 PARSE, REPLY, TEXT = 0, 1, 2
 
 
@@ -261,7 +276,9 @@ def sort_suffixes(rows: DataFrame, parts: int, depth: int = DEPTH) -> DataFrame:
         eights = np.ndarray(len(data) - 7, ">u8", data, strides=(1,))
         place = at[which] + nth
         columns = [eights[place + 8 * i] if 8 * i + 8 <= depth else eights[place + 8 * i] >> np.uint64(8 * (8 * i + 8 - depth)) for i in range(-(-depth // 8))]
-        order, first = _firsts(doc[which], *(c.astype(np.uint64) for c in columns))
+        some = _shared(columns)
+        which, nth = which[some], nth[some]
+        order, first = _firsts(doc[which], *(c[some].astype(np.uint64) for c in columns))
         late = np.zeros(len(which), bool)
         late[order] = doc[which[order]] > first
         which, nth = which[late], nth[late]
