@@ -69,5 +69,11 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_pack, op4_token_files, op5_main_text, op6_token_counts, op7_suffixes, op8_warc, op9_jaccard, op10_neighbours)}
-ORACLES = {"op1_decontaminate": sql.DECONTAMINATE, "op8_warc": sql.WARC}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_pack, op4_token_files, op5_main_text, op6_token_counts, op7_suffixes, op8_warc, op9_jaccard, op10_neighbours, op11_divergence)}
+ORACLES = {"op1_decontaminate": sql.DECONTAMINATE, "op8_warc": sql.WARC, "op11_divergence": sql.DIVERGENCE}
