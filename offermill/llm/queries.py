@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql
 from .common import table
@@ -75,5 +76,11 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_pack, op4_token_files, op5_main_text, op6_token_counts, op7_suffixes, op8_warc, op9_jaccard, op10_neighbours, op11_divergence)}
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whiten import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_pack, op4_token_files, op5_main_text, op6_token_counts, op7_suffixes, op8_warc, op9_jaccard, op10_neighbours, op11_divergence, op12_whiten)}
 ORACLES = {"op1_decontaminate": sql.DECONTAMINATE, "op8_warc": sql.WARC, "op11_divergence": sql.DIVERGENCE}
