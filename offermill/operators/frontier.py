@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, urls
+from . import domains
 from .ranking import first_of
 
 
+#: What makes a url look like a panel shop's, besides what any shop's has.
+SOLAR_SHOPS = "solar|panel|watt"
+
+
 def _sites(names: list[str]) -> str:
     return "(" + " OR ".join(f"site:{n}" for n in names) + ")"
 
@@ -100,29 +105,44 @@ def first_per_source(links: DataFrame, keys: list[str], n: int = fixed.LINKS_KEP
     return links.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy("ordinal"))).filter(F.col("_nth") <= n).drop("_nth")
 
 
+def _labelled(found: DataFrame, category: str | None) -> DataFrame:
+    """found with the labels of its urls' domains, by the lists of a category, or of panels."""
+    return found.withColumn("_labels", domains.labels(urls.domain(F.col("url")), domains.rows_of(domains.lists_of(category))))
+
+
 def fetchable(found: DataFrame, category: str) -> DataFrame:
-    return found.filter(~urls.is_excluded(F.col("url"), category))
+    return _labelled(found, category).filter(~domains.on("excluded")).drop("_labels")
 
 
 def solar_fetchable(found: DataFrame) -> DataFrame:
-    return first_seen(found).filter(~urls.within_domain(F.col("url"), fixed.SOLAR_EXCLUDED) & ~urls.is_blog(F.col("url")))
+    return _labelled(first_seen(found), None).filter(~domains.on("excluded") & ~urls.is_blog(F.col("url"))).drop("_labels")
 
 
 def prioritised(found: DataFrame, category: str, renderer: bool = False) -> DataFrame:
-    return found.withColumn("tier", urls.tier(F.col("url"), fixed.VENDORS[category], fixed.DEAL_SITES[category], renderer))
+    return _labelled(found, category).withColumn("tier", domains.tier(F.col("url"), renderer)).drop("_labels")
 
 
 def solar_prioritised(found: DataFrame, renderer: bool = False) -> DataFrame:
-    return found.withColumn("tier", urls.tier(F.col("url"), fixed.SOLAR_VENDORS, fixed.SOLAR_DEAL_SITES, renderer, "solar|panel|watt"))
+    return _labelled(found, None).withColumn("tier", domains.tier(F.col("url"), renderer, SOLAR_SHOPS)).drop("_labels")
+
+
+def both_tiers(found: DataFrame, category: str, renderer: bool = False) -> DataFrame:
+    """tier for a category and solar_tier for panels, in one pass over the domains."""
+    rows = domains.rows_of(domains.lists_of(category)) + domains.rows_of(domains.lists_of(None), "solar ")
+    df = found.withColumn("_labels", domains.labels(urls.domain(F.col("url")), rows))
+    return df.withColumns({"tier": domains.tier(F.col("url"), renderer), "solar_tier": domains.tier(F.col("url"), renderer, SOLAR_SHOPS, "solar ")}).drop("_labels")
 
 
 def to_fetch(found: DataFrame, category: str, depth: str = "normal", renderer: bool = False) -> DataFrame:
     """First seen, not excluded, best tiers first, as many as the depth allows."""
-    return prioritised(fetchable(first_seen(found), category), category, renderer).orderBy("tier", "ordinal").limit(fixed.DEPTHS[depth][0])
+    df = _labelled(first_seen(found), category).filter(~domains.on("excluded")).withColumn("tier", domains.tier(F.col("url"), renderer)).drop("_labels")
+    return df.orderBy("tier", "ordinal").limit(fixed.DEPTHS[depth][0])
 
 
 def routed(found: DataFrame) -> DataFrame:
-    return found.withColumn("route", F.when(urls.needs_browser(F.col("url")), "render").otherwise("fetch"))
+    """render for pages of hosts that need a browser, else fetch."""
+    df = _labelled(found, None)
+    return df.withColumn("route", F.when(domains.on("browser"), "render").otherwise("fetch")).drop("_labels")
 
 
 def uncached(found: DataFrame, cache: DataFrame) -> DataFrame:
@@ -137,14 +157,20 @@ def request(query: str, category: str | None = None, countries: list[str] | None
     return {"query": query.strip(), "category": category if category in fixed.CATEGORIES else "supplements", "countries": known or ["US"], "depth": depth if depth in fixed.DEPTHS else "normal"}
 
 
+def _once(pages: DataFrame) -> DataFrame:
+    """One page a url: of several, the smallest text, so that the choice doesn't depend on their order."""
+    return pages.groupBy("url").agg(F.min("html").alias("html"))
+
+
 def read_through(wanted: DataFrame, held: DataFrame, fetched: DataFrame) -> DataFrame:
-    """url, html and source of wanted pages: from the cache, and those that it lacks as they were fetched or rendered."""
-    hits = wanted.select("url").join(held.select("url", "html"), "url").withColumn("source", F.lit("cache"))
-    misses = wanted.select("url").join(held.select("url"), "url", "left_anti").join(fetched.select("url", "html"), "url").withColumn("source", F.lit("fetch"))
+    """url, html and source of wanted pages, one a url: from the cache, and those that it lacks as they were fetched or rendered."""
+    asked = wanted.select("url").distinct()
+    hits = asked.join(_once(held), "url").withColumn("source", F.lit("cache"))
+    misses = asked.join(held.select("url"), "url", "left_anti").join(_once(fetched), "url").withColumn("source", F.lit("fetch"))
     return hits.unionByName(misses)
 
 
 def one_of_both(fetched: DataFrame, rendered: DataFrame) -> DataFrame:
-    """Pages (url, html) read both ways, by url: the rendered one where there is one, else the fetched one."""
-    rest = fetched.select("url", "html").join(rendered.select("url"), "url", "left_anti")
-    return rendered.select("url", "html").withColumn("source", F.lit("render")).unionByName(rest.withColumn("source", F.lit("fetch")))
+    """Pages (url, html) read both ways, one a url: the rendered one where there is one, else the fetched one."""
+    both = _once(rendered).withColumn("source", F.lit("render")).unionByName(_once(fetched).withColumn("source", F.lit("fetch")))
+    return both.groupBy("url").agg(F.max_by("html", "source").alias("html"), F.max("source").alias("source"))

@@ -9,21 +9,9 @@ from ..functions import barcodes, fixed, formats, parse, scores, urls
 from ..functions.numbers import half_up, plain, prefix_integer, prefix_number
 from ..operators import frontier, leaderboard, limits, ranking
 from . import catalogue_sql as sql
+from . import discovery  # noqa: F401
 from .offers import offers, panels, table
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(oracle: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return keep
-
+from .register import ORACLES, QUERIES, query  # noqa: F401
 
 def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offers(spark, sf_dir).withColumn("valid_upc", barcodes.upc_a(F.col("primaryUpc")))
@@ -197,10 +185,13 @@ def url_first_seen(spark, sf_dir):
     return frontier.first_seen(_event_urls(spark, sf_dir))
 
 
-@query(f"WITH u AS (SELECT event_id AS ordinal, {_URLS} AS url FROM events) SELECT ordinal, {sql.tier('url', fixed.VENDORS['supplements'], fixed.DEAL_SITES['supplements'])} AS tier, {sql.tier('url', fixed.SOLAR_VENDORS, fixed.SOLAR_DEAL_SITES, 'solar|panel|watt')} AS solar_tier FROM u")
+@query(
+    f"WITH u AS (SELECT event_id AS ordinal, {_URLS} AS url FROM events) SELECT ordinal,"
+    f" {sql.tier('url', fixed.VENDORS['supplements'], fixed.DEAL_SITES['supplements'])} AS tier,"
+    f" {sql.tier('url', fixed.SOLAR_VENDORS, fixed.SOLAR_DEAL_SITES, 'solar|panel|watt')} AS solar_tier FROM u"
+)
 def url_tiers(spark, sf_dir):
-    df = frontier.prioritised(_event_urls(spark, sf_dir), "supplements")
-    return df.select("ordinal", "tier", F.lit(0).alias("_")).drop("_").join(frontier.solar_prioritised(_event_urls(spark, sf_dir)).select("ordinal", F.col("tier").alias("solar_tier")), "ordinal")
+    return frontier.both_tiers(_event_urls(spark, sf_dir), "supplements").select("ordinal", "tier", "solar_tier")
 
 
 @query(f"WITH u AS (SELECT url, min(event_id) AS ordinal FROM (SELECT event_id, {_URLS} AS url FROM events) GROUP BY url) SELECT url, ordinal, {sql.tier('url', fixed.VENDORS['supplements'], fixed.DEAL_SITES['supplements'])} AS tier FROM u WHERE len(list_filter({sql._list(urls.excluded('supplements'))}, lambda x: contains({sql.domain('url')}, x))) = 0 ORDER BY tier, ordinal LIMIT 30")
@@ -573,21 +564,28 @@ def cache_first_misses(spark, sf_dir):
     return limits.cache_hits(table(spark, sf_dir, "events"), "user_id", "ts", 10**15).select("user_id", F.col("at").alias("at_ms"), "hit")
 
 
-@query("SELECT url, page_id % 3 = 0 AS held, octet_length(encode(html)) AS size FROM pages")
+@query(
+    "SELECT url, bool_or(page_id % 3 = 0) AS held, CASE WHEN bool_or(page_id % 3 = 0) THEN octet_length(encode(min(html) FILTER (page_id % 3 = 0)))"
+    " ELSE octet_length(encode(min(html))) END AS size FROM pages GROUP BY url"
+)
 def read_through_pages(spark, sf_dir):
-    """The cache holds all pages, two of three by urls that they no longer have; those are read as they were fetched."""
+    """The cache holds all pages twice, two of three by urls that they no longer have; those are read as they were fetched. All are asked for twice."""
     pages = table(spark, sf_dir, "pages")
+    pages = pages.unionByName(pages)
     held = pages.select(F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.concat("url", F.lit("#old"))).alias("url"), "html")
     found = frontier.read_through(pages, held, pages)
     return found.select("url", (F.col("source") == "cache").alias("held"), F.octet_length("html").cast("long").alias("size"))
 
 
-@query("SELECT url, CASE WHEN page_id % 4 = 0 THEN 'render' ELSE 'fetch' END AS source FROM pages UNION ALL SELECT url || '#late', 'render' FROM pages WHERE page_id % 4 > 0")
+@query(
+    "SELECT url, CASE WHEN bool_or(page_id % 4 = 0) THEN 'render' ELSE 'fetch' END AS source FROM pages GROUP BY url"
+    " UNION ALL SELECT DISTINCT url || '#late', 'render' FROM pages WHERE page_id % 4 > 0"
+)
 def fetched_and_rendered(spark, sf_dir):
     """All pages are fetched and rendered, three of four by urls that no fetch has."""
     pages = table(spark, sf_dir, "pages")
     rendered = pages.select(F.when(F.col("page_id") % 4 == 0, F.col("url")).otherwise(F.concat("url", F.lit("#late"))).alias("url"), "html")
-    return frontier.one_of_both(pages, rendered).select("url", "source")
+    return frontier.one_of_both(pages.unionByName(pages), rendered.unionByName(rendered)).select("url", "source")
 
 
 @query("""SELECT page_id, CAST(i AS BIGINT) AS ordinal, 'https://' || CASE WHEN page_id % 3 = 0 THEN 'json' ELSE 'html' END || '.example/' || page_id || '/' || i AS url FROM pages, (SELECT unnest(range(70)) AS i) WHERE i < CASE WHEN page_id % 3 = 0 THEN 50 ELSE 2 END""")
