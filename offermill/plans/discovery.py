@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .offers import table
@@ -70,3 +70,75 @@ def domain_lists(spark, sf_dir):
     lists = [(c(source, ".example.com"), "below"), (c(source, "shop.example"), "ending"), (c("h", k % 50, ".", source), "within")]
     names = docs.select(F.explode(F.array(*(F.struct(n.alias("name"), F.lit(how).alias("label"), F.lit(how).alias("how")) for n, how in lists))).alias("x")).select("x.*").distinct()
     return domains.labelled(found, names).select("doc_id", "domain", F.array_join("labels", ",").alias("labels"))
+
+
+def _paragraphs(html: str, url: str | None, least: int = 0):
+    """A user's own extractor: how many paragraphs a page has, if at least so many."""
+    from ..sources.html import Page
+
+    n = len(Page(html).select("p"))
+    return [{"paragraphs": n, "host": (url or "").split("/")[2] if "//" in (url or "") else None}] if n >= least else []
+
+
+@query(r"""WITH f AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '<p[ >]')) AS n, regexp_extract(url, '//([^/]*)', 1) AS host FROM pages)
+SELECT page_id, replace(replace(title, '&quot;', '"'), '&amp;', '&') AS title, CAST(n AS BIGINT) AS paragraphs, host FROM f WHERE n >= 2""")
+def registered_extractors(spark, sf_dir):
+    """Two extractors called by name from SQL: one of the library, whose columns follow from its argument, and one of the user's own."""
+    from ..sources.registry import Registry
+
+    Registry().extractor("paragraphs_of", "paragraphs long, host string", _paragraphs).install(spark)
+    pages = table(spark, sf_dir, "pages")
+    return spark.sql(
+        "SELECT p.page_id, f.title_tag AS title, o.paragraphs, o.host FROM {pages} p, LATERAL page_fields(p.html, p.url, fields => 'title_tag') f, LATERAL paragraphs_of(p.html, p.url, least => 2) o",
+        pages=pages,
+    )
+
+
+@query("""WITH e AS (SELECT page_id, ['ShopFinder', 'Lines', 'Yandex'][page_id % 3 + 1] AS engine, url FROM pages)
+SELECT page_id, engine, CASE engine WHEN 'Yandex' THEN 2 ELSE 1 END AS tier, CAST(i AS BIGINT) AS ordinal, url || '?hit=' || i AS href FROM e, (SELECT unnest([0, 1, 2]) AS i) WHERE engine <> 'Yandex' OR i < 1""")
+def registered_engines(spark, sf_dir):
+    """Links of two engines that the user adds, by a rule and by a function, and of one of the library, on result pages that lead to all pages."""
+    from ..sources.registry import Registry
+
+    rule = {"selectors": ["a.hit"], "own": ["shopfinder.example"]}
+    Registry().engine("ShopFinder", 1, 1000, rule).engine("Lines", 1, 0, lambda html: html.split("\n")).install(spark)
+    k, hit = F.col("page_id") % 3, lambda i: F.concat("url", F.lit(f"?hit={i}"))
+    own = F.concat(*(x for i in range(3) for x in (F.lit("<a class='hit x' href='"), F.replace(hit(i), F.lit("&"), F.lit("&amp;")), F.lit("'>a</a><a class='hit' href='https://shopfinder.example/about'>b</a><a href='https://other.example'>c</a>"))))
+    known = F.concat(F.lit("<div class='organic'><a class='link' href='"), F.replace(hit(0), F.lit("&"), F.lit("&amp;")), F.lit("'>a</a></div><a href='https://yandex.ru/x'>b</a>"))
+    results = table(spark, sf_dir, "pages").select("page_id", F.when(k == 0, "ShopFinder").when(k == 1, "Lines").otherwise("Yandex").alias("engine"), F.when(k == 0, own).when(k == 1, F.concat_ws("\n", *(hit(i) for i in range(3)))).otherwise(known).alias("html"))
+    return spark.sql("SELECT r.page_id, r.engine, e.tier, l.ordinal, l.href FROM {results} r JOIN engines e USING (engine), LATERAL engine_links(r.html, engine => r.engine) l", results=results)
+
+
+@query("""SELECT CASE WHEN page_id % 7 <> 4 THEN url END AS url, CASE WHEN page_id % 7 <> 4 THEN [429, 403, 500, 200, 200, 204, 200][page_id % 7 + 1] END AS status,
+ CASE page_id % 7 WHEN 0 THEN 'limited' WHEN 1 THEN 'limited' WHEN 2 THEN 'http' WHEN 3 THEN 'blocked' WHEN 4 THEN 'broken' END AS error, CASE WHEN page_id % 7 >= 5 THEN octet_length(encode(coalesce(html, ''))) END AS size FROM pages""")
+def archived_pages(spark, sf_dir):
+    """All pages, written to an archive and read back by the data source: some limited, failed, blocked or cut off."""
+    from ..operators.storage import shared_folder
+    from ..sources import archive
+
+    k = F.col("page_id") % 7
+    status = F.element_at(F.array(*(F.lit(x) for x in (429, 403, 500, 200, 200, 204, 200))), (k + 1).cast("int"))
+    html = F.concat(F.coalesce("html", F.lit("")), F.when(k == 3, "<p>reCAPTCHA</p>").otherwise(""))
+    line = F.to_json(F.struct("url", status.alias("status"), html.alias("html")))
+    folder = shared_folder(spark, "archive")
+    table(spark, sf_dir, "pages").select(F.when(k == 4, F.substring(line, F.lit(1), F.length(line) - 3)).otherwise(line).alias("value")).write.text(folder)
+    rows = archive.read_archive(spark, folder, 1 << 20) if folder.startswith(("/", "file:")) else archive.rows_of(spark, folder)
+    return rows.select("url", "status", "error", F.octet_length("html").cast("long").alias("size"))
+
+
+@query("SELECT user_id, event_type AS event, CAST(event_id AS BIGINT) AS event_id, value FROM events")
+def events_in_chunks(spark, sf_dir):
+    """All events as streams of text, one a user, cut every 7 bytes and decoded whole; their values have a sign of three bytes before them."""
+    from ..sources import chunks
+
+    text = F.concat(F.lit("event: "), "event_type", F.lit("\ndata: "), F.to_json(F.struct(F.col("event_id").alias("id"), F.concat(F.lit("€"), F.col("value").cast("string")).alias("v"))), F.lit("\n\n"))
+    df = table(spark, sf_dir, "events").select("user_id", "event_id", text.cast("binary").alias("text"))
+    end = F.sum(F.octet_length("text")).over(Window.partitionBy("user_id").orderBy("event_id"))
+    df = df.withColumn("start", end - F.octet_length("text"))
+    seq = F.explode(F.sequence(F.expr("start DIV 7"), F.expr("(start + octet_length(text) - 1) DIV 7"))).alias("seq")
+    parts = df.select("user_id", "start", "text", seq).withColumn("from", F.greatest(F.col("seq") * 7 - F.col("start"), F.lit(0)))
+    part = F.expr("substring(text, CAST(from + 1 AS INT), CAST(seq * 7 + 7 - start - from AS INT))")
+    cut = parts.groupBy("user_id", "seq").agg(F.array_sort(F.collect_list(F.struct("start", part.alias("part")))).alias("parts"))
+    cut = cut.select(F.col("user_id").alias("stream"), "seq", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["part"])).alias("chunk"))
+    x = F.from_json("data", "id long, v string")
+    return chunks.events(cut).select(F.col("stream").alias("user_id"), "event", x["id"].alias("event_id"), F.substring(x["v"], 2, 100).cast("double").alias("value"))

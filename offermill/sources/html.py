@@ -235,9 +235,14 @@ FACTS = T.StructType([
 ])
 
 
-def mapped(df: DataFrame, one_to_many, fields: T.StructType, html: str = "html", also: str | None = None) -> DataFrame:
-    """df without its html, with a row for each dict that the function makes of a page. A page that fails makes none."""
+def mapped(df: DataFrame, one_to_many, fields: T.StructType, html: str = "html", also: str | None = None, errors: str | None = None) -> DataFrame:
+    """df without its html, with a row for each dict that the function makes of a page.
+
+    A page that fails makes none; or, if errors names a column for what went wrong, one row with nulls.
+    """
     kept = [f for f in df.schema.fields if f.name != html]
+    if errors:
+        fields = T.StructType([*fields.fields, T.StructField(errors, T.StringType())])
     schema = T.StructType([*kept, *fields.fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -252,8 +257,8 @@ def mapped(df: DataFrame, one_to_many, fields: T.StructType, html: str = "html",
                 for i, (page, x) in enumerate(zip(part.column(html).to_pylist(), more, strict=True)):
                     try:
                         found = one_to_many(page or "", x) if also else one_to_many(page or "")
-                    except (ValueError, RecursionError, AssertionError):
-                        found = []
+                    except (ValueError, RecursionError, AssertionError) as e:
+                        found = [{errors: f"{type(e).__name__}: {e}"[:500]}] if errors else []
                     rows += found
                     at += [i] * len(found)
                 if rows:
@@ -269,9 +274,9 @@ def page_facts(pages: DataFrame) -> DataFrame:
     return mapped(pages, lambda h: [facts(h)], FACTS)
 
 
-def result_links(html: str, engine: str) -> list[dict]:
+def result_links(html: str, engine: str, rules: dict = fixed.ENGINE_LINKS) -> list[dict]:
     """Links of a result page in order: by the engine's selectors, else, where it has one, by its fallback."""
-    how, p = fixed.ENGINE_LINKS[engine], Page(html)
+    how, p = rules[engine], Page(html)
     out: list[str] = []
     for s in how["selectors"]:
         for e in p.select(s):
