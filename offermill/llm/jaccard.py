@@ -11,7 +11,9 @@ than the sets differ in members, and members whose sketches are too far apart ca
 alike sets and is joined recursively: the member with most sets near it is the region's document pivot and is compared
 with the others; members already in one component need no comparison, and pairs whose distances to the pivot differ by
 more than the radius are cut by the triangle inequality; then more members become pivots, four times as many each time,
-until no region holds two components. Distances are exact.
+until no region holds two components. Distances are exact: shingles are told apart by 128 bits that follow from BLAKE2
+digests of their words, and sets by 128 bits of BLAKE2. Regions and sketches use half of a shingle's bits; two shingles with
+that half in common only make candidates.
 
 Defined results: null texts and texts without words have empty sets and are linked with nothing; equal sets are one node
 whatever their number; a document without doc_id has no component; rows that repeat a doc_id are nodes by their texts.
@@ -19,7 +21,6 @@ whatever their number; a document without doc_id has no component; rows that rep
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dealt, mix, slices, stored, views
+from .common import dealt, digests, mix, rows_of, slices, stored, strings, views
 from .suffixes import joined, packed
 
 WORDS = 5
@@ -46,63 +47,77 @@ _BLANK = np.zeros(256, bool)
 _BLANK[0x20] = _BLANK[0x09:0x0E] = True
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A number for each word: eight bytes at a time are mixed in, so words of up to eight never share one; long ones by BLAKE2."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
-    size = end - start
-    out = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    short = np.flatnonzero(size <= 64)
-    at = 0
-    while len(short):
-        left = np.minimum(size[short] - at, 8).astype(np.uint64)
-        block = eights[start[short] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
-        out[short] = mix(out[short] ^ block)
-        at += 8
-        short = short[size[short] > at]
-    for i in np.flatnonzero(size > 64).tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
-    return out
+def word_digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2 for each word, as two numbers a row; each distinct word is hashed once."""
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[start] += 1
+    inside[end] -= 1
+    words = rows_of(data[np.cumsum(inside[:-1]).astype(bool)].tobytes(), np.append(0, np.cumsum(end - start))).dictionary_encode()
+    return digests(strings(words.dictionary))[words.indices.to_numpy()] if len(words) else np.empty((0, 2), np.uint64)
 
 
 def chained(words: list[np.ndarray]) -> np.ndarray:
-    """A number for each sequence of words, of which the first, second, ... are given."""
-    out = mix(words[0] + np.uint64(len(words)))
-    for w in words[1:]:
-        out *= np.uint64(0x9FB21C651E98DF25)
-        out = mix(out + w)
-    return out
-
+    """128 bits for each sequence of words, of which the first, second, ... are given, as two numbers a row.
 
-def shingle_sets(texts: list[memoryview], words: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct hashes of each text's shingles; of a text with fewer words, one for all of them."""
+    Each step is a permutation of the state for a given word, and words are digests that nobody can choose, so sequences
+    share all bits no sooner than digests do.
+    """
+    a = np.full(len(words[0]), len(words), np.uint64)
+    b = mix(a)
+    for w in words:
+        a = mix(a * np.uint64(0x9FB21C651E98DF25) + w[:, 0] + b)
+        b = mix((b ^ w[:, 1]) * np.uint64(0xD6E8FEB86659FD93) + a)
+    return np.stack([a, b], axis=1)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct rows in order of both numbers."""
+    x = x[np.argsort(x[:, 0], kind="stable")]
+    same = x[1:, 0] == x[:-1, 0]
+    other = x[1:, 1] != x[:-1, 1]
+    if (same & other).any():
+        x = x[np.lexsort((x[:, 1], x[:, 0]))]
+        same, other = x[1:, 0] == x[:-1, 0], x[1:, 1] != x[:-1, 1]
+    return x[np.append(np.ones(min(1, len(x)), bool), ~same | other)]
+
+
+def whole_sets(texts: list[memoryview], words: int = WORDS) -> list[np.ndarray]:
+    """The distinct shingles of each text, by 128 bits as two numbers a row, in order; of a text with fewer words, one for all of them."""
     data = _LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
     size = np.array([len(t) + 1 for t in texts], np.int64)
     begin = np.cumsum(size) - size
     blank = _BLANK[data]
     edge = np.diff(blank.astype(np.int8), prepend=1)
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    own = word_hashes(data, start, end)
+    own = word_digests(data, start, end)
     first = np.append(np.searchsorted(start, begin), len(start))
     n = len(own) - words + 1
     full = chained([own[i : i + n] for i in range(words)]) if n > 0 else own[:0]
     out = []
     for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if z - a >= words:
-            x = np.sort(full[a : z - words + 1])
-            out.append(x[np.append(True, x[1:] != x[:-1])])
+            out.append(_distinct(full[a : z - words + 1]))
         else:
             out.append(chained([own[i : i + 1] for i in range(a, z)]) if z > a else own[:0])
     return out
 
 
+def shingle_sets(texts: list[memoryview], words: int = WORDS) -> list[np.ndarray]:
+    """The first numbers of each text's shingles, for regions and sketches: two shingles may share one, and both count."""
+    return [np.ascontiguousarray(x[:, 0]) for x in whole_sets(texts, words)]
+
+
+def intersection(s: np.ndarray, t: np.ndarray) -> int:
+    """How many shingles two sets share, by all their bits."""
+    _, i, j = np.intersect1d(s[:, 0], t[:, 0], return_indices=True)
+    if any((x[1:, 0] == x[:-1, 0]).any() for x in (s, t)):
+        return len(set(map(tuple, s.tolist())) & set(map(tuple, t.tolist())))
+    return int((s[i, 1] == t[j, 1]).sum())
+
+
 def names(sets: list[np.ndarray]) -> np.ndarray:
-    """128 bits that stand for each set, as two numbers a row."""
-    out = np.empty((len(sets), 2), np.uint64)
-    for i, x in enumerate(sets):
-        out[i, 0] = mix(x + np.uint64(0x51ED270B)).sum(dtype=np.uint64) ^ np.uint64(len(x) << 40)
-        out[i, 1] = mix(x ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(x))
-    return mix(out)
+    """128 bits of BLAKE2 that stand for each whole set, as two numbers a row."""
+    return digests([np.ascontiguousarray(x).tobytes() for x in sets]) if sets else np.empty((0, 2), np.uint64)
 
 
 def nodes(sets: list[np.ndarray], twice: frozenset[int] = frozenset()) -> np.ndarray:
@@ -137,11 +152,11 @@ def membership(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", STEP):
-            sets = shingle_sets(views(b.column("text")))
+            sets = whole_sets(views(b.column("text")))
             n = np.array([len(x) for x in sets], np.int64)
             none = (n == 0) | np.asarray(b.column("doc_id").is_null())
             both = names(sets).view(np.int64)
-            columns = [pa.array(both[:, 0], mask=none), pa.array(both[:, 1], mask=none), pa.array(n), pa.array([sketch(x) for x in sets], pa.binary())]
+            columns = [pa.array(both[:, 0], mask=none), pa.array(both[:, 1], mask=none), pa.array(n), pa.array([sketch(x[:, 0]) for x in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", "node", "other", "n_shingles", "sketch"])
 
     return _source(docs).mapInArrow(run, "doc_id long, node long, other long, n_shingles long, sketch binary")
@@ -186,13 +201,13 @@ def regions(docs: DataFrame, parts: int, twice: frozenset[int] = frozenset()) ->
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
         for b in slices(batches, "text", STEP):
-            sets = shingle_sets(views(b.column("text")))
+            sets = whole_sets(views(b.column("text")))
             ids = nodes(sets, twice)
             _, once = np.unique(ids, return_index=True)
             once = [i for i in once.tolist() if len(sets[i])]
             if not once:
                 continue
-            keys = [window(sets[i], common) for i in once]
+            keys = [window(sets[i][:, 0], common) for i in once]
             which = np.repeat(np.arange(len(once)), [len(k) for k in keys])
             key = np.concatenate(keys)
             bucket = ((key >> np.uint64(3)) % np.uint64(parts)).astype(np.int64)
@@ -339,7 +354,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, twice: frozenset[int] = frozens
         z = zstandard.ZstdCompressor(level=1)
         for b in slices(batches, "text", STEP):
             data = views(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes(shingle_sets(data), twice)), pa.array([z.compress(t) for t in data], pa.binary())], names=["doc_id", "node", "z"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes(whole_sets(data), twice)), pa.array([z.compress(t) for t in data], pa.binary())], names=["doc_id", "node", "z"])
 
     def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -402,11 +417,11 @@ def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     if k not in place:
                         place[k] = len(texts_)
                         texts_.append(memoryview(z.decompress(v)))
-            sets = shingle_sets(texts_)
+            sets = whole_sets(texts_)
             common, union = [], []
             for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
                 s, t = sets[place[x]], sets[place[y]]
-                n = len(np.intersect1d(s, t, assume_unique=True))
+                n = intersection(s, t)
                 common.append(n)
                 union.append(len(s) + len(t) - n)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=[*names, "common", "union"])
@@ -510,7 +525,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", STEP):
-            sets = shingle_sets(views(b.column("text")))
+            sets = whole_sets(views(b.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array(nodes(sets, twice), mask=np.array([not len(x) for x in sets], bool)), *b.columns], names=["node", *(f"c{i}" for i in range(len(b.columns) - 1)), "text"])
 
     # rows that share a doc_id: columns under names of our own, with the node of each row

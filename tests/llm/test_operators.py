@@ -406,13 +406,30 @@ def test_sketches_never_part_linked_sets():
 
 
 def test_unlike_sets_with_half_a_name_in_common_are_two_nodes():
-    sets = jaccard.shingle_sets([memoryview(t.encode()) for t in (thue_morse(1024), thue_morse(1024, "ba"), "a b c d e f", "a b c d e", "a b", "a  B")])
-    assert len({x.tobytes() for x in sets}) == 5 and len(sets[2]) == 2 and sets[3][0] in sets[2]
+    sets = jaccard.whole_sets([memoryview(t.encode()) for t in (thue_morse(1024), thue_morse(1024, "ba"), "a b c d e f", "a b c d e", "a b", "a  B")])
+    assert len({x.tobytes() for x in sets}) == 5 and len(sets[2]) == 2 and sets[3][0].tolist() in sets[2].tolist()
     one, both = jaccard.nodes(sets), jaccard.names(sets).view(np.int64)
     assert len(set(one.tolist())) == 5
     assert jaccard.nodes(sets, frozenset([int(one[2])])).tolist() == [*one[:2].tolist(), int(both[2, 1]), *one[3:].tolist()]
 
 
+def test_words_made_to_collide_are_different_words(spark):
+    """Pairs that mixes without a key took for one word, or one shingle of five words; each pair of texts shares nothing."""
+    pairs = [("rs18bf38!!!!)!@!", "67aw9efe{@j/[<}c"), ("3dgig25u sameword one two six", "59fedqls *8(f6:w+ one two six"), (thue_morse(1024), thue_morse(1024, "ba"))]
+    rows = [(i, t) for i, t in enumerate([x for p in pairs for x in p] + ["rs18bf38!!!!)!@!"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in jaccard.near_duplicates(df).collect()} == {(i, 1, 0 if i == 6 else i) for i, _ in rows}
+    assert sorted(r.doc_id for r in jaccard.keep_one(df).collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_shingles_are_compared_by_all_their_bits():
+    x = np.array([[1, 1], [1, 2], [5, 1], [7, 7]], np.uint64)
+    assert jaccard.intersection(x, np.array([[1, 2], [5, 2], [7, 7]], np.uint64)) == 2
+    assert jaccard.intersection(x[2:], np.array([[5, 2], [7, 7]], np.uint64)) == 1 and jaccard.intersection(x, x[:0]) == 0
+    assert jaccard._distinct(np.array([[5, 1], [1, 2], [1, 1], [1, 2], [5, 1]], np.uint64)).tolist() == [[1, 1], [1, 2], [5, 1]]
+    assert len({n.tobytes() for n in jaccard.names([x, x[:3], x[1:], x[:0]])}) == 4
+
+
 def test_windows_of_linked_sets_meet():
     rng = np.random.default_rng(12)
     common = np.sort(rng.integers(0, 1 << 63, 30).astype(np.uint64))
