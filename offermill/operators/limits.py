@@ -101,14 +101,22 @@ def proxy_blocked(succeeded: Column, failed: Column) -> Column:
     return (failed > 3) & (failed > 2 * succeeded)
 
 
-def failure_runs(df: DataFrame, key: str, failed: Column, *order: str, base_ms: Column | int = 30_000) -> DataFrame:
-    """df with run (failures in a row up to the row, 0 for a success) and cooldown_ms, doubled by each, at most ten minutes."""
+def failure_runs(df: DataFrame, key: str, failed: Column, *order: str, base_ms: Column | int = 30_000, at: str | None = None) -> DataFrame:
+    """df with run (failures in a row up to the row, 0 for a success) and cooldown_ms, doubled by each, at most ten minutes.
+
+    With at, the column of the time, also until_ms: when the cool-downs up to the row end. A success ends a run of
+    failures, not a cool-down that has begun.
+    """
     window = Window.partitionBy(key).orderBy(*order)
     df = df.withColumn("_failed", failed).withColumn("_island", F.sum(F.when(F.col("_failed"), 0).otherwise(1)).over(window))
     run = F.sum(F.col("_failed").cast("long")).over(Window.partitionBy(key, "_island").orderBy(*order))
     base = base_ms if isinstance(base_ms, Column) else F.lit(base_ms)
     cooldown = F.least(base * F.pow(F.lit(2.0), F.least(F.col("run"), F.lit(60)) - 1), F.lit(float(fixed.COOLDOWN_CAP_MS))).cast("long")
-    return df.withColumn("run", run).withColumn("cooldown_ms", F.when(F.col("run") > 0, cooldown).otherwise(0)).drop("_failed", "_island")
+    df = df.withColumn("run", run).withColumn("cooldown_ms", F.when(F.col("run") > 0, cooldown).otherwise(0)).drop("_failed", "_island")
+    if at:
+        ends = F.when(F.col("run") > 0, F.unix_millis(F.col(at).cast("timestamp")) + F.col("cooldown_ms"))
+        df = df.withColumn("until_ms", F.max(ends).over(window))
+    return df
 
 
 def circuit_breaker(df: DataFrame, domain: str, failed: Column, ordinal: str, size: int = 8) -> DataFrame:

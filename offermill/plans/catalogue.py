@@ -9,7 +9,7 @@ from ..functions import barcodes, fixed, formats, parse, scores, urls
 from ..functions.numbers import half_up, plain, prefix_integer, prefix_number
 from ..operators import frontier, leaderboard, limits, ranking
 from . import catalogue_sql as sql
-from . import discovery  # noqa: F401
+from . import discovery, tables  # noqa: F401
 from .offers import offers, panels, table
 from .register import ORACLES, QUERIES, query  # noqa: F401
 
@@ -384,10 +384,11 @@ def proxy_blocked_engines(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT *, event_type = 'error' AS failed FROM events), i AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM f),
-r AS (SELECT *, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS run FROM i)
-SELECT event_id, CAST(run AS BIGINT) AS run, CAST(CASE WHEN run > 0 THEN least(30000 * pow(2, run - 1), 600000) ELSE 0 END AS BIGINT) AS cooldown_ms FROM r""")
+r AS (SELECT *, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS run FROM i),
+c AS (SELECT *, CAST(CASE WHEN run > 0 THEN least(30000 * pow(2, run - 1), 600000) ELSE 0 END AS BIGINT) AS cooldown_ms FROM r)
+SELECT event_id, CAST(run AS BIGINT) AS run, cooldown_ms, max(CASE WHEN run > 0 THEN epoch_us(ts) // 1000 + cooldown_ms END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until_ms FROM c""")
 def failure_runs_cooldown(spark, sf_dir):
-    return limits.failure_runs(table(spark, sf_dir, "events"), "user_id", F.col("event_type") == "error", "ts", "event_id").select("event_id", "run", "cooldown_ms")
+    return limits.failure_runs(table(spark, sf_dir, "events"), "user_id", F.col("event_type") == "error", "ts", "event_id", at="ts").select("event_id", "run", "cooldown_ms", "until_ms")
 
 
 @query("""WITH n AS (SELECT event_id, user_id % 20 AS domain, event_type = 'error' AS failed, (row_number() OVER (ORDER BY ts, event_id) - 1) // 8 AS chunk FROM events)

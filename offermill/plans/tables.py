@@ -1,0 +1,71 @@
+"""Queries about tables that change and orders of any size."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from . import catalogue_sql as sql
+from .offers import offers, table
+from .register import query
+
+
+@query("""WITH v1 AS (SELECT p_partkey AS k, p_size AS size FROM part),
+v2 AS (SELECT k, CASE WHEN k % 3 = 0 THEN size + 100 ELSE size END AS size FROM v1 UNION ALL SELECT k + 1000000, size FROM v1 WHERE k % 5 = 0),
+v3 AS (SELECT * FROM v2 WHERE k % 7 <> 0), v4 AS (SELECT k, CASE WHEN size > 120 THEN 0 ELSE size END AS size FROM v3)
+SELECT 1 AS version, * FROM v1 UNION ALL SELECT 2, * FROM v2 UNION ALL SELECT 3, * FROM v3 UNION ALL SELECT 4, * FROM v4""")
+def versions_of_a_table(spark, sf_dir):
+    """All parts, changed in place three times, the last time from what the table itself holds; every version as it was."""
+    from ..operators.storage import shared_folder
+    from ..sources.versions import VersionedTable
+
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), F.col("p_size").cast("int").alias("size"))
+    own = VersionedTable(spark, shared_folder(spark, "parts"), "k long, size int", "k", 16)
+    own.upsert(parts)
+    own.upsert(parts.filter("k % 3 = 0").withColumn("size", F.col("size") + 100).unionByName(parts.filter("k % 5 = 0").withColumn("k", F.col("k") + 1_000_000)))
+    own.delete(own.read().filter("k % 7 = 0"))
+    own.upsert(own.read().filter("size > 120").withColumn("size", F.lit(0)))
+    out = own.read(1).withColumn("version", F.lit(1))
+    for v in (2, 3, 4):
+        out = out.unionByName(own.read(v).withColumn("version", F.lit(v)))
+    return out
+
+
+@query("SELECT user_id, count(*) AS n, max(event_id) AS last, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY user_id")
+def stream_into_versions(spark, sf_dir):
+    """All events in micro-batches of a fifth, combined into one row a user; every batch is handed over twice."""
+    from ..operators.storage import shared_folder
+    from ..sources.versions import VersionedTable, sink
+
+    folder = shared_folder(spark, "micro-batches")
+    events = table(spark, sf_dir, "events").select("user_id", F.lit(1).cast("long").alias("n"), F.col("event_id").alias("last"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+    events.repartition(5, F.col("last")).write.parquet(f"{folder}/in")
+    own = VersionedTable(spark, f"{folder}/table", events.schema, "user_id", 8)
+    fold = lambda rows: rows.groupBy("user_id").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.sum("cents").alias("cents"))
+    write = sink(own, "events", fold, {"rows": F.count(F.lit(1))})
+
+    def twice(rows, batch):
+        write(rows, batch)
+        write(rows, batch)
+
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream.writeStream.foreachBatch(twice).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return own.read()
+
+
+@query(f"WITH {sql.OFFERS} SELECT ordinal, price, row_number() OVER (ORDER BY price DESC, ordinal) AS rank FROM offers")
+def ranks_of_all_offers(spark, sf_dir):
+    """The place of every offer by price, without a task that sees all."""
+    from ..operators.storage import ranked
+
+    return ranked(offers(spark, sf_dir).select("ordinal", "price"), F.desc("price"), F.asc("ordinal"))
+
+
+@query(f"WITH {sql.OFFERS} SELECT ordinal, price FROM offers ORDER BY price DESC NULLS LAST, ordinal LIMIT 100 OFFSET 300")
+def page_after_a_row(spark, sf_dir):
+    """The fourth hundred of all offers by price, by key: each page begins behind the last row of the one before."""
+    from ..operators.storage import after
+
+    rows, last = offers(spark, sf_dir).select("ordinal", "price"), None
+    for _ in range(3):
+        last = after(rows, [("price", False), ("ordinal", True)], last, 100).tail(1)[0].asDict()
+    return after(rows, [("price", False), ("ordinal", True)], last, 100)
