@@ -36,7 +36,18 @@ def elapsed(ms: Column) -> Column:
 
 
 def type_label(panel_type: Column) -> Column:
-    return F.concat(F.upper(F.substring(panel_type, 1, 1)), F.substring(panel_type, 2, 3))
+    """The first four letters, the first one large; a dash for an unknown type."""
+    return F.when(panel_type == "unknown", "-").otherwise(F.concat(F.upper(F.substring(panel_type, 1, 1)), F.substring(panel_type, 2, 3)))
+
+
+def panel_symbol(currency: Column) -> Column:
+    """The sign before a panel's price; a dollar's for any other currency."""
+    return F.when(currency == "EUR", "€").when(currency == "GBP", "£").when(currency == "AUD", "A$").otherwise("$")
+
+
+def last_four(code: Column) -> Column:
+    """A code as it is shown, by its last four signs; null without a code."""
+    return F.when(code != "", F.concat(F.lit("UPC: ..."), F.right(code, F.lit(4))))
 
 
 def badges(valid_upc: Column, matches: Column, discount: Column, savings: Column, coupon: Column, free: Column) -> Column:

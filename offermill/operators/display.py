@@ -34,6 +34,20 @@ def panel_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def result_rows(ranked: DataFrame, upc: str = "primaryUpc") -> DataFrame:
+    """Offers as a search answers with them: upc, what was verified in one column, four decimals of unit prices and two of confidence."""
+    also = [c for c in ("rank", "ordinal", "identifiers", "original_price", "discount_percent", "shipping", "promotion", "deal_score") if c in ranked.columns]
+    checks = F.struct(F.col("valid_upc").alias("hasValidUpc"), F.col("matches").alias("crossVendorMatches"), F.col("verification_score").alias("verificationScore"))
+    rounded = [half_up(F.col(c), n).alias(c) for c, n in (("price_per_unit", 4), ("price_per_unit_usd", 4), ("confidence", 2))]
+    return ranked.select(*also, "title", "price", "currency", "quantity", "unit", "vendor", "url", *rounded, F.col(upc).alias("upc"), checks.alias("verification"))
+
+
+def flagged(df: DataFrame, saved: DataFrame, key: str = "url") -> DataFrame:
+    """df with saved: whether its url is among the saved ones, however often those are repeated."""
+    known = saved.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("saved", F.lit(True))
+    return df.join(known, key, "left").withColumn("saved", F.coalesce("saved", F.lit(False)))
+
+
 def saved_rows(df: DataFrame) -> DataFrame:
     return df.select("url", formats.truncated(F.col("title"), 60).alias("title"), formats.currency(F.col("price"), F.col("currency")).alias("price"), formats.price_per_unit(F.col("price_per_unit"), F.col("unit")).alias("per_unit"), "vendor", formats.quantity(F.col("quantity"), F.col("unit")).alias("quantity"))
 

@@ -101,7 +101,7 @@ def labelled(found: DataFrame, names: DataFrame, url: str = "url", most_bytes: i
 def lists_of(category: str | None) -> dict[str, tuple[str, list[str]]]:
     """The lists that decide about a category's urls; None: panels."""
     if category is None:
-        return {"vendor": ("ending", fixed.SOLAR_VENDORS), "deal": ("ending", fixed.SOLAR_DEAL_SITES), "browser": ("below", fixed.BROWSER_DOMAINS), "excluded": ("below", fixed.SOLAR_EXCLUDED)}
+        return {"vendor": ("ending", fixed.SOLAR_VENDORS), "deal": ("ending", fixed.SOLAR_DEAL_SITES), "browser": ("below", fixed.BROWSER_DOMAINS), "protected": ("below", fixed.PROTECTED_DOMAINS), "excluded": ("below", fixed.SOLAR_EXCLUDED)}
     return {"vendor": ("ending", fixed.VENDORS[category]), "deal": ("ending", fixed.DEAL_SITES[category]), "browser": ("below", fixed.BROWSER_DOMAINS), "excluded": ("within", urls.excluded(category))}
 
 

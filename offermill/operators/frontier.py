@@ -139,6 +139,11 @@ def to_fetch(found: DataFrame, category: str, depth: str = "normal", renderer: b
     return df.orderBy("tier", "ordinal").limit(fixed.DEPTHS[depth][0])
 
 
+def guarded(found: DataFrame) -> DataFrame:
+    """found with protected: whether the host is one whose pages are guarded; false for what is no url."""
+    return _labelled(found, None).withColumn("protected", domains.on("protected")).drop("_labels")
+
+
 def routed(found: DataFrame) -> DataFrame:
     """render for pages of hosts that need a browser, else fetch."""
     df = _labelled(found, None)

@@ -47,6 +47,21 @@ def build(products: DataFrame) -> DataFrame:
     return first_of(df, [key], F.asc("ordinal")).orderBy("pricePerWatt", "ordinal")
 
 
+def build_rows(built: DataFrame) -> DataFrame:
+    """Rows of a built leaderboard as its document has them: specs and shipping nested, with nulls for what batches don't tell."""
+    none = lambda kind: F.lit(None).cast(kind)
+    size = "struct<lengthMm:double,widthMm:double,depthMm:double>"
+    unknown = [none(t).alias(n) for n, t in (("efficiency", "double"), ("dimensions", size), ("weightKg", "double"), ("warranty", "string"), ("cellCount", "long"), ("brand", "string"), ("model", "string"))]
+    specs = F.struct("wattage", "panelType", *unknown)
+    shipping = F.struct(none("double").alias("cost"), F.lit(False).alias("isFree"))
+    return built.select("ordinal", "title", "price", "currency", "priceUsd", "pricePerWatt", "pricePerWattUsd", specs.alias("specs"), "vendor", "url", "country", shipping.alias("shipping"), "confidence", F.current_timestamp().alias("lastCrawled"))
+
+
+def timed(counters: DataFrame, started: Column, completed: Column) -> DataFrame:
+    """Counters with when a crawl began and ended, and for how long it ran in milliseconds."""
+    return counters.select("*", started.alias("crawlStarted"), completed.alias("crawlCompleted"), (F.unix_millis(completed) - F.unix_millis(started)).alias("crawlDurationMs"))
+
+
 def metadata(results: DataFrame, crawled: int, extracted: int | None = None, version: int = 3) -> DataFrame:
     """One row of counters: pages read, panels found on them, and results; where pages aren't known, as many as panels."""
     return results.agg(

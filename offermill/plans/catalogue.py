@@ -9,7 +9,7 @@ from ..functions import barcodes, fixed, formats, parse, scores, urls
 from ..functions.numbers import half_up, plain, prefix_integer, prefix_number
 from ..operators import frontier, leaderboard, limits, ranking
 from . import catalogue_sql as sql
-from . import discovery, tables  # noqa: F401
+from . import discovery, markup, tables  # noqa: F401
 from .offers import offers, panels, table
 from .register import ORACLES, QUERIES, query  # noqa: F401
 
@@ -175,7 +175,7 @@ def _event_urls(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("ordinal"), url.alias("url"))
 
 
-@query(f"WITH u AS (SELECT event_id AS ordinal, {_URLS} AS url FROM events) SELECT ordinal, url FROM u WHERE len(list_filter({sql._list(urls.excluded('supplements'))}, lambda x: contains({sql.domain('url')}, x))) = 0")
+@query(f"WITH u AS (SELECT event_id AS ordinal, {_URLS} AS url FROM events) SELECT ordinal, url FROM u WHERE len(list_filter({sql._list(fixed.EXCLUDED + fixed.EXCLUDED_BY_CATEGORY['supplements'])}, lambda x: contains({sql.domain('url')}, x))) = 0")
 def excluded_domain_antijoin(spark, sf_dir):
     return frontier.fetchable(_event_urls(spark, sf_dir), "supplements")
 
@@ -194,7 +194,7 @@ def url_tiers(spark, sf_dir):
     return frontier.both_tiers(_event_urls(spark, sf_dir), "supplements").select("ordinal", "tier", "solar_tier")
 
 
-@query(f"WITH u AS (SELECT url, min(event_id) AS ordinal FROM (SELECT event_id, {_URLS} AS url FROM events) GROUP BY url) SELECT url, ordinal, {sql.tier('url', fixed.VENDORS['supplements'], fixed.DEAL_SITES['supplements'])} AS tier FROM u WHERE len(list_filter({sql._list(urls.excluded('supplements'))}, lambda x: contains({sql.domain('url')}, x))) = 0 ORDER BY tier, ordinal LIMIT 30")
+@query(f"WITH u AS (SELECT url, min(event_id) AS ordinal FROM (SELECT event_id, {_URLS} AS url FROM events) GROUP BY url) SELECT url, ordinal, {sql.tier('url', fixed.VENDORS['supplements'], fixed.DEAL_SITES['supplements'])} AS tier FROM u WHERE len(list_filter({sql._list(fixed.EXCLUDED + fixed.EXCLUDED_BY_CATEGORY['supplements'])}, lambda x: contains({sql.domain('url')}, x))) = 0 ORDER BY tier, ordinal LIMIT 30")
 def urls_to_fetch(spark, sf_dir):
     return frontier.to_fetch(_event_urls(spark, sf_dir), "supplements", "quick")
 
@@ -232,13 +232,24 @@ def query_dedupe(spark, sf_dir):
     return frontier.distinct_queries(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.col("text").alias("query")))
 
 
-@query("WITH t AS (SELECT unnest(" + sql.templates("supplements", ["US", "UK", "DE"]) + ") AS t, unnest(range(0, " + str(len(frontier.category_templates("supplements", ["US", "UK", "DE"]))) + ")) AS ordinal) SELECT p_partkey, CAST(ordinal AS INT) AS ordinal, replace(t, '{}', trim(p_name)) AS query FROM part, t")
+@query(
+    f"WITH t AS (SELECT unnest({sql._list(sql.SUPPLEMENT_QUERIES)}) AS t, unnest(range(0, {len(sql.SUPPLEMENT_QUERIES)})) AS ordinal)"
+    " SELECT p_partkey, CAST(ordinal AS INT) AS ordinal, replace(t, '{}', trim(p_name)) AS query FROM part, t"
+)
 def query_generation(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("product"))
     return frontier.expand(parts, frontier.category_templates("supplements", ["US", "UK", "DE"])).drop("product")
 
 
-@query("WITH t AS (" + " UNION ALL ".join(f"SELECT '{c}' AS country, unnest({sql._list(frontier.solar_queries(c))}) AS query, unnest(range(0, {len(frontier.solar_queries(c))})) AS ordinal" for c in ("US", "UK", "DE", "AU")) + ") SELECT n_nationkey, CAST(ordinal AS INT) AS ordinal, query FROM nation JOIN t ON country = ['US', 'UK', 'DE', 'AU'][n_nationkey % 4 + 1]")
+def _panel_queries(country: str) -> str:
+    texts = sql.PANEL_QUERIES[:12] + sql.MORE_PANEL_QUERIES[country] + sql.PANEL_QUERIES[12:]
+    return f"SELECT '{country}' AS country, unnest({sql._list(texts)}) AS query, unnest(range(0, {len(texts)})) AS ordinal"
+
+
+@query(
+    f"WITH t AS ({' UNION ALL '.join(_panel_queries(c) for c in ('US', 'UK', 'DE', 'AU'))})"
+    " SELECT n_nationkey, CAST(ordinal AS INT) AS ordinal, query FROM nation JOIN t ON country = ['US', 'UK', 'DE', 'AU'][n_nationkey % 4 + 1]"
+)
 def country_query_cross(spark, sf_dir):
     df = table(spark, sf_dir, "nation").select("n_nationkey", F.element_at(F.array(*(F.lit(c) for c in ("US", "UK", "DE", "AU"))), F.col("n_nationkey") % 4 + 1).alias("country"))
     return frontier.country_queries(df).drop("country")
@@ -326,8 +337,11 @@ def stock_histogram(spark, sf_dir):
 
 @query(f"WITH {sql.OFFERS}, s AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority LIKE '1%') SELECT ordinal, partkey IN (SELECT k FROM s) AS saved FROM offers")
 def saved_flags(spark, sf_dir):
-    saved = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").startswith("1")).select(F.col("o_custkey").alias("partkey")).distinct().withColumn("saved", F.lit(True))
-    return offers(spark, sf_dir).join(saved, "partkey", "left").select("ordinal", F.coalesce("saved", F.lit(False)).alias("saved"))
+    """Offers for parts whose numbers are those of customers with an order of the first priority are taken as saved."""
+    from ..operators.display import flagged
+
+    saved = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").startswith("1")).select(F.col("o_custkey").alias("partkey"))
+    return flagged(offers(spark, sf_dir), saved, "partkey").select("ordinal", "saved")
 
 
 @query(f"WITH {sql.OFFERS}, s AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority LIKE '1%') SELECT ordinal FROM offers WHERE partkey NOT IN (SELECT k FROM s)")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..functions import fixed
-from ..operators import frontier
 
 
 def _list(values) -> str:
@@ -121,5 +120,57 @@ def check(code: str, size: int) -> str:
     return f"(regexp_full_match({code}, '[0-9]{{{size}}}') AND coalesce((10 - list_sum(list_transform(range(1, {size}), lambda i: TRY_CAST({code}[i] AS INT) * {weights}[i])) % 10) % 10 = TRY_CAST({code}[{size}] AS INT), false))"
 
 
-def templates(category: str, countries: list[str]) -> str:
-    return _list(frontier.category_templates(category, countries))
+#: The queries for supplements in the US, the UK and Germany, written out.
+SUPPLEMENT_QUERIES = [
+    '{} (site:allstarhealth.com OR site:dpsnutrition.net)',
+    '{} (site:taoofherbs.com OR site:jacked-factory.com)',
+    '{} (site:iherb.com OR site:vitacost.com)',
+    '{} (site:swansonvitamins.com OR site:bulksupplements.com)',
+    '{} "add to cart"',
+    '{} "in stock" buy',
+    '{} price per serving',
+    '{} -review -blog -article -reddit -"best 10"',
+    '{} (site:priceplow.com OR site:slickdeals.net OR site:dealsplus.com)',
+    '{} (site:amazon.com OR site:bodybuilding.com OR site:gnc.com)',
+    '{} (site:vitaminshoppe.com OR site:costco.com OR site:samsclub.com)',
+    '{} buy site:*.co.uk',
+    '{} buy site:*.de',
+    '{} (site:priceplow.com OR site:nootropicsdepot.com OR site:allstarhealth.com)',
+    '{} "per serving" price',
+    '{} coupon code discount',
+    '{} buy supplement online',
+    '"alternative to" "{}" buy',
+    '{} (site:chemistwarehouse.com.au OR site:amcal.com.au OR site:pharmacyonline.com.au OR site:healthpost.co.nz)',
+    '"{}" buy',
+    '"{}" price',
+]
+#: The queries for panels in the US, written out; elsewhere two more stand in twelfth place.
+PANEL_QUERIES = [
+    '"solar panel" (site:renogy.com OR site:signature-solar.com)',
+    '"solar panel" (site:shopsolarkits.com OR site:unboundsolar.com)',
+    '"solar panel" (site:wholesalesolar.com OR site:solaris.com)',
+    '"solar panel" (site:bousol.com OR site:goalzero.com)',
+    'solar panel "add to cart" -blog -article -guide -review -reddit',
+    'solar panel "in stock" buy -review -blog -reddit -cost-guide',
+    'solar panel shop online "add to cart" -best -review',
+    '400W solar panel "add to cart" buy',
+    '500W monocrystalline solar panel buy -review',
+    '200W portable solar panel buy "add to cart"',
+    '600W bifacial solar panel buy shop',
+    '300W solar panel buy online -blog -review',
+    'solar panel /product/ OR /shop/ buy',
+    'solar panel watt price "add to cart" -guide -article',
+    'solar panel deal clearance "add to cart" -blog',
+    'solar panel sale "free shipping" buy',
+    'solar panel price (site:energysage.com OR site:pvxchange.com OR site:solaris.com)',
+    'Renogy solar panel buy "add to cart"',
+    'LONGi solar panel buy shop',
+    'Canadian Solar panel buy online',
+    'Trina solar panel buy shop',
+]
+MORE_PANEL_QUERIES = {
+    "US": [],
+    'UK': ['solar panel buy site:*.co.uk -blog -review', 'solar panel shop UK "add to cart"'],
+    'DE': ['solar panel buy site:*.de -blog -review', 'solar panel shop Deutschland "add to cart"'],
+    'AU': ['solar panel buy site:*.com.au -blog -review', 'solar panel shop Australia "add to cart"'],
+}

@@ -69,3 +69,50 @@ def page_after_a_row(spark, sf_dir):
     for _ in range(3):
         last = after(rows, [("price", False), ("ordinal", True)], last, 100).tail(1)[0].asDict()
     return after(rows, [("price", False), ("ordinal", True)], last, 100)
+
+
+@query(f"""WITH {sql.RANKED} SELECT ordinal, upc, {sql.js('price_per_unit', 4)} AS ppu, {sql.js('price_per_unit_usd', 4)} AS ppu_usd, {sql.js('confidence', 2)} AS confidence,
+ CASE WHEN upc <> '' THEN 'UPC: ...' || right(upc, 4) END AS code_text, valid_upc AS valid, CAST(matches AS BIGINT) AS matches FROM priced""")
+def result_records(spark, sf_dir):
+    """All priced offers as a search answers with them."""
+    from ..functions import barcodes, formats
+    from ..operators import display, ranking
+
+    df = ranking.scored(ranking.priced(ranking.verified(offers(spark, sf_dir).withColumn("valid_upc", barcodes.upc_a(F.col("primaryUpc"))))))
+    v = F.col("verification")
+    return display.result_rows(df).select("ordinal", "upc", F.col("price_per_unit").alias("ppu"), F.col("price_per_unit_usd").alias("ppu_usd"), "confidence", formats.last_four(F.col("upc")).alias("code_text"), v["hasValidUpc"].alias("valid"), v["crossVendorMatches"].alias("matches"))
+
+
+@query(f"""WITH {sql.PANELS} SELECT ordinal, CASE currency WHEN 'EUR' THEN '€' WHEN 'GBP' THEN '£' WHEN 'AUD' THEN 'A$' ELSE '$' END AS symbol, CASE "panelType" WHEN 'monocrystalline' THEN 'Mono' WHEN 'bifacial' THEN 'Bifa' ELSE '-' END AS label FROM panels""")
+def panel_labels(spark, sf_dir):
+    from ..functions import formats
+    from .offers import panels
+
+    return panels(spark, sf_dir).select("ordinal", formats.panel_symbol(F.col("currency")).alias("symbol"), formats.type_label(F.col("panelType")).alias("label"))
+
+
+@query("""SELECT event_id, (['www.google.com', 'notgoogle.com', 'shop.ebay.com', 'iherb.com', 'amazon.com', ''])[event_id % 6 + 1] IN ('www.google.com', 'shop.ebay.com', 'amazon.com') AS protected FROM events""")
+def guarded_urls(spark, sf_dir):
+    from ..operators import frontier
+
+    hosts = F.array(*(F.lit(h) for h in ("www.google.com", "notgoogle.com", "shop.ebay.com", "iherb.com", "amazon.com", "")))
+    urls = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("https://"), F.element_at(hosts, (F.col("event_id") % 6 + 1).cast("int")), F.lit("/"), F.col("event_id").cast("string")).alias("url"))
+    return frontier.guarded(urls).select("event_id", "protected")
+
+
+@query("""WITH d AS (SELECT 'month' AS part, date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n, count(DISTINCT o_custkey) AS k FROM orders GROUP BY 2
+ UNION ALL SELECT 'year', date_trunc('year', o_orderdate)::DATE, count(*), count(DISTINCT o_custkey) FROM orders GROUP BY 2)
+SELECT part, month, n, CASE WHEN k <= 256 THEN k END AS counted, true AS close FROM d""")
+def customers_of_runs(spark, sf_dir):
+    """Distinct customers of each month's orders, kept as a run's counters, and of each year by merging months alone; beyond 256 by sketches within 3 % of the truth."""
+    from ..operators import counters
+    from ..operators.storage import kept
+
+    orders = table(spark, sf_dir, "orders").select(F.trunc("o_orderdate", "month").alias("month"), "o_custkey")
+    months = kept(counters.counted(orders, ["month"], "o_custkey"), "months")
+    years = counters.merged(months.withColumn("month", F.trunc("month", "year")), ["month"])
+    both = counters.read(months).withColumn("part", F.lit("month")).unionByName(counters.read(years).withColumn("part", F.lit("year")))
+    truth = orders.groupBy("month").agg(F.countDistinct("o_custkey").alias("k")).withColumn("part", F.lit("month"))
+    truth = truth.unionByName(orders.groupBy(F.trunc("month", "year").alias("month")).agg(F.countDistinct("o_custkey").alias("k")).withColumn("part", F.lit("year")))
+    close = F.abs(F.col("distinct") - F.col("k")) <= F.when(F.col("exact"), 0).otherwise(0.03 * F.col("k"))
+    return both.join(truth, ["part", "month"]).select("part", "month", "n", F.when(F.col("exact"), F.col("distinct")).alias("counted"), close.alias("close"))

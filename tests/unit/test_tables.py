@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from offermill.operators import limits, storage
+from offermill.operators import counters, limits, storage
 from offermill.sources.versions import Conflict, VersionedTable, sink
 
 SCHEMA = "k string, v long"
@@ -114,3 +114,21 @@ def test_a_success_does_not_end_a_cool_down(spark):
     df = spark.createDataFrame([("e", 0, True), ("e", 1000, True), ("e", 2000, False), ("e", 200_000, True), ("f", 5, False)], "k string, ms long, failed boolean").withColumn("ts", F.timestamp_millis("ms"))
     got = limits.failure_runs(df, "k", F.col("failed"), "ts", at="ts").orderBy("k", "ms").select("run", "cooldown_ms", "until_ms").collect()
     assert [tuple(r) for r in got] == [(1, 30000, 30000), (2, 60000, 61000), (0, 0, 61000), (1, 30000, 230000), (0, 0, None)]
+
+
+def test_counters_of_runs_merge(spark):
+    rnd = random.Random(4)
+    pairs = [(d, f"v{rnd.randrange(40 if d in (1, 2, 3, 4) else 3000)}", i % 9) for i in range(8000) for d in [rnd.choice([1, 2, 3, 4, 5, 6, None])]] + [(7, None, 1), (8, None, 2)]
+    df = spark.createDataFrame(pairs, "day int, vendor string, x long")
+    days = counters.counted(df, ["day"], "vendor", {"x": F.col("x")})
+    truth = lambda days: len({v for d, v, _ in pairs if d in days and v})
+    for r in counters.read(days).collect():
+        n = truth([r.day])
+        assert r.n == sum(d == r.day for d, _, _ in pairs) and r.x == sum(x for d, _, x in pairs if d == r.day)
+        assert r.exact == (n <= counters.LISTED) and abs(r["distinct"] - n) <= (0 if r.exact else 0.04 * n)
+    low = counters.merged(days.filter("day < 5"), [], ["x"])
+    assert [(r["distinct"], r.exact) for r in counters.read(low).collect()] == [(truth([1, 2, 3, 4]), True)]
+    every = counters.read(counters.merged(days.withColumn("g", F.lit(1)), ["g"])).first()
+    assert not every.exact and abs(every["distinct"] - truth([1, 2, 3, 4, 5, 6, 7, 8, None])) < 0.04 * 3000 and every.n == len(pairs)
+    none = counters.read(counters.merged(days.filter("day > 6"), [])).first()
+    assert (none["distinct"], none.exact, none.n) == (0, True, 2)
