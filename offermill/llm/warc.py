@@ -3,7 +3,9 @@
 Each page is a record, compressed as a gzip member of its own. Pages whose payloads are equal and of some length are
 stored once: the one with the smallest page_id is the response, the others revisit it. The reader checks lengths and
 digests; where a check fails it looks for the next place at which a member inflates to a record or a version line
-begins one that holds, goes on from there, and logs the bytes between as quarantined.
+begins one that holds, goes on from there, and logs the bytes between as quarantined. Records of one member are checked
+one by one, and what a broken member holds before its damage is kept. Time grows with the bytes, not with the number of
+version lines; only names of members that never end are read again for each.
 
 Spark's text writer writes the files and ends each row with a zero byte. As the last byte of a gzip member is the high one
 of its size, rows are members without that byte, so a file is nothing but gzip members, which any reader takes.
@@ -34,7 +36,10 @@ DATE = "1970-01-01T00:00:00Z"
 VERSION = b"WARC/1.1\r\n"
 MEMBER = b"\x1f\x8b\x08"
 #: Where a record may start.
-_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.\d+\r\n")
+_VERSION = re.compile(rb"WARC/1\.\d+\r\n")
+_COUNT = re.compile(r"[0-9]{1,18}")
+_LINE = re.compile(rb"([^\n]*?)\r?\n")
 _HEADER_END = re.compile(rb"\r\n\r\n")
 #: Bytes of a row of members, about, and rows of a file: a reader's task holds one file.
 FRAME_BYTES, FRAMES = 256 << 10, 128
@@ -74,27 +79,70 @@ class Damaged(ValueError):
     pass
 
 
-def parse(data: bytes | memoryview, at: int = 0) -> tuple[dict, int]:
-    """The record that starts here and where it ends; Damaged if a check fails."""
-    if data[at : at + 7] != b"WARC/1.":
-        raise Damaged("no version line")
-    found = _HEADER_END.search(data, at)
-    if not found:
-        raise Damaged("header without end")
-    stop = found.start()
-    head = {}
-    for line in bytes(data[at:stop]).split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
+class Headers:
+    """Headers of the places at which records may start. Places before the same end of a header share its lines, so that
+    each byte is looked at once, however many version lines stand before it."""
+
+    def __init__(self, data: bytes | memoryview, digested: bool = False):
+        self.data, self.digested = data, digested
+        self.first = self.stop = -1  # the lines that are known, and where the blank line begins
+        #: The last line of each field: where it begins, and its value.
+        self.lines: dict[str, tuple[int, str]] = {}
+        self.bad = -1
+        #: Fields of the last record that failed a check of its block, and how.
+        self.failed: tuple[tuple, str] = ((), "")
+
+    def at(self, at: int) -> tuple[dict[str, str], int]:
+        """The fields of the record that starts here and where its header's blank line begins."""
+        version = _VERSION.match(self.data, at)
+        if not version:
+            raise Damaged("no version line")
+        if not self.first <= at < self.stop:
+            self._read(version.end())
+            self.first = at
+        if self.stop == len(self.data):
+            raise Damaged("header without end")
+        if self.bad >= version.end():
             raise Damaged("header line without colon")
-        head[name.decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
+        return {k: v for k, (p, v) in self.lines.items() if p >= version.end()}, self.stop
+
+    def _read(self, start: int) -> None:
+        end = _HEADER_END.search(self.data, start - 2)
+        self.stop, self.lines, self.bad = end.start() if end else len(self.data), {}, -1
+        if not end:
+            return
+        for m in _LINE.finditer(self.data, start, end.start() + 2):
+            name, colon, value = m[1].partition(b":")
+            if colon:
+                self.lines[name.decode("latin-1").lower()] = m.start(), value.strip().decode("utf-8", "replace")
+            else:
+                self.bad = m.start()
+
+
+def parse(data: bytes | memoryview, at: int = 0, headers: Headers | None = None) -> tuple[dict, int]:
+    """The record that starts here and where it ends; Damaged if a check fails."""
+    headers = headers or Headers(data)
+    head, stop = headers.at(at)
+    key = (stop, *(head.get(k) for k in ("content-length", "warc-block-digest", "warc-payload-digest", "warc-type")))
+    if headers.failed[0] == key:
+        raise Damaged(headers.failed[1])
+    try:
+        return _checked(data, head, stop, headers.digested)
+    except Damaged as e:
+        headers.failed = key, str(e)
+        raise
+
+
+def _checked(data: bytes | memoryview, head: dict[str, str], stop: int, digested: bool) -> tuple[dict, int]:
     size = head.get("content-length", "")
-    if not size.isdigit():
+    if not _COUNT.fullmatch(size):
         raise Damaged("no content length")
     begin, end = stop + 4, stop + 4 + int(size)
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("record cut off or of another length")
     block = bytes(data[begin:end])
+    if digested and head.get("warc-type") != "response" and not head.get("warc-block-digest", "").startswith("sha1:"):
+        raise Damaged("no digest")
     if head.get("warc-block-digest", "").startswith("sha1:") and head["warc-block-digest"][5:] != base64.b32encode(hashlib.sha1(block).digest()).decode():
         raise Damaged("block digest differs")
     http, blank, payload = block.partition(b"\r\n\r\n")
@@ -103,65 +151,76 @@ def parse(data: bytes | memoryview, at: int = 0) -> tuple[dict, int]:
     digest = head.get("warc-payload-digest", "").removeprefix("sha256:")
     if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
         raise Damaged("payload digest differs")
-    number = lambda k: int(x) if (x := head.get(k, "").removeprefix("<urn:page:").removesuffix(">")) and x.lstrip("-").isdigit() else None
-    length = int(lines[b"content-length"]) if lines.get(b"content-length", b"").isdigit() else len(payload)
+    number = lambda k: int(x) if _COUNT.fullmatch((x := head.get(k, "").removeprefix("<urn:page:").removesuffix(">")).removeprefix("-")) else None
+    told = lines.get(b"content-length", b"").decode("latin-1")
+    length = int(told) if _COUNT.fullmatch(told) else len(payload)
     return {
         "page_id": number("warc-record-id"), "url": unquote(head["warc-target-uri"]) if "warc-target-uri" in head else None, "payload_bytes": length if kind == "revisit" else len(payload),
         "payload_digest": digest, "record_type": kind, "refers_to": number("warc-refers-to"), "payload": payload if kind == "response" else None,
     }, end + 4
 
 
-def inflate(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The member that starts here, whole, and where it ends."""
+def inflate(data: memoryview, at: int) -> tuple[bytes, int, str]:
+    """What the member that starts here inflates to, where it ends, and what is wrong with it; a broken one is read as far as it goes."""
     z, parts = zlib.decompressobj(31), []
-    try:
-        while not z.eof:
-            if at >= len(data):
-                raise Damaged("member cut off")
+    while not z.eof:
+        if at >= len(data):
+            return b"".join(parts), at, "member cut off"
+        before = z.copy()
+        try:
             parts.append(z.decompress(data[at : at + (1 << 16)]))
-            at += 1 << 16
-    except zlib.error as e:
-        raise Damaged(f"member doesn't inflate: {e}") from None
-    return b"".join(parts), min(at, len(data)) - len(z.unused_data)
-
-
-def _here(data: memoryview, at: int) -> tuple[list[dict], int]:
-    """The records of the member or the plain record that starts here; an empty member has none."""
-    if data[at : at + 3] == MEMBER:
-        plain, end = inflate(data, at)
-        found, p = [], 0
-        while p < len(plain):
-            r, p = parse(plain, p)
-            found.append(r)
-        return found, end
-    if data[at : at + 7] == b"WARC/1.":
-        r, end = parse(data, at)
-        return [r], end
-    raise Damaged("neither member nor version line")
-
-
-def salvage(content: bytes | memoryview) -> Iterator[tuple[str, int, int, object]]:
-    """("record", start, end, fields) and ("gap", start, end, reason), in order and covering all bytes but line ends and empty members."""
+        except zlib.error as e:
+            for p in range(at, at + (1 << 16), 64):
+                try:
+                    parts.append(before.decompress(data[p : p + 64]))
+                except zlib.error:
+                    break
+            return b"".join(parts), p, f"member doesn't inflate: {e}"
+        at += 1 << 16
+    return b"".join(parts), min(at, len(data)) - len(z.unused_data), ""
+
+
+def salvage(content: bytes | memoryview, members: bool = True, digested: bool = False) -> Iterator[tuple[str, int, int, object]]:
+    """("record", start, end, fields) and ("gap", start, end, reason), in order and covering all bytes but line ends and empty members.
+
+    A member's records are checked one by one: those that hold have the member's place, and what lies between them is a gap
+    of that place, whose reason names the bytes within. Of a member that doesn't inflate the records before the damage are
+    kept if a digest says so, but not one that ends where the damage is; the member's bytes are a gap all the same. Without members only plain records are looked for;
+    digested: only those with a digest hold.
+    """
     data = memoryview(content).cast("B")
-    at, bad, why = 0, None, ""
+    headers, at, bad, why = Headers(data, digested), 0, None, ""
+    told = 0  # up to here plain records may be those of a member that was read
     while at < len(data):
         if bad is None and data[at] in (10, 13):
             at += 1
             continue
-        try:
-            found, end = _here(data, at)
-        except Damaged as e:
-            if bad is None:
-                bad, why = at, str(e)
-            start = _START.search(data, at + 1)
-            at = start.start() if start else len(data)
-            continue
-        if bad is not None:
+        found, end, wrong = [], at, ""
+        if members and data[at : at + 3] == MEMBER:
+            plain, end, wrong = inflate(data, at)
+            found = [x for x in salvage(plain, False, bool(wrong)) if not wrong or (x[0] == "record" and x[2] < len(plain))]
+            if wrong and found:
+                told = end
+        elif at < told:
+            wrong = "member broken before"
+        else:
+            try:
+                r, end = parse(data, at, headers)
+                found = [("record", at, end, r)]
+            except Damaged as e:
+                wrong = str(e)
+        if bad is not None and (found or not wrong):
             yield "gap", bad, at, why
             bad = None
-        for r in found:
-            yield "record", at, end, r
-        at = end
+        for kind, a, b, what in found:
+            yield kind, at, end, what if kind == "record" or (a, b) == (at, end) else f"bytes {a} to {b} of the member: {what}"
+        if not wrong:
+            at = end
+            continue
+        if bad is None:
+            bad, why = at, wrong
+        start = (_START if members else _VERSION).search(data, at + 1)
+        at = start.start() if start else len(data)
     if bad is not None:
         yield "gap", bad, len(data), why
 

@@ -282,6 +282,43 @@ def test_salvage_logs_gaps_and_goes_on():
     assert list(warc.salvage(b"")) == [] == list(warc.salvage(b"\r\n"))
 
 
+def test_salvage_goes_record_by_record_inside_members():
+    body = [random.Random(i).randbytes(3000).hex().encode() for i in range(4)]
+    records = [warc.record(i, "http://h/WARC/1.1", b, hashlib.sha256(b).hexdigest(), len(b), None) for i, b in enumerate(body)]
+    plain = bytearray(b"".join(records[:3]))
+    plain[len(records[0]) + 900] ^= 1  # the second record's block
+    several, last = warc.member(bytes(plain)), warc.member(records[3])
+    found = list(warc.salvage(several + last))
+    assert [(k, a, b) for k, a, b, _ in found] == [("record", 0, len(several)), ("gap", 0, len(several)), ("record", 0, len(several)), ("record", len(several), len(several + last))]
+    assert [x["page_id"] for k, _, _, x in found if k == "record"] == [0, 2, 3]
+    assert found[1][3] == f"bytes {len(records[0])} to {len(records[0] + records[1])} of the member: block digest differs"
+    # a member that doesn't inflate gives what stands before the damage, plain or deflated, and no record twice
+    for level in (0, 6):
+        whole = warc.member(b"".join(records[:3]), level)
+        for broken in (whole[: len(whole) * 2 // 3 - 300], whole[: len(whole) * 5 // 9] + bytes(99) + whole[len(whole) * 5 // 9 + 99 :]):
+            found = list(warc.salvage(broken + last))
+            ids = [x["page_id"] for k, _, _, x in found if k == "record"]
+            assert ids[0] == 0 and ids[-1] == 3 and len(ids) == len(set(ids)) and 1 not in ids
+            assert ("gap", 0, len(broken)) in [x[:3] for x in found] or level == 0
+    # without a digest nothing says that a record of a broken member is whole
+    bare = b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert [x[0] for x in warc.salvage(warc.member(bare))] == ["record"] and [x[0] for x in warc.salvage(warc.member(bare)[:-4] + b"oops")] == ["gap"]
+
+
+def test_salvage_takes_linear_time():
+    fields = b"Content-Length: 9\r\nWARC-Type: response\r\n"
+    good = warc.record(7, None, b"x", hashlib.sha256(b"x").hexdigest(), 1, None)
+    for junk in (b"WARC/1.", b"WARC/1.1\r\n", b"xWARC/1.1\r\n", b"a:WARC/1.1\r\n", b"WARC/1.1\r\n" + fields, b"a:WARC/1.1\r\n" + fields + b"\r\n\r\n", b"\x1f\x8b\x08\0"):
+        for end in (b"", b"\r\n\r\n"):
+            many = junk * (1_000_000 // len(junk)) + end
+            began = time.process_time()
+            found = list(warc.salvage(many + good))
+            assert time.process_time() - began < 20
+            assert [x[3]["page_id"] for x in found if x[0] == "record"] == [7] or not end
+    wide = b"WARC/1.1\r\nContent-Length: " + b"9" * 5000 + b"\r\n\r\n"
+    assert [x[0] for x in warc.salvage(wide)] == ["gap"]
+
+
 def test_main_text(spark):
     page = lambda i, more="": f"<html><body><nav><a href=/>x{i}</a></nav><div class=c><p>Subscribe to all our letters<p>Story {i} of &amp; nbsp&nbsp;{i}</p>{more}</div><footer>f</footer>"
     rows = [(i, "http://h.example/a", page(i, "<p>more" if i % 2 else "")) for i in range(8)] + [(8, "http://h.example/a", page(7, "<p>more")), (20, None, None), (21, "http://o.example", ""), (22, "x", "<article><h1>T</h1>a<br>b<script>var t='</p>'</script><div class=ad>z</div></article>"), (23, "x", "plain text"), (24, "x", "<div>" * 3000 + "deep")]
