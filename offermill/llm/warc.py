@@ -184,9 +184,9 @@ def salvage(content: bytes | memoryview, members: bool = True, digested: bool =
     """("record", start, end, fields) and ("gap", start, end, reason), in order and covering all bytes but line ends and empty members.
 
     A member's records are checked one by one: those that hold have the member's place, and what lies between them is a gap
-    of that place, whose reason names the bytes within. Of a member that doesn't inflate the records before the damage are
-    kept if a digest says so, but not one that ends where the damage is; the member's bytes are a gap all the same. Without members only plain records are looked for;
-    digested: only those with a digest hold.
+    of that place, whose reason names the bytes within. Of a member that doesn't inflate a record is kept if its digest holds
+    and another begins behind it; the member's bytes are a gap all the same. Without members only plain records are looked
+    for; digested: only those with a digest hold.
     """
     data = memoryview(content).cast("B")
     headers, at, bad, why = Headers(data, digested), 0, None, ""
@@ -198,7 +198,7 @@ def salvage(content: bytes | memoryview, members: bool = True, digested: bool =
         found, end, wrong = [], at, ""
         if members and data[at : at + 3] == MEMBER:
             plain, end, wrong = inflate(data, at)
-            found = [x for x in salvage(plain, False, bool(wrong)) if not wrong or (x[0] == "record" and x[2] < len(plain))]
+            found = [x for x in salvage(plain, False, bool(wrong)) if not wrong or (x[0] == "record" and plain.startswith(b"WARC/1.", x[2]))]
             if wrong and found:
                 told = end
         elif at < told:
