@@ -6,7 +6,7 @@ layouts are the host's most frequent trees that are unlike each other; a page be
 element match, those with the same classes by preference. A text that stands in the same slot of most of a layout's
 distinct pages, or in the first layout's slot of most of the host's, is template, a slot that varies is content. The
 article's place follows from its element or, without one, from the slots that vary; what names itself as menu, header,
-footer, sidebar, notice, advert, form or comments is left out.
+footer, sidebar, notice, advert, form or comments is left out; within an article only a name that says nothing else counts.
 
 Defined results: null or empty html, and a page without an article's text, give an empty text; a host with few distinct
 pages has no template and is judged by its elements alone; pages without url are a host of their own; copies of a page
@@ -46,6 +46,12 @@ _CHROME_WORDS = frozenset(
     "footer masthead topbar skip hidden form search".split()
 )
 _COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
+#: Words that say how a block is built or placed, not what it is about.
+_BUILD_WORDS = frozenset(
+    "area articles article bar block body bottom box btn button buttons card col column container content cta desktop fixed float full global group header heading icon icons inline inner item items js label large "
+    "layout left link links list main medium mobile module more news outer page panel placeholder post posts primary read result results right row secondary section site slot small sticky stories story text thread title "
+    "top unit wide wrap wrapper zone".split()
+)
 _WORD = re.compile(r"[A-Za-z]+")
 
 
@@ -55,6 +61,16 @@ def _names(node: Node) -> frozenset[str]:
     return frozenset(w.lower() for w in found)
 
 
+def _says_so(node: Node) -> bool:
+    """Whether a class, or the id, names chrome and nothing else: share-buttons does, share-price is about something."""
+    a = node.attributes
+    for token in f"{a.get('class', '')} {a.get('id', '')}".split():
+        words = {w.lower() for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token))}
+        if words & _CHROME_WORDS and words <= _CHROME_WORDS | _BUILD_WORDS:
+            return True
+    return False
+
+
 def chrome(node: Node, inside: bool) -> bool:
     """Whether a block is no part of an article; inside: it is in one already."""
     a = node.attributes
@@ -64,8 +80,10 @@ def chrome(node: Node, inside: bool) -> bool:
         return False
     if a.get("role", "").lower() in _CHROME_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
+    if inside:
+        return _says_so(node)
     names = _names(node)
-    return bool(names & _CHROME_WORDS) or (not inside and "header" in names)
+    return bool(names & _CHROME_WORDS) or "header" in names
 
 
 def size(node: Node) -> int:

@@ -267,6 +267,16 @@ def test_warc(spark):
     assert [(r.url, r.payload_bytes) for r in got] == [(u, len(h)) for _, u, h in long]
 
 
+def test_names_of_article_blocks_that_are_about_something():
+    kept = ("share-price", "related-work", "adverse", "form-of-government", "searchEngineHistory", "reply-to-critics", "menuPlanning x")
+    gone = ("share-buttons", "related-posts", "ad", "comment-list", "article__share--inline", "newsletterSignup", "x cookie-notice", "ad-slot-3")
+    for i, names in enumerate((kept, gone)):
+        for n in names:
+            for a in ("class", "id"):
+                want = "One\n\nTwo" if i == 0 else "One"
+                assert wrapper.extract(f"<article><p>One</p><div {a}='{n}'>Two</div></article>") == want, n
+
+
 def test_salvage_logs_gaps_and_goes_on():
     records = [warc.record(i, "u", b"payload %d" % i * 9, hashlib.sha256(b"payload %d" % i * 9).hexdigest(), 81, None) for i in range(6)]
     members = [warc.member(r) for r in records]
