@@ -116,3 +116,31 @@ def customers_of_runs(spark, sf_dir):
     truth = truth.unionByName(orders.groupBy(F.trunc("month", "year").alias("month")).agg(F.countDistinct("o_custkey").alias("k")).withColumn("part", F.lit("year")))
     close = F.abs(F.col("distinct") - F.col("k")) <= F.when(F.col("exact"), 0).otherwise(0.03 * F.col("k"))
     return both.join(truth, ["part", "month"]).select("part", "month", "n", F.when(F.col("exact"), F.col("distinct")).alias("counted"), close.alias("close"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS country, p_name AS title, p_retailprice AS price, p_size AS wattage, p_type AS "panelType", p_brand AS vendor,
+ CASE WHEN p_partkey % 2 = 0 THEN 'https://shop/' || p_partkey ELSE 'https://' || p_brand || '/' || replace(p_name, ' ', '%20') END AS url
+FROM part WHERE p_retailprice <> 0 AND p_size <> 0 AND p_name <> ''""")
+def documents_of_many_shapes(spark, sf_dir):
+    """All parts as documents of 400 products in four shapes and with numbers of two kinds, written as files and read back."""
+    from ..operators.storage import shared_folder
+    from ..sources import documents
+
+    part = table(spark, sf_dir, "part")
+    odd = F.col("p_partkey") % 2 == 1
+    common = [F.col("p_name").alias("title"), F.col("p_type").alias("panelType"), F.col("p_brand").alias("vendor"), F.col("p_partkey").cast("string").alias("country"), F.when(~odd, F.concat(F.lit("https://shop/"), "p_partkey")).alias("url")]
+    texts = [F.concat("p_retailprice", F.lit(" USD")).alias("price"), F.concat("p_size", F.lit("W")).alias("wattage")]
+    numbers = [F.col("p_retailprice").alias("price"), F.col("p_size").alias("wattage")]
+    products = part.select(F.expr("p_partkey DIV 400").alias("doc"), F.when(odd, F.to_json(F.struct(*common, *texts))).otherwise(F.to_json(F.struct(*common, *numbers))).alias("p"))
+    docs = products.groupBy("doc").agg(F.collect_list("p").alias("p"))  # 400 a document
+    joined = lambda a, by=",": F.array_join(a, by)
+    some, others = F.slice("p", 1, 150), F.slice("p", 151, 400)
+    value = (
+        F.when(F.col("doc") % 4 == 0, F.format_string("[\n  %s\n]", joined("p", ",\n  ")))
+        .when(F.col("doc") % 4 == 1, F.format_string("[%s]", joined("p")))
+        .when(F.col("doc") % 4 == 2, F.format_string('{"n": 2,\n "panels": [%s],\n "products": [%s]}', joined(some), joined(others)))
+        .otherwise(F.format_string('{"z": {"products": [%s]}, "n": 1, "a": {"n": 2, "products": [%s]}}', joined(some), joined(others)))
+    )
+    folder = shared_folder(spark, "documents")
+    docs.select(value.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return documents.batches(spark, folder, "part-*").drop("ordinal", "currency")

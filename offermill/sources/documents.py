@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 
 from ..functions.numbers import prefix_integer, prefix_number
 from ..functions.urls import encoded
+from . import shapes
 
 #: Numbers may be strings; everything is read as text first.
-PRODUCT = "struct<title:string,price:string,wattage:string,panelType:string,vendor:string,source:string,url:string,country:string,currency:string>"
+PRODUCT = ["title", "price", "wattage", "panelType", "vendor", "source", "url", "country", "currency"]
 
 
 def whole(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
@@ -21,20 +22,12 @@ def whole(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFram
     return df.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), "value")
 
 
-def batches(spark: SparkSession, folder: str) -> DataFrame:
+def batches(spark: SparkSession, folder: str, pattern: str = "solar-*.json") -> DataFrame:
     """Products of all batch files of any shape: a list, {products, panels}, or {key: {products}}; bad files have none.
 
     ordinal numbers them by file name, shape and place, for whatever keeps the first.
     """
-    files = whole(spark, folder, "solar-*.json").filter(~F.col("name").isin("solar-leaderboard.json", "solar-vendor-urls.json"))
-    text = F.trim(F.col("value"))
-    listed = F.when(text.startswith("["), F.from_json("value", f"array<{PRODUCT}>"))
-    known = F.when(text.startswith("{"), F.from_json("value", f"products array<{PRODUCT}>, panels array<{PRODUCT}>"))
-    keyed = F.when(text.startswith("{"), F.from_json("value", "map<string,string>"))
-    inner = F.flatten(F.transform(F.map_values(keyed), lambda v: F.coalesce(F.when(v.startswith("{"), F.from_json(v, f"products array<{PRODUCT}>")["products"]), F.from_json(F.lit("[]"), f"array<{PRODUCT}>"))))
-    none = F.from_json(F.lit("[]"), f"array<{PRODUCT}>")
-    every = F.concat(*(F.coalesce(x, none) for x in (listed, known["products"], known["panels"], inner)))
-    rows = files.select("name", F.posexplode(every).alias("place", "p")).select("name", "place", "p.*")
+    rows = shapes.fields(shapes.elements(spark, folder, pattern, ("solar-leaderboard.json", "solar-vendor-urls.json")), PRODUCT)
     price = F.coalesce(prefix_number(F.col("price")), F.lit(0.0))
     watts = F.coalesce(prefix_integer(F.col("wattage")), F.lit(0))
     rows = rows.filter((price != 0) & (watts != 0) & (F.col("title") != ""))
@@ -42,7 +35,7 @@ def batches(spark: SparkSession, folder: str) -> DataFrame:
     vendor = F.coalesce(F.nullif("vendor", F.lit("")), source)
     made = F.concat(F.lit("https://"), F.coalesce(vendor, F.lit("unknown")), F.lit("/"), F.substring(encoded(F.col("title")), 1, 80))
     url = F.coalesce(F.nullif("url", F.lit("")), source, made)
-    return rows.select(F.struct("name", "place").alias("ordinal"), "title", price.alias("price"), watts.alias("wattage"), "panelType", vendor.alias("vendor"), url.alias("url"), "country", "currency")
+    return rows.select("ordinal", "title", price.alias("price"), watts.alias("wattage"), "panelType", vendor.alias("vendor"), url.alias("url"), "country", "currency")
 
 
 def statuses(spark: SparkSession, folder: str) -> DataFrame:

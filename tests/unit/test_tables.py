@@ -1,11 +1,13 @@
 """Versioned tables, streams into them, ranks and pages at any size, and cool-downs."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from offermill.operators import counters, limits, storage
+from offermill.sources import shapes
 from offermill.sources.versions import Conflict, VersionedTable, sink
 
 SCHEMA = "k string, v long"
@@ -132,3 +134,55 @@ def test_counters_of_runs_merge(spark):
     assert not every.exact and abs(every["distinct"] - truth([1, 2, 3, 4, 5, 6, 7, 8, None])) < 0.04 * 3000 and every.n == len(pairs)
     none = counters.read(counters.merged(days.filter("day > 6"), [])).first()
     assert (none["distinct"], none.exact, none.n) == (0, True, 2)
+
+
+def plain_elements(text):
+    """Products of a document in order; none of a malformed one."""
+
+    def once(pairs):
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("a key twice")
+        return dict(pairs)
+
+    try:
+        doc = json.loads(text, object_pairs_hook=once)
+    except ValueError:
+        return []
+    if isinstance(doc, list):
+        return doc
+    if not isinstance(doc, dict):
+        return []
+    known = [x for k in ("products", "panels") if isinstance(doc.get(k), list) for x in doc[k]]
+    return known + [x for k, v in doc.items() if k not in ("products", "panels") and isinstance(v, dict) and isinstance(v.get("products"), list) for x in v["products"]]
+
+
+def test_documents_of_every_shape_against_plain_json(spark, tmp_path):
+    rnd, made = random.Random(3), {}
+    for i in range(240):
+        items = [{"title": f"{i}-{j} ,]\\n\u00e9", "price": rnd.choice([j + 0.5, f"{j} USD", None, True])} for j in range(rnd.choice([0, 1, 2, 9]))]
+        lines = [json.dumps(x) for x in items]
+        keyed = {k: {"products": items[n::3], "n": 1} for n, k in enumerate("zaq")}
+        text = rnd.choice([
+            "[\n" + ",\n".join(lines) + "\n]", "\n [ \r\n\t" + " , \r\n".join(lines) + "\n\n]\n\n", json.dumps(items), json.dumps(items, indent=2), "[\n" + ",\n".join(lines) + ",\n]", "[\n" + "\n".join(lines) + "\n]",
+            "[\n" + ",\n".join(lines), "\n".join(lines), json.dumps({"panels": items[:1], "x": 1, "products": items[1:]}, indent=1), json.dumps(keyed), json.dumps(keyed | {"panels": items}), "[\n" + ",\n".join([*lines, '{"title": "a", "title": "b"}']) + "\n]",
+            "", "{bad", "7", '[\n{"title": "1"},\n[]\n]', "[\n" + ",\n".join([*lines, "{bad}"]) + "\n]", "]\n" + ",\n".join(lines) + "\n[",
+        ])
+        made[f"d{i:03}.json"] = text
+        (tmp_path / f"d{i:03}.json").write_bytes(text.encode())
+    rows = shapes.fields(shapes.elements(spark, str(tmp_path)), ["title", "price"]).orderBy("ordinal").collect()
+    own = lambda v: None if v is None else str(v).lower() if isinstance(v, bool) else str(v)
+    want = [(n, x.get("title"), own(x.get("price"))) if isinstance(x, dict) else (n, None, None) for n, text in sorted(made.items()) for x in plain_elements(text)]
+    assert [(r.ordinal["name"], r.title, r.price) for r in rows] == want and len(want) > 100
+    # a list with a product a line is split among tasks and read in order
+    many = [json.dumps({"title": f"t{i}", "price": i}) for i in range(4000)]
+    (tmp_path / "big").mkdir()
+    (tmp_path / "big" / "a.json").write_text("[\n" + ",\n".join(many) + "\n]\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert shapes.lines(spark, str(tmp_path / "big")).rdd.getNumPartitions() > 4
+        assert shapes.split_files(shapes.parsed(shapes.lines(spark, str(tmp_path / "big")))).count() == 1
+        got = shapes.fields(shapes.elements(spark, str(tmp_path / "big")), ["title"]).orderBy("ordinal").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.title for r in got] == [f"t{i}" for i in range(4000)]
