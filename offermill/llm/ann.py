@@ -1,11 +1,15 @@
-"""Approximate nearest neighbours by additive quantisation.
+"""Nearest neighbours by additive quantisation.
 
 A vector is coded as a sum of one codeword from each of several codebooks, each of full dimension. The codebooks are
 learned on a bounded sample: residual k-means first, then beam-search coding and least squares for all codewords at once
-by turns. Every row is coded by beam search and keeps its code and the norm of what the code stands for. A query's table
-of products with all codewords then scores a row by lookups; the best scored vectors of each block of rows are compared
-exactly, and the nearest of all blocks are the answer. Copies of a vector are scored once a block, and stand for as many
-rows as an answer can need, those with the smallest vec_ids: however many there are, ties between them are exact.
+by turns. Every row is coded by beam search and keeps its code, the norm of what the code stands for and how far that is
+from the row. A query's table of products with all codewords then scores a row by lookups, and the best scored vectors of
+each block of rows are compared exactly. What is left is compared too unless the score and the code's error say, by the
+triangle inequality, that it is farther than the k nearest so far: no row is left out for a list's length, so recall
+is 1 whatever the vectors, and what the codes spare is time alone. Rows are stored in the order of their codes, so a block
+holds like vectors; a query passes over blocks that are farther as a whole than its k nearest of the sample or so far.
+Copies of a vector are scored once a block, and stand for as many rows as an answer can need, those with the smallest
+vec_ids: however many there are, ties between them are exact.
 
 Defined results: vectors that are null, zero, of another dimension than most, or hold null or non-finite components take
 no part, nor do rows without vec_id; rows that repeat the query's vec_id are not its neighbours, and it is searched once, by
@@ -30,9 +34,11 @@ BOOKS, WORDS, BEAM = 16, 64, 6
 SAMPLE, ROUNDS = 4096, 2
 #: Queries in one pass over the index; the driver and each task hold one such block.
 QUERY_BLOCK = 4096
-#: Of each block of rows, as many rows are compared exactly for a query.
-SHORT_LIST = 640
-ROW_BLOCK = 8192
+#: Rows and queries that are scored at once. Of such a block of rows the best scored, a few more than the answer needs, are
+#: compared first, to know how far the rest may be.
+ROW_BLOCK, QUERY_STEP, FIRST = 4096, 256, 3
+#: Bytes of vectors in a part of the index.
+PART_BYTES = 64 << 20
 
 
 class Codebooks:
@@ -92,7 +98,11 @@ class Codebooks:
         return codes[np.arange(n), left.argmin(axis=1)]
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
-        return sum(self.c[m][codes[:, m]] for m in range(len(self.c)))
+        return sum(self.c[m][codes[:, m]].astype(np.float64) for m in range(len(self.c)))
+
+    def reach(self) -> float:
+        """No sum of codewords, whole or in part, is longer."""
+        return float(np.sqrt((self.c.astype(np.float64) ** 2).sum(axis=2)).max(axis=1).sum())
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Products of each query with each codeword: books, words, queries."""
@@ -122,57 +132,87 @@ def usable(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id") -
     return rows.filter(F.size("v") == (sizes[0] if sizes else 0))
 
 
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of rows that stand side by side; squares are added in the order of dimensions, as SQL does."""
+    return np.sqrt(np.cumsum((x - y) ** 2, axis=-1)[..., -1])
+
+
 def index(rows: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Codebooks | None]:
-    """A stored table of vec_id, v, code and norm of every row, and the codebooks."""
+    """A stored table of vec_id, v, code, norm and miss (how far the code is from the vector) of every row, like codes
+    together, and the codebooks, which keep the sample."""
     total = rows.count()
     if not total:
-        return rows.withColumns({"code": F.lit(None).cast("binary"), "norm": F.lit(None).cast("float")}), None
+        return rows.withColumns({"code": F.lit(None).cast("binary"), "norm": F.lit(None).cast("double"), "miss": F.lit(None).cast("double")}), None
     chance = min(1.0, 1.2 * sample / total)
     lot = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30))
     some = rows.filter(lot < int(chance * (1 << 30)) + 1).select(lot.alias("lot"), "vec_id", "v").orderBy("lot", "vec_id").limit(sample).collect() or rows.limit(1).select(F.lit(0), "vec_id", "v").collect()
     books = Codebooks(np.array([r[2] for r in some]))
-    shared = rows.sparkSession.sparkContext.broadcast(books)
+    books.known = np.array([r[1] for r in some], np.int64), np.array([r[2] for r in some])
+    context = rows.sparkSession.sparkContext
+    shared = context.broadcast(books)
     size = len(some[0][2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
             if b.num_rows:
-                codes = own.encode(matrix(b.column("v"), size))
+                x = matrix(b.column("v"), size)
+                codes = own.encode(x)
                 y = own.decode(codes)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((y * y).sum(axis=1).astype(np.float32))], names=["vec_id", "v", "code", "norm"])
+                new = pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((y * y).sum(axis=1)), pa.array(np.sqrt(((x - y) ** 2).sum(axis=1)))
+                yield pa.RecordBatch.from_arrays([*b.columns, *new], names=["vec_id", "v", "code", "norm", "miss"])
+
+    coded = stored(rows.mapInArrow(run, "vec_id long, v array<double>, code binary, norm double, miss double"), "codes")
+    shared.destroy()
+    parts = max(context.defaultParallelism, total * size * 8 // PART_BYTES)
+    return stored(coded.repartitionByRange(parts, "code", "vec_id").sortWithinPartitions("code", "vec_id"), "vectors"), books
+
+
+def bounded(queries: DataFrame, books: Codebooks, k: int) -> DataFrame:
+    """vec_id, v and bound: the kth nearest row of the sample is no farther, so the kth nearest of all isn't."""
+    shared = queries.sparkSession.sparkContext.broadcast(books.known)
 
-    return stored(rows.mapInArrow(run, "vec_id long, v array<double>, code binary, norm float"), "vectors"), books
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = shared.value
+        for b in batches:
+            if b.num_rows:
+                q, bound = matrix(b.column("v"), x.shape[1]), np.full(b.num_rows, np.inf)
+                for i, (key, v) in enumerate(zip(b.column("vec_id").to_pylist(), q, strict=True)):
+                    d = np.sqrt(((x[ids != key] - v) ** 2).sum(axis=1))
+                    if len(d) >= k:
+                        bound[i] = np.partition(d, k - 1)[k - 1] * (1 + 1e-9)
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(bound)], names=["vec_id", "v", "bound"])
 
+    return queries.groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(run, "vec_id long, v array<double>, bound double")
 
-def search(indexed: DataFrame, books: Codebooks | None, queries: DataFrame, k: int = 10, short_list: int = SHORT_LIST) -> DataFrame:
-    """query_id, rank, vec_id and score: each query's k nearest rows that were found. queries: vec_id, v.
+
+def search(indexed: DataFrame, books: Codebooks | None, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, rank, vec_id and score: each query's k nearest rows. queries: vec_id, v.
 
     A block of queries at a time is sent to all tasks, and its answer is stored before the next; rows never move, only
-    k of each block of rows and query do.
+    k of each part of the index and query do.
     """
     spark = indexed.sparkSession
-    folder = scratch(spark, "nearest")
     schema = "query_id long, rank int, vec_id long, score double"
-    block: list = []
+    if books is None:
+        return spark.createDataFrame([], schema)
+    folder, answers, block = scratch(spark, "nearest"), 0, []
 
-    def answer(some: list) -> None:
-        ids, q = np.array([r[0] for r in some], np.int64), np.array([r[1] for r in some])
-        shared = spark.sparkContext.broadcast((ids, q, books))
-        near = indexed.mapInArrow(_searcher(shared, k, short_list), "query_id long, vec_id long, score double")
+    def answer(some: list) -> int:
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in some], np.int64), np.array([r[1] for r in some]), np.array([r[2] for r in some]), books.c, books.reach()))
+        near = indexed.mapInArrow(_searcher(shared, k), "query_id long, vec_id long, score double")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
         near.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(folder)
+        shared.destroy()
+        return 1
 
-    for r in queries.groupBy("vec_id").agg(F.min("v").alias("v")).toLocalIterator():
+    for r in bounded(queries, books, k).toLocalIterator():
         block.append(r)
         if len(block) == QUERY_BLOCK:
-            answer(block)
+            answers += answer(block)
             block = []
-    if block:
-        answer(block)
-    elif books is None or not spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(folder)):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(folder)
+    answers += answer(block) if block else 0
+    return spark.read.schema(schema).parquet(folder) if answers else spark.createDataFrame([], schema)
 
 
 def copies(x: np.ndarray, key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,12 +234,71 @@ def copies(x: np.ndarray, key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return first, keys
 
 
-def _searcher(shared, k: int, short_list: int):
+class Best:
+    """The k nearest rows so far of each query of a block; `most` is the largest distance that can still be among them."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int):
+        self.ids, self.q, self.bound, self.k = ids, q, bound, k
+        self.d = np.full((len(ids), k), np.inf)
+        self.i = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def most(self, z: np.ndarray) -> np.ndarray:
+        return np.minimum(self.d[z, -1], self.bound[z])
+
+    def add(self, z: np.ndarray, x: np.ndarray, keys: np.ndarray, row: np.ndarray, col: np.ndarray) -> None:
+        """Compares queries (row, ascending, counted from z's first) with vectors (col) exactly."""
+        n, k = len(self.ids[z]), self.k
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        wide = int(nth.max(initial=-1)) + 1
+        d, near = np.full((n, wide), np.inf), np.zeros((n, wide), np.int64)
+        own = self.q[z]
+        for a in range(0, len(row), 8192):
+            r, c = row[a : a + 8192], col[a : a + 8192]
+            d[r, nth[a : a + 8192]], near[r, nth[a : a + 8192]] = distances(x[c], own[r]), c
+        # the query's own vector may have no other row, so one more than k are looked at
+        order = np.lexsort((keys[near, 0], d), axis=1)[:, : k + 1]
+        d, i = np.take_along_axis(d, order, 1), keys[np.take_along_axis(near, order, 1)]
+        d, i = np.repeat(d, keys.shape[1], axis=1), i.reshape(n, -1)
+        i[np.isinf(d)] = np.iinfo(np.int64).max
+        d[(i == self.ids[z][:, None]) | (i == np.iinfo(np.int64).max)] = np.inf
+        d, i = np.concatenate([self.d[z], d], axis=1), np.concatenate([self.i[z], i], axis=1)
+        order = np.lexsort((i, d), axis=1)[:, :k]
+        self.d[z], self.i[z] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+
+    def meet(self, z: np.ndarray, x: np.ndarray, keys: np.ndarray, codes: np.ndarray, norms: np.ndarray, miss: np.ndarray, c: np.ndarray, reach: float) -> int:
+        """All vectors of a block against some queries; returns how many pairs the scores left to compare."""
+        q, k, size = self.q[z], self.k, x.shape[1]
+        length = np.sqrt((q * q).sum(axis=1))
+        s = scores(c @ q.astype(np.float32).T, codes, norms.astype(np.float32))
+        # what single precision may have lost in the score
+        slack = 2.0**-23 * ((size + 2 * len(c) + 4) * length * reach + length**2 + norms.max())
+        far = np.sqrt(np.maximum(s + (length**2 - slack)[:, None], 0)) - (miss * (1 + 1e-9))[None, :]
+        sure = np.isfinite(s)
+        first = min(FIRST * (k + 1), len(x))
+        near = np.sort(np.argpartition(s + (miss * miss)[None, :], first - 1, axis=1)[:, :first], axis=1)
+        self.add(z, x, keys, np.repeat(np.arange(len(q)), first), near.ravel())
+        left = ~((far > self.most(z)[:, None] * (1 + 1e-9)) & sure)
+        np.put_along_axis(left, near, False, 1)
+        pairs = int(left.sum())
+        if pairs:
+            rows, cols = np.flatnonzero(left.any(axis=1)), np.flatnonzero(left.any(axis=0))
+            some = x[cols]
+            own = (some * some).sum(axis=1)
+            square = own[None, :] + (length[rows] ** 2)[:, None] - 2 * (q[rows] @ some.T)
+            rounding = 1e-15 * (size + 8) * (length[rows] + np.sqrt(own.max())) ** 2
+            square[~left[np.ix_(rows, cols)]] = np.inf
+            limit = self.most(z)[rows] ** 2 * (1 + 1e-9)
+            if len(cols) > k:
+                limit = np.minimum(limit, np.partition(square, k, axis=1)[:, k] + rounding)
+            row, col = np.nonzero(~(square > (limit + rounding)[:, None]) & left[np.ix_(rows, cols)])
+            self.add(z, x, keys, rows[row], cols[col])
+        return pairs
+
+
+def _searcher(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, books = shared.value
-        tables = books.tables(q)
-        best_d = np.full((len(ids), k), np.inf)
-        best_i = np.full((len(ids), k), np.iinfo(np.int64).max)
+        ids, q, bound, c, reach = shared.value
+        best = Best(ids, q, bound, k)
         for b in batches:
             for a in range(0, b.num_rows, ROW_BLOCK):
                 part = b.slice(a, ROW_BLOCK)
@@ -207,26 +306,18 @@ def _searcher(shared, k: int, short_list: int):
                 first, keys = copies(x, key, k)
                 x = x[first]
                 codes = np.frombuffer(b"".join(part.column("code").take(pa.array(first)).to_pylist()), np.uint8).reshape(len(x), -1)
-                norms = part.column("norm").to_numpy()[first]
-                for c in range(0, len(ids), 256):
-                    z = slice(c, min(c + 256, len(ids)))
-                    s = scores(tables[:, :, z], codes, norms)
-                    n = min(short_list, len(x))
-                    near = np.argpartition(s, n - 1, axis=1)[:, :n]
-                    own = q[z]
-                    d = np.sqrt(((x[near] - own[:, None, :]) ** 2).sum(axis=2))
-                    # the query's own vector may have no other row, so one more than k are looked at
-                    order = np.lexsort((keys[near, 0], d), axis=1)[:, : k + 1]
-                    d, i = np.take_along_axis(d, order, 1), keys[np.take_along_axis(near, order, 1)]
-                    d, i = np.repeat(d, keys.shape[1], axis=1), i.reshape(len(own), -1)
-                    d[(i == ids[z, None]) | (i == np.iinfo(np.int64).max)] = np.inf
-                    d, i = np.concatenate([best_d[z], d], axis=1), np.concatenate([best_i[z], i], axis=1)
-                    order = np.lexsort((i, d), axis=1)[:, :k]
-                    best_d[z], best_i[z] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        row, col = np.nonzero(np.isfinite(best_d))
+                norms, miss = part.column("norm").to_numpy()[first], part.column("miss").to_numpy()[first]
+                middle = x.mean(axis=0)
+                radius = np.sqrt(((x - middle) ** 2).sum(axis=1).max())
+                for at in range(0, len(ids), QUERY_STEP):
+                    z = slice(at, min(at + QUERY_STEP, len(ids)))
+                    near = np.flatnonzero(~(np.sqrt(((q[z] - middle) ** 2).sum(axis=1)) - radius * (1 + 1e-9) > best.most(z) * (1 + 1e-9)))
+                    if len(near):
+                        best.meet(at + near, x, keys, codes, norms, miss, c, reach)
+        row, col = np.nonzero(np.isfinite(best.d))
         for a in range(0, len(row), 100_000):
-            r, c = row[a : a + 100_000], col[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(best_i[r, c]), pa.array(best_d[r, c])], names=["query_id", "vec_id", "score"])
+            r, w = row[a : a + 100_000], col[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(best.i[r, w]), pa.array(best.d[r, w])], names=["query_id", "vec_id", "score"])
 
     return run
 

@@ -89,4 +89,4 @@ def op13_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_pack, op4_token_files, op5_main_text, op6_token_counts, op7_suffixes, op8_warc, op9_jaccard, op10_neighbours, op11_divergence, op12_whiten, op13_private)}
-ORACLES = {"op1_decontaminate": sql.DECONTAMINATE, "op8_warc": sql.WARC, "op11_divergence": sql.DIVERGENCE}
+ORACLES = {"op1_decontaminate": sql.DECONTAMINATE, "op8_warc": sql.WARC, "op10_neighbours": sql.NEIGHBOURS, "op11_divergence": sql.DIVERGENCE}

@@ -40,3 +40,13 @@ terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FRO
 SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
 UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM terms) WHERE rank <= 200
 """
+
+NEIGHBOURS = """
+WITH c AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT * FROM c WHERE list_bool_and(list_transform(v, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(v, lambda x: x <> 0))),
+r AS MATERIALIZED (SELECT * FROM u WHERE len(v) = (SELECT len(v) FROM u GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)),
+q AS (SELECT vec_id, min(v) AS v FROM r WHERE vec_id % 100 = 0 GROUP BY vec_id),
+d AS (SELECT q.vec_id AS query_id, r.vec_id, sqrt(list_sum(list_transform(list_zip(r.v, q.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score FROM q JOIN r ON r.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM d
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
+"""
