@@ -1,13 +1,15 @@
 """A small lenient HTML parser: block-level trees with the text of each block.
 
 Inline elements are part of their block's text; a block's own text is cut where a block inside it begins. Elements whose
-content is not prose (scripts, styles, forms, ...) stay in the tree without text.
+content is not prose (scripts, styles, forms, ...) stay in the tree without text. Elements may be nested to any depth, and no
+markup takes more than a time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -20,9 +22,6 @@ _CLOSES_P = frozenset("address article aside blockquote center details dialog di
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tbody": {"tr", "td", "th", "thead", "tbody", "tfoot"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}}
 _WALLS = frozenset("ul ol dl menu table td th div section article main aside nav footer header form body html blockquote figure fieldset select".split())
 
-#: Elements nested deeper than this are part of the block there.
-DEEPEST = 200
-
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|))*+)>)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: What no end follows swallows the rest.
@@ -55,6 +54,7 @@ def parse(html: str) -> Node:
     """The page as a tree of block-level nodes."""
     root = Node("#page", {}, None)
     stack: list[tuple[str, Node]] = [("#page", root)]  # inline elements stand for the block that they are in
+    opened: Counter[str] = Counter()
     mute = links = 0
     at = 0
 
@@ -62,12 +62,17 @@ def parse(html: str) -> Node:
         nonlocal mute, links
         while len(stack) > to:
             name, node = stack.pop()
+            opened[name] -= 1
             if name in INLINE:
                 links -= name == "a"
             else:
                 node.flush()
                 mute -= name in MUTE
 
+    def push(name: str, node: Node) -> None:
+        stack.append((name, node))
+        opened[name] += 1
+
     def add(text: str) -> None:
         if text and not mute:
             node = stack[-1][1]
@@ -94,7 +99,7 @@ def parse(html: str) -> Node:
                         break
             elif name == "br":
                 add(" ")
-            else:
+            elif opened[name]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == name:
                         pop(i)
@@ -107,7 +112,7 @@ def parse(html: str) -> Node:
             if name == "hr":
                 stack[-1][1].flush()
             continue
-        if name in ("html", "body") and any(s == name for s, _ in stack):
+        if name in ("html", "body") and opened[name]:
             continue
         if name in INLINE:
             if name == "a":
@@ -118,36 +123,34 @@ def parse(html: str) -> Node:
                     if stack[i][0] not in INLINE:
                         break
                 links += 1
-            stack.append((name, stack[-1][1]))
+            push(name, stack[-1][1])
             continue
         if name in _CLOSES_P or name in _ENDS:
             ends = _ENDS.get(name, set()) | ({"p"} if name in _CLOSES_P else set())
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[e] for e in ends) else ():
                 if stack[i][0] in ends:
                     pop(i)
                     if "p" not in ends or len(ends) == 1:
                         break
                 elif stack[i][0] in _WALLS:
                     break
-        if name == "body":
+        if name == "body" and opened["head"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "head":
                     pop(i)
                     break
-        block = next(n for s, n in reversed(stack) if s not in INLINE)
+        block = stack[-1][1]
         block.flush()
         attributes = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[3] or "")} if m[3] and m[3].strip() else {}
-        deep = len(stack) > DEEPEST
-        node = block if deep else Node(name, attributes, block)
-        if not deep:
-            block.children.append(node)
+        node = Node(name, attributes, block)
+        block.children.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
         if m[3].rstrip().endswith("/") and name in ("svg", "math"):
             continue
-        stack.append((name, node))
+        push(name, node)
         mute += name in MUTE
     open_ = _OPEN.search(html, at)
     add(html[at : open_.start()] if open_ else html[at:])

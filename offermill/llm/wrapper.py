@@ -21,7 +21,6 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,63 +85,92 @@ def chrome(node: Node, inside: bool) -> bool:
     return bool(names & _CHROME_WORDS) or "header" in names
 
 
-def size(node: Node) -> int:
-    return sum(len(c) if isinstance(c, str) else size(c) for c in node.children)
+def preorder(node: Node) -> Iterator[Node]:
+    """A block and all below, to any depth."""
+    stack = [node]
+    while stack:
+        n = stack.pop()
+        yield n
+        stack.extend(reversed(n.blocks()))
 
 
-def article(page: Node) -> Node | None:
-    """The block that holds the article by its element: the longest outermost one."""
-    found: list[Node] = []
+def sizes(page: Node) -> dict[int, int]:
+    """Characters of each block and all below, by the block's id."""
+    out: dict[int, int] = {}
+    for n in reversed(list(preorder(page))):
+        out[id(n)] = sum(len(c) if isinstance(c, str) else out[id(c)] for c in n.children)
+    return out
 
-    def walk(n: Node) -> None:
-        for c in n.blocks():
+
+def article(page: Node) -> Node | None:
+    """The block that holds the article by its element: the longest outermost one, and if that is a main, the one in it."""
+    best, size = None, None
+    while True:
+        found: list[Node] = []
+        stack = page.blocks()[::-1]
+        while stack:
+            c = stack.pop()
             if (c.name in ("article", "main") or c.attributes.get("role") in ("article", "main") or c.attributes.get("itemprop") == "articleBody") and not _names(c) & _COMMENT_WORDS:
                 found.append(c)
             elif c.name not in MUTE:
-                walk(c)
-
-    walk(page)
-    best = max(found, key=size, default=None)
-    if best is not None and (best.name == "main" or best.attributes.get("role") == "main"):
-        return article(best) or best
-    return best
-
-
-def skeleton(node: Node) -> tuple[list, list[list[tuple[Node, list]]]]:
-    """[key, repeated, children] with like neighbours as one node, and for each child the blocks it stands for."""
-    own: list = [node.name + "".join(f".{w}" for w in sorted(node.attributes.get("class", "").split())), 0, []]
-    groups: list[list[tuple[Node, list]]] = []
-    for c in node.blocks():
-        s, below = skeleton(c)
-        if own[2] and own[2][-1][0] == s[0] and own[2][-1][2] == s[2]:
-            own[2][-1][1] = 1
-            groups[-1].append((c, below))
-        else:
-            own[2].append(s)
-            groups.append([(c, below)])
-    return own, groups
+                stack.extend(reversed(c.blocks()))
+        if not found:
+            return best
+        if len(found) > 1 and size is None:
+            size = sizes(page)
+        best = max(found, key=lambda c: size[id(c)]) if len(found) > 1 else found[0]
+        if best.name != "main" and best.attributes.get("role") != "main":
+            return best
+        page = best
 
 
 def outline(page: Node) -> tuple[str, dict[int, int]]:
-    """The page's skeleton, and the place in it, in preorder, of each block (by id)."""
-    top, groups = skeleton(page)
-    slots: dict[int, int] = {}
-    at = 0
-
-    def number(s: list, blocks: list[tuple[Node, list]]) -> None:
-        nonlocal at
-        for n, _ in blocks:
-            slots[id(n)] = at
-        at += 1
-        for i, c in enumerate(s[2]):
-            number(c, [x for _, below in blocks for x in below[i]])
-
-    number(top, [(page, groups)])
-    return json.dumps(top), slots
-
+    """The page's skeleton, with runs of like neighbours as one node, and the place in it of each block (by id).
 
-def count(s: list) -> int:
-    return 1 + sum(count(c) for c in s[2])
+    A skeleton lists its nodes in preorder: element and classes, whether it is a run, and how many children it has.
+    """
+    keys: dict[int, str] = {}
+    shapes: dict[tuple, int] = {}
+    shape: dict[int, int] = {}
+    runs: dict[int, list[list]] = {}
+    for n in reversed(list(preorder(page))):
+        own: list[list] = []
+        for c in n.blocks():
+            if own and own[-1][0] == shape[id(c)]:
+                own[-1][1] = 1
+                own[-1][2].append(c)
+            else:
+                own.append([shape[id(c)], 0, [c]])
+        keys[id(n)] = n.name + "".join(f".{w}" for w in sorted(n.attributes.get("class", "").split()))
+        runs[id(n)] = own
+        shape[id(n)] = shapes.setdefault((keys[id(n)], *((s, r) for s, r, _ in own)), len(shapes))
+    out: list[tuple[str, int, int]] = []
+    slots: dict[int, int] = {}
+    stack: list[tuple[list[Node], int]] = [([page], 0)]
+    while stack:
+        blocks, run = stack.pop()
+        slots |= dict.fromkeys(map(id, blocks), len(out))
+        children = runs[id(blocks[0])]
+        out.append((keys[id(blocks[0])], run, len(children)))
+        for i in range(len(children) - 1, -1, -1):
+            stack.append(([c for b in blocks for c in runs[id(b)][i][2]], children[i][1]))
+    return json.dumps(out), slots
+
+
+def tree(skeleton: str) -> tuple[list[str], list[str], list[list[int]]]:
+    """Of each node its key, its element and the places of its children."""
+    nodes = json.loads(skeleton)
+    children: list[list[int]] = [[] for _ in nodes]
+    above: list[list[int]] = []
+    for i, (_, _, n) in enumerate(nodes):
+        if above:
+            children[above[-1][0]].append(i)
+            above[-1][1] -= 1
+            if not above[-1][1]:
+                above.pop()
+        if n:
+            above.append([i, n])
+    return [k for k, _, _ in nodes], [k.split(".", 1)[0] for k, _, _ in nodes], children
 
 
 #: What two blocks of one element count, with and without the same classes.
@@ -153,45 +181,42 @@ SAME, OTHER = 4, 1
 def aligned(page: str, reference: str) -> tuple[float, tuple[int, ...]]:
     """Simple tree matching: how like the skeletons are, from 0 to 1, and for each node of the page's the reference's node,
     or -1; both in preorder."""
-    a, b = json.loads(page), json.loads(reference)
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def best(x: list, y: list) -> tuple[int, list]:
-        """How well nodes match, and which children go together."""
-        if x[0] != y[0] and x[0].split(".", 1)[0] != y[0].split(".", 1)[0]:
-            return 0, []
-        key = id(x), id(y)
-        if key not in memo:
-            m, n = len(x[2]), len(y[2])
-            w = [[0] * (n + 1) for _ in range(m + 1)]
-            for i in range(m):
-                for j in range(n):
-                    w[i + 1][j + 1] = max(w[i][j + 1], w[i + 1][j], w[i][j] + best(x[2][i], y[2][j])[0])
-            i, j, pairs = m, n, []
-            while i and j:
-                if w[i][j] == w[i - 1][j]:
-                    i -= 1
-                elif w[i][j] == w[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    pairs.append((i, j))
-            memo[key] = (SAME if x[0] == y[0] else OTHER) + w[m][n], pairs
-        return memo[key]
-
-    size = count(a)
-    out = [-1] * size
-
-    def place(x: list, y: list, px: int, py: int) -> None:
-        out[px] = py
-        xs, ys = np.cumsum([px + 1, *map(count, x[2])]), np.cumsum([py + 1, *map(count, y[2])])
-        for i, j in best(x, y)[1]:
-            place(x[2][i], y[2][j], int(xs[i]), int(ys[j]))
-
-    score = best(a, b)[0]
-    if score:
-        place(a, b, 0, 0)
-    return 2 * score / (SAME * (size + count(b))), tuple(out)
+    (a, a_name, a_below), (b, b_name, b_below) = tree(page), tree(reference)
+    #: How well two nodes match, and which children go together.
+    best: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+    stack, seen = [(0, 0)], set()
+    while stack:
+        x, y = at = stack[-1]
+        xs, ys = a_below[x], b_below[y]
+        if at not in seen:
+            seen.add(at)
+            stack += [(i, j) for i in xs for j in ys if a_name[i] == b_name[j]]
+            continue
+        stack.pop()
+        if at in best:
+            continue
+        m, n = len(xs), len(ys)
+        w = [[0] * (n + 1) for _ in range(m + 1)]
+        for i in range(m):
+            for j in range(n):
+                w[i + 1][j + 1] = max(w[i][j + 1], w[i + 1][j], w[i][j] + (best[xs[i], ys[j]][0] if a_name[xs[i]] == b_name[ys[j]] else 0))
+        i, j, pairs = m, n, []
+        while i and j:
+            if w[i][j] == w[i - 1][j]:
+                i -= 1
+            elif w[i][j] == w[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((xs[i], ys[j]))
+        best[at] = (SAME if a[x] == b[y] else OTHER) + w[m][n], pairs
+    out = [-1] * len(a)
+    stack = [(0, 0)]
+    while stack:
+        x, y = stack.pop()
+        out[x] = y
+        stack += best[x, y][1]
+    return 2 * best[0, 0][0] / (SAME * (len(a) + len(b))), tuple(out)
 
 
 def match(page: str, reference: str) -> tuple[int, ...]:
@@ -201,7 +226,7 @@ def match(page: str, reference: str) -> tuple[int, ...]:
 def layouts(skeletons: list[str]) -> list[str]:
     """Of skeletons, the first to come first, those unlike all before; one without blocks only if there is no other."""
     out: list[str] = []
-    for s in [x for x in skeletons if json.loads(x)[2]] or skeletons[:1]:
+    for s in [x for x in skeletons if len(json.loads(x)) > 1] or skeletons[:1]:
         if len(out) < LAYOUTS and all(aligned(s, o)[0] < LIKE for o in out):
             out.append(s)
     return out
@@ -229,17 +254,16 @@ def text_hash(text: str) -> int:
 def slot_texts(page: Node, slots: dict[int, int], places: tuple[int, ...]) -> set[tuple[int, str]]:
     """The texts that stand in the slots of the reference."""
     found = set()
-
-    def walk(n: Node) -> None:
+    stack = [page]
+    while stack:
+        n = stack.pop()
         slot = places[slots[id(n)]]
         for c in n.children:
             if isinstance(c, str):
                 if slot >= 0:
                     found.add((slot, c))
             elif c.name not in MUTE:
-                walk(c)
-
-    walk(page)
+                stack.append(c)
     return found
 
 
@@ -258,19 +282,26 @@ def extract(html: str, references: tuple[str, ...] = (), constants: frozenset[tu
         for k, slot, h in constants:
             fixed.setdefault((k, slot), set()).add(h)
     root = article(page)
+    inside = root is not None
     out: list[str] = []
 
-    def walk(n: Node, inside: bool) -> None:
+    def opened(n: Node) -> tuple:
         gone = set().union(*(fixed.get((k, to[slots[id(n)]]), ()) for k, to in places)) if fixed and id(n) in slots else ()
-        own = sum(len(c) for c in n.children if isinstance(c, str))
-        for c in n.children:
+        prose = inside or n.link * 2 < sum(len(c) for c in n.children if isinstance(c, str))
+        return iter(n.children), gone, prose
+
+    stack = [opened(root or page)]
+    while stack:
+        children, gone, prose = stack[-1]
+        for c in children:
             if isinstance(c, str):
-                if not (gone and text_hash(c) in gone) and (inside or n.link * 2 < own):
+                if prose and not (gone and text_hash(c) in gone):
                     out.append(c)
             elif not chrome(c, inside):
-                walk(c, inside)
-
-    walk(root or page, root is not None)
+                stack.append(opened(c))
+                break
+        else:
+            stack.pop()
     return "\n\n".join(out)
 
 

@@ -400,6 +400,24 @@ def test_jaccard(spark, docs, empty):
     assert sorted(r[0] for r in kept.filter("doc_id IS NOT NULL").select("doc_id").collect()) == sorted({c for _, _, c in want if c is not None})
 
 
+def test_pages_nested_to_any_depth():
+    """Blocks are found, aligned and left out however deep they are, and in linear time."""
+    page = lambda n, story: "<div>" * n + f"<nav>menu one</nav><p>{story}</p><p>All rights.</p>" + "</div>" * n
+    for n in (3, 230, 30_000):
+        assert wrapper.extract(page(n, "story")) == "story\n\nAll rights."
+        tree = wrapper.parse(page(n, "story"))
+        own, slots = wrapper.outline(tree)
+        like, places = wrapper.aligned(own, own)
+        assert like == 1 and list(places) == list(range(len(places)))
+        slot = next(s for s, t in wrapper.slot_texts(tree, slots, places) if t == "All rights.")
+        tree = wrapper.parse(page(n, "other"))
+        assert (slot, "All rights.") in wrapper.slot_texts(tree, wrapper.outline(tree)[1], places)
+        fixed = frozenset({(0, slot, wrapper.text_hash("All rights."))})
+        assert wrapper.extract(page(n, "other"), (own,), fixed) == "other"
+        assert wrapper.extract("<main>" * n + "<article><p>in it</p></article>") == "in it"
+    assert wrapper.extract("<div>" * 40_000 + "</x>" * 40_000 + "<b>" * 40_000 + "<p>a</p>" * 20_000).count("a") == 20_000
+
+
 def _nearest(x: np.ndarray, queries) -> dict[int, list[tuple[int, int, float]]]:
     """Brute force: rank, row and distance of the ten nearest; squares are added in order."""
     x = x.astype(np.float64)
