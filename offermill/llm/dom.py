@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -20,6 +20,7 @@ MUTE = frozenset("script style textarea title noscript iframe noembed noframes t
 #: An open element of the first kind ends where a start tag of the second comes.
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dd dt".split())
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tbody": {"tr", "td", "th", "thead", "tbody", "tfoot"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}}
+_STARTS = {n: _ENDS.get(n, set()) | ({"p"} if n in _CLOSES_P else set()) for n in _CLOSES_P | _ENDS.keys()}
 _WALLS = frozenset("ul ol dl menu table td th div section article main aside nav footer header form body html blockquote figure fieldset select".split())
 
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|))*+)>)", re.S)
@@ -54,7 +55,7 @@ def parse(html: str) -> Node:
     """The page as a tree of block-level nodes."""
     root = Node("#page", {}, None)
     stack: list[tuple[str, Node]] = [("#page", root)]  # inline elements stand for the block that they are in
-    opened: Counter[str] = Counter()
+    opened: defaultdict[str, int] = defaultdict(int)
     mute = links = 0
     at = 0
 
@@ -126,8 +127,8 @@ def parse(html: str) -> Node:
             push(name, stack[-1][1])
             continue
         if name in _CLOSES_P or name in _ENDS:
-            ends = _ENDS.get(name, set()) | ({"p"} if name in _CLOSES_P else set())
-            for i in range(len(stack) - 1, 0, -1) if any(opened[e] for e in ends) else ():
+            ends = _STARTS[name]
+            for i in range(len(stack) - 1, 0, -1) if any([opened[e] for e in ends]) else ():
                 if stack[i][0] in ends:
                     pop(i)
                     if "p" not in ends or len(ends) == 1:

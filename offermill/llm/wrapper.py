@@ -129,31 +129,45 @@ def outline(page: Node) -> tuple[str, dict[int, int]]:
 
     A skeleton lists its nodes in preorder: element and classes, whether it is a run, and how many children it has.
     """
-    keys: dict[int, str] = {}
+    below: list[tuple[Node, list[Node]]] = []
+    waiting = [page]
+    while waiting:
+        n = waiting.pop()
+        blocks = [c for c in n.children if not isinstance(c, str)]
+        below.append((n, blocks))
+        waiting += blocks
     shapes: dict[tuple, int] = {}
     shape: dict[int, int] = {}
-    runs: dict[int, list[list]] = {}
-    for n in reversed(list(preorder(page))):
+    runs: dict[int, tuple[str, list[list]]] = {}
+    for n, blocks in reversed(below):
         own: list[list] = []
-        for c in n.blocks():
-            if own and own[-1][0] == shape[id(c)]:
+        last = -1
+        for c in blocks:
+            if (s := shape[id(c)]) == last:
                 own[-1][1] = 1
                 own[-1][2].append(c)
             else:
-                own.append([shape[id(c)], 0, [c]])
-        keys[id(n)] = n.name + "".join(f".{w}" for w in sorted(n.attributes.get("class", "").split()))
-        runs[id(n)] = own
-        shape[id(n)] = shapes.setdefault((keys[id(n)], *((s, r) for s, r, _ in own)), len(shapes))
+                own.append([s, 0, [c]])
+                last = s
+        classes = n.attributes.get("class") if n.attributes else None
+        key = ".".join([n.name, *sorted(classes.split())]) if classes else n.name
+        at = id(n)
+        runs[at] = key, own
+        shape[at] = shapes.setdefault((key, *[(s, r) for s, r, _ in own]), len(shapes))
     out: list[tuple[str, int, int]] = []
     slots: dict[int, int] = {}
     stack: list[tuple[list[Node], int]] = [([page], 0)]
     while stack:
         blocks, run = stack.pop()
-        slots |= dict.fromkeys(map(id, blocks), len(out))
-        children = runs[id(blocks[0])]
-        out.append((keys[id(blocks[0])], run, len(children)))
-        for i in range(len(children) - 1, -1, -1):
-            stack.append(([c for b in blocks for c in runs[id(b)][i][2]], children[i][1]))
+        for c in blocks:
+            slots[id(c)] = len(out)
+        key, children = runs[id(blocks[0])]
+        out.append((key, run, len(children)))
+        if len(blocks) == 1:
+            stack += [(c, r) for _, r, c in reversed(children)]
+        else:
+            for i in range(len(children) - 1, -1, -1):
+                stack.append(([c for b in blocks for c in runs[id(b)][1][i][2]], children[i][1]))
     return json.dumps(out), slots
 
 
