@@ -354,8 +354,8 @@ def test_markup_without_an_end():
 
 
 def test_tree_matching():
-    a = '["r", 0, [["x", 0, []], ["y", 1, [["z", 0, []]]], ["w", 0, []]]]'
-    b = '["r", 0, [["y", 0, [["q", 0, []], ["z", 0, []]]], ["w", 0, []]]]'
+    a = '[["r", 0, 3], ["x", 0, 0], ["y", 1, 1], ["z", 0, 0], ["w", 0, 0]]'
+    b = '[["r", 0, 2], ["y", 0, 2], ["q", 0, 0], ["z", 0, 0], ["w", 0, 0]]'
     assert wrapper.match(a, b) == (0, -1, 1, 3, 4)
 
 
