@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions import fixed
-from .html import Page, facts, listing_cards, result_links
+from .html import Page, facts, listing_cards, only_closed, result_links
 
 #: Errors that a page's markup can cause; others are faults of the extractor and end the query.
 PAGE_ERRORS = (ValueError, RecursionError, AssertionError)
@@ -114,7 +114,7 @@ class Registry:
         return queries.select("*", F.inline(rows))
 
 
-def _field_schema(fields: str = "title_tag") -> T.StructType:
+def _field_schema(fields: str = "title_tag", closed: bool = False) -> T.StructType:
     return T.StructType([T.StructField(_known(n), T.StringType()) for n in fields.split(",")])
 
 
@@ -124,9 +124,10 @@ def _known(name: str) -> str:
     return name
 
 
-def _fields(html: str, url: str | None = None, fields: str = "title_tag") -> Iterable[dict]:
-    """One row of a page's facts, those that are asked for."""
-    found = facts(html)
+def _fields(html: str, url: str | None = None, fields: str = "title_tag", closed: bool = False) -> Iterable[dict]:
+    """One row of a page's facts, those that are asked for. Character references without a semicolon count as browsers take
+    them, or as text if only closed ones are to be decoded."""
+    found = facts(only_closed(html) if closed else html)
     return [{n.strip(): found[n.strip()] for n in fields.split(",")}]
 
 

@@ -29,3 +29,13 @@ def test_listings_whose_url_several_pages_have(spark, tmp_path, name):
     urls = [f"https://h{k % 3}.example/l?p={4 if k == 7 else k}" for k in range(80)]
     got = same(spark, tmp_path, name, pages={"page_id": list(range(80)), "url": urls, "html": [""] * 80})
     assert any("Panel 7 300W" in r or "?p=22'" in r for r in got)
+
+
+def test_titles_with_references_that_no_semicolon_ends(spark, tmp_path):
+    titles = ["a &amp; b &quot;c&quot;", "cut &amp", "cut &am", "&ampx; y", "a &quot b", "R&D", "1 &amp 2 &amp; 3"]
+    html = [f"<html><head><title>{t}</title></head><body><p>1</p><p>2</p></body></html>" for t in titles]
+    got = same(spark, tmp_path, "registered_extractors", pages={"page_id": list(range(len(html))), "url": ["https://a.example/x"] * len(html), "html": html})
+    assert len(got) == len(html)
+    from offermill.sources import registry
+
+    assert next(iter(registry._fields(html[1])))["title_tag"] == "cut &"  # as browsers do, unless only closed ones are asked for
