@@ -14,20 +14,22 @@ v2 AS (SELECT k, CASE WHEN k % 3 = 0 THEN size + 100 ELSE size END AS size FROM
 v3 AS (SELECT * FROM v2 WHERE k % 7 <> 0), v4 AS (SELECT k, CASE WHEN size > 120 THEN 0 ELSE size END AS size FROM v3)
 SELECT 1 AS version, * FROM v1 UNION ALL SELECT 2, * FROM v2 UNION ALL SELECT 3, * FROM v3 UNION ALL SELECT 4, * FROM v4""")
 def versions_of_a_table(spark, sf_dir):
-    """All parts, changed in place three times, the last time from what the table itself holds; every version as it was."""
+    """All parts, changed in place three times, the last time from what the table itself holds; every version as it was. A part that is added keeps apart from one that has its number already."""
     from ..operators.storage import shared_folder
     from ..sources.versions import VersionedTable
 
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), F.col("p_size").cast("int").alias("size"))
-    own = VersionedTable(spark, shared_folder(spark, "parts"), "k long, size int", "k", 16)
+    parts = parts.withColumn("id", F.col("k") * 2)
+    own = VersionedTable(spark, shared_folder(spark, "parts"), "id long, k long, size int", "id", 16)
     own.upsert(parts)
-    own.upsert(parts.filter("k % 3 = 0").withColumn("size", F.col("size") + 100).unionByName(parts.filter("k % 5 = 0").withColumn("k", F.col("k") + 1_000_000)))
+    added = parts.filter("k % 5 = 0").withColumns({"k": F.col("k") + 1_000_000, "id": (F.col("k") + 1_000_000) * 2 + 1})
+    own.upsert(parts.filter("k % 3 = 0").withColumn("size", F.col("size") + 100).unionByName(added))
     own.delete(own.read().filter("k % 7 = 0"))
     own.upsert(own.read().filter("size > 120").withColumn("size", F.lit(0)))
     out = own.read(1).withColumn("version", F.lit(1))
     for v in (2, 3, 4):
         out = out.unionByName(own.read(v).withColumn("version", F.lit(v)))
-    return out
+    return out.drop("id")
 
 
 @query("SELECT user_id, count(*) AS n, max(event_id) AS last, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY user_id")

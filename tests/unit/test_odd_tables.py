@@ -39,3 +39,8 @@ def test_titles_with_references_that_no_semicolon_ends(spark, tmp_path):
     from offermill.sources import registry
 
     assert next(iter(registry._fields(html[1])))["title_tag"] == "cut &"  # as browsers do, unless only closed ones are asked for
+
+
+def test_versions_whose_added_keys_exist(spark, tmp_path):
+    keys = [*range(1, 40), *range(1_000_001, 1_000_040)]
+    same(spark, tmp_path, "versions_of_a_table", part={"p_partkey": keys, "p_size": pa.array([k % 50 + 1 for k in keys], pa.int32())})
