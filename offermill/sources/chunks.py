@@ -1,9 +1,10 @@
 """Server-sent events out of streams that arrive in chunks, cut anywhere: within a line, an event or a character.
 
-A batch of chunks is decoded without bringing a stream together. Two prefix scans do it, each over blocks first and within
-blocks then, so that a task holds a block's rows whatever its stream's length: one adds up line ends, which numbers the
-lines; the other carries the last event type that no data line has taken. Only the first and last piece of a chunk move,
-to meet the rest of their line. Chunks as they come are decoded with state: the tail that no line end has closed, the
+A batch of chunks is decoded without bringing a stream together, by prefix scans over blocks of chunks, so that a task holds
+a line or a row, whatever its stream's length. For events a block's chunks are read once, in order: events between its
+first and last line end whose type it tells are done; its edges, its number of lines and the type that is pending behind
+it are one row, and these rows meet by stream. For lines, counts of line ends are added up over blocks and within them,
+and only the first and last piece of a chunk move, to meet the rest of their line. Chunks as they come are decoded with state: the tail that no line end has closed, the
 pending type, and chunks that came before their turn.
 
 A stream's chunks are numbered from 0 without gaps, each once. Lines end in a line feed, and a carriage return before it
@@ -15,12 +16,17 @@ replacement character.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.storage import kept
+
 #: Rows of a block of a prefix scan.
 BLOCK = 4096
 
@@ -66,13 +72,111 @@ def lines(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
     return inner.unionByName(edges).select("stream", "line", _text(F.col("piece")).alias("text"))
 
 
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block's chunks in order: the events whose type the block tells, and a row for what it leaves open, its edges and the first event without a type."""
+    key, out = None, []
+
+    def begin() -> None:
+        nonlocal head, tail, ends, pending, early
+        head, tail, ends, pending, early = None, [], 0, None, (None, None)
+
+    def take(line: bytes) -> None:
+        nonlocal pending, early
+        if line.startswith(b"event: "):
+            pending = _decoded(line)[7:]
+        elif line.startswith(b"data: "):
+            data = _decoded(line)[6:]
+            if pending is None:
+                early = ends, data
+            elif pending and data:
+                out.append((*key, ends, pending, data, *[None] * 6))
+            pending = ""
+
+    def finish() -> None:
+        out.append((*key, None, None, None, head, b"".join(tail), ends, pending, *early))
+
+    head, tail, ends, pending, early = None, [], 0, None, (None, None)
+    schema = None
+    for b in batches:
+        schema = schema or pa.schema([pa.field("stream", b.schema.field("stream").type), *_OPEN])
+        own = [b.column(c).to_pylist() for c in ("stream", "block", "chunk")]
+        for k, rows in groupby(zip(*own, strict=True), key=lambda r: r[:2]):
+            if k != key:
+                if key is not None:
+                    finish()
+                key = k
+                begin()
+            data = b"".join([r[2] or b"" for r in rows])
+            if b"\n" not in data:
+                tail.append(data)
+                continue
+            *whole, last = (b"".join(tail) + data).split(b"\n")
+            tail = [last]
+            for line in whole:
+                if head is None:
+                    head = line
+                else:
+                    take(line)
+                ends += 1
+        if out:
+            yield _batch(out, schema)
+            out = []
+    if key is not None:
+        finish()
+        yield _batch(out, schema)
+
+
+_LONG, _TEXT, _BYTES = pa.int64(), pa.string(), pa.binary()
+_OPEN = [pa.field(n, t) for n, t in (("block", _LONG), ("nth", _LONG), ("event", _TEXT), ("data", _TEXT), ("head", _BYTES), ("tail", _BYTES), ("ends", _LONG), ("pending", _TEXT), ("early", _LONG), ("early_data", _TEXT))]
+_MET = [pa.field(n, t) for n, t in (("block", _LONG), ("first", _LONG), ("line", _LONG), ("event", _TEXT), ("data", _TEXT))]
+
+
+def _decoded(line: bytes) -> str:
+    return line.removesuffix(b"\r").decode("utf-8", "replace")
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each stream's blocks in order: the number of each one's first line, and the events that their edges make."""
+    stream, some = None, False
+    tail, pending, first = [], "", 0
+    for b in batches:
+        schema, out = pa.schema([pa.field("stream", b.schema.field("stream").type), *_MET]), []
+        for own, block, head, rest, ends, last, early, early_data in zip(*(b.column(c).to_pylist() for c in ("stream", "block", "head", "tail", "ends", "pending", "early", "early_data")), strict=True):
+            if not some or own != stream:
+                stream, some, tail, pending, first = own, True, [], "", 0
+            out.append((own, block, first, None, None, None))
+            if ends:
+                line = _decoded(b"".join(tail) + head)
+                if line.startswith("data: "):
+                    if pending and line[6:]:
+                        out.append((own, None, None, first, pending, line[6:]))
+                    pending = ""
+                elif line.startswith("event: "):
+                    pending = line[7:]
+                if early is not None and pending and early_data:
+                    out.append((own, None, None, first + early, pending, early_data))
+                pending, tail, first = pending if last is None else last, [], first + ends
+            tail.append(rest)
+        if out:
+            yield _batch(out, schema)
+
+
 def events(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
-    """stream, line, event and data of all whole events of chunks (stream, seq, chunk)."""
-    df = lines(chunks, block).filter("startswith(text, 'event: ') OR startswith(text, 'data: ')")
-    effect = F.when(F.col("text").startswith("event: "), F.substring("text", 8, 1 << 30)).otherwise("")
-    df = last_before(df.withColumn("effect", effect), "stream", "line", "effect", "event", block)
-    data = F.substring("text", 7, 1 << 30)
-    return df.filter("startswith(text, 'data: ') AND event <> ''").select("stream", "line", "event", data.alias("data")).filter("data <> ''")
+    """stream, line, event and data of all whole events of chunks (stream, seq, chunk).
+
+    Chunks move once, to their block, which is read from its first to its last; what blocks leave open is a row each.
+    """
+    df = chunks.select("stream", F.expr(f"CAST(seq AS BIGINT) DIV {block}").alias("block"), F.col("seq").cast("long").alias("seq"), F.col("chunk").cast("binary").alias("chunk"))
+    typed = lambda fields: T.StructType([chunks.schema["stream"], *(T.StructField(f.name, {_LONG: T.LongType(), _TEXT: T.StringType(), _BYTES: T.BinaryType()}[f.type]) for f in fields)])
+    found = kept(df.repartition("stream", "block").sortWithinPartitions("stream", "block", "seq").mapInArrow(_scan, typed(_OPEN)), "scanned")
+    blocks = found.filter("ends IS NOT NULL").select("stream", "block", "head", "tail", "ends", "pending", "early", "early_data")
+    met = kept(blocks.repartition("stream").sortWithinPartitions("stream", "block").mapInArrow(_meet, typed(_MET)), "met")
+    inner = found.filter("event IS NOT NULL").join(met.filter("block IS NOT NULL").select("stream", "block", "first"), ["stream", "block"])
+    return inner.select("stream", (F.col("first") + F.col("nth")).alias("line"), "event", "data").unionByName(met.filter("line IS NOT NULL").select("stream", "line", "event", "data"))
 
 
 class Decoder(StatefulProcessor):
