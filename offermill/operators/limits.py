@@ -32,10 +32,26 @@ def in_last(df: DataFrame, ts: str = "ts", ms: int = 60_000, keys: list[str] | N
 _TYPES = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
-def folded(df: DataFrame, keys: list[str], order: list[str], read: list[str], new: list[tuple[str, str]], start: Callable[[], object], step: Callable[..., tuple]) -> DataFrame:
+#: Rows of a step that travel together, at most.
+PACK = 4096
+
+
+def _packed(df: DataFrame, keys: list[str], order: list[str], steps: Column) -> DataFrame:
+    """df by keys in order, as sorted by steps first: a task that gets a whole key sorts packs, which take little more than their values."""
+    rows = df.withColumn("_step", steps)
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, "_step").orderBy(*order)))
+    rows = rows.groupBy(*keys, "_step", F.expr(f"_nth DIV {PACK}").alias("_part")).agg(F.collect_list(F.struct("_nth", *(c for c in df.columns if c not in keys))).alias("_rows"))
+    rows = rows.withColumn("_rows", F.array_sort("_rows", lambda a, b: a["_nth"] - b["_nth"]))
+    lists = [F.col("_rows")[c].alias(c) for c in df.columns if c not in keys]
+    packs = rows.select(*keys, "_step", "_part", *lists).repartition(*keys).sortWithinPartitions(*keys, "_step", "_part")
+    return packs.select(*keys, F.inline(F.arrays_zip(*(c for c in df.columns if c not in keys)))).select(*df.columns)
+
+
+def folded(df: DataFrame, keys: list[str], order: list[str], read: list[str], new: list[tuple[str, str]], start: Callable[[], object], step: Callable[..., tuple], steps: Column | None = None) -> DataFrame:
     """df with new columns: what step makes of a key's state and the columns read, row by row in order.
 
-    A task holds one key's state, whatever the number of its rows.
+    A task holds one key's state, whatever the number of its rows. steps, which never falls along the order, is for keys with
+    very many rows: these are then sorted in other tasks, step by step.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +68,8 @@ def folded(df: DataFrame, keys: list[str], order: list[str], read: list[str], ne
             yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, *(n for n, _ in new)])
 
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, {"long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}[t]) for n, t in new)])
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order) if steps is None else _packed(df, keys, order, steps)
+    return rows.mapInArrow(run, schema)
 
 
 def _islands(df: DataFrame, at: str, ms: int) -> DataFrame:
@@ -88,7 +105,7 @@ def budgeted(df: DataFrame, ts: str, *order: str, ms: int = 60_000, most: int =
                 engines[name] = n + 1, wrong + bool(bad)
         return recent, allowed
 
-    out = folded(timed, ["_island"], ["_at", *order], read, [("recent", "long"), ("allowed", "boolean")], lambda: (deque(), {}), step)
+    out = folded(timed, ["_island"], ["_at", *order], read, [("recent", "long"), ("allowed", "boolean")], lambda: (deque(), {}), step, steps=F.floor(F.col("_at") / 60_000))
     none = rows.filter("_at IS NULL").withColumns({"recent": F.lit(None).cast("long"), "allowed": F.lit(None).cast("boolean")})
     return out.drop("_island").unionByName(none).drop("_at")
 

@@ -1,5 +1,12 @@
 """Steps that grew faster than their input: how their plans look now, and the same results."""
 
+import random
+from collections import deque
+from datetime import datetime, timedelta, timezone
+
+import pytest
+
+from offermill.operators import limits
 from offermill.sources import chunks
 
 
@@ -7,6 +14,28 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("engine", [False, True])
+def test_a_run_of_requests_is_sorted_in_packs(spark, monkeypatch, engine):
+    monkeypatch.setattr(limits, "PACK", 7)
+    rnd = random.Random(5)
+    rows = [(i, datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(milliseconds=rnd.randint(0, 400) * 500), rnd.randint(0, 3), rnd.random() < 0.6, "x" * 50) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, engine int, failed boolean, more string").repartition(5)
+    out = limits.budgeted(df, "ts", "id", ms=60_000, **({"engine": "engine", "failed": "failed"} if engine else {}))
+    assert "inline" in plan(out)  # the one task that sees all gets lists, not rows
+    made, engines, want = deque(), {}, []
+    for i, ts, e, bad, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        while made and ts - made[0] >= timedelta(minutes=1):
+            made.popleft()
+        n, wrong = engines.get(e, (0, 0))
+        allowed = len(made) < 60 and not (engine and wrong > 2 * (n - wrong) and n > 5)
+        want.append((i, len(made), allowed))
+        if allowed:
+            made.append(ts)
+            engines[e] = n + 1, wrong + bad
+    assert sorted((r.id, r.recent, r.allowed) for r in out.collect()) == sorted(want)
+    assert out.columns == [*df.columns, "recent", "allowed"] and all(r.more == "x" * 50 for r in out.collect())
+
+
 def test_chunks_move_once(spark):
     rows = [("s", i, c.encode()) for i, c in enumerate("event: a\ndata: 1\n\nda|ta: 2\nevent: b\nda|ta: 3\r\r\n".split("|"))]
     df = chunks.events(spark.createDataFrame(rows, "stream string, seq long, chunk binary"), 1)
