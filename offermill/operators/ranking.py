@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.numbers import half_up
+from .storage import kept
 
 UNIVERSAL = ("upc-a", "ean-13", "gtin-14")
 
@@ -71,11 +72,11 @@ def priced(df: DataFrame) -> DataFrame:
 
 
 def scored(df: DataFrame, on: str = "price_per_unit") -> DataFrame:
-    """df with deal_score (3 digits). The mean of all is one row that is broadcast."""
+    """df with deal_score (3 digits). The mean of all is one row that is broadcast; records are stored first, as they are read for it and again for their scores."""
     shipping = F.col("shipping")["cost"] if "shipping" in df.columns else field(df, "shipping_cost", "double")
     free = F.col("shipping")["isFree"] if "shipping" in df.columns else field(df, "free_shipping", "boolean")
     coupon = F.col("promotion")["hasCoupon"] if "promotion" in df.columns else field(df, "coupon", "boolean")
-    df = df.withColumn("_eff", scores.effective(F.col(on), shipping, F.col("quantity")))
+    df = kept(df.withColumn("_eff", scores.effective(F.col(on), shipping, F.col("quantity"))), "priced")
     mean = F.broadcast(df.agg(F.avg("_eff").alias("_mean")))
     score = scores.deal(F.col("_eff"), F.col("_mean"), F.col("confidence"), F.col("valid_upc"), F.col("matches"), free, field(df, "discount_percent", "long"), coupon)
     return df.join(mean).withColumn("deal_score", half_up(score, 3)).drop("_eff", "_mean")

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import barcodes, fixed, formats, parse, scores, urls
 from ..functions.numbers import half_up, plain, prefix_integer, prefix_number
 from ..operators import frontier, leaderboard, limits, ranking
+from ..operators.storage import kept
 from . import catalogue_sql as sql
 from . import discovery, markup, tables  # noqa: F401
 from .offers import offers, panels, table
 from .register import ORACLES, QUERIES, query  # noqa: F401
 
 def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offers(spark, sf_dir).withColumn("valid_upc", barcodes.upc_a(F.col("primaryUpc")))
+    """What ranking reads of offers, stored, as codes are counted over all of them first."""
+    columns = "ordinal, title, price, currency, quantity, unit, vendor, url, primaryUpc, shipping_cost, free_shipping, discount_percent, coupon"
+    return kept(offers(spark, sf_dir).select(*columns.split(", "), barcodes.upc_a(F.col("primaryUpc")).alias("valid_upc")), "offers")
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +39,7 @@ def best_deal(spark, sf_dir):
 
 @query(f"WITH {sql.RANKED} SELECT {OUT} FROM ranked WHERE url NOT IN (SELECT url FROM ranked ORDER BY confidence >= 0.7 DESC, rank LIMIT 1)")
 def other_results(spark, sf_dir):
-    df = _ranked(spark, sf_dir)
+    df = kept(_ranked(spark, sf_dir), "ranked")
     return ranking.other_results(df, ranking.best_deal(df)).select(*OUT.split(", "))
 
 

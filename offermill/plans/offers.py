@@ -19,25 +19,24 @@ def _pick(values: list[str], index):
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One offer for each part and supplier, at its least price per piece. Only three columns of lineitem are read."""
+    """One offer for each part and supplier, at its least price per piece. Only three columns of lineitem are read; what follows from a part or a supplier alone is made before it meets its offers."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.min("l_discount").alias("_discount"))
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    df = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     unit = _pick(UNITS, F.col("p_partkey"))
-    quantity = F.col("p_size").cast("double")
-    host = F.concat(F.lower(F.regexp_replace("s_name", "[^A-Za-z0-9]", "")), _pick(ENDINGS, F.col("s_nationkey")))
     body = F.lpad((F.col("p_partkey") * 7919 % F.lit(100000000000)).cast("string"), 11, "0")
     odd = sum((F.substring(body, i + 1, 1).cast("int") for i in range(0, 11, 2)), F.lit(0))
     even = sum((F.substring(body, i + 1, 1).cast("int") for i in range(1, 11, 2)), F.lit(0))
     check = (10 - (3 * odd + even) % 10) % 10
     wrong = F.when(F.col("p_partkey") % 5 == 0, (check + 1) % 10).otherwise(check)
+    part = table(spark, sf_dir, "part").select(
+        "p_partkey", "p_size", F.concat_ws(" ", "p_name", "p_brand", F.concat(F.col("p_size").cast("string"), unit)).alias("title"),
+        F.col("p_size").cast("double").alias("quantity"), unit.alias("unit"), F.concat(body, wrong.cast("string")).alias("primaryUpc"),
+    )
+    host = F.concat(F.lower(F.regexp_replace("s_name", "[^A-Za-z0-9]", "")), _pick(ENDINGS, F.col("s_nationkey")))
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", host.alias("vendor"), _pick(CURRENCIES, F.col("s_nationkey")).alias("currency"))
+    df = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     return df.select(
         (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("ordinal"), F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey"), F.col("s_nationkey").alias("nation"),
-        F.concat_ws(" ", "p_name", "p_brand", F.concat(F.col("p_size").cast("string"), unit)).alias("title"),
-        "price", _pick(CURRENCIES, F.col("s_nationkey")).alias("currency"), quantity.alias("quantity"), unit.alias("unit"),
-        host.alias("vendor"), F.concat(F.lit("https://www."), host, F.lit("/product/"), F.col("p_partkey").cast("string")).alias("url"),
-        F.concat(body, wrong.cast("string")).alias("primaryUpc"),
+        "title", "price", "currency", "quantity", "unit", "vendor", F.concat(F.lit("https://www."), "vendor", F.lit("/product/"), F.col("p_partkey").cast("string")).alias("url"), "primaryUpc",
         F.when(F.col("l_suppkey") % 3 == 0, F.lit(4.99)).cast("double").alias("shipping_cost"), (F.col("l_suppkey") % 4 == 0).alias("free_shipping"),
         (F.col("_discount") * 300).cast("long").alias("discount_percent"), (F.col("l_partkey") % 6 == 0).alias("coupon"),
         F.floor(F.col("price") * 100 + 0.5).cast("long").alias("cents"), F.col("p_size").alias("size"),

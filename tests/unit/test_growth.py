@@ -41,3 +41,10 @@ def test_chunks_move_once(spark):
     df = chunks.events(spark.createDataFrame(rows, "stream string, seq long, chunk binary"), 1)
     assert "Window" not in plan(df)  # all windows over chunks are gone: what a block leaves open is one row
     assert sorted(map(tuple, df.collect())) == [("s", 1, "a", "1"), ("s", 5, "b", "3\r")]
+
+
+@pytest.mark.parametrize("name", ["offers_ranked_top50", "best_deal", "other_results", "vendor_price_dedupe"])
+def test_ranking_reads_its_tables_once(spark, name):
+    from offermill.plans import catalogue
+
+    assert "lineitem" not in plan(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001"))  # offers are stored before codes and means are counted
