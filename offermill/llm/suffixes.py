@@ -4,10 +4,13 @@ Triggers cut every text into phrases: a phrase is a maximal run of 50-byte windo
 24 bytes, so equal windows lie in phrases with equal triggers wherever they occur, and each window lies in one phrase.
 The parse is then short rows (trigger, hash of the phrase, document, place), and the dictionary is the distinct phrases.
 A phrase that a smaller document has too is covered whole, which settles most of a repetitive corpus without its text.
-Only of triggers with several distinct phrases are the phrases' bytes needed: their suffixes are sorted to the depth of
-50 bytes, and equal neighbours form the groups in which the smallest document keeps the string. As a trigger's phrases
-are in one bucket, the sorted buckets together are the corpus order. Phrases are told apart by 128 bits of BLAKE2, and
-strings by their bytes; rolling hashes only choose where to cut. A task reads its buckets one after another.
+A window reaches at least 13 bytes beyond its trigger on one side, so windows of unlike phrases can be equal only if these
+37 bytes are; a phrase has a small code of them for each side. Only of phrases that share a trigger and a code with unlike
+ones are the bytes needed: the suffixes that repeat, by a rolling hash, are sorted to the depth of 50 bytes, and equal
+neighbours form the groups in which the smallest document keeps the string. As a trigger's phrases
+are in one bucket, the sorted buckets together are the corpus order. Phrases are told apart by 96 bits of BLAKE2 among those
+of a trigger's 32 bits, and strings by their bytes; rolling hashes only choose where to cut and what can't be equal. A task
+reads its buckets one after another.
 
 Defined results: a null or empty text, or one of fewer bytes than the string's length, loses nothing; a document without
 doc_id loses nothing and takes nothing from others; rows that repeat a doc_id don't count as smaller than each other;
@@ -36,8 +39,10 @@ LONGEST = 4096
 PARSE_BYTES = 3 << 20
 #: Text bytes that are hashed at once; every byte takes some hundred bytes then. A longer text is hashed by itself.
 HASH_BYTES = 512 << 10
+#: Phrases, and bytes of phrases, that are packed together for all buckets. Few make as many rows as slices times buckets.
+PACKED, PACKED_BYTES = 1 << 20, 8 << 20
 #: Text bytes whose phrases are in one bucket, about, and the buckets, at most. A task holds one bucket at a time.
-BUCKET_BYTES, BUCKETS = 6 << 20, 100_000
+BUCKET_BYTES, BUCKETS = 12 << 20, 100_000
 NEW = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())]
 
 
@@ -75,6 +80,24 @@ def least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+def sides(rolling: Rolling, every: np.ndarray, low: np.ndarray, first: np.ndarray, last: np.ndarray, beside: int, trigger: int) -> np.ndarray:
+    """Codes, from 1, of the trigger with bytes to its left and to its right, for phrases by their first and last windows.
+
+    A window is on the left if its first trigger has half of beside to its left, else on the right, so equal windows have
+    equal codes. A side without windows has 0; a phrase whose windows begin with several triggers has 0 on both.
+    """
+    offset = np.full(len(first), -1, np.int64)
+    for i in range(beside, -1, -1):
+        offset[every[first + i] == low] = i
+    at, half = first + offset, beside // 2
+    plain = at >= last
+    codes = np.zeros((len(first), 2), np.uint16)
+    for i, (has, begin, end) in enumerate(((at - first >= half, at - half, at + trigger), (at - last < half, at, at + trigger + beside - half + 1))):
+        own = np.flatnonzero(plain & has)
+        codes[own, i] = np.maximum(rolling.of(begin[own], end[own]) >> np.uint64(48), np.uint64(1))
+    return codes
+
+
 class Parse:
     """The phrases of some texts."""
 
@@ -87,10 +110,11 @@ class Parse:
         self.text_hash = text_hashes(texts, repeats)
         n = len(data) - depth + 1
         empty = np.empty(0, np.int64)
-        self.doc, self.start, self.windows, self.key, self.name = empty, empty, empty, empty.astype(np.uint32), np.empty((0, 2), np.uint64)
+        self.doc, self.start, self.windows, self.key, self.name, self.sides = empty, empty, empty, empty.astype(np.uint32), np.empty((0, 2), np.uint64), np.empty((0, 2), np.uint16)
         if n <= 0:
             return
-        low = least(rolling.every(trigger), depth - trigger + 1)
+        every = rolling.every(trigger)
+        low = least(every, depth - trigger + 1)
         valid = np.zeros(n + 1, np.int8)
         long = size >= depth
         np.add.at(valid, begin[long], 1)
@@ -110,6 +134,7 @@ class Parse:
         view = memoryview(whole)
         self.name = digests([view[a:z] for a, z in zip(start.tolist(), (start + windows + depth - 1).tolist(), strict=True)])
         self.key = (low[start] >> np.uint64(32)).astype(np.uint32)
+        self.sides = sides(rolling, every, low[start], start, start + windows - 1, depth - trigger, trigger)
         self.doc, self.start, self.windows = doc, start - begin[doc], windows
 
 
@@ -125,17 +150,21 @@ class Parses:
             p.doc = p.doc + at
             some.append(p)
             at = to
-        for name in ("text_hash", "doc", "start", "windows", "key", "name"):
+        for name in ("text_hash", "doc", "start", "windows", "key", "name", "sides"):
             setattr(self, name, np.concatenate([getattr(p, name) for p in some]))
 
 
 def _by_bucket(bucket: np.ndarray, kind: int, *arrays: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+    order, edges = _of_buckets(bucket)
     arrays = [a[order] for a in arrays]
-    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True):
-        yield int(bucket[a]), kind, packed(*(x[a:b] for x in arrays))
+    for a, b in zip(edges, [*edges[1:], len(bucket)], strict=True):
+        yield int(bucket[order[a]]), kind, packed(*(x[a:b] for x in arrays))
+
+
+def _of_buckets(bucket: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """An order by buckets, and where each begins in it."""
+    order = np.argsort(bucket, kind="stable")
+    return order, np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
 
 
 def _rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -200,14 +229,37 @@ def _firsts(doc: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order, doc[order][new][np.cumsum(new) - 1]
 
 
+def _named(doc: np.ndarray, high: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order in which equal phrases are neighbours, where they begin in it, and the smallest doc of each row's phrase. The first number nearly always tells them apart."""
+    order = np.argsort(high)
+    new = _runs(high[order])
+    if any(((x[order][1:] != x[order][:-1]) & ~new[1:]).any() for x in rest):
+        order, first = _firsts(doc, high, *rest)
+        return order, _runs(high[order], *(x[order] for x in rest)), first
+    return order, new, np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+
+
 PARSE, REPLY, TEXT = 0, 1, 2
 
 
 def parse(docs: DataFrame, parts: int, repeats: bool = True) -> DataFrame:
-    """Packed rows of the parse by bucket of their triggers. Phrases that an earlier document of the same step has are
-    settled here, so a phrase that very many documents share is sent once a step."""
+    """Packed rows of the parse by bucket of their triggers. Phrases that an earlier document of the same pack has are
+    settled here, so a phrase that very many documents share is sent once a pack."""
+
+    def packs(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, high, low, doc, text, start, windows, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order, _, first = _named(doc, high, low, key)
+        late = np.zeros(len(doc), bool)
+        late[order] = doc[order] > first
+        early = ~late
+        found = list(_by_bucket(dealt_to(key[early], parts), PARSE, *(x[early] for x in (key, high, low, doc, text, start, windows, left, right))))
+        if late.any():
+            found += _by_bucket(home(doc[late], text[late], parts), REPLY, doc[late], text[late], start[late], windows[late], np.zeros(int(late.sum()), np.uint32))
+        return _rows(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for b in slices(batches, "text", PARSE_BYTES):
             ids = b.column("doc_id")
             texts = [v if ok else v[:0] for v, ok in zip(views(b.column("text")), ids.is_valid().to_pylist(), strict=True)]
@@ -215,32 +267,42 @@ def parse(docs: DataFrame, parts: int, repeats: bool = True) -> DataFrame:
             if not len(p.doc):
                 continue
             doc = ids.fill_null(0).to_numpy().astype(np.int64)[p.doc]
-            text = p.text_hash[p.doc]
-            order, first = _firsts(doc, p.name[:, 0], p.name[:, 1])
-            late = np.zeros(len(doc), bool)
-            late[order] = doc[order] > first
-            start, windows = p.start.astype(np.uint32), p.windows.astype(np.uint16)
-            early = ~late
-            found = list(_by_bucket(dealt_to(p.key[early], parts), PARSE, p.key[early], p.name[early, 0], p.name[early, 1], doc[early], text[early], start[early], windows[early]))
-            if late.any():
-                found += _by_bucket(home(doc[late], text[late], parts), REPLY, doc[late], text[late], start[late], windows[late], np.zeros(int(late.sum()), np.uint32))
-            yield _rows(found)
+            held.append((p.key, p.name[:, 0], p.name[:, 1].astype(np.uint32), doc, p.text_hash[p.doc], p.start.astype(np.uint32), p.windows.astype(np.uint16), p.sides[:, 0], p.sides[:, 1]))
+            if sum(len(x[0]) for x in held) >= PACKED:
+                yield packs(held)
+        if held:
+            yield packs(held)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket int, kind int, value binary")
 
 
+def contested(key: np.ndarray, *codes: np.ndarray) -> np.ndarray:
+    """Which distinct phrases may have a window in common with another: they share a trigger and a code, or phrases without codes have their trigger."""
+    _, number, count = np.unique(key, return_inverse=True, return_counts=True)
+    out = np.zeros(len(key), bool)
+    own = np.flatnonzero(count[number] > 1)
+    number = number[own]
+    any_ = np.zeros(len(count), bool)
+    any_[number[~np.logical_or.reduce([c[own] > 0 for c in codes])]] = True
+    out[own] = any_[number]
+    for c in codes:
+        _, same, times = np.unique(number * (1 << 16) + c[own], return_inverse=True, return_counts=True)
+        out[own] |= (times[same] > 1) & (c[own] > 0)
+    return out
+
+
 def settle(rows: DataFrame, parts: int) -> DataFrame:
     """Replies to the documents: phrases that are covered, with key 0, and those whose bytes are needed, with their key."""
 
     def work(own: list[bytes]) -> pa.RecordBatch | None:
-        key, high, low, doc, text, start, windows = joined(own)
-        order, first = _firsts(doc, key, high, low)
-        key, high, low, doc, text, start, windows = (x[order] for x in (key, high, low, doc, text, start, windows))
-        group = _runs(key)
-        number = np.cumsum(group) - 1
-        distinct = np.add.reduceat(_runs(key, high, low).astype(np.int64), np.flatnonzero(group))[number]
+        key, high, low, doc, text, start, windows, left, right = joined(own)
+        own.clear()
+        order, new, first = _named(doc, high, low, key)
+        open_ = contested(*(x[order[new]] for x in (key, left, right)))[np.cumsum(new) - 1]
+        key, doc, text, start, windows = (x[order] for x in (key, doc, text, start, windows))
         covered = doc > first
-        send = covered | (distinct > 1)
+        send = covered | open_
         if not send.any():
             return None
         tag = np.where(covered, 0, np.maximum(key, 1)).astype(np.uint32)
@@ -249,14 +311,40 @@ def settle(rows: DataFrame, parts: int) -> DataFrame:
     return gathered(rows, parts).mapInArrow(lambda batches: _by_turns(batches, work), "bucket int, kind int, value binary")
 
 
+def repeated(doc: np.ndarray, at: np.ndarray, size: np.ndarray, windows: np.ndarray, data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows, by phrase and place in it, whose hash several documents have; any other is alone in its group."""
+    hashes, i = [], 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + HASH_BYTES)))
+        every = Rolling(data[at[i] : at[j - 1] + size[j - 1]]).every(depth)
+        inside = np.ones(len(every), bool)
+        gap = (at[i + 1 : j] - at[i])[:, None] - np.arange(1, depth)
+        inside[gap.ravel()] = False
+        hashes.append(every[inside])
+        i = j
+    hashed = np.concatenate(hashes)
+    which = np.repeat(np.arange(len(at), dtype=np.int32), windows)
+    order = np.argsort(hashed)
+    new = _runs(hashed[order])
+    own, edge = doc[which[order]], np.flatnonzero(new)
+    several = np.zeros(len(which), bool)
+    several[order] = (np.minimum.reduceat(own, edge) < np.maximum.reduceat(own, edge))[np.cumsum(new) - 1]
+    take = np.flatnonzero(several)
+    which = which[take]
+    return which, take - (np.cumsum(windows.astype(np.int64)) - windows)[which]
+
+
 def sort_suffixes(rows: DataFrame, parts: int, depth: int = DEPTH) -> DataFrame:
     """Replies from the dictionary phrases of each bucket: their suffixes, sorted to the depth, in groups of equals."""
 
     def work(own: list[bytes]) -> pa.RecordBatch | None:
         doc, text, start, windows, data = joined(own)
-        at = np.cumsum(windows.astype(np.int64) + depth - 1) - windows - depth + 1
-        which = np.repeat(np.arange(len(doc)), windows)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(windows.astype(np.int64)) - windows, windows)
+        own.clear()
+        size = windows.astype(np.int64) + depth - 1
+        at = np.cumsum(size) - size
+        which, nth = repeated(doc, at, size, windows, data, depth)
+        if not len(which):
+            return None
         data = np.concatenate([data, np.zeros(8, np.uint8)])
         eights = np.ndarray(len(data) - 7, ">u8", data, strides=(1,))
         place = at[which] + nth
@@ -315,7 +403,7 @@ def _answer(parts: int, kept: list[str], last: bool):
                 order = np.lexsort((text, doc))
                 doc, text, start, windows, tag = (x[order] for x in (doc, text, start, windows, tag))
                 edge = np.flatnonzero(_runs(doc, text)).tolist() if len(doc) else []
-                index = {(int(doc[a]), int(text[a])): (a, z) for a, z in zip(edge, [*edge[1:], len(doc)], strict=True)}
+                index = {(int(doc[a]), int(text[a])): (a, z) for a, z in zip(edge, [*edge, len(doc)][1:], strict=True)}
                 known = []
             new: dict[str, list] = {n: [] for n, _ in NEW} | {"text": [], "open": []}
             ids, hashes = b.column("_doc").to_pylist(), b.column("_text_hash").to_pylist()
@@ -383,26 +471,35 @@ def deduplicate(docs: DataFrame, parts: int | None = None) -> DataFrame:
     met = _meet(source.mapInArrow(texts, schema), replies, parts)
     once = stored(met.mapInArrow(_answer(parts, kept, False), T.StructType([*done, T.StructField("_open", T.BinaryType()), T.StructField("_value", T.BinaryType())])), "once")
 
+    def phrase_packs(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        doc, text, s, w, t, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        bucket = dealt_to(t, parts)
+        order, edges = _of_buckets(bucket)
+        size = w.astype(np.int64) + DEPTH - 1
+        begin = (np.cumsum(size) - size)[order]
+        doc, text, s, w, size, bucket = (x[order] for x in (doc, text, s, w, size, bucket))
+        ends = np.cumsum(size)
+        data = data[np.repeat(begin - ends + size, size) + np.arange(len(data))]
+        found = []
+        for i, j in zip(edges, [*edges[1:], len(s)], strict=True):
+            found.append((int(bucket[i]), PARSE, packed(doc[i:j], text[i:j], s[i:j], w[i:j], data[ends[i] - size[i] : ends[j - 1]])))
+        return _rows(found)
+
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for b in slices(batches, "_value", PARSE_BYTES // 2):
-            parts_: list[list[np.ndarray]] = []
             for d, h, o, v in zip(b.column("_doc").to_pylist(), b.column("_text_hash").to_pylist(), views(b.column("_open")), views(b.column("_value")), strict=True):
                 _, _, s, w, t = unpacked(o)
                 data = np.frombuffer(zstandard.ZstdDecompressor().decompress(v), np.uint8)
                 size = w.astype(np.int64) + DEPTH - 1
                 at = np.repeat(s.astype(np.int64) - np.cumsum(size) + size, size) + np.arange(size.sum())
-                parts_.append([np.full(len(s), d, np.int64), np.full(len(s), h, np.int64).view(np.uint64), s, w, t, data[at]])
-            doc, text, s, w, t, data = (np.concatenate(x) for x in zip(*parts_, strict=True))
-            size = w.astype(np.int64) + DEPTH - 1
-            end = np.cumsum(size)
-            bucket = dealt_to(t, parts)
-            found = []
-            for k in np.unique(bucket).tolist():
-                own = np.flatnonzero(bucket == k)
-                n = size[own]
-                at = np.repeat(end[own] - n - np.cumsum(n) + n, n) + np.arange(n.sum())
-                found.append((k, PARSE, packed(doc[own], text[own], s[own], w[own], data[at])))
-            yield _rows(found)
+                held.append([np.full(len(s), d, np.int64), np.full(len(s), h, np.int64).view(np.uint64), s, w, t, data[at]])
+            if sum(len(x[-1]) for x in held) >= PACKED_BYTES:
+                yield phrase_packs(held)
+        if held:
+            yield phrase_packs(held)
+        give_back()
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
