@@ -35,8 +35,12 @@ def listing_panels(cards: DataFrame) -> DataFrame:
     return df.filter(raw.between(0.05, 5.0) & ~F.col("title").rlike("(?i)pallet|bundle|pack of|set of")).withColumn("confidence", F.lit(0.7))
 
 
-def build(products: DataFrame) -> DataFrame:
-    """A leaderboard of merged batches: rates of more currencies, filters and order by the price per watt as paid."""
+def build(products: DataFrame, parts: int | None = None, ordered: bool = True) -> DataFrame:
+    """A leaderboard of merged batches: rates of more currencies, filters and, unless it is only counted, order by the price per watt as paid.
+
+    In parts, if given, it takes as many tasks, so that none grows with the batches; all rows of a key then meet in one
+    task. Else Spark's number of shuffle partitions holds, and of each task only the first rows of a key move.
+    """
     df = products.filter(F.col("wattage").between(10, 1000) & (F.col("price") > 0))
     code = F.upper(F.coalesce(F.nullif("currency", F.lit("")), F.lit("USD")))
     usd = half_up(F.col("price") * F.coalesce(lookup(fixed.BUILDER_RATES, code), F.lit(1.0)), 2)
@@ -44,7 +48,12 @@ def build(products: DataFrame) -> DataFrame:
     df = df.filter(F.col("pricePerWatt").between(0.10, 3.0)).withColumns({"panelType": F.coalesce("panelType", F.lit("unknown")), "country": F.coalesce("country", F.lit("US")), "confidence": F.lit(0.85)})
     real = F.col("url").startswith("http") & ~F.col("url").contains(encoded(F.substring(F.coalesce("title", F.lit("")), 1, 20)))
     key = F.when(F.coalesce(real, F.lit(False)), F.col("url")).otherwise(F.concat_ws("|", F.col("vendor"), F.col("title"), F.col("wattage").cast("string")))
-    return first_of(df, [key], F.asc("ordinal")).orderBy("pricePerWatt", "ordinal")
+    df = df.withColumn("_key", key)
+    df = first_of(df if parts is None else df.repartition(parts, "_key"), ["_key"], F.asc("ordinal")).drop("_key")
+    if not ordered:
+        return df
+    order = ("pricePerWatt", "ordinal")
+    return df.orderBy(*order) if parts is None else df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
 
 def build_rows(built: DataFrame) -> DataFrame:

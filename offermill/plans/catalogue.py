@@ -11,7 +11,7 @@ from ..operators import frontier, leaderboard, limits, ranking
 from ..operators.storage import kept
 from . import catalogue_sql as sql
 from . import discovery, markup, tables  # noqa: F401
-from .offers import offers, panels, table
+from .offers import offers, panels, table, tasks
 from .register import ORACLES, QUERIES, query  # noqa: F401
 
 def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +284,7 @@ _BUILT = f"""b AS (SELECT ordinal, title, vendor, url, wattage, upper(currency)
 
 @query(f'WITH {sql.PANELS}, {_BUILT} SELECT ordinal, url, "priceUsd", "pricePerWatt", "pricePerWattUsd" FROM built')
 def leaderboard_builder(spark, sf_dir):
-    return leaderboard.build(panels(spark, sf_dir)).select("ordinal", "url", "priceUsd", "pricePerWatt", "pricePerWattUsd")
+    return leaderboard.build(panels(spark, sf_dir), tasks(spark, sf_dir)).select("ordinal", "url", "priceUsd", "pricePerWatt", "pricePerWattUsd")
 
 
 @query(f"WITH {sql.PANELS}, {_BUILT} SELECT count(*) AS \"totalAfterFiltering\", array_to_string(list_sort(list(DISTINCT country)), ',') AS \"countriesCrawled\", 3 AS version FROM built")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 UNITS = ["g", "kg", "mg", "lb", "oz", "capsules", "tablets", "ml"]
 CURRENCIES = ["USD", "EUR", "GBP", "CAD", "JPY", "XXX"]
+#: Lines that a task takes at most, about, and below which it takes no fewer.
+MOST_LINES, LEAST_LINES = 250_000, 20_000
 ENDINGS = [".com", ".co.uk", ".de", ".com.au", ".jp", ".net"]
 
 
@@ -14,13 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for rows as many as lines, which grow with the table beyond Spark's number of shuffle partitions. The count is read from file footers."""
+    n = table(spark, sf_dir, "lineitem").count()
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // LEAST_LINES), n // MOST_LINES)
+
+
 def _pick(values: list[str], index):
     return F.element_at(F.array(*(F.lit(v) for v in values)), (index % len(values) + 1).cast("int"))
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One offer for each part and supplier, at its least price per piece. Only three columns of lineitem are read; what follows from a part or a supplier alone is made before it meets its offers."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.min("l_discount").alias("_discount"))
+    """One offer for each part and supplier, at its least price per piece. Only three columns of lineitem are read; what follows from a part or a supplier alone is made before it meets its offers.
+    Most lines are the only ones of their offer, so they move once, by part, before they are added up."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount").repartition(tasks(spark, sf_dir), "l_partkey")
+    lines = lines.groupBy("l_partkey", "l_suppkey").agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.min("l_discount").alias("_discount"))
     unit = _pick(UNITS, F.col("p_partkey"))
     body = F.lpad((F.col("p_partkey") * 7919 % F.lit(100000000000)).cast("string"), 11, "0")
     odd = sum((F.substring(body, i + 1, 1).cast("int") for i in range(0, 11, 2)), F.lit(0))

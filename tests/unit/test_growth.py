@@ -5,6 +5,7 @@ from collections import deque
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from offermill.operators import limits
 from offermill.sources import chunks
@@ -48,3 +49,30 @@ def test_ranking_reads_its_tables_once(spark, name):
     from offermill.plans import catalogue
 
     assert "lineitem" not in plan(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001"))  # offers are stored before codes and means are counted
+
+
+@pytest.mark.parametrize("name", ["leaderboard_builder"])
+def test_tasks_of_a_leaderboard_grow_with_its_lines(spark, monkeypatch, name):
+    from offermill.plans import catalogue, offers
+
+    folder = "/root/testdata/sf0.001"
+    want = catalogue.QUERIES[name](spark, folder).collect()
+    monkeypatch.setattr(offers, "MOST_LINES", 100)
+    df = catalogue.QUERIES[name](spark, folder)
+    n = offers.table(spark, folder, "lineitem").count() // 100
+    assert n > 50 and "hashpartitioning(_key#" in plan(df) and f", {n}), REPARTITION_BY_NUM" in plan(df)  # before, 4 tasks whatever the table
+    assert df.collect() == want  # the same rows, in the same order
+    ids = offers.offers(spark, folder).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert ids > 40
+
+
+def test_batches_of_a_leaderboard_in_parts(spark):
+    from offermill.operators import leaderboard
+
+    rnd = random.Random(1)
+    url = lambda i: rnd.choice([f"http://a/{i % 9}", "made up", None])
+    rows = [(i, f"t{i % 7}", round(rnd.uniform(5, 400), 2), rnd.choice(["USD", "eur", None]), 100 + i % 3, "v", url(i), "US", None) for i in range(400)]
+    df = spark.createDataFrame(rows, "ordinal long, title string, price double, currency string, wattage long, vendor string, url string, country string, panelType string")
+    want = leaderboard.build(df).collect()
+    assert 9 < len(want) < 60 and leaderboard.build(df, 7).collect() == want
+    assert sorted(leaderboard.build(df, 7, ordered=False).collect()) == sorted(want)
