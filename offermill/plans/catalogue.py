@@ -289,7 +289,7 @@ def leaderboard_builder(spark, sf_dir):
 
 @query(f"WITH {sql.PANELS}, {_BUILT} SELECT count(*) AS \"totalAfterFiltering\", array_to_string(list_sort(list(DISTINCT country)), ',') AS \"countriesCrawled\", 3 AS version FROM built")
 def leaderboard_metadata(spark, sf_dir):
-    return leaderboard.metadata(leaderboard.build(panels(spark, sf_dir)), 0).select("totalAfterFiltering", F.array_join("countriesCrawled", ",").alias("countriesCrawled"), "version")
+    return leaderboard.metadata(leaderboard.build(panels(spark, sf_dir), tasks(spark, sf_dir), ordered=False), 0).select("totalAfterFiltering", F.array_join("countriesCrawled", ",").alias("countriesCrawled"), "version")
 
 
 @query(f"""WITH {sql.PANELS}, {_LEADER} SELECT {_PANEL} FROM leaders WHERE country IN ('US', 'DE') AND coalesce(wattage, 0) >= 100 AND coalesce(wattage, 0) <= 800 AND lower("panelType") = 'bifacial'""")

@@ -51,7 +51,7 @@ def test_ranking_reads_its_tables_once(spark, name):
     assert "lineitem" not in plan(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001"))  # offers are stored before codes and means are counted
 
 
-@pytest.mark.parametrize("name", ["leaderboard_builder"])
+@pytest.mark.parametrize("name", ["leaderboard_builder", "leaderboard_metadata"])
 def test_tasks_of_a_leaderboard_grow_with_its_lines(spark, monkeypatch, name):
     from offermill.plans import catalogue, offers
 
