@@ -40,9 +40,9 @@ PARSE_BYTES = 3 << 20
 #: Text bytes that are hashed at once; every byte takes some hundred bytes then. A longer text is hashed by itself.
 HASH_BYTES = 512 << 10
 #: Phrases, and bytes of phrases, that are packed together for all buckets. Few make as many rows as slices times buckets.
-PACKED, PACKED_BYTES = 1 << 20, 8 << 20
+PACKED, PACKED_BYTES = 1 << 19, 8 << 20
 #: Text bytes whose phrases are in one bucket, about, and the buckets, at most. A task holds one bucket at a time.
-BUCKET_BYTES, BUCKETS = 12 << 20, 100_000
+BUCKET_BYTES, BUCKETS = 8 << 20, 100_000
 NEW = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())]
 
 
