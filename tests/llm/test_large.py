@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -31,6 +32,24 @@ def test_jaccard_links_members_of_equal_order_in_large_regions(spark, monkeypatc
     assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()} == dict(enumerate(least))
 
 
+@pytest.mark.parametrize("query", [jaccard.near_duplicates, jaccard.keep_one])
+def test_jaccard_hands_python_batches_of_bounded_size(spark, monkeypatch, query):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = spark.createDataFrame([(i, f"text {i // 2} of some " + "long words " * 30_000) for i in range(40)], "doc_id long, text string").repartition(1)
+    before, most, store = spark.conf.get(key), [], jaccard.stored
+
+    def stored(rows, name):
+        if name == "members":  # the batches that this step's Python gets
+            sizes = df.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+            most.append(max(r.n for r in sizes.collect()))
+        return store(rows, name)
+
+    monkeypatch.setattr(jaccard, "stored", stored)
+    assert query(df).count()
+    assert len(most) == 1 and most[0] <= jaccard.STEP + 400_000  # a row more, at most
+    assert spark.conf.get(key) == before
+
+
 def test_constant_texts_of_any_length_are_template(spark):
     page = lambda i: f"<div><p>{'all rights of this text are kept ' * 15}</p><div>{'we use what we like ' * 300}</div><ul>Story {i} of a host</ul></div>"
     df = spark.createDataFrame([(i, "http://h.example/a", page(i)) for i in range(8)], "page_id long, url string, html string")
